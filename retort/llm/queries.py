@@ -1,10 +1,11 @@
 """The queries of this subpackage by name, and their SQL where SQL can express them."""
 
-from . import decontaminate, jaccard_join, language_id, line_dedup, packing
+from . import decontaminate, jaccard_join, language_id, language_model, line_dedup, packing
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
     "op3_decontamination": decontaminate.op3_decontamination,
+    "op6_lm_scoring": language_model.op6_lm_scoring,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_packing": packing.op8_packing,
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
