@@ -1,13 +1,15 @@
 """The queries of this subpackage by name, and their SQL where SQL can express them."""
 
-from . import decontaminate, jaccard_join, language_id, language_model, line_dedup, packing
+from . import decontaminate, jaccard_join, language_id, language_model, line_dedup, order_minhash, packing, quality
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
     "op3_decontamination": decontaminate.op3_decontamination,
+    "op5_order_minhash": order_minhash.op5_order_minhash,
     "op6_lm_scoring": language_model.op6_lm_scoring,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_packing": packing.op8_packing,
+    "op9_quality": quality.op9_quality,
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
 }
 
