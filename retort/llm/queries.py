@@ -1,10 +1,11 @@
 """The queries of this subpackage by name, and their SQL where SQL can express them."""
 
-from . import decontaminate, jaccard_join, language_id, language_model, line_dedup, order_minhash, packing, quality
+from . import decontaminate, jaccard_join, language_id, language_model, licenses, line_dedup, order_minhash, packing, quality
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
     "op3_decontamination": decontaminate.op3_decontamination,
+    "op4_license_scan": licenses.op4_license_scan,
     "op5_order_minhash": order_minhash.op5_order_minhash,
     "op6_lm_scoring": language_model.op6_lm_scoring,
     "op7_line_dedup": line_dedup.op7_line_dedup,
@@ -13,4 +14,4 @@ QUERIES = {
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
 }
 
-ORACLES = {"op7_line_dedup": line_dedup.OP7_SQL}
+ORACLES = {"op4_license_scan": licenses.OP4_SQL, "op7_line_dedup": line_dedup.OP7_SQL}
