@@ -1,9 +1,10 @@
 """The queries of this subpackage by name, and their SQL where SQL can express them."""
 
-from . import decontaminate, jaccard_join, language_id, language_model, licenses, line_dedup, order_minhash, packing, quality
+from . import decontaminate, jaccard_join, language_id, language_model, licenses, line_dedup, order_minhash, packing, personal_data, quality
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
+    "op2_personal_data": personal_data.op2_personal_data,
     "op3_decontamination": decontaminate.op3_decontamination,
     "op4_license_scan": licenses.op4_license_scan,
     "op5_order_minhash": order_minhash.op5_order_minhash,
