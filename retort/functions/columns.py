@@ -190,7 +190,12 @@ def descriptors(smiles: Column | str, names: list[str] | None = None, preset: st
         nothing = (float("nan"),) * len(names)
         return pd.DataFrame([_kept(job, s, "full") or nothing for s in smiles], columns=names)
 
-    return F.pandas_udf(run, kind)(smiles)
+    return _with_nan(F.pandas_udf(run, kind)(smiles), names)
+
+
+def _with_nan(c: Column, names: list[str]) -> Column:
+    """Arrow turns NaN into null on the way back; this undoes it."""
+    return F.struct(*[F.coalesce(c[n], F.lit(float("nan"))).alias(n) for n in names])
 
 
 def _has(mol: m.Molecule, smarts: str) -> bool:
@@ -314,7 +319,7 @@ def shape_descriptors(xyz: Column | str, masses: Column | str) -> Column:
             rows.append([*pmi, safe(pmi[0], pmi[2]), safe(pmi[1], pmi[2]), np.sqrt(s), safe(1.5 * ((lam - s / 3) ** 2).sum(), s * s), safe(np.sqrt(max(0, pmi[2] ** 2 - pmi[0] ** 2)), pmi[2]), safe(pmi[1], pmi[0] * pmi[2]), safe(3 * plain[0], plain.sum())])
         return pd.DataFrame(rows, columns=names)
 
-    return F.pandas_udf(run, kind)(xyz, masses)
+    return _with_nan(F.pandas_udf(run, kind)(xyz, masses), names)
 
 
 def register(spark) -> None:

@@ -18,9 +18,10 @@ REGRESSION = ["Caco2_Wang", "Clearance_Hepatocyte_AZ", "Clearance_Microsome_AZ",
 
 def features(df: DataFrame, smiles: str = "smiles", nbits: int = 1024) -> DataFrame:
     """df with ok and the vector features, a 0 or 1 for each fingerprint bit."""
-    own = df.withColumn("ok", columns.parse(smiles, "full")["ok"]).withColumn("__bits", on_bits(columns.fingerprint(smiles, "ecfp4", 2, nbits), nbits))
+    own = df.withColumn("ok", columns.parse(smiles, "full")["ok"]).withColumn("__fp", columns.fingerprint(smiles, "ecfp4", 2, nbits))
+    own = own.withColumn("__bits", on_bits(F.col("__fp"), nbits))
     dense = F.transform(F.sequence(F.lit(0), F.lit(nbits - 1)), lambda i: F.when(F.array_contains("__bits", i), 1.0).otherwise(0.0))
-    return own.withColumn("features", array_to_vector(dense)).drop("__bits")
+    return own.withColumn("features", array_to_vector(dense)).drop("__bits", "__fp")
 
 
 class EndpointModel:

@@ -141,7 +141,7 @@ def test_files(spark, tmp_path):
 
 
 def test_shapes(spark):
-    df = spark.createDataFrame([([[0.0, 0, 0], [1.0, 0, 0]], [1.0, 1.0]), (None, None)], "xyz array<array<double>>, w array<double>")
+    df = spark.createDataFrame([([[0.0, 0.0, 0.0], [1.0, 0.0, 0.0]], [1.0, 1.0]), (None, None)], "xyz array<array<double>>, w array<double>")
     got = df.select(columns.shape_descriptors("xyz", "w").alias("s")).collect()
     assert abs(got[0]["s"]["RadiusOfGyration"] - 0.5) < 1e-9 and got[0]["s"]["PMI1"] < 1e-9 and math.isnan(got[1]["s"]["PMI1"])
 
