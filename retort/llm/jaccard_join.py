@@ -4,9 +4,10 @@ Candidates share one of the first shingles of each set (any pair that reaches th
 n - ceil(t * n) + 1 shingles in one common order are looked at; frequent shingles come last in that order). Candidates
 are decided by T-occurrence search with DivideSkip: a query set's inverted lists over a block of candidate sets are
 divided into long and short ones, the short ones are merged with a heap, and sets that occur often enough there are
-looked up in the long ones by binary search; those that reach the required overlap are linked.
+looked up in the long ones by binary search; those that reach the required overlap are linked. Pairs whose sizes or
+parity bitmaps already show too many differences are not searched; this bound is exact.
 
-Large groups are met in rounds. First each candidate list is searched with the list's first set as the query only,
+Large groups are met in rounds. First each candidate list is searched with one set of it, its hub, as the query only,
 and what links is one component. A list whose members are then in one component is settled. In the lists that are not,
 every member outside the list's largest component is a query against all members of other components. So no link
 between two components is left out, and the work within a group stays in proportion to its size.
@@ -36,6 +37,10 @@ WORDS, PERCENT = 5, 80
 FREQUENT, MOST_FREQUENT, COUNTED = 8, 1 << 20, 1 << 21
 #: Candidate sets that one query meets in one block.
 BLOCK = 256
+#: Bits of a set's parity bitmap; and rows (16 bytes each) up to which a table of documents to read again is broadcast.
+LEAST_BITS, MOST_BITS, BROADCAST_ROWS = 128, 8192, 1 << 20
+#: Nodes with their bitmaps (about 100 bytes, 1 KB at most) up to which they are broadcast.
+BROADCAST_NODES = 1 << 18
 _FACTORS = np.random.default_rng(5).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 
 
@@ -235,8 +240,29 @@ def search_block(query: np.ndarray, sets: list[np.ndarray], percent: int) -> np.
     return able[divide_skip(lists, need[able])]
 
 
+def able(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """The rows (query, node) of pairs that sizes and parity bits do not rule out: no pair that reaches the similarity is lost."""
+    small = bits.count() <= BROADCAST_NODES
+    sides = bits.select("node", "size", "bits"), bits.select(F.col("node").alias("query"), F.col("size").alias("query_size"), F.col("bits").alias("query_bits"))
+    node, query = (F.broadcast(s) for s in sides) if small else sides
+    both = pairs.join(node, "node").join(query, "query")
+    schema = pa.schema([("query", pa.int64()), ("node", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            sizes = batch.column(2).to_numpy().astype(np.int64), batch.column(3).to_numpy().astype(np.int64)
+            # an overlap of i needs 100 * i >= percent * (a + b - i); the sets then differ in a + b - 2 * i shingles
+            most = sizes[0] + sizes[1] - 2 * -(-percent * (sizes[0] + sizes[1]) // (100 + percent))
+            bits = zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)
+            keep = pa.array([fewest_differences(a, b) <= m for (a, b), m in zip(bits, most, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], schema=schema)
+
+    fit = 100 * F.least("size", "query_size") >= percent * F.greatest("size", "query_size")
+    return both.where(fit).select("query", "node", "size", "query_size", "bits", "query_bits").mapInArrow(run, "query long, node long")
+
+
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The rows (query, node) of pairs, distinct, that reach the similarity; in blocks of about BLOCK nodes a query."""
+    """The rows (query, node) of pairs that reach the similarity; in blocks of about BLOCK nodes a query."""
     schema = pa.schema([("query", pa.int64()), ("node", pa.int64())])
     n = partitions(pairs.sparkSession)
     blocks = pairs.groupBy("query").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
@@ -290,11 +316,42 @@ def components(edges: DataFrame) -> DataFrame:
     return own.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(own.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
 
 
-def node_sets(docs: DataFrame, doc_sets: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """(node, shingles) of the given nodes, read from one document of each."""
-    one = doc_sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("one_doc"))
+def parity_bits(own: np.ndarray) -> bytes:
+    """The parity of the number of shingles that fall on each bit; about a bit for each shingle. Two sets differ in at least as many
+    shingles as their bits, folded to the same length, differ."""
+    n = min(MOST_BITS, max(LEAST_BITS, 1 << int(np.ceil(np.log2(0.75 * len(own))))))
+    return np.packbits((np.bincount((own & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def fewest_differences(a: bytes, b: bytes) -> int:
+    x, y = (np.frombuffer(v, np.uint8) for v in (a, b))
+    n = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(v.reshape(-1, n), axis=0) for v in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def node_documents(docs: DataFrame, doc_sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text) of the given nodes, the text of one document of each."""
+    one = stored(doc_sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("one_doc")), "node-documents")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    own = own.join(one, own["doc_id"] == one["one_doc"]).select("node", "text")
+    return own.join(F.broadcast(one) if one.count() <= BROADCAST_ROWS else one, own["doc_id"] == one["one_doc"]).select("node", "text")
+
+
+def node_bits(texts_: DataFrame, words: int) -> DataFrame:
+    """(node, size, bits) of (node, text)."""
+    schema = pa.schema([("node", pa.int64()), ("size", pa.int32()), ("bits", pa.binary())])
+
+    def run(batches):
+        for batch in batches:
+            node = batch.column(0).to_numpy()
+            got = [(int(node[i]), len(s), parity_bits(s)) for i, s in shingle_sets(batch.column(1), words) if signature(s) == node[i]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*got, strict=True) if got else [[]] * 3, schema, strict=True)], schema=schema)
+
+    return texts_.mapInArrow(run, "node long, size int, bits binary").dropDuplicates(["node"])
+
+
+def node_sets(texts_: DataFrame, words: int) -> DataFrame:
+    """(node, shingles) of (node, text)."""
     schema = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
     def run(batches):
@@ -305,7 +362,7 @@ def node_sets(docs: DataFrame, doc_sets: DataFrame, nodes: DataFrame, words: int
             offsets = np.concatenate(([0], np.cumsum([len(s) for _, s in got]))).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], schema=schema)
 
-    return own.mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"])
+    return texts_.mapInArrow(run, "node long, shingles array<long>")
 
 
 def open_pairs(lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
@@ -324,12 +381,19 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     """(doc_id, n_shingles, component_id): component_id is the smallest doc_id that links lead to."""
     doc_sets = stored(document_sets(docs, words), "document-sets")
     lists = stored(shared_lists(postings(docs, words, percent), percent), "shared-lists")
-    sets = stored(node_sets(docs, doc_sets, lists.select("node"), words), "node-sets")
-    stars = lists.where("node <> hub").select(F.col("hub").alias("query"), "node").distinct()
-    edges = stored(linked(stars, sets, percent), "links")
+    bits = stored(node_bits(node_documents(docs, doc_sets, lists.select("node")), words), "node-bits")
+
+    def search(pairs: DataFrame) -> DataFrame:
+        fit = stored(able(pairs, bits, percent), "able-pairs")
+        nodes = fit.select("node").unionByName(fit.select(F.col("query").alias("node")))
+        sets = stored(node_sets(node_documents(docs, doc_sets, nodes), words), "node-sets")
+        return stored(linked(fit, sets, percent), "links")
+
+    # each node meets the hub of most of its lists first
+    hubs = lists.where("node <> hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("n")).groupBy("node").agg(F.max(F.struct("n", "hub")).alias("most"))
+    edges = search(hubs.select(F.col("most.hub").alias("query"), "node"))
     labels = stored(components(edges.select(F.col("query").alias("a"), F.col("node").alias("b"))), "labels")
-    rest = stored(open_pairs(lists, labels, percent), "open-pairs")
-    more = stored(linked(rest, sets, percent), "links")
+    more = search(stored(open_pairs(lists, labels, percent), "open-pairs"))
     if more.limit(1).count():
         edges = edges.unionByName(more)
         labels = components(edges.select(F.col("query").alias("a"), F.col("node").alias("b")))
