@@ -5,11 +5,13 @@ order, and each numbered k-mer is hashed. The hash range is divided into SLOTS e
 own (one-permutation hashing); of each range the TUPLE smallest k-mers are taken, put back into text order, and hashed
 as a tuple. A shuffled text has the same k-mers and other tuples. Likeness is the share of ranges, of those that either text fills, with equal tuples.
 
-Everything happens within a row: sorting by hash numbers the k-mers, and ranges are stretches of the sorted array.
+Everything happens within a row: sorting by hash numbers the k-mers, and ranges are stretches of the sorted array. Within a text
+k-mers are told apart by 38 bits, places by 26.
 
 Defined cases: null text is an empty one; texts without words have the empty fingerprint, which is like another empty
 one (1.0) and unlike any other (0.0); a text of fewer words than K is one k-mer; equal texts have equal fingerprints;
-of rows that repeat a doc_id the order is by text; an empty table gives an empty result; other columns are not read.
+of rows that repeat a doc_id the order is by text; rows without doc_id follow
+the others among themselves, the last of them with nothing; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,26 +24,40 @@ from .common import partitions, table
 
 K, PIECE, SLOT_BITS = 3, 16, 6
 SLOTS = 1 << SLOT_BITS
+#: A k-mer is a long: its hash above, its place in the text in the low bits, so that longs sort by hash, then place.
+PLACE_BITS = 26
+#: k-mers in a tuple; the tuple expressions below are written for two.
+TUPLE = 2
 
 
 def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     """df with the array column out: a hash for each filled range, in the order of ranges."""
-    w, s, t = (f"__{x}_{out}" for x in "wst")
-    shift = 64 - SLOT_BITS
     keep = df.columns
+    a, v, f, r, t = (f"__{x}_{out}" for x in "avfrt")
+    none = "cast(array() as array<bigint>)"
+    hash_ = lambda x: f"shiftright({x}, {PLACE_BITS})"
+    slot = lambda x: f"shiftright({x}, {64 - SLOT_BITS})"
+    packed = lambda h, place: f"(({h} & {-(1 << PLACE_BITS)}L) | ({place} & {(1 << PLACE_BITS) - 1}L))"
     # each step is a projection of its own, so that an array is made once
-    df = df.withColumn(w, F.regexp_extract_all(F.col(text), F.lit(rf"[^\x20\x09-\x0D]{{1,{PIECE}}}"), F.lit(0)))
-    kmer = ", ".join(f"get({w}, i + {j})" for j in range(K))
-    df = df.select(*keep, F.expr(f"if(size({w}) = 0, cast(array() as array<struct<h: bigint, p: int>>), sort_array(transform(sequence(0, greatest(size({w}) - {K}, 0)), i -> struct(xxhash64({kmer}) as h, i as p))))").alias(s))
-    df = df.withColumn(t, F.expr(f"if(size({s}) = 0, cast(array() as array<int>), filter(sequence(0, size({s}) - 1), i -> i = 0 or {s}[i].h <> {s}[i - 1].h))"))
-    df = df.select(*keep, F.expr(f"""sort_array(flatten(transform({t}, (start, r) -> transform(sequence(start, coalesce(get({t}, r + 1), size({s})) - 1),
-        i -> struct(xxhash64({s}[i].h, i - start) as g, {s}[i].p as p, {s}[i].h as h)))))""").alias(s))
-    df = df.withColumn(t, F.expr(f"if(size({s}) = 0, cast(array() as array<int>), filter(sequence(0, size({s}) - 1), i -> i = 0 or shiftright({s}[i].g, {shift}) <> shiftright({s}[i - 1].g, {shift})))"))
-    slot = f"shiftright({s}[i].g, {shift})"
-    return df.select(*keep, F.expr(f"""transform({t}, i -> case
-        when get({s}, i + 1) is null or shiftright({s}[i + 1].g, {shift}) <> {slot} then struct({slot} as slot, xxhash64({slot}, {s}[i].h) as v)
-        when {s}[i].p < {s}[i + 1].p then struct({slot} as slot, xxhash64({slot}, {s}[i].h, {s}[i + 1].h) as v)
-        else struct({slot} as slot, xxhash64({slot}, {s}[i + 1].h, {s}[i].h) as v) end)""").alias(out))
+    df = df.select(*keep, F.transform(F.regexp_extract_all(F.col(text), F.lit(rf"[^\x20\x09-\x0D]{{1,{PIECE}}}"), F.lit(0)), lambda w: F.xxhash64(w)).alias(a))
+    kmer = ", ".join(f"get({a}, i + {j})" for j in range(K))
+    df = df.select(*keep, F.expr(f"if(size({a}) = 0, {none}, sort_array(transform(sequence(0, greatest(size({a}) - {K}, 0)), i -> {packed(f'xxhash64({kmer})', 'cast(i as bigint)')})))").alias(v))
+    # first occurrences, and the others
+    again = f"i > 0 and {hash_('x')} = {hash_(f'{v}[i - 1]')}"
+    df = df.select(*keep, F.expr(f"filter({v}, (x, i) -> not ({again}))").alias(f), F.expr(f"filter({v}, (x, i) -> {again})").alias(r))
+    # the others' numbers: places within runs of equal k-mers
+    df = df.withColumn(t, F.expr(f"if(size({r}) = 0, cast(array() as array<int>), filter(sequence(0, size({r}) - 1), i -> i = 0 or {hash_(f'{r}[i]')} <> {hash_(f'{r}[i - 1]')}))"))
+    numbered = f"flatten(transform({t}, (start, k) -> transform(sequence(start, coalesce(get({t}, k + 1), size({r})) - 1), i -> {packed(f'xxhash64({hash_(f"{r}[i]")}, i - start + 1)', f'{r}[i]')})))"
+    # of the first occurrences, sorted by hash as they are, each range's smallest are enough
+    df = df.select(*keep, F.expr(f"sort_array(concat(filter({f}, (x, i) -> i < {TUPLE} or {slot('x')} <> {slot(f'{f}[i - {TUPLE}]')}), if(size({r}) = 0, {none}, {numbered})))").alias(t))
+    df = df.select(*keep, F.expr(f"filter({t}, (x, i) -> i < {TUPLE} or {slot('x')} <> {slot(f'{t}[i - {TUPLE}]')})").alias(t))
+    # a range's tuple, in text order
+    place = lambda x: f"({x} & {(1 << PLACE_BITS) - 1}L)"
+    one, two = f"{t}[i]", f"get({t}, i + 1)"
+    tuple_ = f"""case when {two} is null or {slot(two)} <> {slot(one)} then xxhash64({slot(one)}, {hash_(one)})
+        when {place(one)} < {place(two)} then xxhash64({slot(one)}, {hash_(one)}, {hash_(two)}) else xxhash64({slot(one)}, {hash_(two)}, {hash_(one)}) end"""
+    starts = f"if(size({t}) = 0, cast(array() as array<int>), filter(sequence(0, size({t}) - 1), i -> i = 0 or {slot(one)} <> {slot(f'{t}[i - 1]')}))"
+    return df.select(*keep, F.expr(f"transform({starts}, i -> struct(cast({slot(one)} as int) as slot, {tuple_} as v))").alias(out))
 
 
 def likeness(a: str, b: str):
@@ -81,7 +97,8 @@ def op5_order_minhash(spark, sf_dir: str) -> DataFrame:
     own = with_next(with_fingerprint(docs, "text", "f"), "doc_id", "text", ["text", "f"])
     own = own.withColumn("n_chars", F.length("text").cast("long"))
     cut = F.floor(F.col("n_chars") / 3).cast("int")
-    edited = F.concat(F.substr("text", F.lit(1), (F.col("n_chars") - cut).cast("int")), F.substr("next_text", F.lit(1), cut))
-    own = own.select("doc_id", "n_chars", "f", "next_f", edited.alias("edited"))
+    edited = F.concat(F.substr("text", F.lit(1), (F.col("n_chars") - cut).cast("int")), F.coalesce(F.substr("next_text", F.lit(1), cut), F.lit("")))
+    none = F.array().cast(own.schema["f"].dataType)
+    own = own.select("doc_id", "n_chars", "f", F.coalesce("next_f", none).alias("next_f"), edited.alias("edited"))
     own = with_fingerprint(own, "edited", "e")
     return own.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), printed("f").alias("fingerprint"), printed("e").alias("edited_fingerprint"), likeness("f", "e").alias("near_edited"), likeness("f", "next_f").alias("near_next"))
