@@ -9,6 +9,9 @@ written as Parquet and read again for the next one. All but the last return the
 * decontamination drops documents that hold a passage of the benchmark.
 * packing returns the token pieces of what is left.
 
+Rows without doc_id cannot be named by a finding: line_dedup, near_duplicates and decontamination keep them. Other columns pass
+through, whatever their names.
+
 SQL expresses neither the network of the first stage nor the tokenizer of the last: there is no ORACLE_SQL, and tests
 hold the stages against brute force.
 """
@@ -29,21 +32,21 @@ ORACLE_SQL = None
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = language_id.identify(docs, language_id.train(docs))
-    return found.where((F.col("language.lang_pred") != "und") & (F.col("language.score") >= LEAST_SCORE)).select(*docs.columns)
+    found = language_id.identify(docs, language_id.train(docs), "__language")
+    return found.where((F.col("__language.lang_pred") != "und") & (F.col("__language.score") >= LEAST_SCORE)).select(*docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    new = {"text": F.when(F.col("line_dedup.n_dropped") > 0, F.col("line_dedup.kept")).otherwise(F.col("text"))}
+    new = {"text": F.when(F.col("__lines.n_dropped") > 0, F.col("__lines.kept")).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("line_dedup.n_dropped") > 0, F.length("line_dedup.kept").cast("long")).otherwise(F.col("n_chars"))
-    return line_dedup.dedup_lines(docs).withColumns(new).select(*docs.columns)
+        new["n_chars"] = F.when(F.col("__lines.n_dropped") > 0, F.length("__lines.kept").cast("long")).otherwise(F.col("n_chars"))
+    return line_dedup.dedup_lines(docs, out="__lines").withColumns(new).select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = jaccard_join.jaccard_components(docs)
-    stay = groups.where("component_id = doc_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(stay, docs["doc_id"] == stay["kept_id"], "left_semi")
+    gone = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

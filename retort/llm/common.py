@@ -42,8 +42,8 @@ def partitions(spark: SparkSession) -> int:
 
 
 def bucket(column: Column, modulus: int) -> Column:
-    """crc32 of the column's text form, modulo modulus: the fixed training split."""
-    return F.crc32(column.cast("string").cast("binary")) % modulus
+    """crc32 of the column's text form (null: empty), modulo modulus: the fixed training split."""
+    return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
 def texts(column: pa.Array, step: int = STEP_BYTES):

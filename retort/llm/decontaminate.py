@@ -11,7 +11,7 @@ Documents are only read: no row moves between tasks. Items are sent to the tasks
 q-grams; more items than one block are met block by block.
 
 Defined cases: null or empty texts are matched by nothing; documents that repeat give their rows each; items that
-repeat are matched each; empty tables give an empty result; other columns, whatever their names, are not read.
+repeat are matched each; rows without doc_id or item_id are matched too; empty tables give an empty result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -154,13 +154,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, error: float
         def run(batches, shared=shared):
             items = Items(shared.value, q, error)
             for batch in batches:
-                docs_, rows_ = batch.column(0).to_numpy(), []
+                docs_, rows_ = batch.column(0).to_pylist(), []
                 for first, data, offsets in texts(batch.column(1)):
                     data, offsets = normalise(data, offsets)
                     h = prefix_hashes(data)
                     for k in range(len(offsets) - 1):
                         for item, (edits, end) in find(items, data[offsets[k] : offsets[k + 1]], h, int(offsets[k])).items():
-                            rows_.append((int(docs_[first + k]), items.ids[item], edits, end))
+                            rows_.append((docs_[first + k], items.ids[item], edits, end))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows_, strict=True) if rows_ else [[]] * 4, schema, strict=True)], schema=schema)
 
         one = own.mapInArrow(run, "doc_id long, item_id long, edits int, end_byte long")

@@ -161,12 +161,12 @@ def predictor(net: ByteNet | None):
     return predict
 
 
-def identify(docs: DataFrame, net: ByteNet | None) -> DataFrame:
-    """docs with the struct column language (lang_pred, score); ``und`` and 0 for texts without a letter."""
+def identify(docs: DataFrame, net: ByteNet | None, out: str = "language") -> DataFrame:
+    """docs with the struct column out (lang_pred, score), which replaces one of that name; ``und`` and 0 for texts without a letter."""
     text = docs["text"].cast("string")
-    return docs.select(*[docs[c] for c in docs.columns], predictor(net)(text).alias("language"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("has_letter")).withColumn(
-        "language", F.when(F.col("has_letter"), F.col("language")).otherwise(F.struct(F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score")))
-    ).drop("has_letter")
+    nothing = F.struct(F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+    found = F.when(F.coalesce(text.rlike(r"\p{L}"), F.lit(False)), predictor(net)(text)).otherwise(nothing)
+    return docs.select(*[docs[c] for c in docs.columns if c != out], found.alias(out))
 
 
 def op1_language_id(spark, sf_dir: str) -> DataFrame:

@@ -7,8 +7,8 @@ reaches ``min_docs``. A pass over documents probes the filters where the text is
 frequent are moved; the exact table then decides.
 
 Defined cases: a null text is an empty one, that is one empty line; every row counts as a document of its own, also
-where a doc_id repeats (all rows of the largest doc_id keep their lines); an empty table gives an empty result; other
-columns, whatever their names, are not read.
+where a doc_id repeats (all rows of the largest doc_id keep their lines); an empty table gives an empty result; a row without
+doc_id counts as a document and keeps its lines; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -50,7 +50,7 @@ class CuckooFilter:
 
     @classmethod
     def sized(cls, keys: int) -> CuckooFilter:
-        return cls(max(4, 1 << int(np.ceil(np.log2(max(1, keys) / cls.WAYS / 0.8)))))
+        return cls(1 << max(2, int(np.ceil(np.log2(max(1, keys) / cls.WAYS / 0.8)))))
 
     @classmethod
     def from_bytes(cls, data: bytes) -> CuckooFilter:
@@ -185,7 +185,7 @@ def _candidates(docs: DataFrame, filters: dict[int, bytes], shards: int, min_cha
                 for k in {k for line in (text or b"").split(b"\n") if (k := line_key(line, min_chars))}:
                     keys.append(k)
                     ids.append(doc)
-            pairs, where = halves(keys), np.array(ids, np.int64)
+            pairs = halves(keys)
             of = np.frombuffer(b"".join(keys), ">u4").reshape(-1, 4)[:, 0].astype(np.int64) % shards
             hit = np.zeros(len(keys), bool)
             for s in np.unique(of):
@@ -193,7 +193,7 @@ def _candidates(docs: DataFrame, filters: dict[int, bytes], shards: int, min_cha
                     own = np.flatnonzero(of == s)
                     hit[own] = loaded[s].contains(pairs[own])
             at = np.flatnonzero(hit)
-            yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in at], pa.binary()), pa.array(where[at], pa.int64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in at], pa.binary()), pa.array([ids[i] for i in at], pa.int64())], schema=schema)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "key binary, doc_id long")
 
@@ -219,8 +219,8 @@ def _kept(min_chars: int):
     return keep
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, refs: DataFrame | None = None) -> DataFrame:
-    """docs with the struct column line_dedup (n_lines, n_dropped, kept): lines whose key is in at least min_docs
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, refs: DataFrame | None = None, out: str = "line_dedup") -> DataFrame:
+    """docs with the struct column out (n_lines, n_dropped, kept), which replaces one of that name: lines whose key is in at least min_docs
     documents stay only in the largest doc_id. refs: an index that already holds docs, from insert_documents."""
     top = stored(frequent(references(docs, min_chars) if refs is None else refs, min_docs), "frequent-lines")
     n = top.count()
@@ -233,8 +233,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     exact = top.select("key", "last_doc")
     drops = lines.join(F.broadcast(exact) if n <= BROADCAST_KEYS // 4 else exact, "key").where("doc_id < last_doc")
     drops = drops.groupBy("doc_id").agg(F.collect_set("key").alias("drop_keys")).withColumnRenamed("doc_id", "drop_doc")
-    own = docs.join(drops, docs["doc_id"] == drops["drop_doc"], "left")
-    return own.select(*[docs[c] for c in docs.columns], _kept(min_chars)(docs["text"].cast("string"), drops["drop_keys"]).alias("line_dedup"))
+    joined = docs.join(drops, docs["doc_id"] == drops["drop_doc"], "left")
+    return joined.select(*[docs[c] for c in docs.columns if c != out], _kept(min_chars)(docs["text"].cast("string"), drops["drop_keys"]).alias(out))
 
 
 def op7_line_dedup(spark, sf_dir: str) -> DataFrame:

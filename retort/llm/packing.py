@@ -9,7 +9,7 @@ whose lengths are falling powers of two, which need no padding either.
 The partitions' bounds are quantiles of the keys of a sample of about SAMPLE documents chosen by a hash; they even out
 the partitions' sizes and decide nothing else. Equal documents have equal cells and are spread by the hash bits.
 
-Defined cases: null text is empty; an empty document is its end token alone; rows that repeat are packed each; an
+Defined cases: null text is empty; an empty document is its end token alone; rows that repeat, or have no doc_id, are packed each; an
 empty table gives an empty result; other columns, whatever their names, are not read.
 """
 
@@ -205,7 +205,7 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH) -> DataFram
             return pa.RecordBatch.from_arrays([pa.array(cols[c], pa.int64()) for c in names], schema=schema)
 
         for batch in batches:
-            ids, parts = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            ids, parts = batch.column(0).to_pylist(), batch.column(2).to_numpy()
             for first, data, offsets in texts(batch.column(1)):
                 raw = data.tobytes()
                 encoded = t.encode([raw[a:b] for a, b in zip(offsets, offsets[1:], strict=False)])
@@ -215,7 +215,7 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH) -> DataFram
                             open_.end()
                             yield taken()
                         part, open_ = int(parts[first + k]), _Open(length)
-                    open_.add(int(ids[first + k]), e + end)
+                    open_.add(ids[first + k], e + end)
                 yield taken()
         open_.end()
         yield taken()
