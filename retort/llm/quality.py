@@ -109,9 +109,10 @@ def _features_column(text: pd.Series) -> pd.Series:
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[PuNet | None, float]:
     """(network, class prior) from docs (doc_id, text) and labels (doc_id, quality), training rows only."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # texts do not move: rows are chosen by id, and the few that are chosen go to the texts
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     marks = labels.where("quality is not null").groupBy(F.col("doc_id").cast("long").alias("label_doc")).agg(F.max(F.col("quality").cast("int")).alias("good"))
-    rows = own.join(marks, own["doc_id"] == marks["label_doc"], "left").select("doc_id", "text", "good")
+    rows = own.join(marks, own["doc_id"] == marks["label_doc"], "left").select("doc_id", "good")
     n, good, bad = rows.agg(F.count(F.lit(1)), F.count_if(F.col("good") == 1), F.count_if(F.col("good") == 0)).first()
     if not good or not bad:
         return None, 0.5 if not good and not bad else float(bool(good))
@@ -123,7 +124,9 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[PuNet | None, float]:
         F.when(F.col("good").isNotNull() & (chance(3) < part * CURVE // (good + bad) + 1), F.lit("curve")),
     ))
     of = F.pandas_udf(_features_column, T.ArrayType(T.FloatType()))
-    picked = rows.withColumn("picks", picks).where(F.size("picks") > 0).select("doc_id", "good", "picks", of("text").alias("x")).limit(2 * (POSITIVES + UNLABELLED + CURVE)).toPandas()
+    few = rows.withColumn("picks", picks).where(F.size("picks") > 0).limit(2 * (POSITIVES + UNLABELLED + CURVE)).select(F.col("doc_id").alias("picked_doc"), "good", "picks").distinct()
+    texts_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    picked = texts_.join(F.broadcast(few), texts_["doc_id"] == few["picked_doc"]).select("doc_id", "good", "picks", of("text").alias("x")).toPandas()
     picked = picked.sort_values(["doc_id", "good"], kind="stable")
     x = np.stack(list(picked["x"])) if len(picked) else np.zeros((0, 256 + TRIGRAMS + 5), np.float32)
     have = {k: np.array([k in p for p in picked["picks"]], bool) for k in ("pos", "unl", "curve")}
