@@ -84,17 +84,18 @@ _ENDS = frozenset("com org net edu de fr es io info eu uk".split())
 
 
 def _near(text: str):
-    """Stretches of text that hold something to look at, merged where they meet."""
+    """Stretches of text that hold something to look at, merged where they meet, each with the start of the first and the end
+    of the last thing in it."""
     found = [(m.start(), m.end()) for m in _DIGITS.finditer(text)]
     if " dot" in text or "[dot" in text or "(dot" in text or " DOT" in text:
         found += [(m.start() - 20, m.end() + 15) for m in _SPELLED.finditer(text)]
     merged: list[list[int]] = []
-    for a, b in sorted(found):
-        a, b = max(0, a - AROUND), min(len(text), b + AROUND)
+    for first, last in sorted(found):
+        a, b = max(0, first - AROUND), min(len(text), last + AROUND)
         if merged and a <= merged[-1][1] and b - merged[-1][0] <= MOST_AROUND:
-            merged[-1][1] = max(b, merged[-1][1])
+            merged[-1][1], merged[-1][3] = max(b, merged[-1][1]), max(last, merged[-1][3])
         else:
-            merged.append([a, b])
+            merged.append([a, b, first, last])
     return merged
 
 
@@ -305,8 +306,8 @@ def fitted() -> SemiCrf:
 
 def added_spans(model: SemiCrf, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     out: list[tuple[int, int, int]] = []
-    for a, b in _near(text):
-        if any(s <= a + AROUND and b - AROUND <= e for s, e, _ in base):
+    for a, b, first, last in _near(text):
+        if any(s <= first and last <= e for s, e, _ in base):
             continue  # nothing but a base span drew attention
         tokens = _TOKEN.findall(text[a:b])
         places = np.concatenate(([0], np.cumsum([len(t) for t in tokens]))) + a

@@ -343,6 +343,14 @@ def test_semi_markov_model_on_unseen_sentences():
     assert [(t[s:e], k) for s, e, k in personal_data.added_spans(model, t, [])] in ([("anna at mailhost dot com", 0)], [])
 
 
+def test_spans_beside_a_base_span_at_the_ends_of_a_text():
+    model = personal_data.fitted()
+    for t, own in (("card 4111 1111 1111 1111 call 555-123-4567", "555-123-4567"), ("call 555-123-4567 card 4111 1111 1111 1111", "555-123-4567")):
+        base = personal_data.base_spans(t)
+        assert [k for _, _, k in base] == [2]
+        assert [(t[s:e], k) for s, e, k in personal_data.added_spans(model, t, base)] == [(own, 3)]
+
+
 def test_language_id(spark):
     df = QUERIES["op1_language_id"](spark, "/root/testdata/sf0.01").toPandas()
     truth = duckdb.sql("select doc_id, lang from '/root/testdata/sf0.01/documents.parquet'").df()
