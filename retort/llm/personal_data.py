@@ -1,7 +1,7 @@
 r"""Personal data: fixed patterns, and spans that a semi-Markov conditional random field adds to them.
 
-The patterns (email, ip, card, phone) give the base spans. The model reads the neighbourhoods of digits and of spelled-out
-addresses, wherever they are in the text. A neighbourhood is cut into tokens; every stretch of up to MOST_TOKENS tokens is a
+The patterns (email, ip, card, phone) give the base spans. The model reads the neighbourhoods of digits and of at-marks
+(the word in any case or the sign), wherever they are in the text. A neighbourhood is cut into tokens; every stretch of up to MOST_TOKENS tokens is a
 candidate for each kind, scored by features of the whole stretch (number of digits and groups, check digit, octets,
 separators, brackets, key words before it, what stands next to it). Dynamic programming over the tokens sums over all
 segmentations, and so chooses boundaries and kinds together; stretches of the best segmentation whose probability is at
@@ -36,6 +36,8 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 #: Tokens of one stretch, code points of a neighbourhood on each side of what draws attention, and the longest neighbourhood.
 MOST_TOKENS, AROUND, MOST_AROUND, LEAST_PROBABILITY = 24, 30, 400, 0.8
+#: The same before and behind an at-mark: a longest name (64), and two longest labels (63) with a spelled dot, with some words beside.
+AROUND_NAME, AROUND_DOMAIN = 64 + 20, 2 * 63 + 30
 
 
 def luhn(digits: str) -> bool:
@@ -73,12 +75,14 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|\s+|.", re.S)
 _DIGITS = re.compile(r"[0-9][0-9()\x20./-]{5,}[0-9]")
-_SPELLED = re.compile(r"[\[( ]\s*(?:at|AT|@)\s*[\]) ][^\n]{1,40}?[\[( ]\s*(?:dot|DOT|\.)\s*[\]) ]")
+_AT = re.compile(r"(?<![^\W_])at(?![^\W_])|@", re.I)
+_DOT = re.compile(r"\s*[\[({]\s*(?:dot|\.)\s*[\])}]\s*|\s+(?:dot|\.)\s+", re.I)
 _KEYS = {"call": "phone", "phone": "phone", "tel": "phone", "mobile": "phone", "fax": "phone", "mail": "email", "email": "email", "contact": "email", "write": "email", "card": "card", "visa": "card", "mastercard": "card", "credit": "card", "ip": "ip", "host": "ip", "server": "ip", "address": "ip"}
 _FEATURES = {k: i for i, k in enumerate((
     "bias", "luhn", "not luhn", "digits<7", "digits7-9", "digits10-11", "digits12-15", "digits16", "digits17+", "groups1", "groups2", "groups3-4", "groups5+",
     "octets", "plus", "bracket", "dots", "hyphens", "blanks", "slashes", "at sign", "spelled at", "spelled dot", "letters", "mixed separators", "other", "starts odd", "ends odd",
     "digit before", "digit after", "word before", "word after", "key", "other key", "three-three-four", "four-four-four-four", "known end",
+    "no name", "blank in name", "cut name", "no dot", "blank in domain",
 ))}
 _ENDS = frozenset("com org net edu de fr es io info eu uk".split())
 
@@ -87,11 +91,11 @@ def _near(text: str):
     """Stretches of text that hold something to look at, merged where they meet, each with the start of the first and the end
     of the last thing in it."""
     found = [(m.start(), m.end()) for m in _DIGITS.finditer(text)]
-    if " dot" in text or "[dot" in text or "(dot" in text or " DOT" in text:
-        found += [(m.start() - 20, m.end() + 15) for m in _SPELLED.finditer(text)]
+    found += [(m.start(), m.end()) for m in _AT.finditer(text)]
     merged: list[list[int]] = []
     for first, last in sorted(found):
-        a, b = max(0, first - AROUND), min(len(text), last + AROUND)
+        before, behind = (AROUND, AROUND) if text[first].isdigit() else (AROUND_NAME, AROUND_DOMAIN)
+        a, b = max(0, first - before), min(len(text), last + behind)
         if merged and a <= merged[-1][1] and b - merged[-1][0] <= MOST_AROUND:
             merged[-1][1], merged[-1][3] = max(b, merged[-1][1]), max(last, merged[-1][3])
         else:
@@ -101,12 +105,16 @@ def _near(text: str):
 
 def _stretches(tokens: list[str]):
     """(first token, token behind, text, features) of the candidates: they start and end on a solid token and hold digits or an address sign."""
+    figures, marks_ = [0], [0]  # digits and at-marks before each token
+    for t in tokens:
+        figures.append(figures[-1] + (len(t) if t.isdigit() and t.isascii() else 0))
+        marks_.append(marks_[-1] + (t == "@" or t.lower() == "at"))
     for s, first in enumerate(tokens):
         if first.isspace() or not (first[0].isalnum() or first in "+("):
             continue
         for e in range(s + 1, min(len(tokens), s + MOST_TOKENS) + 1):
             last = tokens[e - 1]
-            if not last.isalnum():
+            if not last.isalnum() or figures[e] - figures[s] < 6 and (e - s < 5 or marks_[e - 1] == marks_[s + 1]):
                 continue
             own = tokens[s:e]
             text = "".join(own)
@@ -143,6 +151,14 @@ def _stretches(tokens: list[str]):
                 f.append("four-four-four-four")
             if low[-1] in _ENDS:
                 f.append("known end")
+            if spelled and len(own) >= 5:
+                mark = next(i for i in range(1, len(own) - 1) if low[i] in ("at", "@"))
+                name = "".join(own[:mark]).rstrip("[({_- ")
+                f += [k for k, c in (("no name", not name), ("blank in name", " " in name)) if c]
+                if s and not tokens[s - 1].isspace() and tokens[s - 1] not in ":,;([<":
+                    f.append("cut name")
+                domain = _DOT.sub(".", "".join(own[mark + 1 :])).lstrip("])}_- ")
+                f += [k for k, c in (("no dot", "." not in domain), ("blank in domain", " " in domain)) if c]
             if text.count("(") != text.count(")"):
                 f.append("starts odd")
             if text[-1] in "(+":

@@ -351,6 +351,14 @@ def test_spans_beside_a_base_span_at_the_ends_of_a_text():
         assert [(t[s:e], k) for s, e, k in personal_data.added_spans(model, t, base)] == [(own, 3)]
 
 
+def test_spelled_addresses():
+    model = personal_data.fitted()
+    names = ("user [AT] host [DOT] org", "rosa (at) lore.de", f"anna at {'x' * 50} dot com", "anna (AT) mailhost (DOT) com")
+    for own in names:
+        t = f"the list of names\n{own}\nis meant to be read at home or at work by all of us"
+        assert [(t[s:e], k) for s, e, k in personal_data.added_spans(model, t, personal_data.base_spans(t))] == [(own, 0)], own
+
+
 def test_language_id(spark):
     df = QUERIES["op1_language_id"](spark, "/root/testdata/sf0.01").toPandas()
     truth = duckdb.sql("select doc_id, lang from '/root/testdata/sf0.01/documents.parquet'").df()
