@@ -1,11 +1,12 @@
 """Language-model scoring with a probabilistic suffix tree over bytes.
 
 Symbols are the UTF-8 bytes of a text with A-Z lower-cased, then an end symbol. Contexts of up to DEPTH symbols are counted
-over all training texts. A context is a state of the tree if it makes up at least LEAST_SHARE of all positions and its next-symbol
+over all training texts. A context is a state of the tree if it is there LEAST_COUNT times at least and its next-symbol
 distribution diverges from that of its suffix (count * KL divergence of at least GAIN nats for each of its next
-symbols), or if it is the suffix of a state. So at most DEPTH / LEAST_SHARE states exist, whatever the corpus. A state's
+symbols), or if it is the suffix of a state. The states are a stored table that grows with the corpus. A state's
 distribution is smoothed with its suffix's (WEIGHT pseudo-counts), down to the uniform one. Each symbol of a text is
-scored by the longest state that its past ends with.
+scored by the longest state that its past ends with. The distinct symbols with their pasts of all texts meet the states in joins;
+the scores of the most frequent ones go to every task, the others meet theirs in a join, as the words below.
 
 The unigram base score counts words, and one end token a text, over all training texts. Counts of the most frequent
 words, 2^21 at most as each has at least that share of all tokens, go to every task; the others meet their counts in a
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import STEP_BYTES, bucket, lower, stored, table, texts, word_hashes
 
-DEPTH, LEAST_SHARE, GAIN, WEIGHT = 5, 1e-5, 2.0, 4.0
+DEPTH, LEAST_COUNT, GAIN, WEIGHT = 5, 2, 2.0, 4.0
 FREQUENT_SHARE = 2**-21
 #: Distinct codes that a task counts before it sends them.
 HELD = 1 << 20
@@ -75,7 +76,7 @@ class _Counts:
         return codes, n
 
 
-def counts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
+def counts(docs: DataFrame, depth: int = DEPTH, kinds: tuple[int, ...] = (0, 1)) -> DataFrame:
     """(kind, code, n) over all texts: kind 0 counts words and the end token, kind 1 symbols with their pasts."""
     schema = pa.schema([("kind", pa.int32()), ("code", pa.int64()), ("n", pa.int64())])
 
@@ -89,59 +90,88 @@ def counts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
 
         for batch in batches:
             for _, data, offsets in texts(batch.column(0)):
-                hashes, rows = word_hashes(data, offsets)
-                held[0].add(hashes)
-                held[0].add(np.full(1, END_TOKEN), np.full(1, len(rows) - 1))
-                held[1].add(grams(data, offsets, depth)[0])
-                for kind in (0, 1):
+                if 0 in kinds:
+                    hashes, rows = word_hashes(data, offsets)
+                    held[0].add(hashes)
+                    held[0].add(np.full(1, END_TOKEN), np.full(1, len(rows) - 1))
+                if 1 in kinds:
+                    held[1].add(grams(data, offsets, depth)[0])
+                for kind in kinds:
                     if held[kind].size > HELD and len(held[kind].merge()[0]) > HELD:
                         yield sent(kind)
-        yield sent(0)
-        yield sent(1)
+        for kind in kinds:
+            yield sent(kind)
 
     raw = docs.select(F.col("text").cast("string")).mapInArrow(run, "kind int, code long, n long")
     return raw.groupBy("kind", "code").agg(F.sum("n").alias("n"))
 
 
+def _suffix(column: str, symbols: int, depth: int):
+    """The last symbols of a code of depth + 1; all of them fill the 64 bits at depth 7."""
+    return F.col(column) if symbols > depth else F.col(column).bitwiseAND((1 << 8 * symbols) - 1)
+
+
+def states(grams_: DataFrame, depth: int = DEPTH, least: float = LEAST_COUNT, gain: float = GAIN) -> list[DataFrame]:
+    """(code, context, n, total) of the next symbols of the states, by depth. grams_: (code, n) as of counts()."""
+    nexts, tested = [], []
+    for d in range(depth + 1):
+        own = grams_.groupBy(_suffix("code", d + 1, depth).alias("code")).agg(F.sum("n").alias("n"))
+        own = own.withColumn("context", F.shiftrightunsigned("code", 8))
+        sums = own.groupBy("context").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("symbols")).where(F.col("total") >= (least if d else 1))
+        nexts.append(stored(own.join(sums, "context").withColumn("p", F.col("n") / F.col("total")), "contexts"))
+        if d:
+            up = nexts[d - 1].select(F.col("code").alias("up"), F.col("p").alias("up_p"))
+            kl = nexts[d].join(up, _suffix("code", d, depth) == F.col("up")).groupBy("context").agg(
+                F.sum(F.col("n") * F.log(F.col("p") / F.col("up_p"))).alias("gain"), F.first("symbols").alias("symbols")
+            )
+            tested.append(stored(kl.where(F.col("gain") >= gain * F.col("symbols")).select("context"), "tested"))
+    kept = [None] * (depth + 1)
+    for d in range(depth, 0, -1):
+        kept[d] = tested[d - 1] if d == depth else tested[d - 1].union(kept[d + 1].select(F.col("context").bitwiseAND((1 << 8 * d) - 1).alias("context"))).distinct()
+    return [(nexts[d] if not d else nexts[d].join(kept[d], "context", "left_semi")).select("code", "context", "n", "total") for d in range(depth + 1)]
+
+
+def gram_scores(grams_: DataFrame, tree: list[DataFrame], depth: int = DEPTH) -> DataFrame:
+    """(code, score): log10 probability of the last symbol after its past. grams_: (code, n) with n the count in the training texts, 0 for
+    those that are not there; tree: states() of the training texts."""
+    below = None
+    for d in range(depth + 1):
+        own = grams_.groupBy(_suffix("code", d + 1, depth).alias("code")).agg(F.sum("n").alias("n"))
+        if d:
+            own = own.join(below.select(F.col("code").alias("suffix"), F.col("p").alias("below")), _suffix("code", d, depth) == F.col("suffix"))
+        else:
+            own = own.withColumn("below", F.lit(1 / SYMBOLS))
+        totals = tree[d].groupBy("context").agg(F.first("total").alias("total"))
+        own = own.withColumn("context", F.shiftrightunsigned("code", 8)).join(totals, "context", "left")
+        p = F.when(F.col("total").isNull(), F.col("below")).otherwise((F.col("n") + WEIGHT * F.col("below")) / (F.col("total") + WEIGHT))
+        below = stored(own.select("code", p.alias("p")), "gram-scores")
+    return below.select("code", F.log10("p").alias("score"))
+
+
 class SuffixTree:
-    """States by depth, sorted, with the weight of their suffix; their explicit next symbols, sorted, with log10 probabilities."""
+    """A tree in memory, for small ones: states by depth, sorted, with the weight of their suffix; their explicit next symbols, sorted, with
+    log10 probabilities."""
 
     def __init__(self, depth: int, states: list, entries: list):
         self.depth, self.states, self.entries = depth, states, entries
 
     @classmethod
-    def fitted(cls, grams_: DataFrame, depth: int = DEPTH, least_share: float = LEAST_SHARE, gain: float = GAIN) -> SuffixTree:
+    def fitted(cls, grams_: DataFrame, depth: int = DEPTH, least_share: float = 0.0, gain: float = GAIN) -> SuffixTree:
         """grams_: (code, n) as of counts()."""
         total = grams_.agg(F.sum("n")).first()[0] or 0
-        mask = [(1 << 8 * d) - 1 for d in range(depth + 2)]
-        nexts, tested = [], []
-        for d in range(depth + 1):
-            code = F.col("code") if d == depth else F.col("code").bitwiseAND(mask[d + 1])  # depth 7 fills the 64 bits
-            own = grams_.groupBy(code.alias("code")).agg(F.sum("n").alias("n"))
-            own = own.withColumn("context", F.shiftrightunsigned("code", 8))
-            sums = own.groupBy("context").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("symbols")).where(F.col("total") >= least_share * total)
-            nexts.append(stored(own.join(sums, "context").withColumn("p", F.col("n") / F.col("total")), "contexts"))
-            if d:
-                up = nexts[d - 1].select(F.col("code").alias("up"), F.col("p").alias("up_p"))
-                kl = nexts[d].join(up, F.col("code").bitwiseAND(mask[d]) == F.col("up")).groupBy("context").agg(
-                    F.sum(F.col("n") * F.log(F.col("p") / F.col("up_p"))).alias("gain"), F.first("symbols").alias("symbols")
-                )
-                tested.append(kl.where(F.col("gain") >= gain * F.col("symbols")).select("context"))
-        kept = [None] * (depth + 1)
-        for d in range(depth, 0, -1):
-            kept[d] = tested[d - 1] if d == depth else tested[d - 1].union(kept[d + 1].select(F.col("context").bitwiseAND(mask[d]).alias("context"))).distinct()
-        states, entries = [], []
+        tables = states(grams_, depth, max(LEAST_COUNT, least_share * total), gain)
+        found, entries = [], []
         for d in range(depth + 1):
-            rows = (nexts[d] if not d else nexts[d].join(kept[d], "context", "left_semi")).select("code", "n", "total").toArrow()
+            rows = tables[d].select("code", "n", "total").toArrow()
             code = rows.column("code").to_numpy().view(np.uint64)
             order = np.argsort(code)
             code, n, sums = code[order], rows.column("n").to_numpy()[order], rows.column("total").to_numpy()[order]
-            tree = cls(d - 1, states, entries)
+            tree = cls(d - 1, found, entries)
             below = 10 ** tree.scores(code) if d else np.full(len(code), 1 / SYMBOLS)
             context, first = np.unique(code >> np.uint64(8), return_index=True)
             entries.append((code, np.log10((n + WEIGHT * below) / (sums + WEIGHT))))
-            states.append((context, np.log10(WEIGHT / (sums[first] + WEIGHT))))
-        return cls(depth, states, entries)
+            found.append((context, np.log10(WEIGHT / (sums[first] + WEIGHT))))
+        return cls(depth, found, entries)
 
     def scores(self, codes: np.ndarray) -> np.ndarray:
         """log10 probability of each code's last symbol after its past."""
@@ -172,21 +202,28 @@ def score_texts(docs: DataFrame, training: DataFrame, depth: int = DEPTH) -> Dat
     gathered = stored(counts(training, depth), "model-counts")
     vocabulary = gathered.where("kind = 0").select("code", "n")
     total, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    tree = SuffixTree.fitted(gathered.where("kind = 1").select("code", "n"), depth)
+    known = gathered.where("kind = 1").select("code", "n")
+    met = counts(docs, depth, (1,)).select("code", F.lit(0).cast("long").alias("n"), F.col("n").alias("m"))
+    met = stored(known.select("code", "n", F.lit(0).cast("long").alias("m")).union(met).groupBy("code").agg(F.sum("n").alias("n"), F.sum("m").alias("m")), "grams")
+    scores = gram_scores(met, states(known, depth), depth)
+    positions = met.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+    usual = met.where((F.col("m") >= max(1, positions * FREQUENT_SHARE))).join(scores, "code").select("code", "score").toArrow()
+    gram, value = usual.column("code").to_numpy().view(np.uint64), usual.column("score").to_numpy()
+    place = np.argsort(gram)
     least = max(1, total * FREQUENT_SHARE)
     often = vocabulary.where(F.col("n") >= least).toArrow()
     code, n = often.column("code").to_numpy().view(np.uint64), often.column("n").to_numpy()
     order = np.argsort(code)
-    shared = spark.sparkContext.broadcast((tree, code[order], np.log10((n[order] + 1) / (total + distinct + 1))))
+    shared = spark.sparkContext.broadcast((gram[place], value[place], code[order], np.log10((n[order] + 1) / (total + distinct + 1))))
     rest = [c for c in docs.columns if c != "text"]
     own = docs.select(F.struct(*rest).alias("own"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
-    schema = pa.schema([("row", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.int64()))])
+    schema = pa.schema([("row", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.int64())), ("unusual", pa.list_(pa.int64()))])
     kind = own.schema["own"].dataType.simpleString()
 
     def run(batches):
-        tree, code, logs = shared.value
+        gram, value, code, logs = shared.value
         for batch in batches:
-            out = {k: [] for k in ("n_tokens", "known", "base", "score", "rare", "sizes")}
+            out = {k: [] for k in ("n_tokens", "known", "base", "score", "rare", "sizes", "unusual", "unusual_sizes")}
             for _, data, offsets in texts(batch.column(1), 2 * STEP_BYTES):
                 hashes, rows = word_hashes(data, offsets)
                 # the end token goes behind each row's words
@@ -200,24 +237,35 @@ def score_texts(docs: DataFrame, training: DataFrame, depth: int = DEPTH) -> Dat
                 out["base"].append(np.add.reduceat(log, rows[:-1]))
                 out["rare"].append(hashes[~found])
                 out["sizes"].append(np.add.reduceat((~found).astype(np.int64), rows[:-1]))
-                symbols, starts = grams(data, offsets, tree.depth)
+                symbols, starts = grams(data, offsets, depth)
                 distinct_, inverse = np.unique(symbols, return_inverse=True)
-                out["score"].append(np.add.reduceat(tree.scores(distinct_)[inverse], starts))
+                at = np.minimum(np.searchsorted(gram, distinct_), max(0, len(gram) - 1))
+                found = gram[at] == distinct_ if len(gram) else np.zeros(len(distinct_), bool)
+                log = np.where(found, value[at], 0.0) if len(gram) else np.zeros(len(distinct_))
+                out["score"].append(np.add.reduceat(log[inverse], starts))
+                found = found[inverse]
+                out["unusual"].append(symbols[~found])
+                out["unusual_sizes"].append(np.add.reduceat((~found).astype(np.int64), starts))
             if batch.num_rows:
                 cat = {k: np.concatenate(v) for k, v in out.items()}
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(cat["sizes"]))).astype(np.int32)), pa.array(cat["rare"].view(np.int64)))
+                lists = [
+                    pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(cat[size]))).astype(np.int32)), pa.array(cat[k].view(np.int64)))
+                    for k, size in (("rare", "sizes"), ("unusual", "unusual_sizes"))
+                ]
                 plain = [pa.array(cat[k]) for k in ("n_tokens", "known", "base", "score")]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *plain, lists], names=["own", *schema.names])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *plain, *lists], names=["own", *schema.names])
 
-    scored = own.mapInArrow(run, f"own {kind}, row long, n_tokens long, known long, base double, score double, rare array<long>")
+    scored = own.mapInArrow(run, f"own {kind}, row long, n_tokens long, known long, base double, score double, rare array<long>, unusual array<long>")
     scored = stored(scored, "scored")
     rare = scored.select("row", F.explode("rare").alias("code")).join(vocabulary, "code", "left").groupBy("row").agg(
         F.sum(F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(total + distinct + 1)))).alias("rare_base"), F.count("n").alias("rare_known")
     )
-    both = scored.drop("rare").join(rare, "row", "left")
+    unusual = scored.select("row", F.explode("unusual").alias("code")).groupBy("row", "code").agg(F.count(F.lit(1)).alias("times"))
+    unusual = unusual.join(scores, "code").groupBy("row").agg(F.sum(F.col("times") * F.col("score")).alias("unusual_score"))
+    both = scored.drop("rare", "unusual").join(rare, "row", "left").join(unusual, "row", "left")
     return both.select(
         "own.*", "n_tokens", (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"), "score",
+        (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("unusual_score", F.lit(0.0))).alias("score"),
     )
 
 

@@ -273,6 +273,30 @@ def test_suffix_tree_sums_to_one(spark):
     assert score(text) > score(noise) + 0.5
 
 
+def test_states_grow_with_the_corpus(spark):
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(i, f"{prose(rng, 30_000)} qzvxk") for i in range(2)], "doc_id long, text string")
+    known = language_model.counts(docs, kinds=(1,)).select("code", "n").cache()
+    assert known.agg({"n": "sum"}).first()[0] > 2e5  # two are less than 1e-5 of them
+    own = language_model.states(known)
+    assert {r["total"] for r in own[1].where(f"context = {ord('q')}").collect()} == {2}
+
+
+@pytest.mark.parametrize("share", (language_model.FREQUENT_SHARE, 0.01))
+def test_joined_scores_equal_the_tree_in_memory(spark, monkeypatch, share):
+    monkeypatch.setattr(language_model, "FREQUENT_SHARE", share)
+    rng = random.Random(2)
+    rows = [(i, prose(rng, 40) if i % 5 else "qxz jjk unseen \u00e9" + prose(rng, 5)) for i in range(25)] + [(90, None), (91, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    training = docs.where("doc_id % 5 > 0")
+    tree = language_model.SuffixTree.fitted(language_model.counts(training).where("kind = 1").select("code", "n"))
+    got = {r["doc_id"]: r["score"] for r in language_model.score_texts(docs, training).collect()}
+    for i, t in rows:
+        raw = (t or "").encode()
+        want = tree.scores(language_model.grams(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0]).sum()
+        assert abs(got[i] - want) < 1e-6
+
+
 def test_order_minhash(spark, odd_dir, odd_rows):
     got = {}
     for r in QUERIES["op5_order_minhash"](spark, odd_dir).collect():
