@@ -330,11 +330,19 @@ def fewest_differences(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def node_documents(docs: DataFrame, doc_sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, text) of the given nodes, the text of one document of each."""
+def node_documents(docs: DataFrame, doc_sets: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """(node, text) of the given nodes, the text of one document of each; where no row of a node has a doc_id, it is found by its signature."""
     one = stored(doc_sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("one_doc")), "node-documents")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return own.join(F.broadcast(one) if one.count() <= BROADCAST_ROWS else one, own["doc_id"] == one["one_doc"]).select("node", "text")
+    named = own.join(F.broadcast(one) if one.count() <= BROADCAST_ROWS else one, own["doc_id"] == one["one_doc"]).select("node", "text")
+
+    def run(batches):
+        for batch in batches:
+            found = [(int(signature(s)), i) for i, s in shingle_sets(batch.column(0), words)]
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.int64()), batch.column(0).take(pa.array([i for _, i in found], pa.int64()))], names=["node", "text"])
+
+    unnamed = own.where("doc_id is null").select("text").mapInArrow(run, "node long, text string")
+    return named.unionByName(unnamed.join(one.where("one_doc is null").select("node"), "node", "left_semi").dropDuplicates(["node"]))
 
 
 def node_bits(texts_: DataFrame, words: int) -> DataFrame:
@@ -381,12 +389,12 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     """(doc_id, n_shingles, component_id): component_id is the smallest doc_id that links lead to."""
     doc_sets = stored(document_sets(docs, words), "document-sets")
     lists = stored(shared_lists(postings(docs, words, percent), percent), "shared-lists")
-    bits = stored(node_bits(node_documents(docs, doc_sets, lists.select("node")), words), "node-bits")
+    bits = stored(node_bits(node_documents(docs, doc_sets, lists.select("node"), words), words), "node-bits")
 
     def search(pairs: DataFrame) -> DataFrame:
         fit = stored(able(pairs, bits, percent), "able-pairs")
         nodes = fit.select("node").unionByName(fit.select(F.col("query").alias("node")))
-        sets = stored(node_sets(node_documents(docs, doc_sets, nodes), words), "node-sets")
+        sets = stored(node_sets(node_documents(docs, doc_sets, nodes, words), words), "node-sets")
         return stored(linked(fit, sets, percent), "links")
 
     # each node meets the hub of most of its lists first

@@ -154,6 +154,14 @@ def test_jaccard_join_of_chains(spark):
     assert len({r[2] for r in got}) < len(rows)
 
 
+def test_jaccard_join_through_a_row_without_id(spark, tmp_path):
+    text = lambda mark, a: " ".join(f"{mark}{i}" for i in range(a, a + 180))
+    rows = [(1, text("x", 0)), (None, text("x", 18)), (2, text("x", 36)), (3, text("y", 0)), (4, text("y", 36))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["component_id"] for r in QUERIES["op10_jaccard_join"](spark, str(tmp_path)).collect()}
+    assert got[1] == got[2] == 1 and (got[3], got[4]) == (3, 4)
+
+
 def test_divide_skip():
     rng = np.random.default_rng(2)
     for _ in range(60):
