@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import shutil
 import tempfile
 import uuid
@@ -13,17 +14,27 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step looks at; a longer text is a step of its own.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 19
+#: Bytes of text that Spark hands to a Python worker at once, where the session says nothing else.
+BATCH_SETTING, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python workers a few MB at a time, so that a worker's memory does not follow the length of texts."""
+    if spark.conf.get(BATCH_SETTING, BATCH_DEFAULT) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+
+
 def scratch(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a local one only where none is set, as in tests."""
+    """The cluster's shared folder, from spark.checkpoint.dir; where it is unset a local one, on a local master only."""
     where = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="retort-")
         atexit.register(shutil.rmtree, where, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(where)
@@ -70,14 +81,29 @@ def texts(column: pa.Array, step: int = STEP_BYTES):
 # stretch of a buffer is hashed from two prefix sums.
 _BASE = 0x9E3779B97F4A7C15
 _BYTE = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-_powers = np.ones(1, np.uint64)
-_inverses = np.ones(1, np.uint64)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
+def _powers_of(base: int, n: int) -> np.ndarray:
+    steps = np.full(n, base, np.uint64)
+    steps[:1] = 1
+    return np.cumprod(steps, dtype=np.uint64)
+
+
+@functools.lru_cache(2)
+def _kept_powers(base: int) -> np.ndarray:
+    return _powers_of(base, STEP_BYTES + 1)
+
+
+def powers(n: int, inverse: bool = False) -> np.ndarray:
+    """The first n powers of the base; those of one step are kept, longer rows of them are not."""
+    base = pow(_BASE, -1, 1 << 64) if inverse else _BASE
+    return _kept_powers(base)[:n] if n <= STEP_BYTES + 1 else _powers_of(base, n)
+
+
 def lower(data: np.ndarray) -> np.ndarray:
     """A-Z lower-cased in UTF-8 bytes."""
     return _LOWER[data]
@@ -95,22 +121,15 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def prefix_hashes(data: np.ndarray) -> np.ndarray:
     """h with stretch(h, a, b) the hash of data[a:b]."""
-    global _powers, _inverses
     n = len(data)
-    if len(_powers) < n + 1:
-        size = max(n + 1, STEP_BYTES + 1)
-        for name, base in (("_powers", _BASE), ("_inverses", pow(_BASE, -1, 1 << 64))):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            globals()[name] = np.cumprod(steps, dtype=np.uint64)
     h = np.empty(n + 1, np.uint64)
     h[0] = 0
-    np.cumsum(_BYTE[data] * _powers[:n], out=h[1:])
+    np.cumsum(_BYTE[data] * powers(n), out=h[1:])
     return h
 
 
 def stretch(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return mix((h[end] - h[start]) * _inverses[start])
+    return mix((h[end] - h[start]) * powers(len(h), inverse=True)[start])
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -128,8 +147,34 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets)
 
 
+def pieces(data: np.ndarray, step: int = STEP_BYTES):
+    """Stretches of about step bytes of one long text, cut behind white space; a longer word is not cut."""
+    at = 0
+    while len(data) - at > step:
+        blank = np.flatnonzero(SPACE[data[at : at + step]])
+        if not len(blank):  # the first blank behind the step
+            behind = at + step
+            while behind < len(data) and not SPACE[data[behind : behind + step]].any():
+                behind += step
+            rest = np.flatnonzero(SPACE[data[behind : behind + step]])
+            to = behind + int(rest[0]) + 1 if len(rest) else len(data)
+        else:
+            to = at + int(blank[-1]) + 1
+        yield data[at:to]
+        at = to
+    if at < len(data):
+        yield data[at:]
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of all rows, A-Z lower-cased, and the word offsets of the rows."""
+    """64-bit hashes of the words of all rows, A-Z lower-cased, and the word offsets of the rows. A row longer than a step is read piece by piece."""
+    if len(data) > STEP_BYTES and len(offsets) == 2:
+        own = np.concatenate([_hashes(x, np.array([0, len(x)]))[0] for x in pieces(data)])
+        return own, np.array([0, len(own)])
+    return _hashes(data, offsets)
+
+
+def _hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     data = lower(data)
     starts, ends, rows = words(data, offsets)
     return stretch(prefix_hashes(data), starts, ends), rows

@@ -1,20 +1,26 @@
-"""Language-model scoring with a probabilistic suffix tree over bytes.
-
-Symbols are the UTF-8 bytes of a text with A-Z lower-cased, then an end symbol. Contexts of up to DEPTH symbols are counted
-over all training texts. A context is a state of the tree if it is there LEAST_COUNT times at least and its next-symbol
-distribution diverges from that of its suffix (count * KL divergence of at least GAIN nats for each of its next
-symbols), or if it is the suffix of a state. The states are a stored table that grows with the corpus. A state's
-distribution is smoothed with its suffix's (WEIGHT pseudo-counts), down to the uniform one. Each symbol of a text is
-scored by the longest state that its past ends with. The distinct symbols with their pasts of all texts meet the states in joins;
-the scores of the most frequent ones go to every task, the others meet theirs in a join, as the words below.
-
-The unigram base score counts words, and one end token a text, over all training texts. Counts of the most frequent
-words, 2^21 at most as each has at least that share of all tokens, go to every task; the others meet their counts in a
-join. Words are told apart by 64-bit hashes.
-
-Defined cases: null text is an empty one; an empty text is its end token and end symbol; rows that repeat are counted
-and scored each; without training texts each token's base probability is 1 / (V + 1) with V = 0 and each symbol's 1 / 257;
-an empty table gives an empty result; other columns, whatever their names, are not read.
+"""Language-model scoring with a probabilistic suffix tree over words.
+
+Symbols are the words of a text with A-Z lower-cased, then one end symbol. A symbol's number is its own for the most
+frequent words (OWN at most) and one of CLASSES hash classes for all others, so that a position's context and symbol fit one
+long; within a class a word has the share of its count, and all words that training has not seen are one further word.
+
+The tree grows from the root: a context (the last word; then the last two) is a state if its suffix is one, training holds it LEAST_COUNT
+times at least, and its next symbols diverge from its suffix's prediction: count * KL divergence of at least GAIN nats for each
+distinct next symbol. A state's distribution is smoothed with its suffix's by as many pseudo-counts as it has distinct
+next symbols (Witten-Bell), down to the root's add-one unigrams. Each symbol is scored by the longest state that its past
+ends with. The number of states follows the corpus: nothing but these tests limits it.
+
+Jobs: words are counted exactly; then every position of every text (context, symbol, row) goes to the bucket of
+its last context word, where that part of the tree is built from the training positions and scores all positions; sums a row come
+back. Last words and word pairs that are too frequent for one bucket are dealt over several, to which their
+next-symbol counts, summed before by themselves, are sent along.
+
+The unigram base score counts words and one end token a text. Counts of the MOST_WORDS most frequent words go to every task;
+the others' meet their words in a join. Words are told apart by 64-bit hashes.
+
+Defined cases: null text is an empty one; an empty text is its end token; rows that repeat are counted and scored each;
+without training texts every token has base probability 1 / (V + 1) with V = 0 and the tree is its root; an empty table gives an
+empty result; other columns, whatever their names, are not read. docs is read several times and must give the same rows each time.
 """
 
 from __future__ import annotations
@@ -24,251 +30,392 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import STEP_BYTES, bucket, lower, stored, table, texts, word_hashes
+from .common import bucket, mix, partitions, small_batches, stored, table, texts, word_hashes
 
-DEPTH, LEAST_COUNT, GAIN, WEIGHT = 5, 2, 2.0, 4.0
-FREQUENT_SHARE = 2**-21
-#: Distinct codes that a task counts before it sends them.
-HELD = 1 << 20
-START, END = 0xFF, 0xFE  # bytes that UTF-8 never has
+LEAST_COUNT, GAIN = 2, 0.5
+#: Bits of a symbol's number; number 0 is what stands before a text, then come OWN words and CLASSES classes.
+BITS, CLASSES = 16, 1 << 12
+MOST_WORDS = 1 << 20
+#: Distinct codes that a task counts before it sends them; rows whose sums it holds.
+HELD = 1 << 18
+BUCKETS_A_PARTITION = 4
 END_TOKEN = np.uint64(0x454E44)
-SYMBOLS = 257
-
-
-def grams(data: np.ndarray, offsets: np.ndarray, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
-    """A number for each symbol of all rows, end symbols included: its depth predecessors and itself, a byte each, itself lowest;
-    and where each row starts."""
-    rows, n = len(offsets) - 1, int(offsets[-1])
-    stream = np.full(n + rows * (depth + 1), START, np.uint8)
-    row = np.repeat(np.arange(rows), np.diff(offsets))
-    stream[np.arange(n) + row * (depth + 1) + depth] = lower(data)
-    ends = offsets[1:] + np.arange(rows) * (depth + 1) + depth
-    stream[ends] = END
-    real = np.ones(len(stream), bool)
-    starts = offsets[:-1] + np.arange(rows) * (depth + 1)
-    real[(starts[:, None] + np.arange(depth)).reshape(-1)] = False
-    code = stream.astype(np.uint64)
-    out = code.copy()
-    for j in range(1, depth + 1):
-        out[j:] |= code[:-j] << np.uint64(8 * j)
-    return out[real], offsets[:-1] + np.arange(rows)
+_W, _MASK = np.uint64(BITS), np.uint64((1 << BITS) - 1)
 
 
 class _Counts:
-    """Sums counts of codes by kind until they are many."""
+    """Sums counts of codes until they are many."""
 
     def __init__(self):
         self.parts, self.size = [], 0
 
-    def add(self, codes: np.ndarray, n: np.ndarray | None = None) -> None:
-        own = np.unique(codes, return_counts=True) if n is None else (codes, n)
-        self.parts.append(own)
-        self.size += len(own[0])
-        if self.size > 4 * HELD:
+    def add(self, codes: np.ndarray, n: np.ndarray | None = None) -> bool:
+        """True when it is time to send."""
+        self.parts.append(np.unique(codes, return_counts=True) if n is None else (codes, n))
+        self.size += len(self.parts[-1][0])
+        if self.size > 2 * HELD:
             self.merge()
+        return self.size > HELD
 
     def merge(self) -> tuple[np.ndarray, np.ndarray]:
         if not self.parts:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        codes, inverse = np.unique(np.concatenate([c for c, _ in self.parts]), return_inverse=True)
-        n = np.bincount(inverse, np.concatenate([n for _, n in self.parts]).astype(np.float64)).astype(np.int64)
+        codes, n = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        order = np.argsort(codes)
+        codes, n = codes[order], n[order]
+        first = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1]))) if len(codes) else np.zeros(0, np.int64)
+        codes, n = codes[first], np.add.reduceat(n, first) if len(first) else n
         self.parts, self.size = [(codes, n)], len(codes)
         return codes, n
 
+    def sent(self, schema: pa.Schema) -> pa.RecordBatch:
+        codes, n = self.merge()
+        self.__init__()
+        return pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), pa.array(n)], schema=schema)
 
-def counts(docs: DataFrame, depth: int = DEPTH, kinds: tuple[int, ...] = (0, 1)) -> DataFrame:
-    """(kind, code, n) over all texts: kind 0 counts words and the end token, kind 1 symbols with their pasts."""
-    schema = pa.schema([("kind", pa.int32()), ("code", pa.int64()), ("n", pa.int64())])
 
-    def run(batches):
-        held = (_Counts(), _Counts())
+_COUNTED = pa.schema([("code", pa.int64()), ("n", pa.int64())])
 
-        def sent(kind):
-            codes, n = held[kind].merge()
-            held[kind].__init__()
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), kind, np.int32)), pa.array(codes.view(np.int64)), pa.array(n)], schema=schema)
 
+def _counted(docs: DataFrame, codes_of) -> DataFrame:
+    """(code, n) of codes_of(data, offsets) over all texts, summed in the tasks first."""
+
+    def run(batches):
+        held = _Counts()
         for batch in batches:
             for _, data, offsets in texts(batch.column(0)):
-                if 0 in kinds:
-                    hashes, rows = word_hashes(data, offsets)
-                    held[0].add(hashes)
-                    held[0].add(np.full(1, END_TOKEN), np.full(1, len(rows) - 1))
-                if 1 in kinds:
-                    held[1].add(grams(data, offsets, depth)[0])
-                for kind in kinds:
-                    if held[kind].size > HELD and len(held[kind].merge()[0]) > HELD:
-                        yield sent(kind)
-        for kind in kinds:
-            yield sent(kind)
-
-    raw = docs.select(F.col("text").cast("string")).mapInArrow(run, "kind int, code long, n long")
-    return raw.groupBy("kind", "code").agg(F.sum("n").alias("n"))
-
-
-def _suffix(column: str, symbols: int, depth: int):
-    """The last symbols of a code of depth + 1; all of them fill the 64 bits at depth 7."""
-    return F.col(column) if symbols > depth else F.col(column).bitwiseAND((1 << 8 * symbols) - 1)
-
-
-def states(grams_: DataFrame, depth: int = DEPTH, least: float = LEAST_COUNT, gain: float = GAIN) -> list[DataFrame]:
-    """(code, context, n, total) of the next symbols of the states, by depth. grams_: (code, n) as of counts()."""
-    nexts, tested = [], []
-    for d in range(depth + 1):
-        own = grams_.groupBy(_suffix("code", d + 1, depth).alias("code")).agg(F.sum("n").alias("n"))
-        own = own.withColumn("context", F.shiftrightunsigned("code", 8))
-        sums = own.groupBy("context").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("symbols")).where(F.col("total") >= (least if d else 1))
-        nexts.append(stored(own.join(sums, "context").withColumn("p", F.col("n") / F.col("total")), "contexts"))
-        if d:
-            up = nexts[d - 1].select(F.col("code").alias("up"), F.col("p").alias("up_p"))
-            kl = nexts[d].join(up, _suffix("code", d, depth) == F.col("up")).groupBy("context").agg(
-                F.sum(F.col("n") * F.log(F.col("p") / F.col("up_p"))).alias("gain"), F.first("symbols").alias("symbols")
-            )
-            tested.append(stored(kl.where(F.col("gain") >= gain * F.col("symbols")).select("context"), "tested"))
-    kept = [None] * (depth + 1)
-    for d in range(depth, 0, -1):
-        kept[d] = tested[d - 1] if d == depth else tested[d - 1].union(kept[d + 1].select(F.col("context").bitwiseAND((1 << 8 * d) - 1).alias("context"))).distinct()
-    return [(nexts[d] if not d else nexts[d].join(kept[d], "context", "left_semi")).select("code", "context", "n", "total") for d in range(depth + 1)]
-
-
-def gram_scores(grams_: DataFrame, tree: list[DataFrame], depth: int = DEPTH) -> DataFrame:
-    """(code, score): log10 probability of the last symbol after its past. grams_: (code, n) with n the count in the training texts, 0 for
-    those that are not there; tree: states() of the training texts."""
-    below = None
-    for d in range(depth + 1):
-        own = grams_.groupBy(_suffix("code", d + 1, depth).alias("code")).agg(F.sum("n").alias("n"))
-        if d:
-            own = own.join(below.select(F.col("code").alias("suffix"), F.col("p").alias("below")), _suffix("code", d, depth) == F.col("suffix"))
-        else:
-            own = own.withColumn("below", F.lit(1 / SYMBOLS))
-        totals = tree[d].groupBy("context").agg(F.first("total").alias("total"))
-        own = own.withColumn("context", F.shiftrightunsigned("code", 8)).join(totals, "context", "left")
-        p = F.when(F.col("total").isNull(), F.col("below")).otherwise((F.col("n") + WEIGHT * F.col("below")) / (F.col("total") + WEIGHT))
-        below = stored(own.select("code", p.alias("p")), "gram-scores")
-    return below.select("code", F.log10("p").alias("score"))
-
-
-class SuffixTree:
-    """A tree in memory, for small ones: states by depth, sorted, with the weight of their suffix; their explicit next symbols, sorted, with
-    log10 probabilities."""
-
-    def __init__(self, depth: int, states: list, entries: list):
-        self.depth, self.states, self.entries = depth, states, entries
-
-    @classmethod
-    def fitted(cls, grams_: DataFrame, depth: int = DEPTH, least_share: float = 0.0, gain: float = GAIN) -> SuffixTree:
-        """grams_: (code, n) as of counts()."""
-        total = grams_.agg(F.sum("n")).first()[0] or 0
-        tables = states(grams_, depth, max(LEAST_COUNT, least_share * total), gain)
-        found, entries = [], []
-        for d in range(depth + 1):
-            rows = tables[d].select("code", "n", "total").toArrow()
-            code = rows.column("code").to_numpy().view(np.uint64)
-            order = np.argsort(code)
-            code, n, sums = code[order], rows.column("n").to_numpy()[order], rows.column("total").to_numpy()[order]
-            tree = cls(d - 1, found, entries)
-            below = 10 ** tree.scores(code) if d else np.full(len(code), 1 / SYMBOLS)
-            context, first = np.unique(code >> np.uint64(8), return_index=True)
-            entries.append((code, np.log10((n + WEIGHT * below) / (sums + WEIGHT))))
-            found.append((context, np.log10(WEIGHT / (sums[first] + WEIGHT))))
-        return cls(depth, found, entries)
-
-    def scores(self, codes: np.ndarray) -> np.ndarray:
-        """log10 probability of each code's last symbol after its past."""
-        out, open_ = np.zeros(len(codes)), np.arange(len(codes))
-        for d in range(self.depth, -1, -1):
-            own = codes[open_] & np.uint64((1 << 8 * (d + 1)) - 1)
-            context, weight = self.states[d]
-            keys, value = self.entries[d]
-            if not len(context):
-                continue
-            at = np.minimum(np.searchsorted(context, own >> np.uint64(8)), len(context) - 1)
-            state = np.flatnonzero(context[at] == own >> np.uint64(8))
-            place = np.minimum(np.searchsorted(keys, own[state]), len(keys) - 1)
-            explicit = keys[place] == own[state]
-            out[open_[state]] += np.where(explicit, value[place], weight[at[state]])
-            done = np.zeros(len(open_), bool)
-            done[state[explicit]] = True
-            open_ = open_[~done]
-            if not len(open_):
-                return out
-        out[open_] -= np.log10(SYMBOLS)
-        return out
-
-
-def score_texts(docs: DataFrame, training: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """docs' columns other than text, with n_tokens, n_known, train_tokens, base_score and score. training: the texts to learn from."""
+                if held.add(codes_of(data, offsets)):
+                    yield held.sent(_COUNTED)
+        yield held.sent(_COUNTED)
+
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+
+
+def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all rows' words, each row's end token behind them, and the rows' offsets."""
+    hashes, rows = word_hashes(data, offsets)
+    return np.insert(hashes, rows[1:], END_TOKEN), rows + np.arange(len(rows))
+
+
+def vocabulary(training: DataFrame) -> DataFrame:
+    """(code, n): words and end tokens by hash."""
+    return _counted(training, lambda data, offsets: _tokens(data, offsets)[0])
+
+
+class Symbols:
+    """The numbers of words, the root's probabilities, and the share of words within classes."""
+
+    def __init__(self, words: DataFrame, classes: int = CLASSES, own: int = (1 << BITS) - CLASSES - 1):
+        """words: the stored table of vocabulary(); classes: a power of two."""
+        self.classes, self.own = classes, own
+        self.total, self.distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+        bins = sorted((r["bin"], r["words"]) for r in words.groupBy(F.floor(16 * F.log2("n")).alias("bin")).agg(F.count(F.lit(1)).alias("words")).collect())
+        while bins and sum(n for _, n in bins) > MOST_WORDS:
+            bins.pop(0)
+        often = words.where(F.floor(16 * F.log2("n")) >= bins[0][0]).toArrow() if bins else None
+        code = often.column("code").to_numpy() if bins else np.zeros(0, np.int64)
+        n = often.column("n").to_numpy() if bins else np.zeros(0, np.int64)
+        rank = np.lexsort((code, -n))
+        number = np.empty(len(code), np.int64)
+        number[rank] = np.arange(len(code))
+        self.least = int(n.min()) if len(n) else 0  # words from here on are known in every task
+        # class sums of the words that have no number of their own
+        classed = words
+        if len(code) > own:
+            last_n, last = int(n[rank[own - 1]]), int(code[rank[own - 1]])
+            classed = words.where((F.col("n") < last_n) | (F.col("n") == last_n) & (F.col("code") > last))
+        elif len(code):
+            classed = words.where(F.col("n") < self.least)
+        sums = classed.groupBy(F.pmod("code", F.lit(classes)).alias("c")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")).collect()
+        self.weight = np.ones(classes)  # counts plus one for each word, and one for the unknown word
+        of_class = np.zeros(classes, np.int64)
+        for r in sums:
+            self.weight[r["c"]] += r["n"] + r["words"]
+            of_class[r["c"]] = r["n"]
+        order = np.argsort(code.view(np.uint64))
+        self.codes, self.n = code.view(np.uint64)[order], n[order]
+        number = number[order]
+        self.numbers = np.where(number < own, number + 1, own + 1 + (self.codes % np.uint64(classes)).astype(np.int64)).astype(np.uint16)
+        self.count = np.zeros(own + 1 + classes, np.int64)  # positions of each number
+        self.count[1 + np.arange(min(own, len(n)))] = n[rank[:own]]
+        self.count[own + 1 :] = of_class
+        root = self.count + 1.0
+        root[own + 1 :] = self.weight
+        self.root = root / (self.total + self.distinct + classes)
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number, count or 0, whether the count is known here) of each word."""
+        own, back = np.unique(hashes, return_inverse=True)
+        classed = (self.own + 1 + (own % np.uint64(self.classes)).astype(np.int64)).astype(np.uint16)
+        if not len(self.codes):
+            return classed[back], np.zeros(len(back), np.int64), np.zeros(len(back), bool)
+        at = np.minimum(np.searchsorted(self.codes, own), len(self.codes) - 1)
+        known = self.codes[at] == own
+        return np.where(known, self.numbers[at], classed)[back], np.where(known, self.n[at], 0)[back], known[back]
+
+    def grams(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each symbol the numbers of the two before it and its own, and the rows' offsets."""
+        hashes, rows = _tokens(data, offsets)
+        number = self.find(hashes)[0].astype(np.uint64)
+        one = np.concatenate(([0], number[:-1])).astype(np.uint64)
+        one[rows[:-1]] = 0
+        two = np.concatenate(([0], one[:-1])).astype(np.uint64)
+        two[rows[:-1]] = 0
+        return (two << (_W + _W)) | (one << _W) | number, rows
+
+
+def _sums(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    own, back = np.unique(keys, return_inverse=True)
+    return own, np.bincount(back, n, len(own))
+
+
+def _level(codes: np.ndarray, n: np.ndarray, up: np.ndarray, allowed: np.ndarray, least: float, gain: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Probabilities of the sorted codes whose contexts are codes >> BITS, given their suffix's; the contexts, and which of them are states."""
+    context, back = np.unique(codes >> _W, return_inverse=True)
+    total, distinct = np.bincount(back, n, len(context)), np.bincount(back, n > 0, len(context))
+    seen = n > 0
+    kl = np.bincount(back[seen], n[seen] * np.log(n[seen] / total[back[seen]] / up[seen]), len(context))
+    state = (total >= least) & (kl >= gain * distinct) & (total > 0)
+    state &= np.bincount(back, allowed, len(context)) > 0
+    s = state[back]
+    p = np.where(s, (n + distinct[back] * up) / np.maximum(1, total + distinct)[back], up)
+    return p, context, state
+
+
+def scored_codes(codes: np.ndarray, n: np.ndarray, root: np.ndarray, parents=None, least: float = LEAST_COUNT, gain: float = GAIN) -> np.ndarray:
+    """The probability of each of the sorted distinct codes by its longest state. n: training counts, those of all codes of the bucket's last words but
+    for the ones in parents: {1: (codes of two numbers, n), 2: (codes of three, n)}, whose counts are these instead."""
+    low = np.uint64((1 << 2 * BITS) - 1)
+    pairs, n1 = _sums(codes & low, n)
+    all_codes, n2 = codes, n.astype(float)
+    if parents and len(parents[2][0]):
+        hot = np.isin(codes >> _W, np.unique(parents[2][0] >> _W))
+        all_codes, n2 = _sums(np.concatenate((codes, parents[2][0])), np.concatenate((np.where(hot, 0, n), parents[2][1])))
+    if parents and len(parents[1][0]):
+        hot = np.isin(pairs >> _W, np.unique(parents[1][0] >> _W))
+        pairs, n1 = _sums(np.concatenate((pairs, parents[1][0])), np.concatenate((np.where(hot, 0, n1), parents[1][1])))
+    extra = np.setdiff1d(all_codes & low, pairs)
+    if len(extra):
+        pairs, n1 = _sums(np.concatenate((pairs, extra)), np.concatenate((n1, np.zeros(len(extra)))))
+    p1, words, states = _level(pairs, n1, root[(pairs & _MASK).astype(np.int64)], np.ones(len(pairs), bool), least, gain)
+    at = np.searchsorted(pairs, all_codes & low)
+    grown = states[np.searchsorted(words, (all_codes & low) >> _W)]
+    p2, _, _ = _level(all_codes, n2, p1[at], grown, least, gain)
+    return p2[np.searchsorted(all_codes, codes)]
+
+
+class Dealing:
+    """The buckets of last words and word pairs. hot_words: {number: buckets}, hot_pairs: {pair code: buckets}."""
+
+    def __init__(self, buckets: int, hot_words: dict[int, int], hot_pairs: dict[int, int]):
+        self.buckets = buckets
+        self.words, self.pairs = hot_words, hot_pairs
+        self._over = np.ones(1 << BITS, np.int64)
+        for w, n in hot_words.items():
+            self._over[w] = n
+        self._pairs = np.array(sorted(hot_pairs), np.uint64)
+        self._pair_over = np.array([hot_pairs[p] for p in sorted(hot_pairs)], np.int64)
+
+    def _home(self, key: np.ndarray) -> np.ndarray:
+        return (mix(key) % np.uint64(self.buckets)).astype(np.int64)
+
+    def place(self, codes: np.ndarray, turn: int) -> np.ndarray:
+        pair = codes >> _W
+        word, before = pair & _MASK, pair >> _W
+        out = self._home(word + np.uint64(1 << 40))
+        over = self._over[word.astype(np.int64)]
+        far = over > 1
+        out[far] += (mix(before[far]) % over[far].astype(np.uint64)).astype(np.int64)
+        if len(self._pairs):
+            at = np.minimum(np.searchsorted(self._pairs, pair), len(self._pairs) - 1)
+            hot = np.flatnonzero(self._pairs[at] == pair)
+            out[hot] = self._home(pair[hot]) + turn % self._pair_over[at[hot]]
+        return out % self.buckets
+
+    def homes(self) -> tuple[list[tuple[int, list[int]]], list[tuple[int, list[int]]]]:
+        """(word, its buckets) and (pair, its buckets): where their counts are needed."""
+        home = lambda key, n: {int(x) % self.buckets for x in self._home(np.array([key], np.uint64))[0] + np.arange(n)}
+        of_pairs = {p: home(p, n) for p, n in self.pairs.items()}
+        of_words = {w: home(w + (1 << 40), n) for w, n in self.words.items()}
+        for p, b in of_pairs.items():
+            of_words[p & ((1 << BITS) - 1)] |= b
+        return [(w, sorted(b)) for w, b in of_words.items()], [(p, sorted(b)) for p, b in of_pairs.items()]
+
+
+def _dealt(training: DataFrame, symbols, buckets: int, positions: int, starts: int) -> tuple[Dealing, DataFrame]:
+    """The dealing, and (bucket, kind, code, n): the counts that last words and pairs of several buckets need there. Kind 1: pairs of
+    numbers, kind 2: triples."""
+    spark = training.sparkSession
+    most = max(1.0, 2 * positions / buckets)
+    over = lambda n: int(min(buckets, -(-n * buckets // max(1, positions))))
+    count = symbols.value.count.copy()
+    count[0] = starts
+    hot_words = {int(w): over(int(count[w])) for w in np.flatnonzero(count > most)}
+    flag = np.zeros(1 << BITS, bool)
+    flag[list(hot_words)] = True
+
+    def pair_codes(data, offsets):
+        own = symbols.value.grams(data, offsets)[0]
+        return own[flag[((own >> _W) & _MASK).astype(np.int64)]] & np.uint64((1 << 2 * BITS) - 1)
+
+    none = spark.createDataFrame([], "bucket int, kind int, code long, n long")
+    if not hot_words:
+        return Dealing(buckets, {}, {}), none
+    one = stored(_counted(training, pair_codes), "hot-words")
+    # a pair that is hot has hot words on both sides, or stands at a text's start
+    pairs = {int(r["code"]): over(int(r["n"])) for r in one.where(F.col("n") > most).collect() if int(r["code"]) & 0xFFFF in hot_words}
+    if count[0] > most:
+        pairs[0] = over(int(count[0]))
+    hot_pairs = np.array(sorted(pairs), np.uint64)
+
+    def triple_codes(data, offsets):
+        own = symbols.value.grams(data, offsets)[0]
+        return own[np.isin(own >> _W, hot_pairs)]
+
+    dealing = Dealing(buckets, hot_words, pairs)
+    of_words, of_pairs = dealing.homes()
+    sent = none
+    for kind, counts, homes in ((1, one, of_words), (2, stored(_counted(training, triple_codes), "hot-pairs") if pairs else None, of_pairs)):
+        if homes:
+            where = F.broadcast(spark.createDataFrame(homes, "context long, homes array<int>"))
+            own = counts.withColumn("context", F.shiftrightunsigned("code", BITS)).join(where, "context")
+            sent = sent.unionByName(own.select(F.explode("homes").alias("bucket"), F.lit(kind).alias("kind"), "code", "n"))
+    return dealing, sent
+
+
+def _positions(own: DataFrame, symbols, dealing: Dealing) -> DataFrame:
+    """(bucket, kind 0, first, data): the positions of a step of texts that go to a bucket. data: 6 bytes of code, then 2 bytes each of
+    the row behind the first one, whose lowest bit tells held-out rows."""
+    schema = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("code", pa.int64()), ("n", pa.int64()), ("data", pa.binary())])
+
+    def run(batches):
+        turn = 0
+        for batch in batches:
+            ids, learn = batch.column(0).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
+            for first, data, offsets in texts(batch.column(1)):
+                codes, rows = symbols.value.grams(data, offsets)
+                row = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
+                for a in range(0, len(rows) - 1, 1 << 15):  # a row's number has 15 bits
+                    part = slice(int(rows[a]), int(rows[min(len(rows) - 1, a + (1 << 15))]))
+                    own, r = codes[part], row[part] - a
+                    turn += 1
+                    place = dealing.place(own, turn)
+                    order = np.argsort(place, kind="stable")
+                    place, own, r = place[order], own[order], r[order]
+                    mark = (r * 2 + ~learn[first + a + r]).astype("<u2")
+                    cuts = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1], [True])))
+                    six = own.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : 3 * BITS // 8]
+                    blobs = [six[x:y].tobytes() + mark[x:y].tobytes() for x, y in zip(cuts, cuts[1:], strict=False)]
+                    n = len(blobs)
+                    columns = [pa.array(place[cuts[:-1]].astype(np.int32)), pa.array(np.zeros(n, np.int32)), pa.array(np.full(n, ids[first + a])), pa.nulls(n, pa.int64()), pa.array(blobs, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    return own.select("row", "text", "learn").mapInArrow(run, "bucket int, kind int, code long, n long, data binary")
+
+
+def _row_scores(dealt: DataFrame, symbols, least: float, gain: float) -> DataFrame:
+    """(row, score): sums of log10 probabilities of a row's positions in one task; dealt is sorted by bucket, the sent counts first."""
+    schema = pa.schema([("row", pa.int64()), ("tree", pa.float64())])
+    size = 3 * BITS // 8 + 2
+
+    def run(batches):
+        root, bucket_, parents, blobs, held = symbols.value.root, None, {1: [], 2: []}, [], []
+
+        def ended():
+            known = {k: tuple(np.concatenate(x) for x in zip(*v, strict=True)) if v else (np.zeros(0, np.uint64), np.zeros(0)) for k, v in parents.items()}
+            codes, rows, learn = [], [], []
+            for first, blob in blobs:
+                n = len(blob) // size
+                raw = np.frombuffer(blob, np.uint8)
+                code = np.zeros((n, 8), np.uint8)
+                code[:, : size - 2] = raw[: n * (size - 2)].reshape(n, size - 2)
+                mark = raw[n * (size - 2) :].view("<u2").astype(np.int64)
+                codes.append(code.view("<u8")[:, 0])
+                rows.append(first + (mark >> 1))
+                learn.append(mark & 1 == 0)
+            if codes:
+                codes, rows, learn = np.concatenate(codes), np.concatenate(rows), np.concatenate(learn)
+                own, back = np.unique(codes, return_inverse=True)
+                log = np.log10(scored_codes(own, np.bincount(back, learn, len(own)), root, known, least, gain))
+                held.append(_sums(rows, log[back]))
+            parents[1], parents[2] = [], []
+            blobs.clear()
+
+        def sent():
+            rows, sums = _sums(*(np.concatenate(x) for x in zip(*held, strict=True))) if held else (np.zeros(0, np.int64), np.zeros(0))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(rows), pa.array(sums)], schema=schema)
+
+        for batch in batches:
+            b, kind, code, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            for i in np.flatnonzero(np.concatenate(([True], (b[1:] != b[:-1]) | (kind[1:] != kind[:-1])))) if len(b) else ():
+                if b[i] != bucket_:
+                    ended()
+                    bucket_ = b[i]
+                    if sum(len(r) for r, _ in held) > 4 * HELD:
+                        yield sent()
+                same = np.flatnonzero((b[i:] != b[i]) | (kind[i:] != kind[i]))
+                to = i + int(same[0]) if len(same) else len(b)
+                if kind[i]:
+                    parents[int(kind[i])].append((code[i:to].astype(np.int64).view(np.uint64), n[i:to].astype(np.float64)))
+                else:
+                    blobs.extend(zip(code[i:to].tolist(), batch.column(4).slice(i, to - i).to_pylist(), strict=True))
+        ended()
+        yield sent()
+
+    return dealt.mapInArrow(run, "row long, tree double")
+
+
+def score_texts(docs: DataFrame, learn: str = "learn", least: float = LEAST_COUNT, gain: float = GAIN, classes: int = CLASSES, own_words: int = (1 << BITS) - CLASSES - 1) -> DataFrame:
+    """docs' columns other than text, with n_tokens, n_known, train_tokens, base_score and score. learn names the boolean column of rows to
+    learn from."""
     spark = docs.sparkSession
-    gathered = stored(counts(training, depth), "model-counts")
-    vocabulary = gathered.where("kind = 0").select("code", "n")
-    total, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    known = gathered.where("kind = 1").select("code", "n")
-    met = counts(docs, depth, (1,)).select("code", F.lit(0).cast("long").alias("n"), F.col("n").alias("m"))
-    met = stored(known.select("code", "n", F.lit(0).cast("long").alias("m")).union(met).groupBy("code").agg(F.sum("n").alias("n"), F.sum("m").alias("m")), "grams")
-    scores = gram_scores(met, states(known, depth), depth)
-    positions = met.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
-    usual = met.where((F.col("m") >= max(1, positions * FREQUENT_SHARE))).join(scores, "code").select("code", "score").toArrow()
-    gram, value = usual.column("code").to_numpy().view(np.uint64), usual.column("score").to_numpy()
-    place = np.argsort(gram)
-    least = max(1, total * FREQUENT_SHARE)
-    often = vocabulary.where(F.col("n") >= least).toArrow()
-    code, n = often.column("code").to_numpy().view(np.uint64), often.column("n").to_numpy()
-    order = np.argsort(code)
-    shared = spark.sparkContext.broadcast((gram[place], value[place], code[order], np.log10((n[order] + 1) / (total + distinct + 1))))
+    small_batches(spark)
+    training = docs.where(F.col(learn)).select("text")
+    words = stored(vocabulary(training), "model-words")
+    model = Symbols(words, classes, own_words)
+    symbols = spark.sparkContext.broadcast(model)
+    buckets = BUCKETS_A_PARTITION * partitions(spark)
+    starts = int(training.count())
+    dealing, sent = _dealt(training, symbols, buckets, model.total, starts)
     rest = [c for c in docs.columns if c != "text"]
-    own = docs.select(F.struct(*rest).alias("own"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
-    schema = pa.schema([("row", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.int64())), ("unusual", pa.list_(pa.int64()))])
+    own = docs.select(F.monotonically_increasing_id().alias("row"), F.col("text").cast("string").alias("text"), F.coalesce(F.col(learn), F.lit(False)).alias("learn"), F.struct(*rest).alias("own"))
+    both = _positions(own, symbols, dealing).unionByName(sent.withColumn("data", F.lit(None).cast("binary")))
+    both = both.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", F.desc("kind"))
+    trees = stored(_row_scores(both, symbols, least, gain).groupBy("row").agg(F.sum("tree").alias("tree")), "tree-scores")
+    schema = pa.schema([("row", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("within", pa.float64()), ("rare", pa.list_(pa.int64()))])
     kind = own.schema["own"].dataType.simpleString()
 
     def run(batches):
-        gram, value, code, logs = shared.value
+        model = symbols.value
+        base_sum, weight = np.log10(model.total + model.distinct + 1), np.log10(np.concatenate((np.ones(model.own + 1), model.weight)))
         for batch in batches:
-            out = {k: [] for k in ("n_tokens", "known", "base", "score", "rare", "sizes", "unusual", "unusual_sizes")}
-            for _, data, offsets in texts(batch.column(1), 2 * STEP_BYTES):
-                hashes, rows = word_hashes(data, offsets)
-                # the end token goes behind each row's words
-                hashes = np.insert(hashes, rows[1:], END_TOKEN)
-                rows = rows + np.arange(len(rows))
-                at = np.minimum(np.searchsorted(code, hashes), max(0, len(code) - 1))
-                found = code[at] == hashes if len(code) else np.zeros(len(hashes), bool)
-                log = np.where(found, logs[at], 0.0) if len(code) else np.zeros(len(hashes))
+            out = {k: [np.zeros(0, t)] for k, t in (("n_tokens", np.int64), ("known", np.int64), ("base", float), ("within", float), ("rare", np.uint64), ("sizes", np.int64))}
+            for _, data, offsets in texts(batch.column(1)):
+                hashes, rows = _tokens(data, offsets)
+                number, n, found = model.find(hashes)
+                log, classed = np.log10(n + 1.0), number > model.own
                 out["n_tokens"].append(np.diff(rows))
                 out["known"].append(np.add.reduceat(found.astype(np.int64), rows[:-1]))
-                out["base"].append(np.add.reduceat(log, rows[:-1]))
+                out["base"].append(np.add.reduceat(log - base_sum, rows[:-1]))
+                out["within"].append(np.add.reduceat(np.where(classed, log, 0.0) - weight[number], rows[:-1]))
                 out["rare"].append(hashes[~found])
                 out["sizes"].append(np.add.reduceat((~found).astype(np.int64), rows[:-1]))
-                symbols, starts = grams(data, offsets, depth)
-                distinct_, inverse = np.unique(symbols, return_inverse=True)
-                at = np.minimum(np.searchsorted(gram, distinct_), max(0, len(gram) - 1))
-                found = gram[at] == distinct_ if len(gram) else np.zeros(len(distinct_), bool)
-                log = np.where(found, value[at], 0.0) if len(gram) else np.zeros(len(distinct_))
-                out["score"].append(np.add.reduceat(log[inverse], starts))
-                found = found[inverse]
-                out["unusual"].append(symbols[~found])
-                out["unusual_sizes"].append(np.add.reduceat((~found).astype(np.int64), starts))
-            if batch.num_rows:
-                cat = {k: np.concatenate(v) for k, v in out.items()}
-                lists = [
-                    pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(cat[size]))).astype(np.int32)), pa.array(cat[k].view(np.int64)))
-                    for k, size in (("rare", "sizes"), ("unusual", "unusual_sizes"))
-                ]
-                plain = [pa.array(cat[k]) for k in ("n_tokens", "known", "base", "score")]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *plain, *lists], names=["own", *schema.names])
-
-    scored = own.mapInArrow(run, f"own {kind}, row long, n_tokens long, known long, base double, score double, rare array<long>, unusual array<long>")
-    scored = stored(scored, "scored")
-    rare = scored.select("row", F.explode("rare").alias("code")).join(vocabulary, "code", "left").groupBy("row").agg(
-        F.sum(F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(total + distinct + 1)))).alias("rare_base"), F.count("n").alias("rare_known")
-    )
-    unusual = scored.select("row", F.explode("unusual").alias("code")).groupBy("row", "code").agg(F.count(F.lit(1)).alias("times"))
-    unusual = unusual.join(scores, "code").groupBy("row").agg(F.sum(F.col("times") * F.col("score")).alias("unusual_score"))
-    both = scored.drop("rare", "unusual").join(rare, "row", "left").join(unusual, "row", "left")
-    return both.select(
-        "own.*", "n_tokens", (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("unusual_score", F.lit(0.0))).alias("score"),
+            cat = {k: np.concatenate(v) for k, v in out.items()}
+            rare = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(cat["sizes"]))).astype(np.int32)), pa.array(cat["rare"].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(0), *[pa.array(cat[k]) for k in ("n_tokens", "known", "base", "within")], rare], names=["own", *schema.names])
+
+    counted = stored(own.select("row", "text", "own").mapInArrow(run, f"own {kind}, row long, n_tokens long, known long, base double, within double, rare array<long>"), "counted")
+    few = words.where(F.col("n") < model.least) if model.least else words.limit(0)
+    rare = counted.select("row", F.explode("rare").alias("code")).join(few, "code").groupBy("row").agg(F.sum(F.log10(F.col("n") + 1)).alias("rare"), F.count(F.lit(1)).alias("rare_known"))
+    all_ = counted.drop("rare").join(trees, "row").join(rare, "row", "left")
+    more = F.coalesce("rare", F.lit(0.0))
+    return all_.select(
+        "own.*", "n_tokens", (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(int(model.total)).cast("long").alias("train_tokens"),
+        (F.col("base") + more).alias("base_score"), (F.col("tree") + F.col("within") + more).alias("score"),
     )
 
 
 def op6_lm_scoring(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", (bucket(F.col("doc_id"), 7) == 2).alias("held_out"), "text")
-    return score_texts(docs, docs.where(~F.col("held_out")))
+    return score_texts(docs.withColumn("learn", ~F.col("held_out"))).drop("learn")

@@ -264,45 +264,95 @@ def test_lm_base_scores(spark, odd_dir, odd_rows):
     assert got == want
 
 
-def test_suffix_tree_sums_to_one(spark):
-    rng = random.Random(1)
-    docs = spark.createDataFrame([(i, prose(rng, 60)) for i in range(30)], "doc_id long, text string")
-    grams = language_model.counts(docs).where("kind = 1").select("code", "n")
-    tree = language_model.SuffixTree.fitted(grams, least_share=1e-3)
-    assert len(tree.states[2][0])
-    past = [b"th", b"the o", b"\xff\xff\xffan", b"zzzzz", b"e"]
-    for p in past:
-        base = int.from_bytes(p, "big") << 8
-        codes = np.array([base | s for s in range(256)], np.uint64)
-        total = (10 ** tree.scores(codes)).sum()
-        assert 0.98 < total <= 1.0 + 1e-9  # one of the 257 symbols has no byte
-    text, noise = prose(rng, 50), "".join(rng.choice("qxzjkv ") for _ in range(250))
-    score = lambda t: tree.scores(language_model.grams(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[0]).sum() / len(t)
-    assert score(text) > score(noise) + 0.5
+class PlainTree:
+    """The suffix tree by dictionaries: numbers of symbols, counts by context, states grown from the root."""
+
+    def __init__(self, texts_, classes, own, least=language_model.LEAST_COUNT, gain=language_model.GAIN):
+        self.classes, self.own = classes, own
+        self.hash = lambda w: int(language_model.END_TOKEN) if w is None else int(common.word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())]))[0][0])
+        self.c = collections.Counter(w for t in texts_ for w in [*words(t), None])
+        signed = lambda h: h - (1 << 64) if h >> 63 else h
+        rank = sorted(self.c, key=lambda w: (-self.c[w], signed(self.hash(w))))
+        self.number = {w: k + 1 for k, w in enumerate(rank[:own])}
+        self.weight = collections.Counter()
+        for w in rank[own:]:
+            self.weight[self.of(w)] += self.c[w] + 1
+        total = sum(self.c.values()) + len(self.c) + classes
+        self.q = lambda s: (self.weight[s] + 1 if s > own else (self.c[rank[s - 1]] if s <= len(rank) else 0) + 1) / total
+        self.n = [collections.defaultdict(collections.Counter) for _ in range(3)]
+        for t in texts_:
+            ids = self.ids(t)
+            for k in range(2, len(ids)):
+                for d in (1, 2):
+                    self.n[d][tuple(ids[k - d : k])][ids[k]] += 1
+        self.states = set()
+        for d in (1, 2):
+            for c, own_ in self.n[d].items():
+                sum_ = sum(own_.values())
+                kl = sum(k * math.log(k / sum_ / self.p(c[1:], s)) for s, k in own_.items())
+                if sum_ >= least and kl >= gain * len(own_) and (d == 1 or c[1:] in self.states):
+                    self.states.add(c)
+
+    def of(self, w):
+        return self.number.get(w) or self.own + 1 + self.hash(w) % self.classes
+
+    def ids(self, t):
+        return [0, 0, *map(self.of, [*words(t), None])]
+
+    def p(self, c, s):
+        if not c:
+            return self.q(s)
+        if c not in self.states:
+            return self.p(c[1:], s)
+        n = self.n[len(c)][c]
+        return (n[s] + len(n) * self.p(c[1:], s)) / (sum(n.values()) + len(n))
+
+    def score(self, t):
+        ids = self.ids(t)
+        within = [math.log10((self.c[w] + 1) / (self.weight[self.of(w)] + 1)) for w in [*words(t), None] if self.of(w) > self.own]
+        return sum(math.log10(self.p(tuple(ids[k - 2 : k]), ids[k])) for k in range(2, len(ids))) + sum(within)
+
+
+@pytest.mark.parametrize(("classes", "own", "buckets", "most"), ((4096, 61439, 4, 1 << 20), (4, 12, 1, 1 << 20), (8, 20, 40, 30)))
+def test_lm_scores_against_a_plain_tree(spark, monkeypatch, classes, own, buckets, most):
+    """Also with classes of words, with words and pairs that are dealt over many buckets, and with words that meet their counts in a join."""
+    monkeypatch.setattr(language_model, "BUCKETS_A_PARTITION", buckets)
+    monkeypatch.setattr(language_model, "MOST_WORDS", most)
+    rng = random.Random(2)
+    rows = [(i, prose(rng, 60) if i % 5 else "qxz jjk unseen \u00e9 " + prose(rng, 9)) for i in range(40)] + [(90, None), (91, ""), (92, "the the of " * 30)]
+    rows += [(100 + i, rows[1][1]) for i in range(4)]
+    docs = spark.createDataFrame([(i, t, i % 5 > 0) for i, t in rows], "doc_id long, text string, learn boolean")
+    tree = PlainTree([t for i, t in rows if i % 5], classes, own)
+    assert {len(c) for c in tree.states} == {1, 2}
+    got = {r["doc_id"]: r["score"] for r in language_model.score_texts(docs, classes=classes, own_words=own).collect()}
+    for i, t in rows:
+        assert abs(got[i] - tree.score(t)) < 1e-6, i
+    for c in [(), *list(tree.states)[:20]]:
+        assert abs(sum(tree.p(c, s) for s in range(1, own + 1 + classes) if s > own or s <= len(tree.c)) - 1) < 1e-9
 
 
-def test_states_grow_with_the_corpus(spark):
-    rng = random.Random(3)
-    docs = spark.createDataFrame([(i, f"{prose(rng, 30_000)} qzvxk") for i in range(2)], "doc_id long, text string")
-    known = language_model.counts(docs, kinds=(1,)).select("code", "n").cache()
-    assert known.agg({"n": "sum"}).first()[0] > 2e5  # two are less than 1e-5 of them
-    own = language_model.states(known)
-    assert {r["total"] for r in own[1].where(f"context = {ord('q')}").collect()} == {2}
+def test_lm_beats_the_unigram_base_on_held_out_texts(spark):
+    df = QUERIES["op6_lm_scoring"](spark, "/root/testdata/sf0.01").toPandas()
+    held = df[df["held_out"]]
+    assert held["score"].sum() > 0.95 * held["base_score"].sum() and df["score"].sum() > df["base_score"].sum()
+    assert held["score"].sum() > held["base_score"].sum()
 
 
-@pytest.mark.parametrize("share", (language_model.FREQUENT_SHARE, 0.01))
-def test_joined_scores_equal_the_tree_in_memory(spark, monkeypatch, share):
-    monkeypatch.setattr(language_model, "FREQUENT_SHARE", share)
-    rng = random.Random(2)
-    rows = [(i, prose(rng, 40) if i % 5 else "qxz jjk unseen \u00e9" + prose(rng, 5)) for i in range(25)] + [(90, None), (91, "")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    training = docs.where("doc_id % 5 > 0")
-    tree = language_model.SuffixTree.fitted(language_model.counts(training).where("kind = 1").select("code", "n"))
-    got = {r["doc_id"]: r["score"] for r in language_model.score_texts(docs, training).collect()}
-    for i, t in rows:
-        raw = (t or "").encode()
-        want = tree.scores(language_model.grams(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0]).sum()
-        assert abs(got[i] - want) < 1e-6
+def test_states_grow_with_the_corpus(spark):
+    """A context that is there three times of 60,000 is a state."""
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(i, f"{prose(rng, 20_000)} qzvxk wwq qzvxk wwq", True) for i in range(3)] + [(9, "qzvxk wwq", False), (10, "wwq qzvxk", False)], "doc_id long, text string, learn boolean")
+    got = {r["doc_id"]: r for r in language_model.score_texts(docs).collect()}
+    assert got[9]["score"] > got[10]["score"] + 0.5 and abs(got[9]["base_score"] - got[10]["base_score"]) < 1e-9
+
+
+def test_long_texts_are_read_in_pieces(monkeypatch):
+    text = (prose(random.Random(1), 3000) + " " + "x" * 900 + " end").encode()
+    whole = common.word_hashes(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    monkeypatch.setattr(common, "STEP_BYTES", 256)
+    monkeypatch.setattr(common.pieces, "__defaults__", (256,))
+    parts = common.word_hashes(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    assert (whole[0] == parts[0]).all() and (whole[1] == parts[1]).all()
 
 
 def test_order_minhash(spark, odd_dir, odd_rows):
