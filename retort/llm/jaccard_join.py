@@ -1,16 +1,17 @@
 """N-gram Jaccard join: all documents whose sets of word shingles reach a Jaccard similarity, as components.
 
-Candidates share one of the first shingles of each set (any pair that reaches the threshold t does, if a set's first
-n - ceil(t * n) + 1 shingles in one common order are looked at; frequent shingles come last in that order). Candidates
-are decided by T-occurrence search with DivideSkip: a query set's inverted lists over a block of candidate sets are
-divided into long and short ones, the short ones are merged with a heap, and sets that occur often enough there are
-looked up in the long ones by binary search; those that reach the required overlap are linked. Pairs whose sizes or
-parity bitmaps already show too many differences are not searched; this bound is exact.
-
-Large groups are met in rounds. First each candidate list is searched with one set of it, its hub, as the query only,
-and what links is one component. A list whose members are then in one component is settled. In the lists that are not,
-every member outside the list's largest component is a query against all members of other components. So no link
-between two components is left out, and the work within a group stays in proportion to its size.
+Inverted lists are kept of the first shingles of each set: any pair that reaches the threshold t shares one of them, if a set's first
+n - ceil(t * n) + 1 shingles in one common order are looked at; frequent shingles come last in that order. Where a list is
+read, its members' sizes and parity bitmaps rule out the pairs with too many differences; this bound is exact, so what leaves
+the lists is in proportion to the links. A list of more than LIST_BLOCK members is read as pairs of blocks.
+
+What is left is decided by T-occurrence search with DivideSkip: the sets that a query set meets are indexed by shingle; the query's
+inverted lists are divided into long and short ones, the short ones are merged with a heap, and sets that occur often enough there are
+looked up in the long ones by binary search; those that reach the required overlap are linked.
+
+Large groups are met in rounds, as only components are wanted: each member of a list first meets the first member before it that it may link
+with, then the last such member of another component, then all members of other components. So no link between two components is left out,
+and the work within a group stays in proportion to its size.
 
 Equal sets are one node throughout. Nodes are told apart by a 63-bit hash of the set with its size, shingles by 64-bit
 hashes.
@@ -29,18 +30,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, partitions, stored, table, texts, word_hashes
+from .common import mix, partitions, small_batches, stored, table, texts, word_hashes
 
 WORDS, PERCENT = 5, 80
 #: The shingles that come last in the order: those met at least FREQUENT times by the counts below, the most frequent
 #: 2^20 at most (16 MB). A count leaves out what a run of COUNTED shingles holds only once. This orders the shingles, no more.
-FREQUENT, MOST_FREQUENT, COUNTED = 8, 1 << 20, 1 << 21
+FREQUENT, MOST_FREQUENT, COUNTED = 8, 1 << 20, 1 << 19
 #: Candidate sets that one query meets in one block.
 BLOCK = 256
 #: Bits of a set's parity bitmap; and rows (16 bytes each) up to which a table of documents to read again is broadcast.
 LEAST_BITS, MOST_BITS, BROADCAST_ROWS = 128, 8192, 1 << 20
-#: Nodes with their bitmaps (about 100 bytes, 1 KB at most) up to which they are broadcast.
-BROADCAST_NODES = 1 << 18
+#: Members of a list that one task reads together; and pairs whose bitmaps are compared at once.
+LIST_BLOCK, PAIR_STEP = 2048, 1 << 17
 _FACTORS = np.random.default_rng(5).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 
 
@@ -137,7 +138,7 @@ def postings(docs: DataFrame, words: int, percent: int) -> DataFrame:
             for _, own in shingle_sets(batch.column(0), words):
                 if (node := signature(own)) in met:
                     continue
-                if len(met) < 1 << 19:
+                if len(met) < 1 << 16:
                     met.add(node)
                 rank = np.zeros(len(own), np.int64)
                 if len(often):
@@ -154,111 +155,192 @@ def postings(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "shingle long, size int, node long")
 
 
-def shared_lists(posted: DataFrame, percent: int) -> DataFrame:
-    """(shingle, size, node, hub): lists of at least two nodes, sorted by size; a node's hub is the first node of its list
-    that is large enough to link with it."""
-    schema = pa.schema([("shingle", pa.int64()), ("size", pa.int32()), ("node", pa.int64()), ("hub", pa.int64())])
+def shared_lists(posted: DataFrame) -> DataFrame:
+    """(shingle, node, place): lists of at least two nodes, and each node's place in its list by size."""
+    schema = pa.schema([("shingle", pa.int64()), ("node", pa.int64()), ("place", pa.int32())])
 
     def run(batches):
-        last = None  # the row before, its hub, the hub's size, and whether it was sent
+        shingle, node = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
-            rows = []
-            shingle, size, node = (batch.column(i).to_numpy() for i in range(3))
-            same = np.flatnonzero(np.concatenate(([last is not None and last[0] == shingle[0]], shingle[1:] == shingle[:-1]))) if len(shingle) else []
-            done = -1  # rows up to here are settled
-            for i in same:
-                i = int(i)
-                if i > done + 1 or i > 0 and done < i - 1:  # the row before i starts a list
-                    last = (int(shingle[i - 1]), int(size[i - 1]), int(node[i - 1]), int(node[i - 1]), int(size[i - 1]), False) if i else last
-                s, z, n, hub, hub_size, sent = last
-                done = i
-                if int(node[i]) == n:
-                    continue
-                if not sent:
-                    rows.append((s, z, n, hub))
-                if 100 * hub_size < percent * int(size[i]):
-                    hub, hub_size = int(node[i]), int(size[i])
-                rows.append((s, int(size[i]), int(node[i]), hub))
-                last = (s, int(size[i]), int(node[i]), hub, hub_size, True)
-            if len(shingle) and done < len(shingle) - 1:
-                i = len(shingle) - 1
-                last = (int(shingle[i]), int(size[i]), int(node[i]), int(node[i]), int(size[i]), False)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 4, schema, strict=True)], schema=schema)
+            shingle, node = (np.concatenate((x, batch.column(c).to_numpy())) for x, c in ((shingle, 0), (node, 2)))
+            # the last list may go on
+            open_ = int(np.searchsorted(shingle, shingle[-1])) if len(shingle) else 0
+            yield from sent(shingle[:open_], node[:open_])
+            shingle, node = shingle[open_:], node[open_:]
+        yield from sent(shingle, node)
+
+    def sent(shingle, node):
+        new = np.concatenate(([True], (shingle[1:] != shingle[:-1]) | (node[1:] != node[:-1])))[: len(shingle)]
+        shingle, node = shingle[new], node[new]
+        first = np.flatnonzero(np.concatenate(([True], shingle[1:] != shingle[:-1])))[: len(shingle)]
+        length = np.diff(np.concatenate((first, [len(shingle)])))
+        keep = np.repeat(length > 1, length)
+        place = np.arange(len(shingle)) - np.repeat(first, length)
+        yield pa.RecordBatch.from_arrays([pa.array(shingle[keep]), pa.array(node[keep]), pa.array(place[keep].astype(np.int32))], schema=schema)
 
     n = partitions(posted.sparkSession)
-    return posted.repartition(n, "shingle").sortWithinPartitions("shingle", "size", "node").mapInArrow(run, "shingle long, size int, node long, hub long")
+    return posted.repartition(n, "shingle").sortWithinPartitions("shingle", "size", "node").mapInArrow(run, "shingle long, node long, place int")
 
 
-def divide_skip(lists: list[np.ndarray], need: np.ndarray, skew: float = 0.01) -> np.ndarray:
-    """The ids i that occur in at least need[i] of the sorted lists, need[i] >= 1."""
+def divide_skip(owners: np.ndarray, starts: np.ndarray, ends: np.ndarray, need: np.ndarray, skew: float = 0.01) -> np.ndarray:
+    """The ids i that occur in at least need[i] of the lists, need[i] >= 1. List k is owners[starts[k]:ends[k]], sorted."""
+    length = ends - starts
+    order = np.argsort(length, kind="stable")
+    order = order[length[order] > 0]
     least = int(need.min()) if len(need) else 1
-    lists = sorted((x for x in lists if len(x)), key=len)
-    if len(lists) < least:
+    if len(order) < least:
         return np.zeros(0, np.int64)
-    longest = len(lists[-1])
-    n_long = min(least - 1, int(least / (skew * np.log2(max(2, longest)) + 1)))
-    short, long = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
-    heap = [(int(x[0]), k, 0) for k, x in enumerate(short)]
+    n_long = min(least - 1, int(least / (skew * np.log2(max(2, int(length[order[-1]]))) + 1)))
+    short, long = order[: len(order) - n_long], order[len(order) - n_long :]
+    heap = [(int(owners[starts[k]]), int(starts[k]), int(ends[k])) for k in short]
     heapq.heapify(heap)
     ids, counts = [], []
     while heap:
         top, n = heap[0][0], 0
         while heap and heap[0][0] == top:
-            _, k, at = heap[0]
+            _, at, end = heap[0]
             n += 1
-            if at + 1 < len(short[k]):
-                heapq.heapreplace(heap, (int(short[k][at + 1]), k, at + 1))
+            if at + 1 < end:
+                heapq.heapreplace(heap, (int(owners[at + 1]), at + 1, end))
             else:
                 heapq.heappop(heap)
         if n >= need[top] - n_long:
             ids.append(top)
             counts.append(n)
     found, n = np.array(ids, np.int64), np.array(counts, np.int64)
-    for k, x in enumerate(long):
-        if not len(found):
-            break
-        at = np.minimum(np.searchsorted(x, found), len(x) - 1)
-        n = n + (x[at] == found)
-        stay = n + (len(long) - 1 - k) >= need[found]
-        found, n = found[stay], n[stay]
+    low, high = np.repeat(starts[long], len(found)), np.repeat(ends[long], len(found))
+    wanted, end = np.tile(found, len(long)), high
+    while (low < high).any():  # all binary searches in step
+        middle = (low + high) // 2
+        less = (low < high) & (owners[np.minimum(middle, len(owners) - 1)] < wanted)
+        low, high = np.where(less, middle + 1, low), np.where(less | (low >= high), high, middle)
+    hit = (low < end) & (owners[np.minimum(low, len(owners) - 1)] == wanted)
+    n = n + hit.reshape(len(long), len(found)).sum(0)
     return found[n >= need[found]] if len(found) else found
 
 
-def search_block(query: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """The indices of the sets that link with the query set. 100 * i >= p * (a + b - i) for an overlap of i."""
-    sizes = np.array([len(s) for s in sets], np.int64)
-    need = np.maximum(1, -(-percent * (sizes + len(query)) // (100 + percent)))
-    able = np.flatnonzero((need <= sizes) & (need <= len(query)))
-    if not len(able):
-        return able
-    values, owners = np.concatenate([sets[i] for i in able]), np.repeat(np.arange(len(able)), sizes[able])
-    at = np.minimum(np.searchsorted(query, values), len(query) - 1)
-    hit = query[at] == values
-    at, owners = at[hit], owners[hit]
-    order = np.lexsort((owners, at))
-    lists = np.split(owners[order], np.flatnonzero(np.diff(at[order])) + 1) if len(order) else []
-    return able[divide_skip(lists, need[able])]
-
-
-def able(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
-    """The rows (query, node) of pairs that sizes and parity bits do not rule out: no pair that reaches the similarity is lost."""
-    small = bits.count() <= BROADCAST_NODES
-    sides = bits.select("node", "size", "bits"), bits.select(F.col("node").alias("query"), F.col("size").alias("query_size"), F.col("bits").alias("query_bits"))
-    node, query = (F.broadcast(s) for s in sides) if small else sides
-    both = pairs.join(node, "node").join(query, "query")
+class ShingleIndex:
+    """Inverted lists of a block of sets."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        values, owners = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.sizes)
+        order = np.argsort(values, kind="stable")
+        values, self.owners = values[order], owners[order]
+        self.first = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
+        self.keys, self.ends = values[self.first], np.append(self.first[1:], len(values))
+
+    def search(self, query: np.ndarray, percent: int) -> np.ndarray:
+        """The sets that link with the query set. 100 * i >= p * (a + b - i) for an overlap of i."""
+        need = np.maximum(1, -(-percent * (self.sizes + len(query)) // (100 + percent)))
+        need = np.where(need <= np.minimum(self.sizes, len(query)), need, len(query) + 1)
+        at = np.minimum(np.searchsorted(self.keys, query), len(self.keys) - 1)
+        at = at[self.keys[at] == query]
+        return divide_skip(self.owners, self.first[at], self.ends[at], need)
+
+
+def parity_bits(own: np.ndarray) -> bytes:
+    """The parity of the number of shingles that fall on each bit; about a bit for each shingle. Two sets differ in at least as many
+    shingles as their bits, folded to the same length, differ."""
+    n = min(MOST_BITS, max(LEAST_BITS, 1 << int(np.ceil(np.log2(0.75 * len(own))))))
+    return np.packbits((np.bincount((own & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+class Bitmaps:
+    """The parity bitmaps of many sets, a matrix of 64-bit words for each length, and the same folded once."""
+
+    def __init__(self, column: pa.Array):
+        column = column.cast(pa.large_binary())
+        offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+        data = np.frombuffer(column.buffers()[2], np.uint8)
+        self.length, self.at, self.whole, self.folded = np.diff(offsets), np.zeros(len(column), np.int64), {}, {}
+        for size in np.unique(self.length):
+            rows = np.flatnonzero(self.length == size)
+            self.at[rows] = np.arange(len(rows))
+            m = data[offsets[rows][:, None] + np.arange(size)]
+            self.whole[int(size)] = m.view(np.uint64)
+            self.folded[int(size)] = np.ascontiguousarray(m[:, : size // 2] ^ m[:, size // 2 :]).view(np.uint64) if size > LEAST_BITS // 8 else None
+
+    def fewest_differences(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Of sets whose bitmaps are equally long, or those of j twice as long as those of i."""
+        out = np.zeros(len(i), np.int64)
+        for size in self.whole:
+            own = np.flatnonzero(self.length[i] == size)
+            for m, part in ((self.whole[size], own[self.length[j[own]] == size]), (self.folded.get(2 * size), own[self.length[j[own]] == 2 * size])):
+                if len(part):
+                    out[part] = np.bitwise_count(self.whole[size][self.at[i[part]]] ^ m[self.at[j[part]]]).sum(1)
+        return out
+
+
+def list_rows(lists: DataFrame, bits: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(shingle, one, two, part, size, node, label, bits) of the lists whose members are not all in one component. Lists of several
+    blocks are dealt as pairs of blocks (one, two)."""
+    own = lists
+    if labels is None:
+        own = own.withColumn("label", F.col("node"))
+    else:
+        own = own.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        own = stored(own, "labelled-lists")
+        own = own.join(own.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("shingle"), "shingle", "left_semi")
+    own = own.withColumn("part", (F.col("place") / LIST_BLOCK).cast("int"))
+    blocks = lists.where(F.col("place") >= LIST_BLOCK).groupBy("shingle").agg((F.max("place") / LIST_BLOCK).cast("int").alias("last"))
+    own = own.join(blocks, "shingle", "left")
+    pair = F.struct(F.least("k", "part").alias("one"), F.greatest("k", "part").alias("two"))
+    one = own.where("last is null").select("shingle", F.lit(0).alias("one"), F.lit(0).alias("two"), "part", "node", "label")
+    many = own.where("last is not null").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("last")))).withColumn("pair", pair).select("shingle", "pair.one", "pair.two", "part", "node", "label")
+    return one.unionByName(many).join(bits, "node").select("shingle", "one", "two", "part", "size", "node", "label", "bits")
+
+
+def may_link(rows: DataFrame, which: str, percent: int) -> DataFrame:
+    """(query, node) of members of one list and two components that sizes and bitmaps do not rule out: of each node with members before it in the
+    order of sizes, the first or the last of these, or all."""
     schema = pa.schema([("query", pa.int64()), ("node", pa.int64())])
 
+    def met(t: pa.Table):
+        shingle, one, two, part, size, node, label = (t.column(i).to_numpy() for i in range(7))
+        size = size.astype(np.int64)
+        new = (shingle[1:] != shingle[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+        group = np.concatenate(([0], np.cumsum(new))) << 32
+        start = np.searchsorted(group + size, group - (-percent * size // 100))
+        count = np.arange(len(size)) - start
+        ends, bitmaps = np.cumsum(count), Bitmaps(t.column(7).combine_chunks())
+        at = 0
+        while at < len(size):
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] - count[at] + PAIR_STEP, "right")))
+            n = count[at:to]
+            j = np.repeat(np.arange(at, to), n)
+            i = np.repeat(start[at:to] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            keep = (label[i] != label[j]) & ((one[j] == two[j]) | (part[i] != part[j]))
+            i, j = i[keep], j[keep]
+            both = size[i] + size[j]
+            # an overlap of o needs 100 * o >= percent * (a + b - o); the sets then differ in a + b - 2 * o shingles
+            keep = bitmaps.fewest_differences(i, j) <= both + 2 * (-percent * both // (100 + percent))
+            i, j = i[keep], j[keep]
+            if which != "all" and len(j):
+                edge = np.flatnonzero(np.concatenate(([True], j[1:] != j[:-1])) if which == "first" else np.concatenate((j[1:] != j[:-1], [True])))
+                i, j = i[edge], j[edge]
+            if len(j):
+                yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], schema=schema)
+            at = to
+
     def run(batches):
+        rest = None
         for batch in batches:
-            sizes = batch.column(2).to_numpy().astype(np.int64), batch.column(3).to_numpy().astype(np.int64)
-            # an overlap of i needs 100 * i >= percent * (a + b - i); the sets then differ in a + b - 2 * i shingles
-            most = sizes[0] + sizes[1] - 2 * -(-percent * (sizes[0] + sizes[1]) // (100 + percent))
-            bits = zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)
-            keep = pa.array([fewest_differences(a, b) <= m for (a, b), m in zip(bits, most, strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], schema=schema)
-
-    fit = 100 * F.least("size", "query_size") >= percent * F.greatest("size", "query_size")
-    return both.where(fit).select("query", "node", "size", "query_size", "bits", "query_bits").mapInArrow(run, "query long, node long")
+            t = pa.Table.from_batches([batch])
+            t = t if rest is None else pa.concat_tables([rest, t])
+            if not t.num_rows:
+                continue
+            keys = [t.column(i).to_numpy() for i in range(3)]
+            done = int(np.flatnonzero(np.logical_or.reduce([k != k[-1] for k in keys]))[-1]) + 1 if any((k != k[-1]).any() for k in keys) else 0
+            if done:
+                yield from met(t.slice(0, done).combine_chunks())
+            rest = t.slice(done).combine_chunks()
+        if rest is not None and rest.num_rows:
+            yield from met(rest)
+
+    n = partitions(rows.sparkSession)
+    dealt = rows.repartition(n, "shingle", "one", "two").sortWithinPartitions("shingle", "one", "two", "size", "node")
+    return dealt.mapInArrow(run, "query long, node long").distinct()
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -275,7 +357,7 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         query, block, own, nodes, sets_ = None, None, None, [], []
 
         def decided():
-            hits = search_block(own, sets_, percent) if sets_ else []
+            hits = ShingleIndex(sets_).search(own, percent) if sets_ else []
             return pa.RecordBatch.from_arrays([pa.array([query] * len(hits), pa.int64()), pa.array([nodes[i] for i in hits], pa.int64())], schema=schema)
 
         for batch in batches:
@@ -316,20 +398,6 @@ def components(edges: DataFrame) -> DataFrame:
     return own.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(own.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
 
 
-def parity_bits(own: np.ndarray) -> bytes:
-    """The parity of the number of shingles that fall on each bit; about a bit for each shingle. Two sets differ in at least as many
-    shingles as their bits, folded to the same length, differ."""
-    n = min(MOST_BITS, max(LEAST_BITS, 1 << int(np.ceil(np.log2(0.75 * len(own))))))
-    return np.packbits((np.bincount((own & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1).astype(np.uint8), bitorder="little").tobytes()
-
-
-def fewest_differences(a: bytes, b: bytes) -> int:
-    x, y = (np.frombuffer(v, np.uint8) for v in (a, b))
-    n = min(len(x), len(y))
-    x, y = (np.bitwise_xor.reduce(v.reshape(-1, n), axis=0) for v in (x, y))
-    return int(np.bitwise_count(x ^ y).sum())
-
-
 def node_documents(docs: DataFrame, doc_sets: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     """(node, text) of the given nodes, the text of one document of each; where no row of a node has a doc_id, it is found by its signature."""
     one = stored(doc_sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("one_doc")), "node-documents")
@@ -373,42 +441,30 @@ def node_sets(texts_: DataFrame, words: int) -> DataFrame:
     return texts_.mapInArrow(run, "node long, shingles array<long>")
 
 
-def open_pairs(lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """(query, node): in each list, the members outside the list's largest component against all members of other components."""
-    named = lists.join(labels, "node", "left").select("shingle", "size", "node", F.coalesce("label", "node").alias("label"))
-    parts = named.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("members"))
-    largest = parts.groupBy("shingle").agg(F.max(F.struct("members", "label")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("shingle", F.col("most.label").alias("most"))
-    unsettled = stored(named.join(largest, "shingle"), "open-lists")
-    out = unsettled.where("label <> most").select("shingle", F.col("node").alias("query"), F.col("size").alias("query_size"), F.col("label").alias("query_label"))
-    met = unsettled.join(out, "shingle").where((F.col("label") != F.col("query_label")) & (100 * F.least("size", "query_size") >= percent * F.greatest("size", "query_size")))
-    # of two outsiders one is the query
-    return met.where((F.col("label") == F.col("most")) | (F.col("query") < F.col("node"))).select("query", "node").distinct()
-
-
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id): component_id is the smallest doc_id that links lead to."""
+    small_batches(docs.sparkSession)
     doc_sets = stored(document_sets(docs, words), "document-sets")
-    lists = stored(shared_lists(postings(docs, words, percent), percent), "shared-lists")
+    lists = stored(shared_lists(postings(docs, words, percent)), "shared-lists")
     bits = stored(node_bits(node_documents(docs, doc_sets, lists.select("node"), words), words), "node-bits")
-
-    def search(pairs: DataFrame) -> DataFrame:
-        fit = stored(able(pairs, bits, percent), "able-pairs")
-        nodes = fit.select("node").unionByName(fit.select(F.col("query").alias("node")))
+    labels = None
+    for which in ("first", "last", "all"):
+        pairs = stored(may_link(list_rows(lists, bits, labels), which, percent), "pairs")
+        if not pairs.limit(1).count():
+            break
+        nodes = pairs.select("node").unionByName(pairs.select(F.col("query").alias("node")))
         sets = stored(node_sets(node_documents(docs, doc_sets, nodes, words), words), "node-sets")
-        return stored(linked(fit, sets, percent), "links")
-
-    # each node meets the hub of most of its lists first
-    hubs = lists.where("node <> hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("n")).groupBy("node").agg(F.max(F.struct("n", "hub")).alias("most"))
-    edges = search(hubs.select(F.col("most.hub").alias("query"), "node"))
-    labels = stored(components(edges.select(F.col("query").alias("a"), F.col("node").alias("b"))), "labels")
-    more = search(stored(open_pairs(lists, labels, percent), "open-pairs"))
-    if more.limit(1).count():
-        edges = edges.unionByName(more)
-        labels = components(edges.select(F.col("query").alias("a"), F.col("node").alias("b")))
+        edges = linked(pairs, sets, percent).select(F.col("query").alias("a"), F.col("node").alias("b"))
+        if labels is not None:
+            edges = edges.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
+        labels = stored(components(edges), "labels")
     own = doc_sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("low_doc"))
-    own = own.join(labels, "node", "left").select("node", "low_doc", F.coalesce("label", "node").alias("label"))
-    low = own.groupBy("label").agg(F.min("low_doc").alias("component_id"))
-    own = own.join(low, "label").select("node", "component_id")
+    if labels is None:
+        own = own.select("node", F.col("low_doc").alias("component_id"))
+    else:
+        own = own.join(labels, "node", "left").select("node", "low_doc", F.coalesce("label", "node").alias("label"))
+        low = own.groupBy("label").agg(F.min("low_doc").alias("component_id"))
+        own = own.join(low, "label").select("node", "component_id")
     out = doc_sets.join(own, "node", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 

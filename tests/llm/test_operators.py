@@ -137,8 +137,10 @@ def test_jaccard_join(spark, odd_dir, odd_rows):
     assert got == plain_components(odd_rows)
 
 
-def test_jaccard_join_of_chains(spark):
-    """Groups of edited copies, some linked only through others, and a passage that all texts share."""
+@pytest.mark.parametrize("block", (jaccard_join.LIST_BLOCK, 3))
+def test_jaccard_join_of_chains(spark, monkeypatch, block):
+    """Groups of edited copies, some linked only through others, and a passage that all texts share; also with lists of many blocks."""
+    monkeypatch.setattr(jaccard_join, "LIST_BLOCK", block)
     rng = random.Random(3)
     rows, passage = [], prose(rng, 25)
     for g in range(6):
@@ -167,16 +169,30 @@ def test_divide_skip():
     for _ in range(60):
         lists = [np.sort(rng.choice(30, rng.integers(0, 25), replace=False)) for _ in range(rng.integers(1, 40))]
         need = rng.integers(1, 25, 30)
-        count = np.bincount(np.concatenate(lists), minlength=30)
-        assert sorted(jaccard_join.divide_skip(lists, need)) == sorted(np.flatnonzero(count >= need))
+        ends = np.cumsum([len(x) for x in lists])
+        owners = np.concatenate(lists)
+        count = np.bincount(owners, minlength=30)
+        assert sorted(jaccard_join.divide_skip(owners, ends - [len(x) for x in lists], ends, need)) == sorted(np.flatnonzero(count >= need))
+
+
+def test_shingle_index():
+    rng = np.random.default_rng(3)
+    for _ in range(40):
+        pool = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+        sets = [np.unique(rng.choice(pool, rng.integers(1, 120))) for _ in range(rng.integers(1, 30))]
+        query = np.unique(rng.choice(pool, rng.integers(1, 120)))
+        want = [k for k, s in enumerate(sets) if 100 * (i := len(np.intersect1d(s, query))) >= 80 * (len(s) + len(query) - i)]
+        assert sorted(jaccard_join.ShingleIndex(sets).search(query, 80)) == want
 
 
 def test_parity_bits_never_overrate():
     rng = np.random.default_rng(4)
-    for _ in range(100):
-        pool = rng.integers(0, 1 << 63, 600, dtype=np.uint64)
-        a, b = (np.unique(rng.choice(pool, rng.integers(1, 500))) for _ in range(2))
-        assert jaccard_join.fewest_differences(jaccard_join.parity_bits(a), jaccard_join.parity_bits(b)) <= len(np.setxor1d(a, b))
+    pool = rng.integers(0, 1 << 63, 600, dtype=np.uint64)
+    sets = sorted((np.unique(rng.choice(pool, rng.integers(1, 500))) for _ in range(60)), key=len)
+    bitmaps = jaccard_join.Bitmaps(pa.array([jaccard_join.parity_bits(s) for s in sets], pa.binary()))
+    i, j = (np.array(x) for x in zip(*itertools.combinations(range(60), 2), strict=True))
+    found = bitmaps.fewest_differences(i, j)
+    assert (found <= [len(np.setxor1d(sets[a], sets[b])) for a, b in zip(i, j, strict=True)]).all() and (found > 0).sum() > 600
 
 
 def fewest_edits(item, text):
