@@ -314,12 +314,13 @@ def _positions(own: DataFrame, symbols, dealing: Dealing) -> DataFrame:
 
 
 def _row_scores(dealt: DataFrame, symbols, least: float, gain: float) -> DataFrame:
-    """(row, score): sums of log10 probabilities of a row's positions in one task; dealt is sorted by bucket, the sent counts first."""
-    schema = pa.schema([("row", pa.int64()), ("tree", pa.float64())])
+    """(first, data): sums of log10 probabilities of a row's positions in one task, for each step of texts 2 bytes of the row behind the first one
+    and 8 of the sum; dealt is sorted by bucket, the sent counts first."""
+    schema = pa.schema([("first", pa.int64()), ("data", pa.binary())])
     size = 3 * BITS // 8 + 2
 
     def run(batches):
-        root, bucket_, parents, blobs, held = symbols.value.root, None, {1: [], 2: []}, [], []
+        root, bucket_, parents, blobs, held, firsts = symbols.value.root, None, {1: [], 2: []}, [], [], set()
 
         def ended():
             known = {k: tuple(np.concatenate(x) for x in zip(*v, strict=True)) if v else (np.zeros(0, np.uint64), np.zeros(0)) for k, v in parents.items()}
@@ -339,12 +340,17 @@ def _row_scores(dealt: DataFrame, symbols, least: float, gain: float) -> DataFra
                 log = np.log10(scored_codes(own, np.bincount(back, learn, len(own)), root, known, least, gain))
                 held.append(_sums(rows, log[back]))
             parents[1], parents[2] = [], []
+            firsts.update(first for first, _ in blobs)
             blobs.clear()
 
         def sent():
             rows, sums = _sums(*(np.concatenate(x) for x in zip(*held, strict=True))) if held else (np.zeros(0, np.int64), np.zeros(0))
+            steps = np.array(sorted(firsts), np.int64)
+            cuts = np.append(np.searchsorted(rows, steps), len(rows))
+            blobs_ = [(rows[a:b] - f).astype("<u2").tobytes() + sums[a:b].astype("<f8").tobytes() for f, a, b in zip(steps, cuts, cuts[1:], strict=False)]
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(rows), pa.array(sums)], schema=schema)
+            firsts.clear()
+            return pa.RecordBatch.from_arrays([pa.array(steps), pa.array(blobs_, pa.binary())], schema=schema)
 
         for batch in batches:
             b, kind, code, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
@@ -363,7 +369,34 @@ def _row_scores(dealt: DataFrame, symbols, least: float, gain: float) -> DataFra
         ended()
         yield sent()
 
-    return dealt.mapInArrow(run, "row long, tree double")
+    return dealt.mapInArrow(run, "first long, data binary")
+
+
+def _summed(parts: DataFrame) -> DataFrame:
+    """(row, tree): the sums of all tasks."""
+    schema = pa.schema([("row", pa.int64()), ("tree", pa.float64())])
+
+    def run(batches):
+        first, sums = None, np.zeros(1 << 15)
+        there = np.zeros(1 << 15, bool)
+
+        def sent():
+            rows = np.flatnonzero(there)
+            return pa.RecordBatch.from_arrays([pa.array(rows + (first or 0)), pa.array(sums[rows])], schema=schema)
+
+        for batch in batches:
+            for f, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if f != first:
+                    yield sent()
+                    first = f
+                    sums[:], there[:] = 0.0, False
+                n = len(data) // 10
+                rows = np.frombuffer(data, "<u2", n).astype(np.int64)
+                sums[rows] += np.frombuffer(data, "<f8", n, 2 * n)
+                there[rows] = True
+        yield sent()
+
+    return parts.repartition(partitions(parts.sparkSession), "first").sortWithinPartitions("first").mapInArrow(run, "row long, tree double")
 
 
 def score_texts(docs: DataFrame, learn: str = "learn", least: float = LEAST_COUNT, gain: float = GAIN, classes: int = CLASSES, own_words: int = (1 << BITS) - CLASSES - 1) -> DataFrame:
@@ -382,7 +415,7 @@ def score_texts(docs: DataFrame, learn: str = "learn", least: float = LEAST_COUN
     own = docs.select(F.monotonically_increasing_id().alias("row"), F.col("text").cast("string").alias("text"), F.coalesce(F.col(learn), F.lit(False)).alias("learn"), F.struct(*rest).alias("own"))
     both = _positions(own, symbols, dealing).unionByName(sent.withColumn("data", F.lit(None).cast("binary")))
     both = both.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", F.desc("kind"))
-    trees = stored(_row_scores(both, symbols, least, gain).groupBy("row").agg(F.sum("tree").alias("tree")), "tree-scores")
+    trees = stored(_summed(_row_scores(both, symbols, least, gain)), "tree-scores")
     schema = pa.schema([("row", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("within", pa.float64()), ("rare", pa.list_(pa.int64()))])
     kind = own.schema["own"].dataType.simpleString()
 
