@@ -1,12 +1,12 @@
 r"""Personal data: fixed patterns, and spans that a semi-Markov conditional random field adds to them.
 
-The patterns (email, ip, card, phone) give the base spans. The model reads the neighbourhoods of digits and of at-marks
-(the word in any case or the sign), wherever they are in the text. A neighbourhood is cut into tokens; every stretch of up to MOST_TOKENS tokens is a
-candidate for each kind, scored by features of the whole stretch (number of digits and groups, check digit, octets,
-separators, brackets, key words before it, what stands next to it). Dynamic programming over the tokens sums over all
-segmentations, and so chooses boundaries and kinds together; stretches of the best segmentation whose probability is at
-least LEAST_PROBABILITY and that touch no base span are added. The model is fitted on the driver to sentences made from a
-fixed seed; no document is used.
+The patterns (email, ip, card, phone) give the base spans. The model reads the neighbourhoods of digits, of at-marks
+(the word in any case or the sign, where some spelling of a dot follows) and of long runs that mix letters and digits, wherever they are in the text. A neighbourhood is cut into
+tokens; every stretch of up to MOST_TOKENS tokens is a candidate for each kind (the four, and secret and iban), scored by features of the whole
+stretch (number of digits and groups, check digits, octets, separators, brackets, key words before it, what stands next to it). Dynamic
+programming over the tokens sums over all segmentations, and so chooses boundaries and kinds together; stretches of the best segmentation
+whose probability is at least LEAST_PROBABILITY and that touch no base span are added. The model is fitted on the driver, once a session, to
+sentences made from a fixed seed; no document is used.
 
 Defined cases: null text is an empty one and has no spans; positions are code points; rows that repeat are read each;
 an empty table gives an empty result; other columns, whatever their names, are not read.
@@ -25,9 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import small_batches, table
 
-KINDS = ("email", "ip", "card", "phone")
+KINDS = ("email", "ip", "card", "phone", "secret", "iban")
+#: The first kinds have patterns.
+BASE_KINDS = 4
 # The base patterns.
 _IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
@@ -73,28 +75,44 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out, key=lambda x: (x[0], x[2]))
 
 
-_TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|\s+|.", re.S)
+#: A run of 16 or more that mixes letters and digits is one token.
+_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}=*(?![A-Za-z0-9])")
+_TOKEN = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[+/_-]*[A-Za-z0-9+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{16,}=*(?![A-Za-z0-9])|[A-Za-z]+|[0-9]+|\s+|.", re.S)
+_IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")
 _DIGITS = re.compile(r"[0-9][0-9()\x20./-]{5,}[0-9]")
-_AT = re.compile(r"(?<![^\W_])at(?![^\W_])|@", re.I)
+_AT = re.compile(r"[aA][tT](?![^\W_])|@")
+#: An address has a dot behind its at-mark, as a word, in brackets, between blanks or between letters.
+_ANY_DOT = re.compile(r"(?<![^\W_])[dD][oO][tT](?![^\W_])|[^\W_]\.[^\W_]|[\[({]\s*\.\s*[\])}]|\s\.\s")
 _DOT = re.compile(r"\s*[\[({]\s*(?:dot|\.)\s*[\])}]\s*|\s+(?:dot|\.)\s+", re.I)
-_KEYS = {"call": "phone", "phone": "phone", "tel": "phone", "mobile": "phone", "fax": "phone", "mail": "email", "email": "email", "contact": "email", "write": "email", "card": "card", "visa": "card", "mastercard": "card", "credit": "card", "ip": "ip", "host": "ip", "server": "ip", "address": "ip"}
+_KEYS = {"call": "phone", "phone": "phone", "tel": "phone", "mobile": "phone", "fax": "phone", "mail": "email", "email": "email", "contact": "email", "write": "email", "card": "card", "visa": "card", "mastercard": "card", "credit": "card", "ip": "ip", "host": "ip", "server": "ip", "address": "ip", "token": "secret", "secret": "secret", "key": "secret", "apikey": "secret", "password": "secret", "passwd": "secret", "bearer": "secret", "auth": "secret", "iban": "iban", "account": "iban"}
 _FEATURES = {k: i for i, k in enumerate((
     "bias", "luhn", "not luhn", "digits<7", "digits7-9", "digits10-11", "digits12-15", "digits16", "digits17+", "groups1", "groups2", "groups3-4", "groups5+",
     "octets", "plus", "bracket", "dots", "hyphens", "blanks", "slashes", "at sign", "spelled at", "spelled dot", "letters", "mixed separators", "other", "starts odd", "ends odd",
     "digit before", "digit after", "word before", "word after", "key", "other key", "three-three-four", "four-four-four-four", "known end",
     "no name", "blank in name", "cut name", "no dot", "blank in domain",
+    "run", "hexadecimal", "both cases", "run32+", "quoted", "assigned", "iban check", "country", "dot beside", "dots in name",
 ))}
 _ENDS = frozenset("com org net edu de fr es io info eu uk".split())
 
 
+def _mixed(run: str) -> bool:
+    return any(c.isdigit() for c in run) and any(c.isalpha() for c in run)
+
+
+def iban_check(text: str) -> bool:
+    own = text.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in own[4:] + own[:4])) % 97 == 1
+
+
 def _near(text: str):
     """Stretches of text that hold something to look at, merged where they meet, each with the start of the first and the end
     of the last thing in it."""
     found = [(m.start(), m.end()) for m in _DIGITS.finditer(text)]
-    found += [(m.start(), m.end()) for m in _AT.finditer(text)]
+    found += [(a, b) for m in _AT.finditer(text) if not ((a := m.start()) and text[a] != "@" and text[a - 1].isalnum()) and _ANY_DOT.search(text, b := m.end(), b + AROUND_DOMAIN)]
+    found += [(m.start(), m.end()) for m in _RUN.finditer(text) if _mixed(m[0])]
     merged: list[list[int]] = []
     for first, last in sorted(found):
-        before, behind = (AROUND, AROUND) if text[first].isdigit() else (AROUND_NAME, AROUND_DOMAIN)
+        before, behind = (AROUND_NAME, AROUND_DOMAIN) if last - first <= 2 else (AROUND, AROUND)
         a, b = max(0, first - before), min(len(text), last + behind)
         if merged and a <= merged[-1][1] and b - merged[-1][0] <= MOST_AROUND:
             merged[-1][1], merged[-1][3] = max(b, merged[-1][1]), max(last, merged[-1][3])
@@ -110,6 +128,15 @@ def _stretches(tokens: list[str]):
         figures.append(figures[-1] + (len(t) if t.isdigit() and t.isascii() else 0))
         marks_.append(marks_[-1] + (t == "@" or t.lower() == "at"))
     for s, first in enumerate(tokens):
+        if len(first) >= 16 and _mixed(first):
+            f = ["bias", "run"]
+            bare = first.rstrip("=")
+            f += [k for k, c in (("hexadecimal", re.fullmatch("[0-9a-fA-F]+", bare)), ("both cases", bare.lower() != bare != bare.upper()), ("run32+", len(bare) >= 32)) if c]
+            f += [k for k, c in (("quoted", s and tokens[s - 1] in "\"'`"), ("assigned", any(t in "=:" for t in tokens[max(0, s - 3) : s]))) if c]
+            if _IBAN.fullmatch(first):
+                f += ["country", *["iban check"] * iban_check(first)]
+            yield s, s + 1, [_FEATURES[x] for x in f], {_KEYS[t.lower()] for t in tokens[max(0, s - 6) : s] if t.lower() in _KEYS}
+            continue
         if first.isspace() or not (first[0].isalnum() or first in "+("):
             continue
         for e in range(s + 1, min(len(tokens), s + MOST_TOKENS) + 1):
@@ -151,10 +178,14 @@ def _stretches(tokens: list[str]):
                 f.append("four-four-four-four")
             if low[-1] in _ENDS:
                 f.append("known end")
+            if len(first) == 2 and _IBAN.fullmatch(text):
+                f += ["country", *["iban check"] * iban_check(text)]
             if spelled and len(own) >= 5:
                 mark = next(i for i in range(1, len(own) - 1) if low[i] in ("at", "@"))
                 name = "".join(own[:mark]).rstrip("[({_- ")
-                f += [k for k, c in (("no name", not name), ("blank in name", " " in name)) if c]
+                plain = _DOT.sub(".", name)
+                f += [k for k, c in (("no name", not name), ("blank in name", " " in plain), ("dots in name", " " in name and "." in plain)) if c]
+                f += ["dot beside"] * ("dot" in [t.lower() for t in tokens[max(0, s - 2) : s] + tokens[e : e + 2]])
                 if s and not tokens[s - 1].isspace() and tokens[s - 1] not in ":,;([<":
                     f.append("cut name")
                 domain = _DOT.sub(".", "".join(own[mark + 1 :])).lstrip("])}_- ")
@@ -266,7 +297,7 @@ class SemiCrf:
         return out[::-1]
 
 
-def made_sentences(n: int = 420, seed: int = 1) -> list[tuple[list[str], set[tuple[int, int, int]]]]:
+def made_sentences(n: int = 640, seed: int = 1) -> list[tuple[list[str], set[tuple[int, int, int]]]]:
     """Labelled sentences: personal data in many spellings among look-alikes."""
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice("aeioulnrst") for _ in range(rng.randint(2, 9)))
@@ -279,7 +310,7 @@ def made_sentences(n: int = 420, seed: int = 1) -> list[tuple[list[str], set[tup
                 return d
 
     def made() -> tuple[str, int | None, str]:
-        c = rng.randint(0, 15)
+        c = rng.randint(0, 20)
         sep = rng.choice((" ", "-", "."))
         if c < 2:
             return card(True), 2, "card"
@@ -289,25 +320,41 @@ def made_sentences(n: int = 420, seed: int = 1) -> list[tuple[list[str], set[tup
         if c < 6:
             return rng.choice((f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}{sep}{num(3)}{sep}{num(4)}", f"+{num(1)} ({num(3)}) {num(3)}-{num(4)}", f"+{num(2)} {num(3)} {num(6)}")), 3, "phone"
         if c < 8:
-            return rng.choice((f"{word()} at {word()} dot com", f"{word()} [at] {word()} [dot] org", f"{word()}.{num(2)}(at){word()}(dot)net", f"{word()} (at) {word()}.de")), 0, "email"
+            return rng.choice((f"{word()} at {word()} dot com", f"{word()} [at] {word()} [dot] org", f"{word()}.{num(2)}(at){word()}(dot)net", f"{word()} (at) {word()}.de", f"{word()} dot {word()} at {word()} dot com", f"{word()}.{word()} AT {word()} DOT org")), 0, "email"
         if c == 8:
             return ".".join(str(rng.randint(0, 255)) for _ in range(4)), 1, "ip"
         if c < 12:
             return card(False), None, ""
+        if c > 15:
+            hex_ = "".join(rng.choice("0123456789abcdef") for _ in range(rng.choice((32, 40, 64))))
+            any_ = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(rng.choice((20, 24, 32, 43))))
+            run = rng.choice((hex_, hex_.upper(), any_))
+            if c < 19:
+                return run if _mixed(run) else hex_ + "0a", 4, "secret"
+            if c == 19:  # digests, names and versions are no secrets
+                return rng.choice((f"commit {hex_}", f"sha {hex_}", f"{word()}{word()}{word()}{num(3)}{word()}", f"{word()}-{word()}-{num(2)}-{num(4)}-{word()}", f"/{word()}/{word()}/{num(4)}/{word()}")), None, ""
+            country, rest = rng.choice(("DE", "FR", "ES", "NL", "GB")), num(rng.choice((14, 18, 20)))
+            check = 98 - int("".join(str(int(x, 36)) for x in rest + country + "00")) % 97
+            iban = f"{country}{check:02d}{rest}"
+            return rng.choice((iban, " ".join(iban[i : i + 4] for i in range(0, len(iban), 4)))), 5, "iban"
         return rng.choice((f"{num(4)}-{num(2)}-{num(2)}", f"{num(6)}", f"{num(8)}", f"{num(5)} {num(5)}", f"{num(2)}.{num(2)}.{num(4)}", f"{num(3)}.{num(3)}", f"{num(20)}", f"{word()}{num(10)}{word()}", f"{num(1)}.{num(1)}.{num(2)}-{num(3)}", f"{num(4)} {num(4)} {num(4)}", f"1{num(3)}/{num(4)}", f"{num(3)}-{num(9)}")), None, ""
 
-    keys = {"card": ("card", "visa", "credit"), "phone": ("call", "phone", "tel"), "email": ("email", "contact", "mail"), "ip": ("ip", "server", "host")}
+    keys = {"card": ("card", "visa", "credit"), "phone": ("call", "phone", "tel"), "email": ("email", "contact", "mail"), "ip": ("ip", "server", "host"), "iban": ("iban", "account"), "secret": ("token", "secret", "api_key", "password", "key", "bearer", "TOKEN")}
     out = []
     for _ in range(n):
         text, gold = " ".join(word() for _ in range(rng.randint(1, 4))), []
         for _ in range(rng.randint(1, 2)):
             own, k, kind = made()
-            if k is not None and rng.random() < 0.4:
-                text += f" {rng.choice(keys[kind])}{rng.choice((':', ''))}"
-            text += rng.choice((" ", " ", "\n"))
+            if kind == "secret":
+                text += f" {rng.choice(keys[kind])}{rng.choice((' = ', '=', ': ', ' '))}{(quote := rng.choice(('', '\"', '\"', chr(39))))}"
+            else:
+                quote = ""
+                if k is not None and rng.random() < 0.4:
+                    text += f" {rng.choice(keys[kind])}{rng.choice((':', ''))}"
+                text += rng.choice((" ", " ", "\n"))
             if k is not None:
                 gold.append((len(text), len(text) + len(own), k))
-            text += own + rng.choice((" ", ". ", ", ", " ")) + " ".join(word() for _ in range(rng.randint(0, 3)))
+            text += own + quote + rng.choice((" ", ". ", ", ", " ", "!! ")) + " ".join(word() for _ in range(rng.randint(0, 3)))
         tokens = _TOKEN.findall(text)
         places = np.concatenate(([0], np.cumsum([len(t) for t in tokens])))
         at = {int(p): i for i, p in enumerate(places)}
@@ -334,7 +381,10 @@ def added_spans(model: SemiCrf, text: str, base: list[tuple[int, int, int]]) ->
     return out
 
 
-FOUND = T.StructType([*(T.StructField(f"n_{k}", T.LongType()) for k in KINDS), T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())])
+FOUND = T.StructType([
+    *(T.StructField(f"n_{k}", T.LongType()) for k in KINDS[:BASE_KINDS]), T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType()),
+    *(T.StructField(f"n_{k}", T.LongType()) for k in KINDS[BASE_KINDS:]), T.StructField("n_added", T.LongType()), T.StructField("n_spans", T.LongType()),
+])
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
@@ -342,7 +392,8 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def finder(model: SemiCrf):
-    """A column function: text to the struct (n_email, n_ip, n_card, n_phone, base_sha256, spans); the counts are of base spans."""
+    """A column function: text to a struct. n_email, n_ip, n_card and n_phone count base spans; n_secret and n_iban, which have none, and
+    n_added count the model's; n_spans counts all."""
 
     @F.pandas_udf(FOUND)
     def find(text: pd.Series) -> pd.DataFrame:
@@ -350,13 +401,15 @@ def finder(model: SemiCrf):
         for t in text:
             t = t or ""
             base = base_spans(t)
-            n = [sum(k == i for _, _, k in base) for i in range(len(KINDS))]
-            rows.append((*n, hashlib.sha256(joined(base).encode()).hexdigest(), joined(base + added_spans(model, t, base))))
+            added = added_spans(model, t, base)
+            n = [sum(k == i for _, _, k in (base if i < BASE_KINDS else added)) for i in range(len(KINDS))]
+            rows.append((*n[:BASE_KINDS], hashlib.sha256(joined(base).encode()).hexdigest(), joined(base + added), *n[BASE_KINDS:], len(added), len(base) + len(added)))
         return pd.DataFrame(rows, columns=[f.name for f in FOUND])
 
     return find
 
 
 def op2_personal_data(spark, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", finder(fitted())(F.col("text").cast("string")).alias("found")).select("doc_id", "found.*")

@@ -457,6 +457,23 @@ def test_spelled_addresses():
         assert [(t[s:e], k) for s, e, k in personal_data.added_spans(model, t, personal_data.base_spans(t))] == [(own, 0)], own
 
 
+def test_secrets_and_account_numbers(spark):
+    model = personal_data.fitted()
+    for t, want in (
+        ('TOKEN = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"!!', [("9233A8ECF7C5B09FE5949719B6B82BC439E9329B", 4)]),
+        ("see commit 04dbebab91ab85687d33eeaaf9ac699e1188f962 of it", []),
+        ("to iban DE89 3704 0044 0532 0130 00 by friday", [("DE89 3704 0044 0532 0130 00", 5)]),
+        ("write to jane dot doe at example dot com today", [("jane dot doe at example dot com", 0)]),
+        ("at home. at work and at sea", []),
+    ):
+        assert [(t[s:e], k) for s, e, k in personal_data.added_spans(model, t, personal_data.base_spans(t))] == want, t
+    texts_ = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    rows = QUERIES["op2_personal_data"](spark, "/root/testdata/sf0.01").collect()
+    there = {r["doc_id"]: len(re.findall(r'(?i)token = "[0-9a-f]{40}"', texts_[r["doc_id"]])) for r in rows}
+    assert sum(there.values()) > 10 and all(r["n_secret"] == there[r["doc_id"]] for r in rows)
+    assert all(r["n_spans"] == len([x for x in r["spans"].split(",") if x]) for r in rows)
+
+
 def test_language_id(spark):
     df = QUERIES["op1_language_id"](spark, "/root/testdata/sf0.01").toPandas()
     truth = duckdb.sql("select doc_id, lang from '/root/testdata/sf0.01/documents.parquet'").df()
