@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, lower, prefix_hashes, stretch, table, texts
+from .common import SPACE, lower, prefix_hashes, small_batches, stretch, table, texts
 
 Q, ERROR = 12, 0.06
 #: q-grams of items that are sent to the tasks at once (24 bytes each and a 4 MB bitmap).
@@ -140,6 +140,7 @@ def find(items: Items, text: np.ndarray, h: np.ndarray, base: int) -> dict[int,
 def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, error: float = ERROR) -> DataFrame:
     """(doc_id, item_id, edits, end_byte): each item found in each document, with its fewest edits; end_byte in the normalised text."""
     spark = docs.sparkSession
+    small_batches(spark)
     bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("item_text")).where("item_text is not null")
     grams = bench.agg(F.sum(F.octet_length("item_text"))).first()[0] or 0
     blocks = max(1, -(-4 * grams // (3 * BLOCK_GRAMS)))

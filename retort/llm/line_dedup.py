@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored, table
+from .common import small_batches, stored, table
 
 MIN_CHARS, MIN_DOCS = 40, 5
 #: Keys in one filter shard at most, on average; and frequent keys up to which filters or the exact table are broadcast.
@@ -222,6 +222,7 @@ def _kept(min_chars: int):
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, refs: DataFrame | None = None, out: str = "line_dedup") -> DataFrame:
     """docs with the struct column out (n_lines, n_dropped, kept), which replaces one of that name: lines whose key is in at least min_docs
     documents stay only in the largest doc_id. refs: an index that already holds docs, from insert_documents."""
+    small_batches(docs.sparkSession)
     top = stored(frequent(references(docs, min_chars) if refs is None else refs, min_docs), "frequent-lines")
     n = top.count()
     if n <= BROADCAST_KEYS:

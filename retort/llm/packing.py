@@ -26,12 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import partitions, table, texts
+from .common import partitions, small_batches, table, texts
 
 LENGTH, END_ID = 2048, 1
 DIMS, CELL_BITS, SAMPLE = 4, 8, 20_000
-#: Words whose ids a Python worker keeps; then it starts anew.
-KEPT_WORDS = 400_000
+#: Words whose ids a Python worker keeps (about 200 bytes each); then it starts anew. And words that are encoded at once (about 1 KB each meanwhile).
+KEPT_WORDS, LEARNT_WORDS = 100_000, 2048
 _HASHED = 256
 _PROJECTION = np.random.default_rng(11).standard_normal((_HASHED, DIMS)).astype(np.float32)
 
@@ -130,8 +130,10 @@ class WordTokenizer:
         cut = {w: (w[: m.start()], m[0]) for w in new if (m := self._TAIL.search(w))}
         own = {w for w in new if w not in cut} | {x for pair in cut.values() for x in pair if x not in self.known}
         own = sorted(own)
-        for w, e in zip(own, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in own], add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
+        for at in range(0, len(own), LEARNT_WORDS):
+            part = own[at : at + LEARNT_WORDS]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
+                self.known[w] = np.array(e.ids, "<u4").tobytes()
         for w, (a, b) in cut.items():
             self.known[w] = self.known[a] + self.known[b]
 
@@ -177,6 +179,7 @@ class _Open:
 def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
+    small_batches(spark)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     n, rows = partitions(spark), own.count()
     part = 1_000_000
