@@ -4,8 +4,9 @@ A window is WINDOW bytes of the text with A-Z lower-cased. Its bytes are embedde
 it; each filter's largest answer in the window is kept; a softmax layer reads these. A text's prediction is the mean of its windows' log
 probabilities, weighted by their bytes; all windows of the whole text are read, in batches of fixed size.
 
-The network is fitted on the driver to at most SAMPLE labelled texts, an equal share for each language, chosen by a
-hash of doc_id, and at most WINDOWS windows of each; that bound does not grow with the table.
+The network is fitted on the driver to about SAMPLE labelled texts, an equal share for each language (LEAST_SHARE at least, so that no
+label is left out however many there are), chosen by a hash of doc_id, and at most WINDOWS windows of each; that bound follows the number
+of languages, not the table.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; if no labelled text exists every text is
 ``und``; rows that repeat are predicted each; an empty table gives an empty result; other columns are not read.
@@ -20,10 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bucket, lower, table, texts
+from .common import bucket, lower, small_batches, table, texts
 
 WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4, 5), 12, 8
-SAMPLE, WINDOWS, EPOCHS, MOST_LANGUAGES = 2400, 2, 12, 200
+SAMPLE, WINDOWS, EPOCHS, LEAST_SHARE = 2400, 2, 12, 8
 #: Windows that are read at once.
 BATCH = 256
 SPAN = max(WIDTHS)
@@ -111,17 +112,17 @@ def train(docs: DataFrame, label: str = "lang") -> ByteNet | None:
     """A network fitted to the labelled rows of docs (columns doc_id, text and label); None without labels."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(label).cast("string").alias("label"))
     own = own.where("label is not null and text rlike '\\\\p{L}'")
-    counts = {r["label"]: r["n"] for r in own.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").limit(MOST_LANGUAGES).collect()}
+    counts = {r["label"]: r["n"] for r in own.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return None
-    share = max(1, SAMPLE // len(counts))
+    share = max(LEAST_SHARE, SAMPLE // len(counts))
     part = 1_000_000_000
     take = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(part, 1 + part * share // n))])
     sample = own.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(part)) < F.coalesce(take[F.col("label")], F.lit(0))).select("label", "doc_id", "text")
     long_ = F.length("text")
     # WINDOWS stretches of a text, evenly apart
     starts = [F.floor(F.greatest(F.lit(0), long_ - WINDOW) * i / max(1, WINDOWS - 1)).cast("int") + 1 for i in range(WINDOWS)]
-    rows = sample.select("label", "doc_id", F.array(*[F.substr("text", s, F.lit(WINDOW)) for s in starts]).alias("parts")).limit(2 * SAMPLE).toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")]).to_pylist()
+    rows = sample.select("label", "doc_id", F.array(*[F.substr("text", s, F.lit(WINDOW)) for s in starts]).alias("parts")).distinct().toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")]).to_pylist()
     labels = sorted(counts)
     parts = [(p.encode()[:WINDOW], labels.index(r["label"])) for r in rows for p in dict.fromkeys(r["parts"])]
     if not parts:
@@ -163,6 +164,7 @@ def predictor(net: ByteNet | None):
 
 def identify(docs: DataFrame, net: ByteNet | None, out: str = "language") -> DataFrame:
     """docs with the struct column out (lang_pred, score), which replaces one of that name; ``und`` and 0 for texts without a letter."""
+    small_batches(docs.sparkSession)
     text = docs["text"].cast("string")
     nothing = F.struct(F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     found = F.when(F.coalesce(text.rlike(r"\p{L}"), F.lit(False)), predictor(net)(text)).otherwise(nothing)

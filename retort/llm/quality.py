@@ -7,7 +7,7 @@ below zero, its gradient is reversed. The score is a logistic curve of g, set by
 
 Features of a whole text: the square roots of the shares of its byte values and hashed byte trigrams, its length, word
 length, and the share of its lines and words that repeat. They are computed where the text is read; the driver gets the features
-of at most POSITIVES + UNLABELLED + CURVE texts, chosen by a hash of doc_id, a bound that does not grow with the table.
+of about POSITIVES + UNLABELLED + CURVE texts, chosen by a hash of doc_id, one text an id: a bound that does not grow with the table.
 
 Defined cases: null text is an empty one and is scored as such; without labels, or labels of one kind only, the score is the class prior (0.5
 without labels); rows that repeat are scored each; an empty table gives an empty result; other columns are not read.
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bucket, table, texts, word_hashes
+from .common import bucket, small_batches, table, texts, word_hashes
 from .packing import trigram_histograms
 
 POSITIVES, UNLABELLED, CURVE = 1500, 3000, 2000
@@ -124,9 +124,10 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[PuNet | None, float]:
         F.when(F.col("good").isNotNull() & (chance(3) < part * CURVE // (good + bad) + 1), F.lit("curve")),
     ))
     of = F.pandas_udf(_features_column, T.ArrayType(T.FloatType()))
-    few = rows.withColumn("picks", picks).where(F.size("picks") > 0).limit(2 * (POSITIVES + UNLABELLED + CURVE)).select(F.col("doc_id").alias("picked_doc"), "good", "picks").distinct()
+    few = rows.withColumn("picks", picks).where(F.size("picks") > 0).select(F.col("doc_id").alias("picked_doc"), "good", "picks").distinct()
     texts_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    picked = texts_.join(F.broadcast(few), texts_["doc_id"] == few["picked_doc"]).select("doc_id", "good", "picks", of("text").alias("x")).toPandas()
+    met = texts_.join(F.broadcast(few), texts_["doc_id"] == few["picked_doc"]).groupBy("doc_id", "good", "picks").agg(F.min("text").alias("text"))
+    picked = met.select("doc_id", "good", "picks", of("text").alias("x")).toPandas()
     picked = picked.sort_values(["doc_id", "good"], kind="stable")
     x = np.stack(list(picked["x"])) if len(picked) else np.zeros((0, 256 + TRIGRAMS + 5), np.float32)
     have = {k: np.array([k in p for p in picked["picks"]], bool) for k in ("pos", "unl", "curve")}
@@ -149,6 +150,7 @@ def scorer(net: PuNet | None, prior: float):
 
 
 def op9_quality(spark, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     training = bucket(F.col("doc_id"), 4) != 2
     net, prior = train(docs.where(training), labels.where(training))
