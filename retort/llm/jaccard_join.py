@@ -39,7 +39,7 @@ FREQUENT, MOST_FREQUENT, COUNTED = 8, 1 << 20, 1 << 19
 #: Candidate sets that one query meets in one block.
 BLOCK = 256
 #: Bits of a set's parity bitmap; and rows (16 bytes each) up to which a table of documents to read again is broadcast.
-LEAST_BITS, MOST_BITS, BROADCAST_ROWS = 128, 8192, 1 << 20
+LEAST_BITS, MOST_BITS, BROADCAST_ROWS = 512, 32768, 1 << 20
 #: Members of a list that one task reads together; and pairs whose bitmaps are compared at once.
 LIST_BLOCK, PAIR_STEP = 2048, 1 << 17
 _FACTORS = np.random.default_rng(5).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
@@ -156,8 +156,9 @@ def postings(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
 
 def shared_lists(posted: DataFrame) -> DataFrame:
-    """(shingle, node, place): lists of at least two nodes, and each node's place in its list by size."""
-    schema = pa.schema([("shingle", pa.int64()), ("node", pa.int64()), ("place", pa.int32())])
+    """(list, node, place): lists of at least two nodes, and each node's place in its list by size. Of lists with the same members one
+    is kept: near copies share most of theirs."""
+    schema = pa.schema([("list", pa.int64()), ("more", pa.int64()), ("start", pa.int32()), ("nodes", pa.list_(pa.int64()))])
 
     def run(batches):
         shingle, node = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -165,21 +166,32 @@ def shared_lists(posted: DataFrame) -> DataFrame:
             shingle, node = (np.concatenate((x, batch.column(c).to_numpy())) for x, c in ((shingle, 0), (node, 2)))
             # the last list may go on
             open_ = int(np.searchsorted(shingle, shingle[-1])) if len(shingle) else 0
-            yield from sent(shingle[:open_], node[:open_])
+            yield sent(shingle[:open_], node[:open_])
             shingle, node = shingle[open_:], node[open_:]
-        yield from sent(shingle, node)
+        yield sent(shingle, node)
 
     def sent(shingle, node):
         new = np.concatenate(([True], (shingle[1:] != shingle[:-1]) | (node[1:] != node[:-1])))[: len(shingle)]
         shingle, node = shingle[new], node[new]
         first = np.flatnonzero(np.concatenate(([True], shingle[1:] != shingle[:-1])))[: len(shingle)]
-        length = np.diff(np.concatenate((first, [len(shingle)])))
+        length = np.diff(np.append(first, len(shingle)))
         keep = np.repeat(length > 1, length)
-        place = np.arange(len(shingle)) - np.repeat(first, length)
-        yield pa.RecordBatch.from_arrays([pa.array(shingle[keep]), pa.array(node[keep]), pa.array(place[keep].astype(np.int32))], schema=schema)
+        shingle, node = shingle[keep], node[keep]
+        place = (np.arange(len(keep)) - np.repeat(first, length))[keep]
+        length = np.repeat(length, length)[keep]
+        first = np.flatnonzero(place % LIST_BLOCK == 0)  # long lists are several rows
+        if not len(first):
+            return pa.RecordBatch.from_pylist([], schema=schema)
+        members = node.view(np.uint64)
+        of = np.stack([np.add.reduceat(mix(members ^ np.uint64(salt)), first) for salt in (0, 0x5DEECE66D)]).view(np.int64)
+        long = length[first] > LIST_BLOCK
+        one, two = np.where(long, shingle[first], of[0]), np.where(long, -1, of[1])
+        nodes = pa.ListArray.from_arrays(pa.array(np.append(first, len(node)).astype(np.int32)), pa.array(node))
+        return pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array(place[first].astype(np.int32)), nodes], schema=schema)
 
     n = partitions(posted.sparkSession)
-    return posted.repartition(n, "shingle").sortWithinPartitions("shingle", "size", "node").mapInArrow(run, "shingle long, node long, place int")
+    rows = posted.repartition(n, "shingle").sortWithinPartitions("shingle", "size", "node").mapInArrow(run, "list long, more long, start int, nodes array<long>")
+    return rows.dropDuplicates(["list", "more", "start"]).select("list", "start", F.posexplode("nodes").alias("pos", "node")).select("list", "node", (F.col("start") + F.col("pos")).alias("place"))
 
 
 def divide_skip(owners: np.ndarray, starts: np.ndarray, ends: np.ndarray, need: np.ndarray, skew: float = 0.01) -> np.ndarray:
@@ -240,9 +252,9 @@ class ShingleIndex:
 
 
 def parity_bits(own: np.ndarray) -> bytes:
-    """The parity of the number of shingles that fall on each bit; about a bit for each shingle. Two sets differ in at least as many
+    """The parity of the number of shingles that fall on each bit; three to six bits for each shingle. Two sets differ in at least as many
     shingles as their bits, folded to the same length, differ."""
-    n = min(MOST_BITS, max(LEAST_BITS, 1 << int(np.ceil(np.log2(0.75 * len(own))))))
+    n = min(MOST_BITS, max(LEAST_BITS, 4 << int(np.ceil(np.log2(max(1.0, 0.75 * len(own)))))))
     return np.packbits((np.bincount((own & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
@@ -273,7 +285,7 @@ class Bitmaps:
 
 
 def list_rows(lists: DataFrame, bits: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """(shingle, one, two, part, size, node, label, bits) of the lists whose members are not all in one component. Lists of several
+    """(list, one, two, part, size, node, label, bits) of the lists whose members are not all in one component. Lists of several
     blocks are dealt as pairs of blocks (one, two)."""
     own = lists
     if labels is None:
@@ -281,14 +293,14 @@ def list_rows(lists: DataFrame, bits: DataFrame, labels: DataFrame | None) -> Da
     else:
         own = own.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         own = stored(own, "labelled-lists")
-        own = own.join(own.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("shingle"), "shingle", "left_semi")
+        own = own.join(own.groupBy("list").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("list"), "list", "left_semi")
     own = own.withColumn("part", (F.col("place") / LIST_BLOCK).cast("int"))
-    blocks = lists.where(F.col("place") >= LIST_BLOCK).groupBy("shingle").agg((F.max("place") / LIST_BLOCK).cast("int").alias("last"))
-    own = own.join(blocks, "shingle", "left")
+    blocks = lists.where(F.col("place") >= LIST_BLOCK).groupBy("list").agg((F.max("place") / LIST_BLOCK).cast("int").alias("last"))
+    own = own.join(blocks, "list", "left")
     pair = F.struct(F.least("k", "part").alias("one"), F.greatest("k", "part").alias("two"))
-    one = own.where("last is null").select("shingle", F.lit(0).alias("one"), F.lit(0).alias("two"), "part", "node", "label")
-    many = own.where("last is not null").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("last")))).withColumn("pair", pair).select("shingle", "pair.one", "pair.two", "part", "node", "label")
-    return one.unionByName(many).join(bits, "node").select("shingle", "one", "two", "part", "size", "node", "label", "bits")
+    one = own.where("last is null").select("list", F.lit(0).alias("one"), F.lit(0).alias("two"), "part", "node", "label")
+    many = own.where("last is not null").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("last")))).withColumn("pair", pair).select("list", "pair.one", "pair.two", "part", "node", "label")
+    return one.unionByName(many).join(bits, "node").select("list", "one", "two", "part", "size", "node", "label", "bits")
 
 
 def may_link(rows: DataFrame, which: str, percent: int) -> DataFrame:
@@ -297,9 +309,9 @@ def may_link(rows: DataFrame, which: str, percent: int) -> DataFrame:
     schema = pa.schema([("query", pa.int64()), ("node", pa.int64())])
 
     def met(t: pa.Table):
-        shingle, one, two, part, size, node, label = (t.column(i).to_numpy() for i in range(7))
+        list_, one, two, part, size, node, label = (t.column(i).to_numpy() for i in range(7))
         size = size.astype(np.int64)
-        new = (shingle[1:] != shingle[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+        new = (list_[1:] != list_[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])
         group = np.concatenate(([0], np.cumsum(new))) << 32
         start = np.searchsorted(group + size, group - (-percent * size // 100))
         count = np.arange(len(size)) - start
@@ -339,7 +351,7 @@ def may_link(rows: DataFrame, which: str, percent: int) -> DataFrame:
             yield from met(rest)
 
     n = partitions(rows.sparkSession)
-    dealt = rows.repartition(n, "shingle", "one", "two").sortWithinPartitions("shingle", "one", "two", "size", "node")
+    dealt = rows.repartition(n, "list", "one", "two").sortWithinPartitions("list", "one", "two", "size", "node")
     return dealt.mapInArrow(run, "query long, node long").distinct()
 
 
