@@ -9,6 +9,7 @@ import functools
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -107,6 +108,18 @@ KEYS = {
 }
 
 
+def _circular(radius: int, nbits: int, mode: str):
+    """An Arrow function: the distinct texts of a batch are read, and all their atoms step together."""
+
+    def run(smiles: pa.Array) -> pa.Array:
+        coded = smiles.dictionary_encode(null_encoding="encode")
+        rows = fp.circular_batch([_read(s, mode)[0] for s in coded.dictionary.to_pylist()], radius, nbits)
+        flat = rows[coded.indices.to_numpy(zero_copy_only=False)].reshape(-1) if len(rows) else np.zeros(0, np.int64)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(smiles) + 1, dtype=np.int32) * (nbits // 64)), pa.array(flat))
+
+    return F.arrow_udf(run, WORDS)
+
+
 def fingerprint(smiles: Column | str, kind: str = "ecfp4", radius: int = 2, nbits: int = 2048, backend: str = "rust", strict: bool | None = None) -> Column:
     """Words of 64 bits. ecfp4 with backend ``rust`` is the compat reading's and gives zeros for invalid text; other kinds and backends read
     fully. ecfp4 of the ``rdkit`` backend stops the query at invalid text; the others give zeros."""
@@ -119,7 +132,10 @@ def fingerprint(smiles: Column | str, kind: str = "ecfp4", radius: int = 2, nbit
         raise ValueError(f"unknown backend {backend!r}")
     compat = kind == "ecfp4" and backend == "rust"
     n = 3 if kind == "maccs" else nbits // 64
-    words = _column(WORDS, *kinds[kind], mode="compat" if compat else "full", invalid=[0] * n)(smiles)
+    if kind == "ecfp4":
+        words = _circular(radius, nbits, "compat" if compat else "full")(smiles)
+    else:
+        words = _column(WORDS, *kinds[kind], invalid=[0] * n)(smiles)
     if strict is None:
         strict = kind == "ecfp4" and backend == "rdkit"
     return F.when(parse(smiles, "full")["ok"], words).otherwise(F.raise_error(F.lit("invalid SMILES"))) if strict else words

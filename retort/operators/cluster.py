@@ -1,4 +1,4 @@
-"""Distance-threshold clustering and diverse picks."""
+"""Distance-threshold clustering and diverse picks. Molecules with equal fingerprints are one class throughout, and are met once."""
 
 from __future__ import annotations
 
@@ -9,8 +9,13 @@ from ..tables import stored
 from .similarity import pairs, popcount, shared, tanimoto
 
 
+def classes(mols: DataFrame) -> DataFrame:
+    """(mol_id, fp, size): of the molecules (mol_id, fp) with equal fingerprints the last one, and how many they are."""
+    return mols.where("fp is not null").groupBy("fp").agg(F.max("mol_id").alias("mol_id"), F.count(F.lit(1)).alias("size"))
+
+
 def neighbours(mols: DataFrame, cutoff: float = 0.4, nbits: int = 2048) -> DataFrame:
-    """(a, b, sim), a <> b, of molecules (mol_id, fp) within the Tanimoto distance."""
+    """(a, b, sim), a <> b, of molecules (mol_id, fp) within the Tanimoto distance; mols are classes, or few."""
     found = pairs(mols.select(F.col("mol_id").alias("query_id"), "fp"), mols, nbits, max(1e-9, 1 - cutoff - 1e-9))
     return found.where((F.col("query_id") != F.col("mol_id")) & (1 - F.col("sim") <= cutoff)).select(F.col("query_id").alias("a"), F.col("mol_id").alias("b"), "sim")
 
@@ -19,13 +24,17 @@ def butina(mols: DataFrame, cutoff: float = 0.4, nbits: int = 2048) -> DataFrame
     """(mol_id, cluster_id) of molecules (mol_id, valid, fp); -1 for invalid ones.
 
     Molecules are centres in the order of their neighbour counts, then mol_id, both descending; a centre takes its unassigned
-    neighbours. In rounds, a molecule is a centre if all of its neighbours before it are taken, and is taken if a centre is among them: the
-    result is that of going one by one. Clusters are numbered by size, then in the order of their centres."""
+    neighbours. Of a class the last molecule stands for all: it comes first, and what takes it takes the others. In rounds, a class is a centre if all
+    of its neighbours before it are taken, and is taken if a centre is among them: the result is that of going one by one. Clusters
+    are numbered by size, then in the order of their centres."""
     valid = mols.where("valid")
-    links = stored(neighbours(valid, cutoff, nbits).select("a", "b"), "neighbours")
-    counts = valid.select(F.col("mol_id").alias("a")).join(links.groupBy("a").agg(F.count(F.lit(1)).alias("n")), "a", "left").select("a", F.coalesce("n", F.lit(0)).alias("n"))
+    own = stored(classes(valid), "classes")
+    links = stored(neighbours(own, cutoff, nbits).select("a", "b"), "neighbours")
+    sizes = own.select(F.col("mol_id").alias("b"), F.col("size").alias("b_size"))
+    near = links.join(sizes, "b").groupBy("a").agg(F.sum("b_size").alias("near"))
+    counts = own.select(F.col("mol_id").alias("a"), "size").join(near, "a", "left").select("a", "size", (F.col("size") - 1 + F.coalesce("near", F.lit(0))).alias("n"))
     counts = stored(counts, "counts")
-    # links from each molecule to the neighbours that come before it
+    # links from each class to the neighbours that come before it
     other = counts.select(F.col("a").alias("b"), F.col("n").alias("m"))
     before = stored(links.join(counts, "a").join(other, "b").where("m > n or m = n and b > a").select("a", "b"), "before")
     state = stored(counts.select("a", F.lit(0).alias("s")), "state")  # 0 open, 1 centre, 2 taken
@@ -34,17 +43,29 @@ def butina(mols: DataFrame, cutoff: float = 0.4, nbits: int = 2048) -> DataFrame
         facts = seen.groupBy("a").agg(F.max((F.col("t") == 1).cast("int")).alias("by_centre"), F.max((F.col("t") == 0).cast("int")).alias("open"))
         state = stored(state.join(facts, "a", "left").select("a", F.when(F.col("s") != 0, F.col("s")).when(F.col("by_centre") == 1, 2).when(F.coalesce("open", F.lit(0)) == 0, 1).otherwise(0).alias("s")), "state")
     centres = state.where("s = 1").join(counts, "a").select(F.col("a").alias("centre"), F.col("n").alias("centre_n"))
-    first = before.join(centres, before["b"] == centres["centre"]).groupBy("a").agg(F.max(F.struct("centre_n", "centre")).alias("c")).select(F.col("a").alias("mol_id"), F.col("c.centre").alias("centre"), F.col("c.centre_n").alias("centre_n"))
-    own = first.unionByName(centres.select(F.col("centre").alias("mol_id"), "centre", "centre_n"))
-    sizes = own.groupBy("centre", "centre_n").agg(F.count(F.lit(1)).alias("size"))
-    ids = sizes.withColumn("cluster_id", F.row_number().over(Window.orderBy(F.desc("size"), F.desc("centre_n"), F.desc("centre"))) - 1)
-    named = own.join(ids.select("centre", "cluster_id"), "centre").select("mol_id", "cluster_id")
-    return mols.select("mol_id").join(named, "mol_id", "left").select("mol_id", F.coalesce("cluster_id", F.lit(-1)).alias("cluster_id"))
+    first = before.join(centres, before["b"] == centres["centre"]).groupBy("a").agg(F.max(F.struct("centre_n", "centre")).alias("c")).select(F.col("a").alias("rep"), F.col("c.centre").alias("centre"), F.col("c.centre_n").alias("centre_n"))
+    taken = first.unionByName(centres.select(F.col("centre").alias("rep"), "centre", "centre_n")).join(counts.select(F.col("a").alias("rep"), "size"), "rep")
+    clusters = stored(taken.groupBy("centre", "centre_n").agg(F.sum("size").alias("members")), "clusters")
+    ids = numbered_by(clusters, F.col("members"), [F.desc("members"), F.desc("centre_n"), F.desc("centre")]).select("centre", F.col("pos").alias("cluster_id"))
+    named = taken.join(ids, "centre").select(F.col("rep").alias("mol_id"), "cluster_id").join(own, "mol_id").select("fp", "cluster_id")
+    of = valid.select("mol_id", "fp").join(named, "fp").select("mol_id", "cluster_id")
+    return mols.select("mol_id").join(of, "mol_id", "left").select("mol_id", F.coalesce("cluster_id", F.lit(-1)).alias("cluster_id"))
+
+
+def numbered_by(df: DataFrame, size, order: list) -> DataFrame:
+    """df with pos, its place in an order that starts with size, largest first. Rows are counted by size (a row for each distinct size reaches a
+    window); only rows of one size are ranked together."""
+    own = df.withColumn("__size", size)
+    counts = own.groupBy("__size").agg(F.count(F.lit(1)).alias("__n"))
+    before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy(F.desc("__size")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__size", "__before")
+    w = Window.partitionBy("__size").orderBy(*order)
+    return own.join(before, "__size").withColumn("pos", F.col("__before") + F.row_number().over(w) - 1).drop("__size", "__before")
 
 
 def diversity_pick(mols: DataFrame, n: int, seed: int = 0, nbits: int = 2048) -> DataFrame:
     """(pick, mol_id) of molecules (mol_id, fp): the first is number seed modulo count; each next one has the largest distance to
-    its nearest pick, the smallest mol_id at ties. A pick is one pass over the molecules; only the pick reaches the driver."""
+    its nearest pick, the smallest mol_id at ties. A pick is one pass over the distinct fingerprints, of which the smallest mol_id stands
+    for all while their distance is above 0; then the smallest of the molecules that are left follow. Only picks reach the driver."""
     spark = mols.sparkSession
     total = mols.count()
     n = min(n, total)
@@ -52,17 +73,20 @@ def diversity_pick(mols: DataFrame, n: int, seed: int = 0, nbits: int = 2048) ->
         return spark.createDataFrame([], "pick int, mol_id long")
     from .split import numbered
 
-    own = stored(numbered(mols.select("mol_id", "fp"), "mol_id"), "picks")
-    first = own.where(F.col("pos") == seed % total).select("mol_id", "fp").first()
-    state = own.select("mol_id", "fp", popcount("fp").alias("n"), F.lit(2.0).alias("d"))
-    picks = [(0, first["mol_id"])]
+    first = numbered(mols.select("mol_id", "fp"), "mol_id").where(F.col("pos") == seed % total).select("mol_id", "fp").first()
+    state = stored(mols.groupBy("fp").agg(F.min("mol_id").alias("mol_id")).select("mol_id", "fp", popcount("fp").alias("n"), F.lit(2.0).alias("d")), "picks")
+    picks = [first["mol_id"]]
     last = first
-    for k in range(1, n):
+    while len(picks) < n:
         fp = F.array(*[F.lit(w).cast("long") for w in last["fp"]])
-        sim = tanimoto(shared(F.col("fp"), fp, nbits // 64), F.col("n"), F.lit(sum(bin(w & (1 << 64) - 1).count("1") for w in last["fp"])))
-        state = state.withColumn("d", F.when(F.col("mol_id") == last["mol_id"], F.lit(-1.0)).otherwise(F.least("d", 1 - sim)))
-        if k % 8 == 0:
+        sim = tanimoto(shared(F.col("fp"), fp), F.col("n"), F.lit(sum(bin(w & (1 << 64) - 1).count("1") for w in last["fp"])))
+        state = state.withColumn("d", F.when(F.col("fp") == fp, F.lit(0.0)).otherwise(F.least("d", 1 - sim)))
+        if len(picks) % 8 == 0:
             state = stored(state, "picks")
-        last = state.orderBy(F.desc("d"), "mol_id").select("mol_id", "fp").first()
-        picks.append((k, last["mol_id"]))
-    return spark.createDataFrame(picks, "pick int, mol_id long")
+        last = state.orderBy(F.desc("d"), "mol_id").select("mol_id", "fp", "d").first()
+        if not last["d"]:
+            rest = mols.where(~F.col("mol_id").isin(picks)).orderBy("mol_id").limit(n - len(picks)).select("mol_id").collect()
+            picks += [r["mol_id"] for r in rest]
+            break
+        picks.append(last["mol_id"])
+    return spark.createDataFrame(list(enumerate(picks)), "pick int, mol_id long")

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import fingerprint
 
-#: Query rows up to which the query side is broadcast; beyond it pairs are found through shared bits.
-BROADCAST_QUERIES = 2000
+#: Query rows that are broadcast at once (256 bytes each at 2048 bits); more are met block by block.
+QUERY_BLOCK = 1 << 14
+#: Pairs whose words are compared at once.
+PAIR_STEP = 1 << 18
 
 
 def popcount(fp: Column | str) -> Column:
@@ -18,10 +20,8 @@ def popcount(fp: Column | str) -> Column:
     return F.aggregate(fp, F.lit(0).cast("int"), lambda a, w: a + F.bit_count(w))
 
 
-def shared(a: Column, b: Column, words: int | None = None) -> Column:
-    """Bits set in both. With the number of words known the sum is written out, and compiled as one expression."""
-    if words:
-        return reduce(lambda x, y: x + y, [F.bit_count(a[i].bitwiseAND(b[i])) for i in range(words)])
+def shared(a: Column, b: Column) -> Column:
+    """Bits set in both."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda s, n: s + n)
 
 
@@ -42,23 +42,111 @@ def tanimoto(inter: Column, pa: Column, pb: Column) -> Column:
     return F.when(union > 0, inter / union).otherwise(F.lit(0.0))
 
 
-def pairs(queries: DataFrame, library: DataFrame, nbits: int = 2048, threshold: float = 0.0) -> DataFrame:
-    """(query_id, mol_id, inter, union_n, sim) of all pairs with sim >= threshold. queries: (query_id, fp); library: (mol_id, fp).
-
-    A query side of checked size is broadcast and met row by row. A larger one is joined through shared bits, which
-    finds all pairs of similarity above 0; that way needs a threshold above 0."""
-    n = queries.limit(BROADCAST_QUERIES + 1).count()
-    q = queries.select("query_id", F.col("fp").alias("q_fp"), popcount("fp").alias("q_n"))
-    lib = library.select("mol_id", F.col("fp"), popcount("fp").alias("n"))
-    if n <= BROADCAST_QUERIES or threshold <= 0:
-        near = (F.col("q_n") * threshold <= F.col("n")) & (F.col("n") * threshold <= F.col("q_n")) if threshold > 0 else F.lit(True)
-        met = lib.join(F.broadcast(q) if n <= BROADCAST_QUERIES else q, near).withColumn("inter", shared(F.col("fp"), F.col("q_fp"), nbits // 64))
-    else:
-        a = q.select("query_id", "q_n", F.explode(on_bits(F.col("q_fp"), nbits)).alias("bit"))
-        b = lib.select("mol_id", "n", F.explode(on_bits(F.col("fp"), nbits)).alias("bit"))
-        met = a.join(b, "bit").groupBy("query_id", "mol_id").agg(F.count(F.lit(1)).cast("int").alias("inter"), F.first("q_n").alias("q_n"), F.first("n").alias("n"))
-    met = met.withColumn("union_n", F.col("q_n") + F.col("n") - F.col("inter")).withColumn("sim", tanimoto(F.col("inter"), F.col("q_n"), F.col("n")))
-    return met.where(F.col("sim") >= threshold).select("query_id", "mol_id", "inter", "union_n", "sim")
+def _matrix(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows that hold a fingerprint of so many words, and these as a matrix."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    there = np.flatnonzero(np.asarray(column.value_lengths().fill_null(-1)) == words)
+    own = column.take(pa.array(there))
+    return there, own.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, words)
+
+
+def _met(own: np.ndarray, n: np.ndarray, q: np.ndarray, q_n: np.ndarray, threshold: float):
+    """(rows, queries, inter, union, sim) of the pairs at the threshold, in steps. q is sorted by q_n, the number of its bits."""
+    order = np.argsort(n, kind="stable")
+    step = max(1, PAIR_STEP // max(1, len(q)))
+    for at in range(0, len(order), step):
+        rows = order[at : at + step]
+        low, high = n[rows[0]], n[rows[-1]]
+        # fewer or more bits than these cannot reach the threshold
+        a = np.searchsorted(q_n, np.floor(low * threshold)) if threshold > 0 else 0
+        b = np.searchsorted(q_n, np.ceil(high / threshold), "right") if threshold > 0 else len(q)
+        if a >= b:
+            continue
+        inter = np.zeros((len(rows), b - a), np.int32)
+        for w in range(q.shape[1]):
+            inter += np.bitwise_count(own[rows, w, None] & q[None, a:b, w])
+        union = n[rows, None] + q_n[None, a:b] - inter
+        sim = np.divide(inter, union, out=np.zeros(inter.shape), where=union > 0)
+        i, j = np.nonzero(sim >= threshold) if threshold > 0 else np.indices(inter.shape).reshape(2, -1)
+        yield rows[i], j + a, inter[i, j], union[i, j], sim[i, j]
+
+
+class _Best:
+    """Each query's k best pairs so far, ties by molecule."""
+
+    def __init__(self, k: int, queries: int):
+        self.k, self.least, self.parts, self.size = k, np.full(queries, -1.0), [], 0
+
+    def add(self, j, mol, inter, union, sim) -> None:
+        own = np.flatnonzero(sim >= self.least[j])
+        self.parts.append([x[own] for x in (j, mol, inter, union, sim)])
+        self.size += len(own)
+        if self.size > 4 * PAIR_STEP:
+            self.rows()
+
+    def rows(self) -> list[np.ndarray]:
+        if not self.parts:
+            return [np.zeros(0, t) for t in (np.int64, object, np.int32, np.int32, float)]
+        columns = [np.concatenate(x) for x in zip(*self.parts, strict=True)]
+        j, mol, sim = columns[0], columns[1], columns[4]
+        order = np.lexsort((np.unique(mol, return_inverse=True)[1], -sim, j))
+        first = np.flatnonzero(np.concatenate(([True], np.diff(j[order]) != 0)))[: len(order)]
+        rank = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+        last = order[rank == self.k - 1]
+        self.least[j[last]] = sim[last]
+        self.parts, self.size = [[x[order[rank < self.k]] for x in columns]], int((rank < self.k).sum())
+        return self.parts[0]
+
+
+def pairs(queries: DataFrame, library: DataFrame, nbits: int = 2048, threshold: float = 0.0, k: int | None = None) -> DataFrame:
+    """(query_id, mol_id, inter, union_n, sim) of all pairs with sim >= threshold. queries: (query_id, fp); library: (mol_id, fp). With k,
+    a task keeps only each query's k best of its rows, ties by mol_id, so that little is left to rank. A side without a fingerprint has no pairs.
+
+    The queries go to the tasks in blocks of QUERY_BLOCK; the library is read where it is, and its bits are compared in numpy, batch by
+    batch, sorted by their number: at a threshold only queries with a fitting number of bits are met."""
+    spark, words = queries.sparkSession, nbits // 64
+    wanted = queries.select("query_id", "fp").where("fp is not null")
+    total = wanted.count()
+    blocks = max(1, -(-total // QUERY_BLOCK))
+    mol_type = library.select("mol_id").limit(0).toArrow().schema.field("mol_id").type
+    lib = library.select("mol_id", "fp").where("fp is not null")
+    q_type, m_type = wanted.schema["query_id"].dataType, lib.schema["mol_id"].dataType
+    kind = f"query_id {q_type.simpleString()}, mol_id {m_type.simpleString()}, inter int, union_n int, sim double"
+    if blocks > 1:
+        from ..tables import stored
+
+        wanted = stored(wanted.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))), "queries")
+    out = None
+    for block in range(blocks):
+        t = (wanted if blocks == 1 else wanted.where(F.col("block") == block)).select("query_id", "fp").toArrow()
+        at, q = _matrix(t.column("fp"), words)
+        q_n = np.bitwise_count(q).sum(1).astype(np.int32)
+        order = np.argsort(q_n, kind="stable")
+        own = spark.sparkContext.broadcast((t.column("query_id").combine_chunks().take(pa.array(at[order])), q[order], q_n[order]))
+
+        def run(batches, own=own):
+            ids, q, q_n = own.value
+            best = _Best(k, len(q)) if k else None
+            for batch in batches:
+                there, m = _matrix(batch.column(1), words)
+                n = np.bitwise_count(m).sum(1).astype(np.int32)
+                mols = batch.column(0).take(pa.array(there))
+                for rows, j, *found in _met(m, n, q, q_n, threshold):
+                    if best:
+                        best.add(j, mols.to_numpy(zero_copy_only=False)[rows], *found)
+                    else:
+                        yield made(ids.take(pa.array(j)), mols.take(pa.array(rows)), *found)
+            if best:
+                j, mol, *found = best.rows()
+                yield made(ids.take(pa.array(j)), pa.array(mol, mol_type), *found)
+
+        def made(query, mol, inter, union, sim):
+            columns = [query, mol, pa.array(inter, pa.int32()), pa.array(union, pa.int32()), pa.array(sim, pa.float64())]
+            return pa.RecordBatch.from_arrays(columns, names=["query_id", "mol_id", "inter", "union_n", "sim"])
+
+        one = lib.mapInArrow(run, kind)
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def check_widths(query: DataFrame, library: DataFrame) -> None:

@@ -24,12 +24,14 @@ def scaffold_split(df: DataFrame, train: float = 0.8, val: float = 0.1, key: str
     """df with split. Groups go, largest first (ties by first member), whole to train until it has int(n * train) rows, then to val
     until it has int(n * val), then to test. seed is accepted and has no effect: the split is deterministic.
 
-    Only group sizes pass through one sorted window, a row for each scaffold."""
+    Sizes are counted first: only groups of one size are ranked together."""
     groups = scaffold_groups(df, key, order)
     n = df.count()
     n_train, n_val = int(n * train), int(n * val)
-    w = Window.orderBy(F.desc("size"), "first").rowsBetween(Window.unboundedPreceding, -1)
-    g = groups.withColumn("before", F.coalesce(F.sum("size").over(w), F.lit(0)))
+    counts = groups.groupBy("size").agg((F.count(F.lit(1)) * F.col("size")).alias("rows"))  # a row for each distinct size
+    larger = counts.select(F.col("size").alias("of_size"), F.coalesce(F.sum("rows").over(Window.orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("larger"))
+    ranked = groups.join(larger, F.col("size") == F.col("of_size")).drop("of_size")
+    g = ranked.withColumn("before", F.col("larger") + F.col("size") * (F.row_number().over(Window.partitionBy("size").orderBy("first")) - 1)).drop("larger")
     g = g.withColumn("in_train", F.col("before") < n_train)
     total = g.agg(F.coalesce(F.sum(F.when(F.col("in_train"), F.col("size"))), F.lit(0))).first()[0]
     g = g.withColumn("split", F.when(F.col("in_train"), "train").when(F.col("before") - total < n_val, "val").otherwise("test"))

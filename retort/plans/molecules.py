@@ -101,11 +101,11 @@ def tanimoto_pairs(spark, sf_dir):
 
 
 def similarity_topk(spark, sf_dir):
-    return similarity.top_k(similarity.pairs(query_fps(spark), fingerprints(spark, sf_dir)), 10).select("query_id", "mol_id", "sim", F.col("rank").cast("long").alias("rank"))
+    return similarity.top_k(similarity.pairs(query_fps(spark), fingerprints(spark, sf_dir), k=10), 10).select("query_id", "mol_id", "sim", F.col("rank").cast("long").alias("rank"))
 
 
 def screen_threshold(spark, sf_dir):
-    return similarity.screen(similarity.pairs(query_fps(spark), fingerprints(spark, sf_dir)), 0.3, 50).select("query_id", "mol_id", "sim")
+    return similarity.screen(similarity.pairs(query_fps(spark), fingerprints(spark, sf_dir), threshold=0.3), 0.3, 50).select("query_id", "mol_id", "sim")
 
 
 def screen_counts(spark, sf_dir):
@@ -117,12 +117,12 @@ def screen_best(spark, sf_dir):
 
 
 def tanimoto_embeddings(spark, sf_dir):
-    """Embeddings made binary by sign; every 100th is a query. The bits are one word, so all sides are small integers."""
+    """Embeddings made binary by sign; every row whose id is divisible by 20 is a query. The bits are one word, so all sides are small integers."""
     own = table(spark, sf_dir, "embeddings")
     word = F.aggregate(F.transform("embedding", lambda x, i: F.when(x > 0, F.when(i == 63, F.lit(-(1 << 63))).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), i))).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
     own = own.select(F.col("vec_id").alias("mol_id"), F.array(word).alias("fp"))
-    q = own.where(F.col("mol_id") % 100 == 0).select(F.col("mol_id").alias("query_id"), "fp")
-    found = similarity.pairs(q, own, 64).where("query_id <> mol_id")
+    q = own.where(F.col("mol_id") % 20 == 0).select(F.col("mol_id").alias("query_id"), "fp")
+    found = similarity.pairs(q, own, 64, k=6).where("query_id <> mol_id")
     return similarity.top_k(found, 5).select("query_id", "mol_id", F.col("rank").cast("long").alias("rank"), F.col("inter").cast("long").alias("inter"))
 
 
@@ -176,16 +176,24 @@ def substructure_inverted(spark, sf_dir):
     return descriptors.filter_by_smarts(library(spark, sf_dir), "[CX3](=O)[OH]", True).select("mol_id", "smiles")
 
 
+def checked(spark, sf_dir):
+    return fingerprints(spark, sf_dir).select("mol_id", "fp", columns.parse("smiles")["ok"].alias("valid"))
+
+
 def butina_neighbours(spark, sf_dir):
-    return cluster.neighbours(pool_fps(spark).where("valid").select("mol_id", "fp"), 0.4).select("a", "b")
+    """Pairs of classes of molecules with equal fingerprints, by their last members, and the classes' sizes."""
+    own = stored(cluster.classes(checked(spark, sf_dir).where("valid")), "classes")
+    near = cluster.neighbours(own, 0.4).select("a", "b")
+    size = lambda c: own.select(F.col("mol_id").alias(c), F.col("size").alias(f"{c}_size"))
+    return near.join(size("a"), "a").join(size("b"), "b")
 
 
 def butina_clusters(spark, sf_dir):
-    return cluster.butina(pool_fps(spark), 0.4).select("mol_id", F.col("cluster_id").cast("long").alias("cluster_id"))
+    return cluster.butina(checked(spark, sf_dir), 0.4).select("mol_id", F.col("cluster_id").cast("long").alias("cluster_id"))
 
 
 def maxmin_pick(spark, sf_dir):
-    return cluster.diversity_pick(pool_fps(spark).where("valid").select("mol_id", "fp"), 6, 42).select(F.col("pick").cast("long").alias("pick"), "mol_id")
+    return cluster.diversity_pick(checked(spark, sf_dir).where("valid").select("mol_id", "fp"), 6, 42).select(F.col("pick").cast("long").alias("pick"), "mol_id")
 
 
 def mmp_pairs(spark, sf_dir):
@@ -245,10 +253,10 @@ def chembl_parse(spark, sf_dir):
 
 def parquet_roundtrip(spark, sf_dir):
     """The dataset layout written and read again: a byte for each bit, back to words."""
-    own = library(spark, sf_dir).where("mol_id % 10 = 0").withColumn("fp", columns.fingerprint("smiles", nbits=128))
+    own = library(spark, sf_dir).withColumn("fp", columns.fingerprint("smiles"))
     again = stored(writers.dataset_columns(own.select("mol_id", "smiles", "label", "fp")), "roundtrip")
     back = again.withColumn("fp", readers.bytes_to_words("fingerprints"))
-    return back.join(own.select("mol_id", F.col("fp").alias("old")), "mol_id").select("mol_id", "smiles", "label", (F.col("fp") == F.col("old")).cast("int").alias("same"), F.col("fp_nbits").cast("long").alias("fp_nbits"))
+    return back.join(own.select("mol_id", F.col("fp").alias("old")), "mol_id").select("mol_id", "smiles", "label", (F.col("fp") == F.col("old")).cast("int").alias("same"), similarity.popcount("fp").cast("long").alias("n_bits"), F.col("fp_nbits").cast("long").alias("fp_nbits"))
 
 
 def record_layout(spark, sf_dir):
@@ -330,7 +338,7 @@ QUERIES = {f.__name__: f for f in (
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The molecules most like benzoic acid."""
-    found = similarity.pairs(query_fps(spark, [ACID]), fingerprints(spark, sf_dir))
+    found = similarity.pairs(query_fps(spark, [ACID]), fingerprints(spark, sf_dir), k=10)
     return similarity.top_k(found, 10).join(library(spark, sf_dir).select("mol_id", "smiles"), "mol_id").select("rank", "mol_id", "smiles", "sim").orderBy("rank")
 
 

@@ -79,6 +79,11 @@ sims AS (SELECT query_id, pool_id, inter, qn + ln - inter AS union_n, CASE WHEN
 pairs AS (SELECT query_id::BIGINT AS query_id, mol_id, inter, union_n, sim FROM sims JOIN library USING (pool_id) WHERE query_id IN ({', '.join(map(str, QUERY_IDS))}))"""
 
 
+_CLASSES = """keys AS (SELECT pool_id, list(bit ORDER BY bit) AS fp FROM bits JOIN (SELECT pool_id FROM mols) m USING (pool_id) GROUP BY 1),
+classes AS (SELECT fp, max(mol_id) AS rep, count(*) AS size, any_value(pool_id) AS pool_id FROM library JOIN keys USING (pool_id) GROUP BY 1),
+near AS (SELECT x.rep AS a, y.rep AS b FROM classes x, classes y JOIN sims s ON s.query_id = x.pool_id AND s.pool_id = y.pool_id WHERE x.rep <> y.rep AND 1 - sim <= 0.4::DOUBLE)"""
+
+
 def _with(*parts: str) -> str:
     return "WITH RECURSIVE " + ",\n".join(parts) + "\n"
 
@@ -133,7 +138,7 @@ ORACLES = {
     "screen_counts": _with(_LIBRARY, _GRAPH, _IDS, _PAIRS) + "SELECT count(DISTINCT mol_id) AS n_screened, count(*) FILTER (WHERE sim >= 0.3) AS n_hits FROM pairs",
     "screen_best": _with(_LIBRARY, _GRAPH, _IDS, _PAIRS, "best AS (SELECT mol_id, max(sim) AS similarity FROM pairs GROUP BY 1)") + "SELECT row_number() OVER (ORDER BY similarity DESC, mol_id DESC) AS rank, mol_id, similarity FROM best ORDER BY similarity DESC, mol_id DESC LIMIT 100",
     "tanimoto_embeddings": """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: (x > 0)::INTEGER) AS s FROM embeddings),
-p AS (SELECT q.vec_id AS query_id, l.vec_id AS mol_id, list_sum(list_transform(list_zip(q.s, l.s), lambda z: z[1] * z[2]))::BIGINT AS inter, list_sum(q.s) + list_sum(l.s) AS total FROM e q, e l WHERE q.vec_id % 100 = 0 AND q.vec_id <> l.vec_id)
+p AS (SELECT q.vec_id AS query_id, l.vec_id AS mol_id, list_sum(list_transform(list_zip(q.s, l.s), lambda z: z[1] * z[2]))::BIGINT AS inter, list_sum(q.s) + list_sum(l.s) AS total FROM e q, e l WHERE q.vec_id % 20 = 0 AND q.vec_id <> l.vec_id)
 SELECT query_id, mol_id, rank, inter FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN total - inter > 0 THEN inter::DOUBLE / (total - inter)::DOUBLE ELSE 0 END DESC, mol_id) AS rank FROM p) WHERE rank <= 5""",
     "ro5_filter": _with(_LIBRARY, _GRAPH, f"mass(z, w) AS {_MASS}, inc(z, c) AS {_LOGP}", "sums AS (SELECT pool_id, sum(coalesce(w, a.z * 2000)) AS mw, sum(coalesce(c, 0)) AS lp FROM atoms a LEFT JOIN mass ON mass.z = a.z LEFT JOIN inc ON inc.z = a.z GROUP BY 1)") + "SELECT mol_id, smiles FROM library JOIN sums USING (pool_id) WHERE mw <= 500000 AND lp <= 500",
     "rule_flags": """WITH d AS (SELECT p_partkey AS k, p_partkey % 700 AS mw, (p_partkey % 83)::DOUBLE / 10.0::DOUBLE AS logp, p_partkey % 9 AS hbd, p_partkey % 15 AS hba, p_partkey % 13 AS rot, p_partkey % 180 AS tpsa FROM part)
@@ -149,14 +154,15 @@ SELECT k AS mol_id, (mw <= 500 AND logp <= 5 AND hbd <= 5 AND hba <= 10)::INTEGE
     # the members that hold a carboxylic acid, by eye
     "substructure_acids": _with(_LIBRARY) + "SELECT mol_id, smiles FROM library WHERE smiles IN ('CC(=O)O', 'CC(=O)Oc1ccccc1C(=O)O', 'OC(=O)c1ccccc1O', 'CC(C)Cc1ccc(cc1)C(C)C(=O)O', 'O=C(O)c1ccc(N)cc1', '[Na+].OC(=O)c1ccccc1', 'c1ccc(cc1)C(=O)O', 'CC(N)C(=O)O', 'c1ccccc1C(=O)O', 'N[C@H](C)C(=O)O')",
     "substructure_inverted": _with(_LIBRARY) + "SELECT mol_id, smiles FROM library WHERE smiles <> 'INVALID_SMILES' AND smiles NOT IN ('CC(=O)O', 'CC(=O)Oc1ccccc1C(=O)O', 'OC(=O)c1ccccc1O', 'CC(C)Cc1ccc(cc1)C(C)C(=O)O', 'O=C(O)c1ccc(N)cc1', '[Na+].OC(=O)c1ccccc1', 'c1ccc(cc1)C(=O)O', 'CC(N)C(=O)O', 'c1ccccc1C(=O)O', 'N[C@H](C)C(=O)O')",
-    "butina_neighbours": _with(_LIBRARY, _GRAPH, _IDS, _PAIRS) + "SELECT query_id::BIGINT AS a, pool_id::BIGINT AS b FROM sims JOIN (SELECT pool_id FROM mols) m USING (pool_id) WHERE query_id <> pool_id AND query_id IN (SELECT pool_id FROM mols) AND 1 - sim <= 0.4::DOUBLE",
-    "butina_clusters": _with(_LIBRARY, _GRAPH, _IDS, _PAIRS, "near AS (SELECT query_id AS a, pool_id AS b FROM sims WHERE query_id <> pool_id AND query_id IN (SELECT pool_id FROM mols) AND pool_id IN (SELECT pool_id FROM mols) AND 1 - sim <= 0.4::DOUBLE)",
-        "seq AS (SELECT m.pool_id AS a, coalesce(list(n.b) FILTER (WHERE n.b IS NOT NULL), []) AS bs, row_number() OVER (ORDER BY count(n.b) DESC, m.pool_id DESC) AS k FROM (SELECT pool_id FROM mols) m LEFT JOIN near n ON n.a = m.pool_id GROUP BY 1)",
-        "greedy AS (SELECT 0::BIGINT AS k, []::INTEGER[] AS used, NULL::INTEGER AS centre, []::INTEGER[] AS members UNION ALL SELECT s.k, CASE WHEN list_contains(used, s.a) THEN used ELSE list_concat(used, list_prepend(s.a, list_filter(s.bs, lambda x: NOT list_contains(used, x)))) END, CASE WHEN list_contains(used, s.a) THEN NULL ELSE s.a END, CASE WHEN list_contains(used, s.a) THEN [] ELSE list_prepend(s.a, list_filter(s.bs, lambda x: NOT list_contains(used, x))) END FROM greedy g JOIN seq s ON s.k = g.k + 1)",
-        "ids AS (SELECT members, row_number() OVER (ORDER BY len(members) DESC, k) - 1 AS cluster_id FROM greedy WHERE centre IS NOT NULL)")
-    + "SELECT p.pool_id::BIGINT AS mol_id, coalesce(i.cluster_id, -1) AS cluster_id FROM pool p LEFT JOIN (SELECT unnest(members) AS pool_id, cluster_id FROM ids) i USING (pool_id)",
-    "maxmin_pick": _with(_LIBRARY, _GRAPH, _IDS, _PAIRS, "valid AS (SELECT pool_id, row_number() OVER (ORDER BY pool_id) - 1 AS pos FROM mols)",
-        "picks AS (SELECT 0 AS pick, [pool_id] AS own FROM valid WHERE pos = 42 % (SELECT count(*) FROM valid) UNION ALL SELECT pick + 1, list_append(own, (SELECT v.pool_id FROM valid v JOIN sims s ON s.pool_id = v.pool_id AND list_contains(own, s.query_id) WHERE NOT list_contains(own, v.pool_id) GROUP BY v.pool_id ORDER BY min(1 - s.sim) DESC, v.pool_id LIMIT 1)) FROM picks WHERE pick < 5)")
+    "butina_neighbours": _with(_LIBRARY, _GRAPH, _IDS, _PAIRS, _CLASSES) + "SELECT a, b, x.size AS a_size, y.size AS b_size FROM near JOIN classes x ON x.rep = a JOIN classes y ON y.rep = b",
+    "butina_clusters": _with(_LIBRARY, _GRAPH, _IDS, _PAIRS, _CLASSES,
+        "seq AS (SELECT c.rep AS a, coalesce(list(n.b) FILTER (WHERE n.b IS NOT NULL), []) AS bs, row_number() OVER (ORDER BY c.size - 1 + coalesce(sum(o.size), 0) DESC, c.rep DESC) AS k FROM classes c LEFT JOIN near n ON n.a = c.rep LEFT JOIN classes o ON o.rep = n.b GROUP BY c.rep, c.size)",
+        "greedy AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS used, NULL::BIGINT AS centre, []::BIGINT[] AS members UNION ALL SELECT s.k, CASE WHEN list_contains(used, s.a) THEN used ELSE list_concat(used, list_prepend(s.a, list_filter(s.bs, lambda x: NOT list_contains(used, x)))) END, CASE WHEN list_contains(used, s.a) THEN NULL ELSE s.a END, CASE WHEN list_contains(used, s.a) THEN [] ELSE list_prepend(s.a, list_filter(s.bs, lambda x: NOT list_contains(used, x))) END FROM greedy g JOIN seq s ON s.k = g.k + 1)",
+        "pieces AS (SELECT k AS step, unnest(members) AS rep FROM greedy WHERE centre IS NOT NULL), totals AS (SELECT step, sum(size) AS total FROM pieces JOIN classes USING (rep) GROUP BY 1)",
+        "ids AS (SELECT step, row_number() OVER (ORDER BY total DESC, step) - 1 AS cluster_id FROM totals)")
+    + "SELECT l.mol_id, coalesce(cluster_id, -1) AS cluster_id FROM library l LEFT JOIN keys USING (pool_id) LEFT JOIN classes USING (fp) LEFT JOIN pieces USING (rep) LEFT JOIN ids USING (step)",
+    "maxmin_pick": _with(_LIBRARY, _GRAPH, _IDS, _PAIRS, "valid AS (SELECT mol_id, pool_id, row_number() OVER (ORDER BY mol_id) - 1 AS pos FROM library JOIN (SELECT pool_id FROM mols) m USING (pool_id))",
+        "picks AS (SELECT 0 AS pick, [mol_id] AS own, [pool_id] AS pools FROM valid WHERE pos = 42 % (SELECT count(*) FROM valid) UNION ALL SELECT pick + 1, list_append(own, n.mol_id), list_append(pools, n.pool_id) FROM picks, LATERAL (SELECT v.mol_id, v.pool_id FROM valid v JOIN sims s ON s.pool_id = v.pool_id AND list_contains(pools, s.query_id) WHERE NOT list_contains(own, v.mol_id) GROUP BY v.mol_id, v.pool_id ORDER BY min(1 - s.sim) DESC, v.mol_id LIMIT 1) n WHERE pick < 5)")
     + "SELECT pick::BIGINT AS pick, own[len(own)]::BIGINT AS mol_id FROM picks",
     "mmp_pairs": f"WITH f(mol, core, variable) AS {_values(SERIES)} SELECT a.mol AS mol_a, b.mol AS mol_b, a.variable AS smiles_a, b.variable AS smiles_b, a.core, a.variable || '>>' || b.variable AS transform FROM f a JOIN f b ON a.core = b.core WHERE a.mol < b.mol AND a.variable <> b.variable",
     "regression_metrics": """WITH d AS (SELECT p_brand AS brand, p_size::DOUBLE AS y, (p_partkey % 50)::DOUBLE AS p FROM part WHERE p_partkey % 7 <> 0), m AS (SELECT *, avg(y) OVER (PARTITION BY brand) AS mean FROM d)
@@ -170,7 +176,7 @@ SELECT skill, count(*) AS calls, count(*) FILTER (WHERE ok) AS successes, count(
     "fasta_parse": "SELECT * FROM (VALUES ('sp|P1|ONE first', 'ACDEFGHIKL'), ('two', 'MNPQ'), ('three', 'WYV')) t(name, sequence)",
     "residue_composition": "WITH s(name, sequence) AS (VALUES ('sp|P1|ONE first', 'ACDEFGHIKL'), ('two', 'MNPQ'), ('three', 'WYV')) SELECT name, residue, count(*) AS n, any_value(2 * (length(sequence) - 1))::BIGINT AS n_edges FROM (SELECT name, sequence, unnest(string_split(sequence, '')) AS residue FROM s) GROUP BY 1, 2",
     "chembl_parse": "SELECT * FROM (VALUES ('CHEMBL25', 'CC(=O)Oc1ccccc1C(=O)O', 'ASPIRIN', 180.16::DOUBLE, 1.31::DOUBLE, 3, 1, 63.60::DOUBLE, 0), ('CHEMBL0', '', '', 0::DOUBLE, 0::DOUBLE, 0, 0, 0::DOUBLE, 0), ('CHEMBL545', 'CCO', 'ALCOHOL', 46.07::DOUBLE, 0::DOUBLE, 0, 0, 0::DOUBLE, 0)) t(chembl_id, smiles, name, mw, logp, hba, hbd, tpsa, ro5_violations)",
-    "parquet_roundtrip": _with(_LIBRARY) + "SELECT mol_id, smiles, label, 1 AS same, 128::BIGINT AS fp_nbits FROM library WHERE mol_id % 10 = 0",
+    "parquet_roundtrip": _with(_LIBRARY, _GRAPH, _IDS) + "SELECT mol_id, any_value(smiles) AS smiles, any_value(label) AS label, 1 AS same, count(bit) AS n_bits, 2048::BIGINT AS fp_nbits FROM library LEFT JOIN bits USING (pool_id) GROUP BY 1",
     "record_layout": _with(_LIBRARY, _GRAPH) + "SELECT smiles, count(*) AS n, coalesce(any_value(len(al)), 0)::BIGINT AS n_atoms, coalesce(any_value(len(bl)), 0)::BIGINT AS n_bonds, 256::BIGINT AS n_bytes FROM library LEFT JOIN mols USING (pool_id) GROUP BY 1",
     "events_tumbling": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS window_start, event_type AS skill, count(*) AS calls, count(*) FILTER (WHERE event_type <> 'error') AS successes, sum(coalesce(try_cast(json_extract_string(props, '$.k') AS INTEGER), 1))::BIGINT AS items FROM events GROUP BY 1, 2",
     "label_rates": "SELECT quality, count(*) AS n, count(*) FILTER (WHERE toxic = 1) AS positives FROM labels GROUP BY 1",

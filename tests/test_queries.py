@@ -51,8 +51,23 @@ def test_both_pair_ways_agree(spark, monkeypatch):
     fps = pool_fps(spark).select("mol_id", "fp")
     q = fps.withColumnRenamed("mol_id", "query_id")
     one = sorted(map(tuple, similarity.pairs(q, fps, threshold=0.2).collect()))
-    monkeypatch.setattr(similarity, "BROADCAST_QUERIES", 3)
+    monkeypatch.setattr(similarity, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(similarity, "PAIR_STEP", 7)
     assert sorted(map(tuple, similarity.pairs(q, fps, threshold=0.2).collect())) == one
+    every = similarity.pairs(q, fps)
+    assert sorted(map(tuple, every.where("sim >= 0.2").collect())) == one and every.count() == 1600
+    best = lambda found: sorted(map(tuple, similarity.top_k(found, 4).collect()))
+    assert best(similarity.pairs(q, fps, k=4)) == best(every)
+
+
+def test_circular_batches_equal_single_molecules():
+    from retort.fixtures import VALID_POOL
+    from retort.functions import fingerprints, molecule
+
+    mols = [None, *map(molecule.parse_compat, VALID_POOL), *map(molecule.parse_full, VALID_POOL), molecule.parse_full("[NH4+]"), None]
+    got = fingerprints.circular_batch(mols, 3, 512)
+    assert all((got[i] == (fingerprints.circular(m, 3, 512) if m else 0)).all() for i, m in enumerate(mols))
+    assert not fingerprints.circular_batch([None]).any() and fingerprints.circular_batch([]).shape == (0, 32)
 
 
 def test_widths_must_agree(spark):
