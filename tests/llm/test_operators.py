@@ -12,6 +12,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from retort.llm import common, decontaminate, jaccard_join, language_id, language_model, licenses, line_dedup, order_minhash, packing, personal_data, quality
 from retort.llm.queries import ORACLES, QUERIES
@@ -52,15 +53,52 @@ def test_license_scan_matches_sql(spark):
     same(QUERIES["op4_license_scan"](spark, SF).toPandas(), by_duckdb(SF, ORACLES["op4_license_scan"]))
 
 
+def plain_licenses(text):
+    """Sentences, identifiers and rules by plain Python."""
+    known = dict(licenses.known_sentences())
+    flat = re.sub(r"\s+", " ", text or "")
+    readings = (re.sub(r"([.!?;:])\s+", r"\1\n", flat).split("\n"), re.sub(r"(?<!dentifier)([.!?;:])\s+", r"\1\n", text or "").split("\n"))
+    found = [[known[n] for x in parts if (n := licenses.normal(x)) in known] for parts in readings]
+    best = found[0] if len(found[0]) > len(found[1]) else found[1]
+    hits = set()
+    for ids, (licence, need) in itertools.product(found, licenses.RULES):
+        rest = iter(ids)
+        if all(n in rest for n in need):
+            hits.add(licence)
+    return len(best), ",".join(best), ",".join(sorted(h for h in hits if licenses.BEATEN_BY.get(h) not in hits))
+
+
 def test_license_rules(spark):
-    mit = "\n".join(s for n, s in licenses.SENTENCES if n in ("mit-grant", "mit-notice", "as-is-mit"))
-    bsd = "\n".join(s for n, s in licenses.SENTENCES if n.startswith("bsd-") and "name" not in n or n == "bsd-names")
-    bsd2 = "\n".join(s for n, s in licenses.SENTENCES if n in ("bsd-grant", "bsd-source", "bsd-binary"))
-    back = "\n".join(s for n, s in reversed(licenses.SENTENCES) if n in ("bsd-grant", "bsd-source", "bsd-binary"))
-    rows = [(0, mit), (1, mit.replace(" of ", " of\n")), (2, bsd), (3, bsd2), (4, back), (5, "no end mark\nLicensed under CC BY-NC 4.0."), (6, None), (7, "SPDX-License-Identifier: MIT\ncode"), (8, "I like the license")]
-    got = {r["doc_id"]: r["licenses"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {0: "MIT", 1: "MIT", 2: "BSD-3-Clause", 3: "BSD-2-Clause", 4: "", 5: "CC-BY-NC-4.0", 6: "", 7: "MIT", 8: ""}
-    assert all(re.search(licenses.HINTS, k) for k, _ in licenses.known_sentences())
+    text = lambda *ids: "\n".join(s for i in ids for s in [next(s for n, s in licenses.SENTENCES if n == i)])
+    mit = text("mit-grant", "mit-notice", "as-is-mit")
+    cases = [
+        (mit, "MIT"), (mit.replace(" of ", " of\n"), "MIT"), (text("bsd-grant", "bsd-source", "bsd-binary", "bsd-names"), "BSD-3-Clause"), (text("bsd-grant", "bsd-source", "bsd-binary"), "BSD-2-Clause"),
+        (text("bsd-binary", "bsd-source", "bsd-grant"), ""), ("no end mark\nLicensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"), (None, ""), ("SPDX-License-Identifier: MIT\ncode", "MIT"), ("I like the license", ""),
+        ("so it is. This is free and unencumbered software released into the\npublic\ndomain.", "Unlicense"), ("This is free and unencumbered software released into the public  domain.", "Unlicense"),
+        (text("zlib-as-is", "zlib-liable", "zlib-grant"), "Zlib"), (text("lgpl-terms", "lgpl-2-1-later"), "LGPL-2.1-or-later"), (text("bsl-grant", "bsl-notice"), "BSL-1.0"),
+        ("This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.", "CC-BY-SA-3.0"), ("SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0"),
+        ("Released under the GPLv3. Distributed under the EPL 2.0.", "EPL-2.0,GPL-3.0"), (text("bsd-grant", "bsd-source", "bsd-binary", "bsd-advertising", "bsd-names"), "BSD-4-Clause"),
+    ]
+    rows = [(i, t) for i, (t, _) in enumerate(cases)]
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (t, want) in enumerate(cases):
+        assert got[i]["licenses"] == want, t
+        assert tuple(got[i])[2:] == plain_licenses(t)
+    known = licenses.known_sentences()
+    assert len(known) > 1000 and all(any(h in k for h in licenses.HINTS) for k, _ in known)
+
+
+def test_license_scan_on_odd_rows(spark, odd_dir, odd_rows):
+    """Repeated rows, nulls, and columns with the names that the steps use."""
+    docs = spark.read.parquet(f"{odd_dir}/documents.parquet")
+    names = {"lang": "row", "source": "hint", "n_chars": "licenses", "node": "ids", "key": "a", "held_out": "found"}
+    for old, new in names.items():
+        docs = docs.withColumnRenamed(old, new)
+    docs = docs.withColumn("text", F.when(F.col("doc_id") == 8, "Licensed under the MIT License.").otherwise(F.col("text")))
+    out = licenses.scan(docs)
+    assert out.columns == ["doc_id", "text", "row", "hint", "ids", "a", "found", "n_sentences", "sentence_ids", "licenses"]
+    rows = out.collect()
+    assert len(rows) == len(odd_rows) and all((r["licenses"] == "MIT") == (r["doc_id"] == 8) for r in rows)
 
 
 def plain_line_dedup(rows):
