@@ -227,6 +227,19 @@ def matches(smiles: Column | str, smarts: str) -> Column:
     return _column(T.BooleanType(), _has, smarts)(smiles)
 
 
+def _fits(mol: m.Molecule, pattern) -> bool:
+    return bool(pattern.matches(Target(mol), most=1))
+
+
+def fits(smiles: Column | str, pattern) -> Column:
+    """Whether a compiled pattern matches; null for invalid text."""
+
+    def run(smiles: pd.Series) -> pd.Series:
+        return pd.Series([None if (mol := _read(s, "full")[0]) is None else _fits(mol, pattern) for s in smiles], dtype=object)
+
+    return F.pandas_udf(run, T.BooleanType())(smiles)
+
+
 def substructures(smiles: Column | str, smarts: str) -> Column:
     """Atom numbers of each place that matches, one for each set of atoms."""
     compiled(smarts)

@@ -36,8 +36,8 @@ def full(df: DataFrame, smiles: str = "smiles") -> DataFrame:
 
 
 def named(df: DataFrame, names: list[str] | None = None, preset: str | None = "lipinski", smiles: str = "smiles") -> DataFrame:
-    """df with a column for each descriptor; names are used where they are given, else the preset."""
-    chosen = columns.chosen_descriptors(names, None if names is not None else preset)
+    """df with a column for each descriptor. A preset, the default too, wins over names: give None for the names to count."""
+    chosen = columns.chosen_descriptors(names, preset)
     own = df.withColumn("__d", columns.descriptors(smiles, chosen))
     return own.select(*df.columns, *[F.col(f"__d.{n}").alias(n) for n in chosen])
 

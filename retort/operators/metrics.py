@@ -21,6 +21,23 @@ def regression(df: DataFrame, label: str = "label", prediction: str = "predictio
     return sums.select(*by, F.when(F.col("tot") > 0, 1 - F.col("res") / F.col("tot")).otherwise(nan).alias("r2"), F.coalesce("mae", nan).alias("mae"), F.when(F.col("n") > 0, F.sqrt(F.col("res") / F.col("n"))).otherwise(nan).alias("rmse"), "n")
 
 
+def regression_pooled(df: DataFrame, labels: list[str], predictions: list[str]) -> DataFrame:
+    """r2, mae, rmse and n of several tasks together: rows without one of the predictions are left out, each task's spread is around its own
+    mean, and errors are pooled over all cells; n counts rows."""
+    own = df
+    for p in predictions:
+        own = own.where(F.col(p).isNotNull() & ~F.isnan(p))
+    means = own.agg(*[F.avg(c).alias(f"__{i}") for i, c in enumerate(labels)])
+    met = own.join(F.broadcast(means))
+    cells = list(zip(labels, predictions, strict=True))
+    res = sum(((F.col(y) - F.col(p)) ** 2 for y, p in cells), F.lit(0.0))
+    tot = sum(((F.col(y) - F.col(f"__{i}")) ** 2 for i, y in enumerate(labels)), F.lit(0.0))
+    err = sum((F.abs(F.col(y) - F.col(p)) for y, p in cells), F.lit(0.0))
+    s = met.agg(F.count(F.lit(1)).alias("n"), F.sum(res).alias("res"), F.sum(tot).alias("tot"), F.sum(err).alias("err"))
+    nan, k = F.lit(NAN), len(labels)
+    return s.select(F.when(F.col("tot") > 0, 1 - F.col("res") / F.col("tot")).otherwise(nan).alias("r2"), F.when(F.col("n") > 0, F.col("err") / (F.col("n") * k)).otherwise(nan).alias("mae"), F.when(F.col("n") > 0, F.sqrt(F.col("res") / (F.col("n") * k))).otherwise(nan).alias("rmse"), "n")
+
+
 def uncertainty(df: DataFrame, key: str = "mol_id", value: str = "prediction") -> DataFrame:
     """Mean and population deviation of repeated predictions."""
     return df.groupBy(key).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))

@@ -9,6 +9,10 @@ from pyspark.sql import types as T
 
 from ..functions import columns, transforms
 from ..functions.molecule import SmilesError, parse_full
+from ..tables import stored
+
+#: Partners of a bimolecular reaction that go to the tasks at once.
+PARTNERS = 10_000
 
 
 def enumerate_products(df: DataFrame, smarts: str, max_products: int = 1000, smiles: str = "smiles") -> DataFrame:
@@ -17,9 +21,18 @@ def enumerate_products(df: DataFrame, smarts: str, max_products: int = 1000, smi
 
 
 def enumerate_pairs(a: DataFrame, b: DataFrame, smarts: str, max_products: int = 1000, smiles: str = "smiles") -> DataFrame:
-    """Products of every pair; the smaller library is met in blocks by each task."""
-    x, y = a.select(F.col(smiles).alias("a")).distinct(), b.select(F.col(smiles).alias("b")).distinct()
-    return x.join(y).select(F.explode(columns.react_pair("a", "b", smarts)).alias("product")).distinct().orderBy("product").limit(max_products)
+    """Products of every pair. The partners of b go to the tasks in blocks of at most PARTNERS texts, so a large b is met block by block; only molecules that
+    the reaction's patterns match are paired at all."""
+    left, right = transforms.reaction(smarts)[0]
+    fit = lambda df, name, p: df.where(columns.fits(smiles, p)).select(F.col(smiles).alias(name)).distinct()
+    x, y = stored(fit(a, "a", left), "reactants"), stored(fit(b, "b", right), "partners")
+    blocks = max(1, -(-y.count() // PARTNERS))
+    out = None
+    for block in range(blocks):
+        part = y if blocks == 1 else y.where(F.pmod(F.xxhash64("b"), F.lit(blocks)) == block)
+        one = x.join(F.broadcast(part)).select(F.explode(columns.react_pair("a", "b", smarts)).alias("product")).distinct()
+        out = one if out is None else out.unionByName(one)
+    return out.distinct().orderBy("product").limit(max_products)
 
 
 def find_mcs(df: DataFrame, group: str, smiles: str = "smiles", most: int = 64) -> DataFrame:

@@ -65,3 +65,52 @@ def answer(queries: DataFrame, chunks: DataFrame) -> DataFrame:
         F.array_distinct(F.coalesce(F.transform("chunks", lambda c: c["source"]), F.array().cast("array<string>"))).alias("sources"),
         (F.col("score") >= THRESHOLD).alias("relevant"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(MAX_ITERATIONS).alias("iterations"),
     )
+
+
+def structure_chunk(smiles: Column, formula: Column, mw: Column, xlogp: Column, tpsa: Column) -> Column:
+    text = lambda c: F.coalesce(c.cast("string"), F.lit("?"))
+    return F.concat(F.lit("PubChem properties for SMILES="), smiles, F.lit(": Formula="), text(formula), F.lit(", MW="), text(mw), F.lit(", XLogP="), text(xlogp), F.lit(", TPSA="), text(tpsa))
+
+
+def name_chunk(word: Column, smiles: Column, mw: Column, xlogp: Column) -> Column:
+    text = lambda c: F.coalesce(c.cast("string"), F.lit("?"))
+    return F.concat(F.lit("PubChem: '"), word, F.lit("' \u2192 SMILES="), text(smiles), F.lit(", MW="), text(mw), F.lit(", XLogP="), text(xlogp))
+
+
+def retrieve(queries: DataFrame, current: Column, iteration: int, structures: DataFrame, names: DataFrame, local: DataFrame) -> DataFrame:
+    """(query, iteration, current, chunks): what one iteration finds for queries (query). Named molecules are looked up in local (smiles, content) and
+    structures (smiles, formula, mw, xlogp, tpsa); without any, the current text's longer words in names (word, smiles, mw, xlogp), twice when it
+    is not the first iteration."""
+    own = queries.select("query", current.alias("current"), extracted(rewrite(F.col("query"))).alias("found"))
+    known = own.select("query", F.posexplode("found").alias("pos", "smiles"))
+    by_local = known.join(local, "smiles").select("query", F.lit(0).alias("part"), "pos", F.lit("local").alias("source"), "content")
+    by_structure = known.join(structures, "smiles").select("query", F.lit(1).alias("part"), "pos", F.lit("pubchem").alias("source"), structure_chunk(*[F.col(c) for c in ("smiles", "formula", "mw", "xlogp", "tpsa")]).alias("content"))
+    words = own.where(F.size("found") == 0).select("query", F.posexplode(name_words(F.col("current"))).alias("pos", "word"))
+    by_name = words.join(names.select(F.lower("word").alias("key"), "smiles", "mw", "xlogp"), F.lower("word") == F.col("key"))
+    by_name = by_name.select("query", F.lit(2).alias("part"), "pos", F.lit("pubchem_name").alias("source"), name_chunk(F.col("word"), F.col("smiles"), F.col("mw"), F.col("xlogp")).alias("content"))
+    all_ = by_local.unionByName(by_structure).unionByName(by_name)
+    if iteration > 1:
+        all_ = all_.unionByName(by_name.withColumn("part", F.lit(3)))
+    got = all_.groupBy("query").agg(F.transform(F.array_sort(F.collect_list(F.struct("part", "pos", "source", "content"))), lambda c: F.struct(c["source"].alias("source"), c["content"].alias("content"))).alias("chunks"))
+    empty = F.array().cast("array<struct<source: string, content: string>>")
+    return own.join(got, "query", "left").select("query", F.lit(iteration).alias("iteration"), "current", F.coalesce("chunks", empty).alias("chunks"))
+
+
+def rag(queries: DataFrame, structures: DataFrame, names: DataFrame, local: DataFrame) -> DataFrame:
+    """(query, answer, sources, relevant, score, iterations, n_chunks): retrieval with routing. The first iteration asks with the rewritten query, all
+    others with a broader text; they find the same, so two are run and the last one counts for all that follow. The first iteration that
+    reaches the threshold answers with what it found; if none does, all that was found answers."""
+    first = retrieve(queries, rewrite(F.col("query")), 1, structures, names, local)
+    again = retrieve(queries, F.concat("query", F.lit(" properties structure synonyms")), 2, structures, names, local)
+    text = lambda c: F.when(F.size(c) > 0, F.array_join(F.transform(c, lambda x: F.lower(x["content"])), " "))
+    own = first.withColumn("score_1", relevance(F.col("current"), text(F.col("chunks")))).select("query", F.col("chunks").alias("c1"), "score_1")
+    own = own.join(again.withColumn("score_2", relevance(F.col("current"), text(F.col("chunks")))).select("query", F.col("chunks").alias("c2"), "score_2"), "query")
+    one, two = F.col("score_1") >= THRESHOLD, F.col("score_2") >= THRESHOLD
+    every = F.flatten(F.concat(F.array("c1"), F.array_repeat("c2", MAX_ITERATIONS - 1)))
+    own = own.withColumn("used", F.when(one, F.col("c1")).when(two, F.col("c2")).otherwise(every)).withColumn("all", F.when(one, F.col("c1")).when(two, F.concat("c1", "c2")).otherwise(every))
+    answer_ = F.concat(F.format_string("Based on %d source(s):", F.size("used")), F.lit("\n"), F.array_join(F.transform("used", lambda c: F.concat(F.lit("  ["), F.upper(c["source"]), F.lit("] "), c["content"])), "\n"))
+    return own.select(
+        "query", F.when(F.size("used") > 0, answer_).otherwise(F.concat(F.lit("Could not find sufficient information for: "), F.col("query"))).alias("answer"),
+        F.array_distinct(F.transform("all", lambda c: c["source"])).alias("sources"), (one | two).alias("relevant"), F.when(one, F.col("score_1")).otherwise(F.col("score_2")).alias("score"),
+        F.when(one, 1).when(two, 2).otherwise(MAX_ITERATIONS).alias("iterations"), F.size("all").alias("n_chunks"),
+    )

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..fixtures import POOL, library, pool, table
 from ..functions import columns
-from ..operators import cluster, descriptors, graph, metrics, mmp, reactions, retrieval, similarity, split
+from ..operators import cluster, descriptors, frames, graph, metrics, mmp, reactions, retrieval, similarity, split
 from ..sources import readers, writers
 from ..streaming import usage
-from ..tables import stored
+from ..tables import shared_folder, stored
 
 QUERY_IDS = [1, 10, 30]  # benzene, aspirin, benzoic acid
 ACID = 30
@@ -161,7 +163,7 @@ def kfold(spark, sf_dir):
 
 def scaffold_kfold(spark, sf_dir):
     own = split.scaffold_kfold(literal_scaffolds(spark, sf_dir), 4, 42)
-    return own.groupBy("scaffold").agg(F.count_distinct("fold").alias("folds"), F.count(F.lit(1)).alias("n"))
+    return own.groupBy("scaffold").agg(F.count_distinct("fold").alias("folds"), F.max("fold").alias("fold"), F.count(F.lit(1)).alias("n"))
 
 
 def duplicate_occurrence(spark, sf_dir):
@@ -317,14 +319,97 @@ def rgroup_table(spark, sf_dir):
 
 
 def common_substructure(spark, sf_dir):
-    own = library(spark, sf_dir).where(F.col("pool_id").isin(7, 8, 9, 13, 23, 30, 31)).select(F.lit("benzenes").alias("series"), "smiles")
-    return reactions.find_mcs(own, "series")
+    """The common part of each series of molecules with one scaffold, of two different ones at least."""
+    own = split.with_scaffold(library(spark, sf_dir).where(columns.parse("smiles", "full")["ok"])).where("scaffold <> ''").select("scaffold", "smiles").distinct()
+    series = own.groupBy("scaffold").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("scaffold")
+    found = reactions.find_mcs(own.join(series, "scaffold", "left_semi"), "scaffold")
+    return found.select("scaffold", "n", F.size(F.regexp_extract_all("mcs", F.lit("#[0-9]+|\\[[A-Za-z]|[A-Z][a-z]?|[bcnops]"), F.lit(0))).cast("long").alias("n_atoms"))
 
 
 def sdf_roundtrip(spark, sf_dir):
     text = writers.sdf_text(library(spark, sf_dir).select("smiles", "mol_id"), ["mol_id"])
-    back = readers.sdf_records(text.select(F.col("value").alias("record")))
-    return back.select("smiles", F.col("props")["mol_id"].cast("long").alias("mol_id"))
+    back = readers.sdf_records(text.select(F.col("value").alias("record"))).select(F.col("smiles").alias("back"), F.col("props")["mol_id"].cast("long").alias("mol_id"))
+    own = library(spark, sf_dir).select("mol_id", columns.canonical("smiles").alias("canonical"))
+    return back.join(own, "mol_id").select("mol_id", (F.col("back") == F.col("canonical")).cast("int").alias("same"))
+
+
+def canonical_classes(spark, sf_dir):
+    """Which molecules of the pool are written alike: each one's first pool number with the same text, in three forms."""
+    own = pool(spark).select("pool_id", columns.canonical("smiles").alias("canonical"), columns.standardize("smiles").alias("standard"), columns.scaffold("smiles", True).alias("frame")).where("canonical is not null")
+    first = lambda c: F.min("pool_id").over(Window.partitionBy(c)).alias(c)
+    named = own.select("pool_id", *[first(c) for c in ("canonical", "standard", "frame")])
+    return library(spark, sf_dir).select("mol_id", "pool_id").join(F.broadcast(named), "pool_id").select("mol_id", "canonical", "standard", "frame")
+
+
+def formula_descriptors(spark, sf_dir):
+    names = ["MolWt", "HeavyAtomMolWt", "HeavyAtomCount", "NumHeteroatoms", "NOCount", "NHOHCount", "RingCount", "NumFragments"]
+    own = descriptors.named(library(spark, sf_dir), names, None).where(~F.isnan("MolWt"))
+    return own.select("mol_id", *[F.round(n, 3).alias(n) for n in names])
+
+
+def substructure_atoms(spark, sf_dir):
+    """Atom numbers of carboxylic acids."""
+    own = library(spark, sf_dir).select("mol_id", F.explode(columns.substructures("smiles", "[CX3](=O)[OH]")).alias("m"))
+    return own.select("mol_id", F.array_join("m", ",").alias("atoms"))
+
+
+def multitask_metrics(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    own = p.select(F.col("p_size").cast("double").alias("y0"), (F.col("p_partkey") % 11).cast("double").alias("y1"), F.when(F.col("p_partkey") % 9 == 0, F.lit(float("nan"))).otherwise((F.col("p_partkey") % 50).cast("double")).alias("p0"), (F.col("p_partkey") % 13).cast("double").alias("p1"))
+    out = metrics.regression_pooled(own, ["y0", "y1"], ["p0", "p1"])
+    return out.select(F.round("r2", 6).alias("r2"), F.round("mae", 6).alias("mae"), F.round("rmse", 6).alias("rmse"), "n")
+
+
+def smiles_file_roundtrip(spark, sf_dir):
+    """The library as a text file, one SMILES and its number a line, read again by first words."""
+    path = f"{shared_folder(spark)}/smiles-{uuid.uuid4().hex}"
+    library(spark, sf_dir).select(F.concat("smiles", F.lit(" "), F.col("mol_id").cast("string")).alias("value")).write.text(path)
+    return readers.smiles_file(spark, path, first_token=True).groupBy("smiles").agg(F.count(F.lit(1)).alias("n"))
+
+
+def activity_records(spark, sf_dir):
+    """Activity answers made of the library, one for each brand, read again; prices stand for values."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_retailprice")
+    lib = library(spark, sf_dir).join(p, F.col("mol_id") == F.col("p_partkey"))
+    one = F.struct(F.concat(F.lit("CHEMBL"), F.col("mol_id").cast("string")).alias("molecule_chembl_id"), F.col("smiles").alias("canonical_smiles"), F.when(F.col("mol_id") % 10 != 0, F.col("p_retailprice").cast("string")).alias("standard_value"), F.lit("nM").alias("standard_units"), F.col("p_brand").alias("assay_chembl_id"))
+    answers = lib.groupBy("p_brand").agg(F.to_json(F.struct(F.collect_list(one).alias("activities"))).alias("json"))
+    return readers.chembl_activities(answers.select("json"))
+
+
+def record_lookup(spark, sf_dir):
+    """SMILES by identifier: every third molecule and as many identifiers that do not exist are asked for; records of invalid molecules have no structure."""
+    lib = library(spark, sf_dir)
+    structure = F.when(F.col("pool_id") != 39, F.struct(F.col("smiles").alias("canonical_smiles")))
+    json = lib.select(F.to_json(F.struct(F.concat(F.lit("CHEMBL"), F.col("mol_id").cast("string")).alias("molecule_chembl_id"), structure.alias("molecule_structures"))).alias("json"))
+    asked = lib.where("mol_id % 3 = 0").select(F.explode(F.array(F.concat(F.lit("CHEMBL"), F.col("mol_id").cast("string")), F.concat(F.lit("NONE"), F.col("mol_id").cast("string")))).alias("chembl_id"))
+    return readers.chembl_smiles(asked, readers.chembl_records(json))
+
+
+def shape_descriptors(spark, sf_dir):
+    """Each order's lines as points with masses."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("k"), F.array(F.col("l_quantity"), F.col("l_extendedprice") / 1000, F.col("l_discount") * 100).alias("xyz"), F.col("l_linenumber").cast("double").alias("m")))).alias("p"))
+    own = lines.select("l_orderkey", columns.shape_descriptors(F.transform("p", lambda x: x["xyz"]), F.transform("p", lambda x: x["m"])).alias("d"))
+    return own.select("l_orderkey", F.round("d.RadiusOfGyration", 4).alias("radius"))
+
+
+def fingerprint_columns(spark, sf_dir):
+    return frames.add_fingerprints(library(spark, sf_dir).select("mol_id", "smiles"), nbits=64, expand_cols=True).drop("smiles")
+
+
+def positional_rows(spark, sf_dir):
+    """The last row, the first, and the last again, by place."""
+    lib = library(spark, sf_dir)
+    n = lib.count()
+    return frames.subset(lib, [n - 1, 0, n - 1]).select("at", "mol_id").unionByName(frames.take(lib, -2).select(F.lit(3).cast("long").alias("at"), "mol_id"))
+
+
+def rag_routed(spark, sf_dir):
+    q = spark.createDataFrame([(x,) for x in (*QUESTIONS, "logp of unknownium")], "query string")
+    structures = spark.createDataFrame([("CC(=O)Oc1ccccc1C(=O)O", "C9H8O4", "180.16", 1.2, 63.6), ("CCO", "C2H6O", "46.07", -0.1, None)], "smiles string, formula string, mw string, xlogp double, tpsa double")
+    names = spark.createDataFrame([("Unknownium", "[U]", "238.03", None)], "word string, smiles string, mw string, xlogp double")
+    local = spark.createDataFrame([("CCO", "SMILES: CCO, MW=46.07, LogP=-0.00, TPSA=20.2")], "smiles string, content string")
+    out = retrieval.rag(q, structures, names, local)
+    return out.select("query", "answer", F.array_join("sources", ",").alias("sources"), F.col("relevant").cast("int").alias("relevant"), "score", F.col("iterations").cast("int").alias("iterations"), F.col("n_chunks").cast("int").alias("n_chunks"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -332,7 +417,8 @@ QUERIES = {f.__name__: f for f in (
     screen_threshold, screen_counts, screen_best, tanimoto_embeddings, ro5_filter, rule_flags, pic50, scaffold_groups, scaffold_split, kfold_sizes, kfold, scaffold_kfold, duplicate_occurrence,
     substructure_acids, substructure_inverted, butina_neighbours, butina_clusters, maxmin_pick, mmp_pairs, regression_metrics, uncertainty_stats, skill_stats, rag_relevance, rag_rewrite, rag_answer, fasta_parse,
     residue_composition, chembl_parse, parquet_roundtrip, record_layout, events_tumbling, label_rates, canonical_smiles, murcko_scaffolds, named_descriptors, admet_screen, other_fingerprints,
-    mmpa, mmpa_double, reaction_products, rgroup_table, common_substructure, sdf_roundtrip,
+    mmpa, mmpa_double, reaction_products, rgroup_table, common_substructure, sdf_roundtrip, canonical_classes, formula_descriptors, substructure_atoms, multitask_metrics, smiles_file_roundtrip,
+    activity_records, record_lookup, shape_descriptors, fingerprint_columns, positional_rows, rag_routed,
 )}
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from ..fixtures import pool_sql
+import random
+
+from ..fixtures import POOL, pool_sql
 from ..functions.elements import LOGP_CENTI, MASS_MILLI, MASS_MILLI_GRAPH, NUMBERS, VALENCE
 from ..operators.graph import LABELS
 from ..operators.retrieval import PROPERTIES, SYNONYMS
@@ -115,7 +117,67 @@ def _kfold(n_of: str = "part") -> str:
     return f"SELECT (i % 5)::INTEGER AS fold, count(*) AS n FROM (SELECT unnest(range((SELECT count(*) FROM {n_of}))) AS i) GROUP BY 1"
 
 
+def _shuffled(n: int, seed: int = 42) -> list[int]:
+    """Python's own shuffle, which folds must equal."""
+    out = list(range(n))
+    random.Random(seed).shuffle(out)
+    return out
+
+
+# Sum formulas of the pool's molecules, hydrogens at N and O, and independent rings, all by hand.
+_FORMULAS = [
+    ("C2H6O", 1, 0), ("C6H6", 0, 1), ("C2H4O2", 1, 0), ("C5H5N", 0, 1), ("C3H8O", 1, 0), ("C3H8O", 1, 0), ("C4H10O", 1, 0), ("C8H10", 0, 1), ("C7H8", 0, 1), ("C6H6O", 1, 1),
+    ("C9H8O4", 1, 1), ("C8H10N4O2", 0, 2), ("C8H9NO2", 2, 1), ("C7H6O3", 2, 1), ("C13H18O2", 1, 1), ("C20H12", 0, 5), ("C7H7NO2", 3, 1), ("C13H10O3", 1, 3), ("C6H8N2O2S", 4, 1), ("C7H6O2Na", 1, 1),
+    ("C10H8", 0, 2), ("C10H14N2", 0, 2), ("C19H28O2", 1, 4), ("C7H6O2", 1, 1), ("C6H12", 0, 1), ("C5H5N", 0, 1), ("C2H5NO", 2, 0), ("C3H7NO2", 3, 0), ("C5H6N2", 2, 1), ("C20H22O5", 0, 3),
+    ("C7H6O2", 1, 1), ("C7H7NO", 2, 1), ("C6H5F", 0, 1), ("C6H5Cl", 0, 1), ("C6H5Br", 0, 1), ("C6H7N", 2, 1), ("C6H6", 0, 1), ("C2H2", 0, 0), ("C3H7NO2", 3, 0),
+]
+# Standard atomic weights.
+_WEIGHTS = {"C": 12.011, "H": 1.008, "N": 14.007, "O": 15.999, "F": 18.998, "Na": 22.99, "S": 32.067, "Cl": 35.453, "Br": 79.904}
+# Scaffolds of the pool's molecules, by hand; those that are not named are benzene's for aromatic members, none for open chains.
+_MURCKO = {3: "c1ccncc1", 11: "c1(c2c(nc[nH]2)[nH]c([nH]1)=O)=O", 15: "c12c3c4ccc1c1c(cc2ccc3ccc4)cccc1", 17: "C1=2C(c3c(C1CC(C2)=O)cccc3)=O", 20: "c12c(cccc1)cccc2", 21: "[C@H]1(CCCN1)c1cccnc1", 22: "C1(C=C2C(C3C(C4C(CC3)CCC4)CC2)CC1)=O", 24: "C1CCCCC1", 25: "c1ccncc1", 28: "c1ccncc1", 29: "C1(CC(Cc2c1cccc2)c1ccccc1)=O", 39: "INVALID_SMILES"}
+_OPEN = {0, 2, 4, 5, 6, 26, 27, 37, 38}
+_SCAFFOLDS = [(i, _MURCKO.get(i, "" if i in _OPEN else "c1ccccc1")) for i in range(len(POOL))]
+# Pool members that are the same molecule as an earlier one, as they are, as free acid without counter-ion, and as carbon frame.
+_SAME = {25: 3, 36: 1, 30: 23}
+_SAME_STANDARD = _SAME | {23: 19, 30: 19}
+_FRAMES = {0: 0, 2: 0, 4: 0, 5: 0, 6: 0, 26: 0, 27: 0, 37: 0, 38: 0, 11: 11, 15: 15, 17: 17, 20: 20, 21: 21, 22: 22, 29: 29}
+# Atoms of the pool's carboxylic acids, by hand: the carbon, its oxygen, its hydroxyl.
+_ACIDS = {2: "1,2,3", 10: "10,11,12", 13: "1,2,0", 14: "12,13,14", 16: "1,0,2", 19: "2,3,1", 23: "6,7,8", 27: "3,4,5", 30: "6,7,8", 38: "3,4,5"}
+# Methyl esters of the pool's acids, by hand.
+_ESTERS = ["C(C(C)N)(=O)OC", "C(C(C)c1ccc(CC(C)C)cc1)(=O)OC", "C(C)(=O)OC", "C(C)(=O)Oc1c(C(=O)OC)cccc1", "C([C@@H](C)N)(=O)OC", "C(c1c(cccc1)O)(=O)OC", "C(c1ccc(cc1)N)(=O)OC", "C(c1ccccc1)(=O)OC"]
+
 ORACLES = {
+    "kfold": _with(_LIBRARY, f"shuffles(n, places) AS (VALUES {', '.join(f'({n}, {_shuffled(n)})' for n in (200, 2000))})", "dealt AS (SELECT unnest(places) AS pos, generate_subscripts(places, 1) - 1 AS i FROM shuffles WHERE n = (SELECT count(*) FROM part))", "placed AS (SELECT mol_id, row_number() OVER (ORDER BY mol_id) - 1 AS pos FROM library)")
+    + "SELECT mol_id, pos, (i % 5)::INTEGER AS fold FROM placed JOIN dealt USING (pos)",
+    "murcko_scaffolds": _with(_LIBRARY, f"names(pool_id, scaffold) AS {_values(_SCAFFOLDS)}") + "SELECT mol_id, scaffold FROM library JOIN names USING (pool_id)",
+    "canonical_classes": _with(_LIBRARY, f"names(pool_id, canonical, standard, frame) AS {_values((i, _SAME.get(i, i), _SAME_STANDARD.get(i, i), _FRAMES.get(i, 1)) for i in range(39))}") + "SELECT mol_id, canonical::BIGINT AS canonical, standard::BIGINT AS standard, frame::BIGINT AS frame FROM library JOIN names USING (pool_id)",
+    "formula_descriptors": _with(_LIBRARY, f"formulas(pool_id, formula, hs, rings) AS {_values((i, *x) for i, x in enumerate(_FORMULAS))}", f"weights(sym, w) AS {_values(_WEIGHTS.items())}",
+        "parts AS (SELECT pool_id, unnest(regexp_extract_all(formula, '[A-Z][a-z]?[0-9]*')) AS x FROM formulas)", "counts AS (SELECT pool_id, regexp_extract(x, '[A-Za-z]+') AS sym, coalesce(try_cast(regexp_extract(x, '[0-9]+') AS INTEGER), 1) AS n FROM parts)",
+        "sums AS (SELECT pool_id, sum(n * w::DOUBLE) AS mw, sum(n * w::DOUBLE) FILTER (WHERE sym <> 'H') AS hmw, sum(n) FILTER (WHERE sym <> 'H') AS heavy, coalesce(sum(n) FILTER (WHERE sym NOT IN ('H', 'C')), 0) AS hetero, coalesce(sum(n) FILTER (WHERE sym IN ('N', 'O')), 0) AS n_o FROM counts JOIN weights USING (sym) GROUP BY 1)")
+    + "SELECT mol_id, round(mw, 3) AS \"MolWt\", round(hmw, 3) AS \"HeavyAtomMolWt\", heavy::DOUBLE AS \"HeavyAtomCount\", hetero::DOUBLE AS \"NumHeteroatoms\", n_o::DOUBLE AS \"NOCount\", hs::DOUBLE AS \"NHOHCount\", rings::DOUBLE AS \"RingCount\", CASE WHEN pool_id = 19 THEN 2.0 ELSE 1.0 END::DOUBLE AS \"NumFragments\" FROM library JOIN formulas USING (pool_id) JOIN sums USING (pool_id)",
+    "substructure_atoms": _with(_LIBRARY, f"acids(pool_id, atoms) AS {_values(_ACIDS.items())}") + "SELECT mol_id, atoms FROM library JOIN acids USING (pool_id)",
+    "reaction_products": f"SELECT * FROM {_values((x,) for x in _ESTERS)} t(product)",
+    # benzenes share the ring alone, as phenols and halides do with the others; pyridines the ring
+    "common_substructure": f"SELECT * FROM {_values([('c1ccccc1', 19, 6), ('c1ccncc1', 3, 6)])} t(scaffold, n, n_atoms)",
+    "sdf_roundtrip": _with(_LIBRARY) + "SELECT mol_id, 1 AS same FROM library WHERE smiles <> 'INVALID_SMILES'",
+    "multitask_metrics": """WITH d AS (SELECT p_size::DOUBLE AS y0, (p_partkey % 11)::DOUBLE AS y1, (p_partkey % 50)::DOUBLE AS p0, (p_partkey % 13)::DOUBLE AS p1 FROM part WHERE p_partkey % 9 <> 0), m AS (SELECT *, avg(y0) OVER () AS m0, avg(y1) OVER () AS m1 FROM d)
+SELECT round(1 - sum((y0 - p0) ** 2 + (y1 - p1) ** 2) / sum((y0 - m0) ** 2 + (y1 - m1) ** 2), 6) AS r2, round(sum(abs(y0 - p0) + abs(y1 - p1)) / (2 * count(*)), 6) AS mae, round(sqrt(sum((y0 - p0) ** 2 + (y1 - p1) ** 2) / (2 * count(*))), 6) AS rmse, count(*) AS n FROM m""",
+    "smiles_file_roundtrip": _with(_LIBRARY) + "SELECT smiles, count(*) AS n FROM library GROUP BY 1",
+    "activity_records": _with(_LIBRARY) + "SELECT 'CHEMBL' || mol_id AS molecule_chembl_id, smiles AS canonical_smiles, CASE WHEN mol_id % 10 <> 0 THEN label END AS standard_value, 'nM' AS standard_units, p_brand AS assay_chembl_id FROM library JOIN part ON mol_id = p_partkey",
+    "record_lookup": _with(_LIBRARY) + "SELECT 'CHEMBL' || mol_id AS chembl_id, smiles FROM library WHERE mol_id % 3 = 0 AND pool_id <> 39",
+    "shape_descriptors": """WITH p AS (SELECT l_orderkey AS k, l_linenumber::DOUBLE AS m, l_quantity AS x, l_extendedprice / 1000 AS y, l_discount * 100 AS z FROM lineitem), c AS (SELECT k, sum(m * x) / sum(m) AS cx, sum(m * y) / sum(m) AS cy, sum(m * z) / sum(m) AS cz FROM p GROUP BY 1)
+SELECT k AS l_orderkey, round(sqrt(sum(m * ((x - cx) ** 2 + (y - cy) ** 2 + (z - cz) ** 2)) / sum(m)), 4) AS radius FROM p JOIN c USING (k) GROUP BY 1""",
+    "fingerprint_columns": _with(_LIBRARY, _GRAPH, _IDS) + "SELECT mol_id, " + ", ".join(f"coalesce(max((bit % 64 = {i})::INTEGER), 0)::INTEGER AS fp_{i}" for i in range(64)) + " FROM library LEFT JOIN bits USING (pool_id) GROUP BY 1",
+    "positional_rows": "SELECT w.k::BIGINT AS \"at\", p_partkey AS mol_id FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS r, count(*) OVER () AS n FROM part) JOIN (VALUES (0, 0), (1, 1), (2, 0), (3, -1)) w(k, place) ON r = CASE WHEN place > 0 THEN place ELSE n + place END",
+    # by hand: named molecules by structure and locally, an unknown name by name, and two questions without any source
+    "rag_routed": f"""SELECT * FROM (VALUES
+('{QUESTIONS[0]}', 'Based on 1 source(s):' || chr(10) || '  [PUBCHEM] PubChem properties for SMILES=CC(=O)Oc1ccccc1C(=O)O: Formula=C9H8O4, MW=180.16, XLogP=1.2, TPSA=63.6', 'pubchem', 1, 10.0::DOUBLE, 1, 1),
+('{QUESTIONS[1]}', 'Could not find sufficient information for: {QUESTIONS[1]}', '', 0, 0.0::DOUBLE, 5, 0),
+('{QUESTIONS[2]}', 'Based on 2 source(s):' || chr(10) || '  [LOCAL] SMILES: CCO, MW=46.07, LogP=-0.00, TPSA=20.2' || chr(10) || '  [PUBCHEM] PubChem properties for SMILES=CCO: Formula=C2H6O, MW=46.07, XLogP=-0.1, TPSA=?', 'local,pubchem', 1, 10.0::DOUBLE, 1, 2),
+('{QUESTIONS[3]}', 'Could not find sufficient information for: {QUESTIONS[3]}', '', 0, 0.0::DOUBLE, 5, 0),
+('logp of unknownium', 'Based on 1 source(s):' || chr(10) || '  [PUBCHEM_NAME] PubChem: ''unknownium'' \u2192 SMILES=[U], MW=238.03, XLogP=?', 'pubchem_name', 1, 10.0::DOUBLE, 1, 1)) t(query, answer, sources, relevant, score, iterations, n_chunks)""",
+    "rag_answer": f"""SELECT * FROM (VALUES ('{QUESTIONS[0]}', 'Based on 2 source(s):' || chr(10) || '  [PUBCHEM] XLogP=3.5 LogP logp' || chr(10) || '  [LOCAL] SMILES: CCO, MW=46.07', 'pubchem,local', 1, 10.0::DOUBLE, 1),
+('{QUESTIONS[1]}', 'No information found for: {QUESTIONS[1]}', '', 0, 0.0::DOUBLE, 5), ('{QUESTIONS[2]}', 'Based on 1 source(s):' || chr(10) || '  [LOCAL] no numbers', 'local', 0, 0.0::DOUBLE, 5), ('{QUESTIONS[3]}', 'No information found for: {QUESTIONS[3]}', '', 0, 0.0::DOUBLE, 5)) t(query, answer, sources, relevant, score, iterations)""",
     "mol_scan": _with(_LIBRARY) + "SELECT mol_id, smiles, length(smiles) AS n_chars FROM library",
     "builtin_descriptors": _with(_LIBRARY, _GRAPH, f"mass(z, w) AS {_MASS}, inc(z, c) AS {_LOGP}", "sums AS (SELECT pool_id, sum(coalesce(w, a.z * 2000)) AS mw, sum(coalesce(c, 0)) AS lp, count(*) AS n FROM atoms a LEFT JOIN mass ON mass.z = a.z LEFT JOIN inc ON inc.z = a.z GROUP BY 1)")
     + "SELECT mol_id, coalesce(mw, 0)::DOUBLE / 1000.0::DOUBLE AS mw, coalesce(lp, 0)::DOUBLE / 100.0::DOUBLE AS logp, coalesce(n, 0)::INTEGER AS heavy_atoms FROM library LEFT JOIN sums USING (pool_id)",
@@ -149,7 +211,8 @@ SELECT k AS mol_id, (mw <= 500 AND logp <= 5 AND hbd <= 5 AND hba <= 10)::INTEGE
         "t AS (SELECT *, before < floor((SELECT count(*) FROM lib) * 0.8) AS tr FROM c)")
     + "SELECT mol_id, scaffold, CASE WHEN tr THEN 'train' WHEN before - (SELECT sum(size) FROM t WHERE tr) < floor((SELECT count(*) FROM lib) * 0.1) THEN 'val' ELSE 'test' END AS split FROM lib JOIN t USING (scaffold)",
     "kfold_sizes": _kfold(),
-    "scaffold_kfold": _with(_LIBRARY, _SCAFFOLD) + "SELECT scaffold, 1::BIGINT AS folds, count(*) AS n FROM lib GROUP BY 1",
+    "scaffold_kfold": _with(_LIBRARY, _SCAFFOLD, "g AS (SELECT scaffold, count(*) AS n, row_number() OVER (ORDER BY min(mol_id)) - 1 AS pos FROM lib GROUP BY 1)", f"dealt(pos, i) AS {_values((p, i) for i, p in enumerate(_shuffled(len(set(SCAFFOLDS)))))}")
+    + "SELECT scaffold, 1::BIGINT AS folds, (i % 4)::INTEGER AS fold, n FROM g JOIN dealt USING (pos)",
     "duplicate_occurrence": _with(_LIBRARY) + "SELECT mol_id, row_number() OVER (PARTITION BY smiles ORDER BY mol_id) - 1 AS occurrence FROM library",
     # the members that hold a carboxylic acid, by eye
     "substructure_acids": _with(_LIBRARY) + "SELECT mol_id, smiles FROM library WHERE smiles IN ('CC(=O)O', 'CC(=O)Oc1ccccc1C(=O)O', 'OC(=O)c1ccccc1O', 'CC(C)Cc1ccc(cc1)C(C)C(=O)O', 'O=C(O)c1ccc(N)cc1', '[Na+].OC(=O)c1ccccc1', 'c1ccc(cc1)C(=O)O', 'CC(N)C(=O)O', 'c1ccccc1C(=O)O', 'N[C@H](C)C(=O)O')",

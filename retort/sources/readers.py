@@ -141,6 +141,28 @@ def chembl_search(df: DataFrame, json: str = "json") -> DataFrame:
     return chembl_records(own)
 
 
+def chembl_activities(df: DataFrame, json: str = "json") -> DataFrame:
+    """Records of activity answers: their list of activities; a value that is no number is null."""
+    one = "array<struct<molecule_chembl_id: string, canonical_smiles: string, standard_value: string, standard_units: string, assay_chembl_id: string>>"
+    own = df.select(F.inline(F.from_json(F.get_json_object(json, "$.activities"), one)))
+    return own.withColumn("standard_value", F.col("standard_value").try_cast("double"))
+
+
+def chembl_smiles(ids: DataFrame, records: DataFrame) -> DataFrame:
+    """(chembl_id, smiles) of the asked ids (column chembl_id) among chembl_records(); ids without a record or structure are left out."""
+    return ids.select("chembl_id").distinct().join(records.where(F.length("smiles") > 0).select("chembl_id", "smiles"), "chembl_id")
+
+
+# The well-known subsets.
+ZINC_SUBSETS = ["Drug-Like", "Lead-Like", "Fragment-Like", "Lugs", "Goldilocks", "Big-n-Greasy"]
+
+
+def zinc_tranche(spark: SparkSession, path: str, max_mols: int = 1000) -> DataFrame:
+    """(smiles): the first words of a tranche file's first max_mols lines that are not blank. The cap is the search's own."""
+    own = smiles_file(spark, path, first_token=True).withColumn("at", F.monotonically_increasing_id())
+    return own.orderBy("at").limit(max_mols).select("smiles")
+
+
 def zinc_records(df: DataFrame, json: str = "json") -> DataFrame:
     get = lambda path: F.get_json_object(json, path)
     return df.select(F.coalesce(get("$.zinc_id"), F.lit("")).alias("zinc_id"), F.coalesce(get("$.smiles"), F.lit("")).alias("smiles"), F.coalesce(get("$.mwt").try_cast("double"), F.lit(0.0)).alias("mw"), F.coalesce(get("$.logp").try_cast("double"), F.lit(0.0)).alias("logp"))
@@ -150,11 +172,11 @@ def zinc_sample(df: DataFrame, low: float, high: float, n: int) -> DataFrame:
     return df.where(F.col("mw").between(low, high)).orderBy("zinc_id").limit(n)
 
 
-def bindingdb(df: DataFrame, target: str, max_records: int = 1000, order: str | None = None) -> DataFrame:
+def bindingdb(df: DataFrame, target: str, max_records: int = 1000, order: list[str] | None = None) -> DataFrame:
     """Records whose target matches, whatever its case; df: Drug, Target, optional Target_ID, Y. The cap is the search's own."""
     c = "Target_ID" if "Target_ID" in df.columns else "Target"
     own = df.where(F.col(c).rlike(f"(?i){target}"))
-    own = (own.orderBy(order) if order else own).limit(max_records)
+    own = own.orderBy(*(order or [x for x in ("Drug", "Target", "Y") if x in df.columns])).limit(max_records)
     return own.select(F.col("Drug").alias("smiles"), F.col("Target").alias("target_sequence"), F.col("Y").cast("double").alias("affinity"), F.lit("Kd").alias("affinity_type"), F.col(c).alias("target_name"))
 
 
@@ -166,6 +188,36 @@ def dataset(records: DataFrame, label: str | None = None, pic50: bool = False) -
     return own if label is None else own.withColumn("label", log(label) if pic50 else F.col(label).cast("double"))
 
 
+def tdc_splits(df: DataFrame, method: str = "scaffold", seed: int = 42, train: float = 0.7, valid: float = 0.1) -> dict[str, DataFrame]:
+    """train, valid and test of a benchmark table (Drug, Y and perhaps Target, Target_ID). A column split is used as it is; else molecules are split
+    by scaffold, or at random by a seeded hash of the row."""
+    from ..operators import split
+
+    if method not in ("scaffold", "random"):
+        raise ValueError(f"unknown split method {method!r}")
+    if "split" in df.columns:
+        own = df
+    elif method == "random":
+        part = F.pmod(F.xxhash64(*[c for c in df.columns], F.lit(seed)), F.lit(1_000_000)) / 1_000_000
+        own = df.withColumn("split", F.when(part < train, "train").when(part < train + valid, "valid").otherwise("test"))
+    else:
+        named = split.with_scaffold(df.withColumn("smiles", F.col("Drug")))
+        own = split.scaffold_split(named, train, valid, order="smiles").withColumn("split", F.when(F.col("split") == "val", "valid").otherwise(F.col("split"))).drop("smiles", "scaffold")
+    return {k: own.where(F.col("split") == k).drop("split") for k in ("train", "valid", "test")}
+
+
+def tdc_molecules(frame: DataFrame, name: str, split: str, log_transform: bool = True) -> DataFrame:
+    """A split as a molecule table: labels other than 0 and 1 are values in nM and become pIC50 where asked; name, split and target go along."""
+    from ..operators.descriptors import pic50 as log
+
+    y = F.col("Y").cast("double")
+    values = log_transform and bool(frame.where(~y.isin(0.0, 1.0)).limit(1).count())
+    more = {"Target": "protein_sequence", "Target_ID": "target_id"}
+    return frame.select(
+        F.col("Drug").alias("smiles"), (log(y) if values else y).alias("label"), F.lit(name).alias("tdc_dataset"), F.lit(split).alias("tdc_split"), *[F.col(c).alias(n) for c, n in more.items() if c in frame.columns]
+    )
+
+
 def from_pandas(spark: SparkSession, pdf: pd.DataFrame, smiles: str = "smiles", label: str | None = None) -> DataFrame:
     df = spark.createDataFrame(pdf).withColumnRenamed(smiles, "smiles")
     return df.withColumnRenamed(label, "label") if label else df

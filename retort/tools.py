@@ -31,7 +31,7 @@ def featurize(smiles: list[str], kind: str = "ecfp4", nbits: int = 2048, radius:
 
 def descriptors(smiles: list[str], names: list[str] | None = None, preset: str | None = None) -> dict:
     chosen = columns.chosen_descriptors(names, preset)
-    rows = d.named(from_list(_spark(), smiles), chosen).orderBy("mol_id").collect()
+    rows = d.named(from_list(_spark(), smiles), chosen, None).orderBy("mol_id").collect()
     return {"names": chosen, "values": [[r[n] for n in chosen] for r in rows]}
 
 
@@ -48,6 +48,19 @@ def screen(queries: list[str], library: list[str], threshold: float = 0.3, top_k
     return {"n_screened": counts["n_screened"], "n_hits": counts["n_hits"], "hits": [{"query": queries[r["query_id"]], "smiles": library[r["mol_id"]], "similarity": r["sim"]} for r in best]}
 
 
+def shape(points: list[list[list[float]]], masses: list[list[float]]) -> list[dict]:
+    """Shape descriptors of given coordinates."""
+    df = _spark().createDataFrame(list(enumerate(zip(points, masses, strict=True))), "at long, c struct<xyz: array<array<double>>, m: array<double>>")
+    rows = df.select("at", columns.shape_descriptors(F.col("c.xyz"), F.col("c.m")).alias("d")).orderBy("at").collect()
+    return [r["d"].asDict() for r in rows]
+
+
+def predict(model, smiles: list[str]) -> list[float | None]:
+    """Predictions of an endpoint model; None for texts that are no molecules."""
+    rows = model.predict(from_list(_spark(), smiles)).orderBy("mol_id").collect()
+    return [None if r["prediction"] != r["prediction"] else r["prediction"] for r in rows]
+
+
 def smarts(smiles: list[str], pattern: str, mode: str = "filter", invert: bool = False) -> dict:
     df = from_list(_spark(), smiles)
     if mode == "filter":
