@@ -1,16 +1,18 @@
 """A quality classifier by positive-unlabelled learning.
 
-Trusted positives are texts labelled good; all other training texts, labelled or not, are unlabelled web text. With the
-class prior p, the share of good texts among labelled training rows, a small network g is fitted to the non-negative
-risk  p * E_pos[l(g)] + max(0, E_unl[l(-g)] - p * E_pos[l(-g)])  with the sigmoid loss l: where the second part falls
-below zero, its gradient is reversed. The score is a logistic curve of g, set by labelled training rows.
+Trusted positives are texts labelled good; a sample of all training texts is unlabelled web text. Labels of bad texts are not used at all. With the
+class prior p a small network g is fitted to the non-negative risk  p * E_pos[l(g)] + max(0, E_unl[l(-g)] - p * E_pos[l(-g)])  with the
+sigmoid loss l: where the second part falls below zero, its gradient is reversed.
+
+The prior is estimated from positives and unlabelled texts: of the scores that networks fitted to one half of each give the other half, the least ratio
+of the shares of unlabelled and of positive texts above a threshold (the best bin, with a bound for its error), for ROUNDS networks in turn. The
+score is a logistic curve of g whose slope follows the spread of unlabelled texts and whose place is where their mean score is the prior.
 
 Features of a whole text: the square roots of the shares of its byte values and hashed byte trigrams, its length, word
 length, and the share of its lines and words that repeat. They are computed where the text is read; the driver gets the features
-of about POSITIVES + UNLABELLED + CURVE texts, chosen by a hash of doc_id, one text an id: a bound that does not grow with the table.
+of about POSITIVES + UNLABELLED texts, chosen by a hash of doc_id, one text an id: a bound that does not grow with the table.
 
-Defined cases: null text is an empty one and is scored as such; without labels, or labels of one kind only, the score is the class prior (0.5
-without labels); rows that repeat are scored each; an empty table gives an empty result; other columns are not read.
+Defined cases: null text is an empty one and is scored as such; without positive labels the score is 0.5; rows that repeat are scored each; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,8 +27,9 @@ from pyspark.sql import types as T
 from .common import bucket, small_batches, table, texts, word_hashes
 from .packing import trigram_histograms
 
-POSITIVES, UNLABELLED, CURVE = 1500, 3000, 2000
+POSITIVES, UNLABELLED = 1500, 3000
 HIDDEN, EPOCHS, STEP, THRESHOLD = 24, 60, 0.005, 0.7
+ROUNDS, ROUND_EPOCHS, LEAST_SHARE, SLOPE = 3, 40, 0.1, 2.0
 TRIGRAMS = 256
 
 
@@ -86,23 +89,46 @@ class PuNet:
                     self.p[i] -= (STEP * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
         return self
 
-    def curve(self, x: np.ndarray, y: np.ndarray) -> PuNet:
-        """Sets the logistic curve by Newton steps on labelled rows."""
-        g, a, b = self.raw(x), 1.0, 0.0
-        for _ in range(30):
-            q = 1 / (1 + np.exp(-np.clip(a * g + b, -30, 30)))
-            w = q * (1 - q) + 1e-6
-            grad = np.array([((q - y) * g).sum() + 0.1 * a, (q - y).sum()])
-            hess = np.array([[(w * g * g).sum() + 0.1, (w * g).sum()], [(w * g).sum(), w.sum() + 1e-6]])
-            step = np.linalg.solve(hess, grad)
-            a, b = a - step[0], b - step[1]
-        self.slope, self.shift = max(1e-3, float(a)), float(b)
+    def curve(self, unl: np.ndarray, prior: float) -> PuNet:
+        """Sets the logistic curve so that the unlabelled texts' mean score is the prior."""
+        g = self.raw(unl)
+        self.slope = SLOPE / (float(g.std()) + 1e-9)
+        low, high = -1e6, 1e6
+        for _ in range(100):
+            self.shift = (low + high) / 2
+            low, high = (self.shift, high) if self.score(unl).mean() < prior else (low, self.shift)
         return self
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.raw(x) + self.shift, -30, 30)))
 
 
+def best_bin(pos: np.ndarray, unl: np.ndarray, least: float = LEAST_SHARE) -> float:
+    """The share of positives among unlabelled scores: the least ratio of the shares above a threshold, among thresholds that at least a share of
+    positives reach; the bin is chosen by an upper bound of the ratio."""
+    cut = np.unique(pos)
+    above = lambda x: 1 - np.searchsorted(np.sort(x), cut) / len(x)
+    of_pos, of_unl = above(pos), above(unl)
+    slack = sum(np.sqrt(np.log(40) / 2 / len(x)) for x in (pos, unl))
+    bound = np.where(of_pos >= least, (of_unl + slack) / of_pos, np.inf)
+    i = int(bound.argmin())
+    return float(min(1.0, of_unl[i] / of_pos[i]))
+
+
+def estimated_prior(pos: np.ndarray, unl: np.ndarray) -> float:
+    """The class prior by networks that are fitted to halves and asked about the other halves."""
+    prior, halves = 0.5, [(x[::2], x[1::2]) for x in (pos, unl)]
+    if min(len(x) for pair in halves for x in pair) < 2:
+        return prior
+    for _ in range(ROUNDS):
+        found = []
+        for own, other in ((0, 1), (1, 0)):
+            net = PuNet(pos.shape[1]).fit(halves[0][own], halves[1][own], prior, ROUND_EPOCHS)
+            found.append(best_bin(net.raw(halves[0][other]), net.raw(halves[1][other])))
+        prior = float(np.clip(np.mean(found), 0.02, 0.98))
+    return prior
+
+
 def _features_column(text: pd.Series) -> pd.Series:
     return pd.Series(list(features(pa.array(text, pa.large_string()))))
 
@@ -111,32 +137,25 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[PuNet | None, float]:
     """(network, class prior) from docs (doc_id, text) and labels (doc_id, quality), training rows only."""
     # texts do not move: rows are chosen by id, and the few that are chosen go to the texts
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    marks = labels.where("quality is not null").groupBy(F.col("doc_id").cast("long").alias("label_doc")).agg(F.max(F.col("quality").cast("int")).alias("good"))
-    rows = own.join(marks, own["doc_id"] == marks["label_doc"], "left").select("doc_id", "good")
-    n, good, bad = rows.agg(F.count(F.lit(1)), F.count_if(F.col("good") == 1), F.count_if(F.col("good") == 0)).first()
-    if not good or not bad:
-        return None, 0.5 if not good and not bad else float(bool(good))
+    good = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("label_doc")).distinct()
+    rows = own.join(good, own["doc_id"] == good["label_doc"], "left").select("doc_id", F.col("label_doc").isNotNull().alias("good"))
+    n, n_good = rows.agg(F.count(F.lit(1)), F.count_if("good")).first()
+    if not n_good:
+        return None, 0.5
     part = 1_000_000_000
     chance = lambda k: F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(part))
-    picks = F.array_compact(F.array(
-        F.when((F.col("good") == 1) & (chance(1) < part * POSITIVES // good + 1), F.lit("pos")),
-        F.when(chance(2) < part * UNLABELLED // n + 1, F.lit("unl")),
-        F.when(F.col("good").isNotNull() & (chance(3) < part * CURVE // (good + bad) + 1), F.lit("curve")),
-    ))
+    picks = rows.select("doc_id", (F.col("good") & (chance(1) < part * POSITIVES // n_good + 1)).alias("pos"), (chance(2) < part * UNLABELLED // n + 1).alias("unl"))
+    few = picks.where("pos or unl").distinct().withColumnRenamed("doc_id", "picked_doc")
     of = F.pandas_udf(_features_column, T.ArrayType(T.FloatType()))
-    few = rows.withColumn("picks", picks).where(F.size("picks") > 0).select(F.col("doc_id").alias("picked_doc"), "good", "picks").distinct()
     texts_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    met = texts_.join(F.broadcast(few), texts_["doc_id"] == few["picked_doc"]).groupBy("doc_id", "good", "picks").agg(F.min("text").alias("text"))
-    picked = met.select("doc_id", "good", "picks", of("text").alias("x")).toPandas()
-    picked = picked.sort_values(["doc_id", "good"], kind="stable")
+    met = texts_.join(F.broadcast(few), texts_["doc_id"] == few["picked_doc"]).groupBy("doc_id", "pos", "unl").agg(F.min("text").alias("text"))
+    picked = met.select("doc_id", "pos", "unl", of("text").alias("x")).toPandas().sort_values("doc_id", kind="stable")
     x = np.stack(list(picked["x"])) if len(picked) else np.zeros((0, 256 + TRIGRAMS + 5), np.float32)
-    have = {k: np.array([k in p for p in picked["picks"]], bool) for k in ("pos", "unl", "curve")}
-    y = picked["good"].to_numpy()
-    if not have["pos"].any() or not have["unl"].any():
-        return None, good / (good + bad)
-    prior = good / (good + bad)
-    net = PuNet(x.shape[1]).fit(x[have["pos"]], x[have["unl"]], prior)
-    return net.curve(x[have["curve"]], y[have["curve"]].astype(float)) if have["curve"].any() else net, prior
+    pos, unl = x[picked["pos"].to_numpy(bool)], x[picked["unl"].to_numpy(bool)]
+    if not len(pos) or not len(unl):
+        return None, 0.5
+    prior = estimated_prior(pos, unl)
+    return PuNet(x.shape[1]).fit(pos, unl, prior).curve(unl, prior), prior
 
 
 def scorer(net: PuNet | None, prior: float):

@@ -535,6 +535,45 @@ def test_quality(spark, odd_dir, odd_rows):
     assert len(rows) == len(odd_rows) and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= quality.THRESHOLD) for r in rows)
 
 
+def test_quality_learns_from_positives_alone(spark):
+    """Bad labels change nothing, and the estimated prior is near the share of good texts."""
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    net, prior = quality.train(docs, labels)
+    other, prior_ = quality.train(docs, labels.where("quality = 1"))
+    assert prior == prior_ and (net.p[0] == other.p[0]).all()
+    assert abs(prior - labels.agg({"quality": "avg"}).first()[0]) < 0.08
+
+
+def test_quality_forward_and_risk_against_plain_sums():
+    rng = np.random.default_rng(1)
+    pos, unl = rng.normal(1, 1, (60, 5)).astype(np.float32), np.concatenate((rng.normal(1, 1, (60, 5)), rng.normal(-1, 1, (60, 5)))).astype(np.float32)
+    net = quality.PuNet(5).fit(pos, unl, 0.5, 30)
+    for x in unl[:10]:
+        z = [(a - m) / s for a, m, s in zip(x, net.mean, net.scale, strict=True)]
+        hidden = [max(0.0, sum(a * w for a, w in zip(z, net.p[0][:, k], strict=True)) + net.p[1][k]) for k in range(quality.HIDDEN)]
+        assert abs(sum(h * w for h, w in zip(hidden, net.p[2], strict=True)) + net.p[3][0] - net.raw(x[None])[0]) < 1e-3
+    assert net.raw(unl[:60]).mean() > net.raw(unl[60:]).mean() + 1
+    assert abs(quality.estimated_prior(pos, unl) - 0.5) < 0.2
+    assert abs(net.curve(unl, 0.4).score(unl).mean() - 0.4) < 1e-3
+    assert quality.best_bin(np.array([2.0, 3.0]), np.array([1.0, 1.0, 2.0, 3.0])) == 0.5
+
+
+def test_language_network_against_plain_sums():
+    """Embedding, filters of several widths, largest answer and softmax, one number at a time."""
+    net = language_id.ByteNet(["a", "b", "c"])
+    text = np.zeros((1, language_id.WINDOW), np.uint8)
+    text[0, :40] = np.frombuffer(b"the quick brown fox jumps over the lazy ", np.uint8)
+    e, top = net.p["embed"], []
+    for k, width in enumerate(w for w in language_id.WIDTHS for _ in range(language_id.FILTERS)):
+        f = net.p["filters"][:, k].reshape(language_id.SPAN, language_id.EMBED)
+        answers = [sum(float(e[text[0, i + j]] @ f[j]) for j in range(width)) for i in range(language_id.WINDOW - language_id.SPAN + 1)]
+        top.append(max(0.0, max(answers) + net.p["bias"][k]))
+    s = np.array(top) @ net.p["out"] + net.p["out_bias"]
+    want = s - np.log(np.exp(s).sum())
+    assert np.abs(net.log_probabilities(text)[0] - want).max() < 1e-4
+
+
 def test_text_steps_split_nothing():
     column = pa.array(["ab c", None, "", "dé f", "x" * 5000])
     for step in (1, 6, 1 << 20):
