@@ -1,10 +1,14 @@
-"""Line deduplication: exact reference counts of line keys, with sharded cuckoo filters before them.
+"""Line deduplication over an index that documents enter and leave: exact reference counts of line keys, with sharded cuckoo filters before them.
 
 A line's key is its text with ASCII white space stripped and A-Z lower-cased; only keys of at least ``min_chars``
-code points count. The reference table has one row (key, doc_id) for each document that holds a key, so documents can
-be inserted and deleted again; a key's reference count is its number of rows. The filters hold the keys whose count
-reaches ``min_docs``. A pass over documents probes the filters where the text is read, so that only lines that may be
-frequent are moved; the exact table then decides.
+code points count. The index keeps a reference (key, doc_id) for each document that holds a key, each key's exact count of references with its largest
+doc_id, and filters of the keys whose count reaches ``min_docs``. Inserting documents adds to the counts of their keys, deleting takes
+them back exactly; only the keys that become or cease to be frequent move in or out of the filters, whose other shards keep their bytes.
+A shard that fills up is built anew from the exact table.
+
+Deduplication probes the filters where texts are read, so that only lines that may be frequent are moved; the exact table then decides. Filters
+of up to BROADCAST_KEYS keys (2.5 bytes each) go to every task. Beyond that they would have to be moved to the lines, or the lines to them, which is
+the same shuffle as meeting the exact table: then all lines meet it.
 
 Defined cases: a null text is an empty one, that is one empty line; every row counts as a document of its own, also
 where a doc_id repeats (all rows of the largest doc_id keep their lines); an empty table gives an empty result; a row without
@@ -18,7 +22,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -122,20 +126,6 @@ def references(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "key binary, doc_id long")
 
 
-def insert_documents(refs: DataFrame, docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    return refs.unionByName(references(docs, min_chars))
-
-
-def delete_documents(refs: DataFrame, doc_ids: DataFrame) -> DataFrame:
-    """refs without the documents of doc_ids: what was inserted is taken back exactly."""
-    return refs.join(doc_ids.select(F.col("doc_id").cast("long")).distinct(), "doc_id", "left_anti").select("key", "doc_id")
-
-
-def frequent(refs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(key, n_docs, last_doc) of the keys with at least min_docs references; counted before they are moved."""
-    return refs.groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_doc")).where(F.col("n_docs") >= min_docs)
-
-
 def _shard(shards: int):
     """By the digest's first bytes."""
     return F.pmod(F.conv(F.hex(F.substring("key", 1, 4)), 16, 10).cast("long"), F.lit(shards))
@@ -153,23 +143,70 @@ def build_filters(keys: DataFrame, shards: int) -> DataFrame:
     return keys.select("key", _shard(shards).alias("shard")).groupBy("shard").applyInPandas(build, "shard long, n_keys long, filter binary")
 
 
-def update_filters(filters: DataFrame, gone: DataFrame, come: DataFrame, shards: int) -> DataFrame:
-    """Filters after keys left (gone) and entered (come) the frequent ones; untouched shards keep their bytes."""
+def update_filters(filters: DataFrame, gone: DataFrame, come: DataFrame, keys: DataFrame, shards: int) -> DataFrame:
+    """Filters after keys left (gone) and entered (come) the frequent ones, which are now keys; untouched shards keep their bytes. A shard in which a key finds no
+    place is built anew from keys."""
     moves = gone.select("key", F.lit(-1).alias("move")).unionByName(come.select("key", F.lit(1).alias("move"))).withColumn("shard", _shard(shards))
 
     def apply(old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
         shard = int((old if len(old) else new)["shard"].iloc[0])
-        f = CuckooFilter.from_bytes(old["filter"].iloc[0]) if len(old) else CuckooFilter.sized(max(64, len(new)))
+        out, into = (list(new.loc[new["move"] == m, "key"]) for m in (-1, 1))
+        f = CuckooFilter.from_bytes(old["filter"].iloc[0]) if len(old) else CuckooFilter.sized(max(64, len(into)))
         f = CuckooFilter(f.buckets, f.slots.copy())
         n = int(old["n_keys"].iloc[0]) if len(old) else 0
-        out, into = (list(new.loc[new["move"] == m, "key"]) for m in (-1, 1))
         if out:
             f.delete(halves(out))
-        if into and not f.insert(halves(into)):
-            raise ValueError(f"shard {shard} is full: build the filters anew")
-        return pd.DataFrame({"shard": [shard], "n_keys": [n - len(out) + len(into)], "filter": [f.to_bytes()]})
+        full = bool(into) and not f.insert(halves(into))
+        return pd.DataFrame({"shard": [shard], "n_keys": [n - len(out) + len(into)], "filter": [None if full else f.to_bytes()]})
+
+    moved = stored(filters.groupBy("shard").cogroup(moves.groupBy("shard")).applyInPandas(apply, "shard long, n_keys long, filter binary"), "filters")
+    full = [r["shard"] for r in moved.where("filter is null").select("shard").collect()]  # a number for each shard
+    if not full:
+        return moved
+    return moved.where("filter is not null").unionByName(build_filters(keys.where(_shard(shards).isin(full)), shards))
+
 
-    return filters.groupBy("shard").cogroup(moves.groupBy("shard")).applyInPandas(apply, "shard long, n_keys long, filter binary")
+class LineIndex:
+    """References (key, doc_id), counts (key, n_docs, last_doc) and filters (shard, n_keys, filter), all stored tables. Inserting and deleting give
+    a new index; this one stays as it is."""
+
+    def __init__(self, refs: DataFrame, counts: DataFrame, filters: DataFrame, shards: int, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS):
+        self.refs, self.counts, self.filters, self.shards, self.min_chars, self.min_docs = refs, counts, filters, shards, min_chars, min_docs
+
+    @classmethod
+    def empty(cls, spark: SparkSession, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> LineIndex:
+        none = lambda kind: spark.createDataFrame([], kind)
+        return cls(none("key binary, doc_id long"), none("key binary, n_docs long, last_doc long"), none("shard long, n_keys long, filter binary"), 1, min_chars, min_docs)
+
+    def frequent(self) -> DataFrame:
+        return self.counts.where(F.col("n_docs") >= self.min_docs)
+
+    def insert(self, docs: DataFrame) -> LineIndex:
+        new = stored(references(docs, self.min_chars), "line-references")
+        more = new.groupBy("key").agg(F.count(F.lit(1)).alias("more"), F.max("doc_id").alias("new_last"))
+        counts = self.counts.join(more, "key", "full").select("key", (F.coalesce("n_docs", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("n_docs"), F.greatest("last_doc", "new_last").alias("last_doc"))
+        return self._with(self.refs.unionByName(new), counts)
+
+    def delete(self, doc_ids: DataFrame) -> LineIndex:
+        """Without the documents of doc_ids: what was inserted is taken back exactly."""
+        gone = doc_ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+        keys = self.refs.join(gone, "doc_id", "left_semi").select("key").distinct()
+        refs = stored(self.refs.join(gone, "doc_id", "left_anti").select("key", "doc_id"), "line-references")
+        left = refs.join(keys, "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_doc"))
+        return self._with(refs, self.counts.join(keys, "key", "left_anti").unionByName(left))
+
+    def _with(self, refs: DataFrame, counts: DataFrame) -> LineIndex:
+        counts = stored(counts, "line-counts")
+        new = LineIndex(refs, counts, self.filters, self.shards, self.min_chars, self.min_docs)
+        now, before = new.frequent().select("key"), self.frequent().select("key")
+        wanted = max(1, -(-now.count() // SHARD_KEYS))
+        if wanted > 2 * self.shards and self.filters.limit(1).count():
+            new.shards, new.filters = wanted, stored(build_filters(now, wanted), "filters")
+            return new
+        new.shards = self.shards if self.filters.limit(1).count() else wanted
+        gone, come = before.join(now, "key", "left_anti"), now.join(before, "key", "left_anti")
+        new.filters = update_filters(self.filters, gone, come, now, new.shards)
+        return new
 
 
 def _candidates(docs: DataFrame, filters: dict[int, bytes], shards: int, min_chars: int) -> DataFrame:
@@ -219,23 +256,23 @@ def _kept(min_chars: int):
     return keep
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, refs: DataFrame | None = None, out: str = "line_dedup") -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, index: LineIndex | None = None, out: str = "line_dedup") -> DataFrame:
     """docs with the struct column out (n_lines, n_dropped, kept), which replaces one of that name: lines whose key is in at least min_docs
-    documents stay only in the largest doc_id. refs: an index that already holds docs, from insert_documents."""
+    documents of the index stay only in the largest doc_id. Without an index docs are inserted into an empty one."""
     small_batches(docs.sparkSession)
-    top = stored(frequent(references(docs, min_chars) if refs is None else refs, min_docs), "frequent-lines")
-    n = top.count()
+    if index is None:
+        index = LineIndex.empty(docs.sparkSession, min_chars, min_docs).insert(docs)
+    n = index.frequent().count()
     if n <= BROADCAST_KEYS:
-        shards = max(1, -(-n // SHARD_KEYS))
-        filters = {r["shard"]: bytes(r["filter"]) for r in build_filters(top, shards).toLocalIterator()}  # 2.5 bytes a key
-        lines = _candidates(docs, filters, shards, min_chars)
-    else:  # filters of this size are not sent to every task: all lines meet the exact table
-        lines = references(docs, min_chars)
-    exact = top.select("key", "last_doc")
+        filters = {r["shard"]: bytes(r["filter"]) for r in index.filters.toLocalIterator()}
+        lines = _candidates(docs, filters, index.shards, index.min_chars)
+    else:
+        lines = references(docs, index.min_chars)
+    exact = index.frequent().select("key", "last_doc")
     drops = lines.join(F.broadcast(exact) if n <= BROADCAST_KEYS // 4 else exact, "key").where("doc_id < last_doc")
     drops = drops.groupBy("doc_id").agg(F.collect_set("key").alias("drop_keys")).withColumnRenamed("doc_id", "drop_doc")
     joined = docs.join(drops, docs["doc_id"] == drops["drop_doc"], "left")
-    return joined.select(*[docs[c] for c in docs.columns if c != out], _kept(min_chars)(docs["text"].cast("string"), drops["drop_keys"]).alias(out))
+    return joined.select(*[docs[c] for c in docs.columns if c != out], _kept(index.min_chars)(docs["text"].cast("string"), drops["drop_keys"]).alias(out))
 
 
 def op7_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -123,22 +123,44 @@ def test_line_dedup(spark, odd_dir, odd_rows):
 
 
 def test_line_index_is_reversible(spark):
-    line = "a line that many of the documents have in common"
-    docs = spark.createDataFrame([(i, f"{line}\nown {i}") for i in range(8)], "doc_id long, text string")
-    more = spark.createDataFrame([(100, line)], "doc_id long, text string")
-    refs = line_dedup.insert_documents(line_dedup.references(docs), more)
-    back = line_dedup.delete_documents(refs, more.select("doc_id"))
-    rows = lambda df: sorted(map(tuple, df.collect()))
-    assert rows(back) == rows(line_dedup.references(docs))
-    assert [(r["n_docs"], r["last_doc"]) for r in line_dedup.frequent(refs).collect()] == [(9, 100)]
-    few = line_dedup.delete_documents(refs, docs.select("doc_id").where("doc_id < 5"))
-    assert line_dedup.frequent(few).count() == 0
-    top, none = line_dedup.frequent(refs), line_dedup.frequent(few)
-    filters = line_dedup.build_filters(top, 4)
-    after = line_dedup.update_filters(filters, top, none, 4)
-    assert sum(r["n_keys"] for r in after.collect()) == 0
-    again = line_dedup.update_filters(after, none, top, 4)
-    assert {bytes(r["filter"]).count(b"\0") < len(r["filter"]) for r in again.collect()} == {True}
+    line, other = "a line that many of the documents have in common", "another line that comes and goes with some documents"
+    docs = spark.createDataFrame([(i, f"{line}\nown {i}" + (f"\n{other}" if i > 4 else "")) for i in range(8)], "doc_id long, text string")
+    more = spark.createDataFrame([(100, f"{line}\n{other}"), (101, other), (7, f"  {line.upper()}")], "doc_id long, text string")
+    rows = lambda df: sorted((bytes(r[0]), *r[1:]) for r in df.collect())
+
+    def probed(index, keys):
+        """Which keys the filters let through, and how many keys they hold."""
+        shards = {r["shard"]: line_dedup.CuckooFilter.from_bytes(bytes(r["filter"])) for r in index.filters.collect()}
+        of = lambda k: int.from_bytes(k[:4], "big") % index.shards
+        return {k for k in keys if of(k) in shards and shards[of(k)].contains(line_dedup.halves([k]))[0]}, sum(r["n_keys"] for r in index.filters.collect())
+
+    one = line_dedup.LineIndex.empty(spark).insert(docs)
+    both = one.insert(more)
+    whole = line_dedup.LineIndex.empty(spark).insert(docs.unionByName(more))
+    assert rows(both.counts) == rows(whole.counts) and rows(both.refs) == rows(whole.refs)
+    assert sorted((r["n_docs"], r["last_doc"]) for r in both.counts.collect()) == [(5, 101), (10, 100)]
+    keys = {bytes(r["key"]) for r in both.counts.collect()}
+    assert probed(both, keys) == (keys, 2) and probed(one, keys)[1] == 1
+    back = both.delete(spark.createDataFrame([(100,), (101,)], "doc_id long"))
+    assert sorted((r["n_docs"], r["last_doc"]) for r in back.counts.collect()) == [(3, 7), (9, 7)] and probed(back, keys)[1] == 1
+    assert rows(one.insert(more.where("doc_id = 7")).counts) == rows(back.counts)
+    none = back.delete(docs.select("doc_id"))
+    assert not none.counts.count() and not none.refs.count() and probed(none, keys) == (set(), 0)
+    again = none.insert(docs)
+    assert rows(again.counts) == rows(one.counts) and probed(again, keys)[1] == 1
+    kept = lambda index: rows(line_dedup.dedup_lines(docs, index=index).select(F.encode("line_dedup.kept", "utf-8"), "doc_id"))
+    assert kept(again) == kept(one) != kept(both)
+
+
+def test_full_shards_grow(spark, monkeypatch):
+    line = lambda i: f"line number {i} that all the documents of this table have"
+    docs = lambda a, b: spark.createDataFrame([(d, "\n".join(map(line, range(a, b)))) for d in range(5)], "doc_id long, text string")
+    index = line_dedup.LineIndex.empty(spark).insert(docs(0, 40)).insert(docs(40, 400))
+    keys = line_dedup.halves([bytes(r["key"]) for r in index.counts.collect()])
+    f = line_dedup.CuckooFilter.from_bytes(bytes(index.filters.first()["filter"]))
+    assert index.filters.count() == 1 and len(keys) == 400 and f.contains(keys).all()
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 50)
+    assert index.insert(docs(400, 500)).filters.count() == 10
 
 
 def test_cuckoo_filter():
