@@ -9,6 +9,7 @@ from pyspark.sql import SparkSession
 HEADLINE = (
     "ecfp_popcount", "tanimoto_pairs", "similarity_topk", "screen_best", "builtin_descriptors", "node_features", "named_descriptors", "admet_screen", "murcko_scaffolds", "scaffold_split",
     "canonical_smiles", "substructure_acids", "mmpa", "skill_stats", "tanimoto_embeddings",
+    "distinct_ecfp", "distinct_topk", "distinct_canonical", "distinct_descriptors", "distinct_scaffolds",
 )
 
 
@@ -22,6 +23,25 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     from retort.plans.molecules import QUERIES
 
+    from pyspark.sql import functions as F
+
+    from retort.fixtures import library
+    from retort.functions import columns
+    from retort.operators import similarity
+    from retort.plans.molecules import query_fps
+
+    def distinct(spark, sf_dir):
+        """The library with a chain behind each molecule that spells its number, so that no two texts are equal."""
+        return library(spark, sf_dir).where("pool_id <> 39").withColumn("smiles", F.concat("smiles", F.translate(F.conv("mol_id", 10, 3), "012", "CNO")))
+
+    fingerprints = lambda spark, sf_dir: distinct(spark, sf_dir).withColumn("fp", columns.fingerprint("smiles"))
+    QUERIES = QUERIES | {
+        "distinct_ecfp": lambda spark, sf_dir: fingerprints(spark, sf_dir).select(similarity.popcount("fp")),
+        "distinct_topk": lambda spark, sf_dir: similarity.top_k(similarity.pairs(query_fps(spark), fingerprints(spark, sf_dir), k=10), 10),
+        "distinct_canonical": lambda spark, sf_dir: distinct(spark, sf_dir).select(columns.canonical("smiles")),
+        "distinct_descriptors": lambda spark, sf_dir: distinct(spark, sf_dir).select(columns.descriptors("smiles", preset="lipinski")),
+        "distinct_scaffolds": lambda spark, sf_dir: distinct(spark, sf_dir).select(columns.scaffold("smiles")),
+    }
     run = lambda name: QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
     run("mol_scan")  # the session and its Python workers start
     times = {}

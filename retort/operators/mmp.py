@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.columns import canonical, cuts
 
 
+#: Members of a core that one part of a join holds.
+CORE_BLOCK = 1000
+
+
 def fragments(df: DataFrame, max_cut_bonds: int = 1, radius: int = 3, smiles: str = "smiles") -> DataFrame:
     """(mol, core, variable, environment) of the distinct valid molecules, by canonical SMILES."""
     if max_cut_bonds not in (1, 2):
@@ -17,11 +21,14 @@ def fragments(df: DataFrame, max_cut_bonds: int = 1, radius: int = 3, smiles: st
 
 
 def pairs(frags: DataFrame) -> DataFrame:
-    """Ordered pairs of molecules with one core and different variables. The environment is that of the core's first molecule."""
-    env = frags.groupBy("core").agg(F.min_by("environment", "mol").alias("environment"))
-    a = frags.select("core", F.col("mol").alias("mol_a"), F.col("variable").alias("smiles_a"))
-    b = frags.select("core", F.col("mol").alias("mol_b"), F.col("variable").alias("smiles_b"))
-    met = a.join(b, "core").where("mol_a < mol_b and smiles_a <> smiles_b").join(env, "core")
+    """Ordered pairs of molecules with one core and different variables. The environment is that of the core's first molecule.
+
+    The members of a core with more than CORE_BLOCK are dealt over several parts on one side, which the other side's members all go to."""
+    cores = frags.groupBy("core").agg(F.min_by("environment", "mol").alias("environment"), F.ceil(F.count(F.lit(1)) / CORE_BLOCK).alias("parts"))
+    own = frags.drop("environment").join(cores.select("core", "parts"), "core")
+    a = own.select("core", F.pmod(F.xxhash64("mol"), F.col("parts")).alias("part"), F.col("mol").alias("mol_a"), F.col("variable").alias("smiles_a"))
+    b = own.select("core", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("mol").alias("mol_b"), F.col("variable").alias("smiles_b"))
+    met = a.join(b, ["core", "part"]).where("mol_a < mol_b and smiles_a <> smiles_b").join(cores.select("core", "environment"), "core")
     return met.select("mol_a", "mol_b", "smiles_a", "smiles_b", "core", F.concat("smiles_a", F.lit(">>"), "smiles_b").alias("transform"), "environment")
 
 

@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import random
+import uuid
+from array import array
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import scaffold
+from ..tables import shared_folder
 
 
 def with_scaffold(df: DataFrame, smiles: str = "smiles", generic: bool = False) -> DataFrame:
@@ -38,22 +43,37 @@ def scaffold_split(df: DataFrame, train: float = 0.8, val: float = 0.1, key: str
     return df.join(g.select(key, "split"), key).select(*[df[c] for c in df.columns], "split")
 
 
-def permutation(n: int, seed: int) -> list[int]:
-    out = list(range(n))
+#: Places of a shuffle that become rows at once.
+PIECE = 1_000_000
+
+
+def permutation(n: int, seed: int) -> np.ndarray:
+    """Python's own shuffle of n places, 8 bytes each."""
+    out = array("q", range(n))
     random.Random(seed).shuffle(out)
-    return out
+    return np.frombuffer(out, np.int64) if n else np.zeros(0, np.int64)
+
+
+def _dealt(spark: SparkSession, n: int, k: int, seed: int) -> DataFrame:
+    """(pos, fold): place i of the shuffle goes to fold i modulo k. More than a piece goes to the shared folder piece by piece."""
+    places = permutation(n, seed)
+    rows = lambda at: pd.DataFrame({"pos": places[at : at + PIECE], "fold": (np.arange(at, min(n, at + PIECE)) % k).astype(np.int32)})
+    if n <= PIECE:
+        return spark.createDataFrame(rows(0), "pos long, fold int")
+    path = f"{shared_folder(spark)}/folds-{uuid.uuid4().hex}"
+    for at in range(0, n, PIECE):
+        spark.createDataFrame(rows(at), "pos long, fold int").write.mode("append").parquet(path)
+    return spark.read.schema("pos long, fold int").parquet(path)
 
 
 def kfold(df: DataFrame, k: int = 5, seed: int = 42, order: str = "mol_id") -> DataFrame:
     """df with pos (0-based place by order) and fold: place i of a seeded shuffle of all places goes to fold i modulo k.
 
-    The shuffle is Python's own generator, as results must equal it; its n places are made on the driver, 8 bytes each."""
+    The shuffle is Python's own generator, as results must equal it; its n places are an array on the driver, 8 bytes each."""
     n = df.count()
     if k < 2 or n < k:
         raise ValueError("k must be at least 2 and at most the number of rows")
-    spark = df.sparkSession
-    folds = spark.createDataFrame([(p, i % k) for i, p in enumerate(permutation(n, seed))], "pos long, fold int")
-    return numbered(df, order).join(folds, "pos").select(*df.columns, "pos", "fold")
+    return numbered(df, order).join(_dealt(df.sparkSession, n, k, seed), "pos").select(*df.columns, "pos", "fold")
 
 
 def numbered(df: DataFrame, order: str) -> DataFrame:
@@ -79,8 +99,7 @@ def scaffold_kfold(df: DataFrame, k: int = 5, seed: int = 42, key: str = "scaffo
     n = groups.count()
     if k < 2:
         raise ValueError("k must be at least 2")
-    folds = df.sparkSession.createDataFrame([(p, i % k) for i, p in enumerate(permutation(n, seed))] or [(0, 0)], "pos long, fold int")
-    own = numbered(groups, "first").join(folds, "pos").select(key, "fold")
+    own = numbered(groups, "first").join(_dealt(df.sparkSession, n, k, seed), "pos").select(key, "fold")
     return df.join(own, key).select(*[df[c] for c in df.columns], "fold")
 
 

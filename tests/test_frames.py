@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from retort.functions import columns
-from retort.operators import descriptors, frames, reactions
+from retort.operators import descriptors, frames, mmp, reactions
 from retort.sources import readers
 
 
@@ -59,3 +59,11 @@ def test_bimolecular_blocks(spark, monkeypatch):
     one = [r["product"] for r in reactions.enumerate_pairs(acids, amines, smarts).collect()]
     monkeypatch.setattr(reactions, "PARTNERS", 1)
     assert [r["product"] for r in reactions.enumerate_pairs(acids, amines, smarts).collect()] == one and len(one) == 6
+
+
+def test_large_cores_are_dealt_in_parts(spark, monkeypatch):
+    rows = [(f"m{i:02}", "c1" if i < 15 else "c2", f"v{i % 6}", f"e{i}") for i in range(20)]
+    frags = spark.createDataFrame(rows, "mol string, core string, variable string, environment string")
+    one = sorted(map(tuple, mmp.pairs(frags).collect()))
+    monkeypatch.setattr(mmp, "CORE_BLOCK", 4)
+    assert sorted(map(tuple, mmp.pairs(frags).collect())) == one and len(one) > 90
