@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bucket, lower, small_batches, table, texts
+from .common import STEP_BYTES, bucket, lower, small_batches, table, texts
 
 WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4, 5), 12, 8
 SAMPLE, WINDOWS, EPOCHS, LEAST_SHARE = 2400, 2, 12, 8
@@ -147,10 +147,13 @@ def predictor(net: ByteNet | None):
             return pd.DataFrame({"lang_pred": pred, "score": score})
         for first, data, offsets in texts(column):
             sums = np.zeros((len(offsets) - 1, len(net.labels)))
-            x, rows, have = windows(data, offsets)
-            for at in range(0, len(x), BATCH):
-                part = slice(at, at + BATCH)
-                np.add.at(sums, rows[part], net.log_probabilities(x[part]) * have[part, None])
+            # a text longer than a step is read stretch by stretch, each a number of whole windows
+            steps = [(data, offsets)] if len(offsets) > 2 else ((part := data[at : at + STEP_BYTES], np.array([0, len(part)])) for at in range(0, len(data), STEP_BYTES))
+            for own, ends in steps:
+                x, rows, have = windows(own, ends)
+                for at in range(0, len(x), BATCH):
+                    part = slice(at, at + BATCH)
+                    np.add.at(sums, rows[part], net.log_probabilities(x[part]) * have[part, None])
             sums /= np.maximum(1, np.diff(offsets))[:, None]
             p = np.exp(sums - sums.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)

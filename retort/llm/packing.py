@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import partitions, small_batches, table, texts
+from .common import STEP_BYTES, partitions, small_batches, table, texts
 
 LENGTH, END_ID = 2048, 1
 DIMS, CELL_BITS, SAMPLE = 4, 8, 20_000
@@ -40,13 +40,19 @@ def trigram_histograms(column: pa.Array, cells: int = _HASHED) -> np.ndarray:
     """(rows, cells) counts of hashed byte trigrams of whole texts; cells is a power of two."""
     out = np.zeros((len(column), cells), np.float32)
     shift = np.uint32(32 - cells.bit_length() + 1)
-    for first, data, offsets in texts(column):
-        if len(data) < 3:
-            continue
+
+    def codes(data: np.ndarray) -> np.ndarray:
         x = data.astype(np.uint32)
         code = x[:-2] * np.uint32(0x9E3779B1) + x[1:-1] * np.uint32(0x85EBCA77) + x[2:] * np.uint32(0xC2B2AE3D)
         code ^= code >> np.uint32(15)
-        code = (code * np.uint32(0x2C1B3C6D)) >> shift
+        return (code * np.uint32(0x2C1B3C6D)) >> shift
+
+    for first, data, offsets in texts(column):
+        if len(offsets) == 2 and len(data) > STEP_BYTES:  # a long text is read stretch by stretch
+            for at in range(0, len(data) - 2, STEP_BYTES):
+                out[first] += np.bincount(codes(data[at : at + STEP_BYTES + 2]), minlength=cells)
+            continue
+        code = codes(data) if len(data) > 2 else None
         for k in range(len(offsets) - 1):
             if offsets[k + 1] - offsets[k] >= 3:
                 out[first + k] = np.bincount(code[offsets[k] : offsets[k + 1] - 2], minlength=cells)

@@ -456,6 +456,38 @@ def test_order_minhash_minds_order(spark):
     assert r["cut"] > 0.85 > 0.7 > r["turned"]
 
 
+def test_order_minhash_likeness_falls_with_edits(spark):
+    """Words replaced at growing rates, blocks moved, and another text: means over ten texts."""
+    rng = random.Random(1)
+    rates, rows = (0.0, 0.02, 0.05, 0.1, 0.2, 0.4), []
+    for _ in range(10):
+        own = prose(rng, 400).split()
+        for rate in rates:
+            x = list(own)
+            for k in rng.sample(range(len(x)), int(rate * len(x))):
+                x[k] = f"zz{rng.randint(0, 999)}"
+            rows.append((rate, " ".join(own), " ".join(x)))
+        rows.append((2.0, " ".join(own), " ".join(own[200:] + own[:200])))
+        rows.append((9.0, " ".join(own), prose(rng, 400)))
+    df = spark.createDataFrame(rows, "kind double, a string, b string")
+    df = order_minhash.with_fingerprint(order_minhash.with_fingerprint(df, "a", "fa"), "b", "fb")
+    mean = {r["kind"]: r["m"] for r in df.groupBy("kind").agg(F.avg(order_minhash.likeness("fa", "fb")).alias("m")).collect()}
+    assert [mean[r] for r in rates] == sorted((mean[r] for r in rates), reverse=True)
+    assert mean[0.0] == 1 and mean[0.02] > 0.7 > mean[0.05] > 0.45 and mean[0.4] < 0.08 and mean[9.0] < 0.05 and mean[2.0] < 0.95
+
+
+def test_long_texts_are_read_in_stretches(monkeypatch):
+    text = prose(random.Random(4), 900)
+    column = pa.array([text, "short one", ""], pa.large_string())
+    net = language_id.ByteNet(["a", "b"])
+    whole = packing.trigram_histograms(column), language_id.predictor(net).func(column.to_pandas())
+    for module in (packing, language_id):
+        monkeypatch.setattr(module, "STEP_BYTES", 512)
+    monkeypatch.setattr(common.texts, "__defaults__", (512,))
+    parts = packing.trigram_histograms(column), language_id.predictor(net).func(column.to_pandas())
+    assert (whole[0] == parts[0]).all() and np.allclose(whole[1]["score"], parts[1]["score"]) and (whole[1]["lang_pred"] == parts[1]["lang_pred"]).all()
+
+
 def plain_spans(t):
     out = []
     kinds = ("email", "ip", "card", "phone")
