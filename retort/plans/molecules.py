@@ -347,6 +347,12 @@ def formula_descriptors(spark, sf_dir):
     return own.select("mol_id", *[F.round(n, 3).alias(n) for n in names])
 
 
+def graph_descriptors(spark, sf_dir):
+    names = ["ExactMolWt", "NumValenceElectrons", "Chi0", "Chi1", "Chi2", "fr_COOH", "fr_halogen", "fr_methoxy", "fr_alkyne", "NumAromaticHeterocycles", "NumSaturatedCarbocycles"]
+    own = descriptors.named(library(spark, sf_dir), names, None).where(~F.isnan("ExactMolWt"))
+    return own.select("mol_id", *[F.round(n, 4).alias(n) for n in names])
+
+
 def substructure_atoms(spark, sf_dir):
     """Atom numbers of carboxylic acids."""
     own = library(spark, sf_dir).select("mol_id", F.explode(columns.substructures("smiles", "[CX3](=O)[OH]")).alias("m"))
@@ -417,7 +423,7 @@ QUERIES = {f.__name__: f for f in (
     screen_threshold, screen_counts, screen_best, tanimoto_embeddings, ro5_filter, rule_flags, pic50, scaffold_groups, scaffold_split, kfold_sizes, kfold, scaffold_kfold, duplicate_occurrence,
     substructure_acids, substructure_inverted, butina_neighbours, butina_clusters, maxmin_pick, mmp_pairs, regression_metrics, uncertainty_stats, skill_stats, rag_relevance, rag_rewrite, rag_answer, fasta_parse,
     residue_composition, chembl_parse, parquet_roundtrip, record_layout, events_tumbling, label_rates, canonical_smiles, murcko_scaffolds, named_descriptors, admet_screen, other_fingerprints,
-    mmpa, mmpa_double, reaction_products, rgroup_table, common_substructure, sdf_roundtrip, canonical_classes, formula_descriptors, substructure_atoms, multitask_metrics, smiles_file_roundtrip,
+    mmpa, mmpa_double, reaction_products, rgroup_table, common_substructure, sdf_roundtrip, canonical_classes, formula_descriptors, graph_descriptors, substructure_atoms, multitask_metrics, smiles_file_roundtrip,
     activity_records, record_lookup, shape_descriptors, fingerprint_columns, positional_rows, rag_routed,
 )}
 

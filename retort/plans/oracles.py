@@ -133,6 +133,8 @@ _FORMULAS = [
 ]
 # Standard atomic weights.
 _WEIGHTS = {"C": 12.011, "H": 1.008, "N": 14.007, "O": 15.999, "F": 18.998, "Na": 22.99, "S": 32.067, "Cl": 35.453, "Br": 79.904}
+# Symbol, mass of the most common isotope, electrons of the outer shell.
+_ISOTOPES = [("C", 12.0, 4), ("H", 1.00782503, 1), ("N", 14.003074, 5), ("O", 15.9949146, 6), ("F", 18.9984032, 7), ("Na", 22.9897693, 1), ("S", 31.9720711, 6), ("Cl", 34.9688527, 7), ("Br", 78.9183376, 7)]
 # Scaffolds of the pool's molecules, by hand; those that are not named are benzene's for aromatic members, none for open chains.
 _MURCKO = {3: "c1ccncc1", 11: "c1(c2c(nc[nH]2)[nH]c([nH]1)=O)=O", 15: "c12c3c4ccc1c1c(cc2ccc3ccc4)cccc1", 17: "C1=2C(c3c(C1CC(C2)=O)cccc3)=O", 20: "c12c(cccc1)cccc2", 21: "[C@H]1(CCCN1)c1cccnc1", 22: "C1(C=C2C(C3C(C4C(CC3)CCC4)CC2)CC1)=O", 24: "C1CCCCC1", 25: "c1ccncc1", 28: "c1ccncc1", 29: "C1(CC(Cc2c1cccc2)c1ccccc1)=O", 39: "INVALID_SMILES"}
 _OPEN = {0, 2, 4, 5, 6, 26, 27, 37, 38}
@@ -155,6 +157,17 @@ ORACLES = {
         "parts AS (SELECT pool_id, unnest(regexp_extract_all(formula, '[A-Z][a-z]?[0-9]*')) AS x FROM formulas)", "counts AS (SELECT pool_id, regexp_extract(x, '[A-Za-z]+') AS sym, coalesce(try_cast(regexp_extract(x, '[0-9]+') AS INTEGER), 1) AS n FROM parts)",
         "sums AS (SELECT pool_id, sum(n * w::DOUBLE) AS mw, sum(n * w::DOUBLE) FILTER (WHERE sym <> 'H') AS hmw, sum(n) FILTER (WHERE sym <> 'H') AS heavy, coalesce(sum(n) FILTER (WHERE sym NOT IN ('H', 'C')), 0) AS hetero, coalesce(sum(n) FILTER (WHERE sym IN ('N', 'O')), 0) AS n_o FROM counts JOIN weights USING (sym) GROUP BY 1)")
     + "SELECT mol_id, round(mw, 3) AS \"MolWt\", round(hmw, 3) AS \"HeavyAtomMolWt\", heavy::DOUBLE AS \"HeavyAtomCount\", hetero::DOUBLE AS \"NumHeteroatoms\", n_o::DOUBLE AS \"NOCount\", hs::DOUBLE AS \"NHOHCount\", rings::DOUBLE AS \"RingCount\", CASE WHEN pool_id = 19 THEN 2.0 ELSE 1.0 END::DOUBLE AS \"NumFragments\" FROM library JOIN formulas USING (pool_id) JOIN sums USING (pool_id)",
+    # degrees and bonds are those of the compat reading but for the salt's dot, which it takes for a bond
+    "graph_descriptors": _with(_LIBRARY, _GRAPH, f"formulas(pool_id, formula, hs, rings) AS {_values((i, *x) for i, x in enumerate(_FORMULAS))}", f"isotopes(sym, w, e) AS {_values(_ISOTOPES)}",
+        "pieces AS (SELECT pool_id, unnest(regexp_extract_all(formula, '[A-Z][a-z]?[0-9]*')) AS x FROM formulas)", "counts AS (SELECT pool_id, regexp_extract(x, '[A-Za-z]+') AS sym, coalesce(try_cast(regexp_extract(x, '[0-9]+') AS INTEGER), 1) AS n FROM pieces)",
+        "sums AS (SELECT pool_id, sum(n * w::DOUBLE) AS mw, sum(n * e) AS el FROM counts JOIN isotopes USING (sym) GROUP BY 1)",
+        "links AS (SELECT pool_id, s, d FROM bonds WHERE NOT (pool_id = 19 AND s = 0))", "sides AS (SELECT pool_id, s AS a, d AS b FROM links UNION ALL SELECT pool_id, d, s FROM links)", "deg AS (SELECT pool_id, a, count(*)::DOUBLE AS d FROM sides GROUP BY 1, 2)",
+        "chi0 AS (SELECT pool_id, sum(1 / sqrt(d)) AS v FROM deg GROUP BY 1)", "chi1 AS (SELECT l.pool_id, sum(1 / sqrt(x.d * y.d)) AS v FROM links l JOIN deg x ON x.pool_id = l.pool_id AND x.a = l.s JOIN deg y ON y.pool_id = l.pool_id AND y.a = l.d GROUP BY 1)",
+        "chi2 AS (SELECT p.pool_id, sum(1 / sqrt(x.d * y.d * z.d)) AS v FROM sides p JOIN sides q ON q.pool_id = p.pool_id AND q.a = p.a AND q.b > p.b JOIN deg x ON x.pool_id = p.pool_id AND x.a = p.b JOIN deg y ON y.pool_id = p.pool_id AND y.a = p.a JOIN deg z ON z.pool_id = p.pool_id AND z.a = q.b GROUP BY 1)")
+    + "SELECT mol_id, round(mw, 4) AS \"ExactMolWt\", (el - (pool_id = 19)::INTEGER)::DOUBLE AS \"NumValenceElectrons\", round(coalesce(chi0.v, 0), 4) AS \"Chi0\", round(coalesce(chi1.v, 0), 4) AS \"Chi1\", round(coalesce(chi2.v, 0), 4) AS \"Chi2\", "
+    + f"(pool_id IN ({', '.join(map(str, _ACIDS))}))::INTEGER::DOUBLE AS \"fr_COOH\", (pool_id IN (32, 33, 34))::INTEGER::DOUBLE AS \"fr_halogen\", CASE WHEN pool_id = 29 THEN 4.0 ELSE 0.0 END::DOUBLE AS \"fr_methoxy\", (pool_id = 37)::INTEGER::DOUBLE AS \"fr_alkyne\", "
+    + "CASE pool_id WHEN 3 THEN 1.0 WHEN 11 THEN 2.0 WHEN 21 THEN 1.0 WHEN 25 THEN 1.0 WHEN 28 THEN 1.0 ELSE 0.0 END::DOUBLE AS \"NumAromaticHeterocycles\", CASE pool_id WHEN 22 THEN 3.0 WHEN 24 THEN 1.0 ELSE 0.0 END::DOUBLE AS \"NumSaturatedCarbocycles\" "
+    + "FROM library JOIN formulas USING (pool_id) JOIN sums USING (pool_id) LEFT JOIN chi0 USING (pool_id) LEFT JOIN chi1 USING (pool_id) LEFT JOIN chi2 USING (pool_id)",
     "substructure_atoms": _with(_LIBRARY, f"acids(pool_id, atoms) AS {_values(_ACIDS.items())}") + "SELECT mol_id, atoms FROM library JOIN acids USING (pool_id)",
     "reaction_products": f"SELECT * FROM {_values((x,) for x in _ESTERS)} t(product)",
     # benzenes share the ring alone, as phenols and halides do with the others; pyridines the ring
