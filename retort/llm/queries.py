@@ -15,4 +15,4 @@ QUERIES = {
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
 }
 
-ORACLES = {"op4_license_scan": licenses.OP4_SQL, "op7_line_dedup": line_dedup.OP7_SQL}
+ORACLES = {"op4_license_scan": licenses.OP4_SQL, "op7_line_dedup": line_dedup.OP7_SQL, "op10_jaccard_join": jaccard_join.OP10_SQL}
