@@ -352,7 +352,7 @@ def shape_descriptors(xyz: Column | str, masses: Column | str) -> Column:
 
 
 def register(spark) -> None:
-    """SQL functions: parse_smiles, ecfp, canonical_smiles, murcko, mol_standardize."""
+    """SQL functions: ecfp, canonical_smiles, murcko, mol_standardize, has_substruct; and the table function mmp_fragments(smiles, cuts)."""
     for name, kind, f, args, mode, invalid in (
         ("ecfp", WORDS, fp.circular, (2, 2048), "compat", [0] * 32), ("canonical_smiles", T.StringType(), write, (), "full", None),
         ("murcko", T.StringType(), transforms.scaffold_smiles, (False,), "full", None), ("mol_standardize", T.StringType(), transforms.standardized, (), "full", None),
@@ -363,3 +363,13 @@ def register(spark) -> None:
         return pd.Series([None if s is None or (mol := _read(x, "full")[0]) is None else _has(mol, s) for x, s in zip(smiles, smarts, strict=True)], dtype=object)
 
     spark.udf.register("has_substruct", F.pandas_udf(has_substruct, T.BooleanType()))
+
+    @F.udtf(returnType="core string, variable string")
+    class Fragments:
+        def eval(self, smiles: str, max_cut_bonds: int):
+            mol = _read(smiles, "full")[0]
+            if mol is not None:
+                for own in transforms.single_cuts(mol) if max_cut_bonds == 1 else transforms.double_cuts(mol):
+                    yield own[0], own[1]
+
+    spark.udtf.register("mmp_fragments", Fragments)

@@ -173,6 +173,8 @@ def test_stream_equals_batch(spark, tmp_path):
 
 def test_sql_functions(spark):
     columns.register(spark)
+    own = spark.sql("select f.* from (select explode(array('Cc1ccccc1', 'NOT')) as s) t, lateral mmp_fragments(t.s, 1) f").collect()
+    assert len(own) == 1 and own[0]["core"].count("c") == 6 and "C" in own[0]["variable"]
     assert spark.sql("select canonical_smiles('OCC') c, murcko('Cc1ccccc1') m, has_substruct('CCO', 'O') h").first() == ("C(C)O", "c1ccccc1", True)
 
 
