@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir), works on all rows that the stage before kept, and returns a DataFrame that is
 written as Parquet and read again for the next one. All but the last return the columns of documents.
 
-* language_id drops documents without a letter and those whose language stays unclear (score under 0.4).
+* language_id drops documents without a letter and those whose language stays unclear (score under 0.4, or with more than four languages under 1.6 times an even share).
 * line_dedup removes repeated lines from texts; n_chars follows the text.
 * near_duplicates keeps one document, the smallest doc_id, of each group of near duplicates; equal doc_ids stay or go together.
 * decontamination drops documents that hold a passage of the benchmark.
@@ -27,13 +27,15 @@ from pyspark.sql import functions as F
 from retort.llm import decontaminate, jaccard_join, language_id, line_dedup, packing
 from retort.llm.common import scratch, table
 
-LEAST_SCORE = 0.4
+LEAST_SCORE, LEAST_TIMES = 0.4, 1.6
 ORACLE_SQL = None
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = language_id.identify(docs, language_id.train(docs), "__language")
-    return found.where((F.col("__language.lang_pred") != "und") & (F.col("__language.score") >= LEAST_SCORE)).select(*docs.columns)
+    net = language_id.train(docs)
+    least = min(LEAST_SCORE, LEAST_TIMES / len(net.labels)) if net else LEAST_SCORE
+    found = language_id.identify(docs, net, "__language")
+    return found.where((F.col("__language.lang_pred") != "und") & (F.col("__language.score") >= least)).select(*docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
