@@ -31,7 +31,7 @@ from .common import STEP_BYTES, partitions, small_batches, table, texts
 LENGTH, END_ID = 2048, 1
 DIMS, CELL_BITS, SAMPLE = 4, 8, 20_000
 #: Words whose ids a Python worker keeps (about 200 bytes each); then it starts anew. And words that are encoded at once (about 1 KB each meanwhile).
-KEPT_WORDS, LEARNT_WORDS = 100_000, 2048
+KEPT_WORDS, LEARNT_WORDS = 300_000, 2048
 _HASHED = 256
 _PROJECTION = np.random.default_rng(11).standard_normal((_HASHED, DIMS)).astype(np.float32)
 
