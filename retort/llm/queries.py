@@ -1,6 +1,6 @@
 """The queries of this subpackage by name, and their SQL where SQL can express them."""
 
-from . import decontaminate, jaccard_join, language_id, language_model, licenses, line_dedup, order_minhash, packing, personal_data, quality, sharding
+from . import decontaminate, divergence, jaccard_join, language_id, language_model, licenses, line_dedup, order_minhash, packing, personal_data, prefix_trie, quality, sharding
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -13,6 +13,8 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_quality": quality.op9_quality,
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
+    "op11_source_divergence": divergence.op11_source_divergence,
+    "op12_prefix_trie": prefix_trie.op12_prefix_trie,
     "op13_sharding": sharding.op13_sharding,
 }
 
@@ -20,5 +22,7 @@ ORACLES = {
     "op4_license_scan": licenses.OP4_SQL,
     "op7_line_dedup": line_dedup.OP7_SQL,
     "op10_jaccard_join": jaccard_join.OP10_SQL,
+    "op11_source_divergence": divergence.OP11_SQL,
+    "op12_prefix_trie": prefix_trie.OP12_SQL,
     "op13_sharding": sharding.OP13_SQL,
 }
