@@ -35,12 +35,17 @@ def odd_dir(spark, odd_rows, tmp_path_factory):
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     items = [(0, "an item of the benchmark that should never be seen in any training text at all"), (1, None), (2, ""), (3, "tiny"), (None, "another item that is nowhere in the texts of this table")]
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    rng = random.Random(8)
+    turns = [(None, 0, "user", "nobody's turn"), (0, 0, "user", "hello"), (0, None, None, "before all"), (0, 1, "assistant", None), (0, 1, "assistant", None), (1, 0, "user", "hello"), (7, 5, "user", "alone"), (-3, 0, "user", "below zero"), (11, 0, "user", "")]
+    turns += [(20 + c, t, ("user", "assistant")[t % 2], ("same start", "same answer", f"own {c % 3} {t}")[min(t, 2)]) for c in range(12) for t in range(rng.randint(1, 9))]
+    turns += [(c, t, "user", f"turn {t}") for c in (40, 45, 46) for t in range(61 - c % 5 * 20)]
+    spark.createDataFrame([(*x, k, "x") for k, x in enumerate(turns)], "conv_id long, turn long, role string, text string, depth long, digest string").write.parquet(f"{d}/conversations.parquet")
     return str(d)
 
 
 @pytest.fixture(scope="session")
 def empty_dir(spark, odd_dir, tmp_path_factory):
     d = tmp_path_factory.mktemp("none")
-    for t in ("documents", "labels", "benchmark"):
+    for t in ("documents", "labels", "benchmark", "conversations"):
         spark.read.parquet(f"{odd_dir}/{t}.parquet").limit(0).write.parquet(f"{d}/{t}.parquet")
     return str(d)
