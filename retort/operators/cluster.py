@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..tables import stored
-from .similarity import pairs, popcount, shared, tanimoto
+from .similarity import popcount, shared, tanimoto
+from .similarity_index import near_pairs
 
 
 def classes(mols: DataFrame) -> DataFrame:
@@ -16,7 +17,7 @@ def classes(mols: DataFrame) -> DataFrame:
 
 def neighbours(mols: DataFrame, cutoff: float = 0.4, nbits: int = 2048) -> DataFrame:
     """(a, b, sim), a <> b, of molecules (mol_id, fp) within the Tanimoto distance; mols are classes, or few."""
-    found = pairs(mols.select(F.col("mol_id").alias("query_id"), "fp"), mols, nbits, max(1e-9, 1 - cutoff - 1e-9))
+    found = near_pairs(mols.select(F.col("mol_id").alias("query_id"), "fp"), mols, nbits, max(1e-9, 1 - cutoff - 1e-9))
     return found.where((F.col("query_id") != F.col("mol_id")) & (1 - F.col("sim") <= cutoff)).select(F.col("query_id").alias("a"), F.col("mol_id").alias("b"), "sim")
 
 

@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..fixtures import POOL, library, pool, table
+from ..fixtures import POOL, distinct_library, library, pool, table
 from ..functions import columns
-from ..operators import cluster, descriptors, frames, graph, metrics, mmp, reactions, retrieval, similarity, split
+from ..operators import cluster, descriptors, frames, graph, metrics, mmp, reactions, retrieval, similarity, similarity_index, split
 from ..sources import readers, writers
 from ..streaming import usage
 from ..tables import shared_folder, stored
@@ -128,6 +128,13 @@ def tanimoto_embeddings(spark, sf_dir):
     return similarity.top_k(found, 5).select("query_id", "mol_id", F.col("rank").cast("long").alias("rank"), F.col("inter").cast("long").alias("inter"))
 
 
+def tanimoto_join(spark, sf_dir):
+    """Molecules of the library of distinct ones that are like one of its twentieth, by the index."""
+    own = distinct_library(spark, sf_dir).select("mol_id", columns.fingerprint("smiles").alias("fp"))
+    q = own.where(F.col("mol_id") % 20 == 0).select(F.col("mol_id").alias("query_id"), "fp")
+    return similarity_index.indexed_pairs(q, stored(own, "fingerprints"), 2048, 0.6).select("query_id", "mol_id", F.col("inter").cast("long").alias("inter"), F.col("union_n").cast("long").alias("union_n"))
+
+
 def ro5_filter(spark, sf_dir):
     return descriptors.builtin(parsed(spark, sf_dir)).where(F.col("parsed.ok") & descriptors.rule_of_five()).select("mol_id", "smiles")
 
@@ -420,7 +427,7 @@ def rag_routed(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     mol_scan, builtin_descriptors, atom_table, bond_table, atom_passes, node_features, edge_index, hetero_nodes, hetero_edges, ecfp_bits, ecfp_popcount, tanimoto_pairs, similarity_topk,
-    screen_threshold, screen_counts, screen_best, tanimoto_embeddings, ro5_filter, rule_flags, pic50, scaffold_groups, scaffold_split, kfold_sizes, kfold, scaffold_kfold, duplicate_occurrence,
+    screen_threshold, screen_counts, screen_best, tanimoto_embeddings, tanimoto_join, ro5_filter, rule_flags, pic50, scaffold_groups, scaffold_split, kfold_sizes, kfold, scaffold_kfold, duplicate_occurrence,
     substructure_acids, substructure_inverted, butina_neighbours, butina_clusters, maxmin_pick, mmp_pairs, regression_metrics, uncertainty_stats, skill_stats, rag_relevance, rag_rewrite, rag_answer, fasta_parse,
     residue_composition, chembl_parse, parquet_roundtrip, record_layout, events_tumbling, label_rates, canonical_smiles, murcko_scaffolds, named_descriptors, admet_screen, other_fingerprints,
     mmpa, mmpa_double, reaction_products, rgroup_table, common_substructure, sdf_roundtrip, canonical_classes, formula_descriptors, graph_descriptors, substructure_atoms, multitask_metrics, smiles_file_roundtrip,

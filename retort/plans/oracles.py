@@ -18,7 +18,7 @@ def _values(rows) -> str:
 _LIBRARY = f"""pool(pool_id, smiles) AS {pool_sql()},
 library AS (SELECT p_partkey AS mol_id, pool_id, smiles, p_retailprice AS label FROM part JOIN pool ON p_partkey % 40 = pool_id)"""
 
-_GRAPH = rf"""
+_WALK = rf"""
 elements(sym, ez) AS {_values(NUMBERS.items())},
 parts AS (SELECT pool_id, unnest(t) AS x, generate_subscripts(t, 1) AS i, len(t) AS n_tokens FROM (SELECT pool_id, regexp_extract_all(smiles, '\[[^\]]*\]|Br|Cl|%[0-9][0-9]|.') AS t FROM pool)),
 named AS (SELECT *, CASE WHEN x LIKE '[%' THEN 'atom' WHEN regexp_full_match(x, 'Br|Cl|[BCNOFPSIbcnops]') THEN 'atom' WHEN x IN ('-', '=', '#', ':') THEN 'bond' WHEN x = '(' THEN 'open' WHEN x = ')' THEN 'close'
@@ -43,6 +43,9 @@ mols AS (SELECT w.pool_id, al, bl FROM walk w JOIN (SELECT DISTINCT pool_id, n_t
 atoms AS (SELECT pool_id, generate_subscripts(al, 1)::INTEGER - 1 AS idx, unnest(al).z AS z, unnest(al).arom AS arom, unnest(al).chir AS chir FROM mols),
 bonds AS (SELECT pool_id, generate_subscripts(bl, 1)::INTEGER - 1 AS b, unnest(bl).s AS s, unnest(bl).d AS d, unnest(bl).o AS o FROM mols),
 ends AS (SELECT pool_id, b, s AS a, d AS other, o FROM bonds UNION ALL SELECT pool_id, b, d, s, o FROM bonds),
+valence(z, v) AS {_values(VALENCE.items())}"""
+
+_GRAPH = f"""{_WALK},
 reach AS (
   SELECT pool_id, b, s AS node FROM bonds
   UNION
@@ -50,7 +53,6 @@ reach AS (
 ),
 ring_bonds AS (SELECT x.pool_id, x.b, x.s, x.d FROM bonds x JOIN reach r ON r.pool_id = x.pool_id AND r.b = x.b AND r.node = x.d),
 ring_atoms AS (SELECT DISTINCT pool_id, s AS idx FROM ring_bonds UNION SELECT DISTINCT pool_id, d FROM ring_bonds),
-valence(z, v) AS {_values(VALENCE.items())},
 full_atoms AS (
   SELECT a.*, coalesce(e.deg, 0) AS degree, (r.idx IS NOT NULL)::INTEGER AS in_ring,
     CASE WHEN e.triple THEN 1 WHEN e.double_ OR a.arom THEN 2 ELSE 3 END AS hyb,
@@ -81,6 +83,12 @@ sims AS (SELECT query_id, pool_id, inter, qn + ln - inter AS union_n, CASE WHEN
 pairs AS (SELECT query_id::BIGINT AS query_id, mol_id, inter, union_n, sim FROM sims JOIN library USING (pool_id) WHERE query_id IN ({', '.join(map(str, QUERY_IDS))}))"""
 
 
+# The library of distinct molecules: each its own pool entry, and hydrogens only.
+_DISTINCT = rf"""base(pool_id, smiles) AS {pool_sql()},
+pool AS (SELECT p_partkey AS pool_id, smiles || translate(list_reduce(list_prepend('', list_transform(range(1 + floor(ln(greatest(p_partkey, 1) + 0.5) / ln(3))::BIGINT), lambda i: ((p_partkey // (3 ** i)::BIGINT) % 3)::VARCHAR)), lambda a, b: b || a), '012', 'CNO') AS smiles FROM part JOIN base ON p_partkey % 40 = base.pool_id)"""
+_HYDROGENS = """full_atoms AS (SELECT a.pool_id, a.idx, a.z, floor(greatest(0, coalesce(v.v, 0) - coalesce(e.total, 0) - CASE WHEN a.arom THEN 0.5 ELSE 0 END) + 0.5)::INTEGER AS hs
+  FROM atoms a LEFT JOIN (SELECT pool_id, a AS idx, sum(CASE o WHEN 4 THEN 1.5 ELSE o END) AS total FROM ends GROUP BY 1, 2) e ON e.pool_id = a.pool_id AND e.idx = a.idx LEFT JOIN valence v ON v.z = a.z)"""
+
 _CLASSES = """keys AS (SELECT pool_id, list(bit ORDER BY bit) AS fp FROM bits JOIN (SELECT pool_id FROM mols) m USING (pool_id) GROUP BY 1),
 classes AS (SELECT fp, max(mol_id) AS rep, count(*) AS size, any_value(pool_id) AS pool_id FROM library JOIN keys USING (pool_id) GROUP BY 1),
 near AS (SELECT x.rep AS a, y.rep AS b FROM classes x, classes y JOIN sims s ON s.query_id = x.pool_id AND s.pool_id = y.pool_id WHERE x.rep <> y.rep AND 1 - sim <= 0.4::DOUBLE)"""
@@ -180,6 +188,9 @@ SELECT round(1 - sum((y0 - p0) ** 2 + (y1 - p1) ** 2) / sum((y0 - m0) ** 2 + (y1
     "record_lookup": _with(_LIBRARY) + "SELECT 'CHEMBL' || mol_id AS chembl_id, smiles FROM library WHERE mol_id % 3 = 0 AND pool_id <> 39",
     "shape_descriptors": """WITH p AS (SELECT l_orderkey AS k, l_linenumber::DOUBLE AS m, l_quantity AS x, l_extendedprice / 1000 AS y, l_discount * 100 AS z FROM lineitem), c AS (SELECT k, sum(m * x) / sum(m) AS cx, sum(m * y) / sum(m) AS cy, sum(m * z) / sum(m) AS cz FROM p GROUP BY 1)
 SELECT k AS l_orderkey, round(sqrt(sum(m * ((x - cx) ** 2 + (y - cy) ** 2 + (z - cz) ** 2)) / sum(m)), 4) AS radius FROM p JOIN c USING (k) GROUP BY 1""",
+    "tanimoto_join": _with(_DISTINCT, _WALK, _HYDROGENS, _IDS, "sizes AS (SELECT pool_id, count(*) AS n FROM bits GROUP BY 1)",
+        "met AS (SELECT a.pool_id AS query_id, b.pool_id AS mol_id, count(*) AS inter FROM bits a JOIN bits b ON a.bit = b.bit WHERE a.pool_id % 20 = 0 GROUP BY 1, 2)")
+    + "SELECT query_id, mol_id, inter, p.n + q.n - inter AS union_n FROM met JOIN sizes p ON p.pool_id = query_id JOIN sizes q ON q.pool_id = mol_id WHERE inter / (p.n + q.n - inter) >= 0.6::DOUBLE",
     "fingerprint_columns": _with(_LIBRARY, _GRAPH, _IDS) + "SELECT mol_id, " + ", ".join(f"coalesce(max((bit % 64 = {i})::INTEGER), 0)::INTEGER AS fp_{i}" for i in range(64)) + " FROM library LEFT JOIN bits USING (pool_id) GROUP BY 1",
     "positional_rows": "SELECT w.k::BIGINT AS \"at\", p_partkey AS mol_id FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS r, count(*) OVER () AS n FROM part) JOIN (VALUES (0, 0), (1, 1), (2, 0), (3, -1)) w(k, place) ON r = CASE WHEN place > 0 THEN place ELSE n + place END",
     # by hand: named molecules by structure and locally, an unknown name by name, and two questions without any source
