@@ -182,14 +182,18 @@ class _Open:
             self.cut(1 << (self.total.bit_length() - 1))
 
 
+def sampled(rows: int):
+    """Whether a row is of the sample: about SAMPLE of so many rows, by a hash of doc_id and text; some for any number of rows."""
+    return F.pmod(F.xxhash64("doc_id", "text", F.lit(8)), F.lit(1 << 53)) < F.lit(max(1, (SAMPLE << 53) // rows))
+
+
 def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
     small_batches(spark)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     n, rows = partitions(spark), own.count()
-    part = 1_000_000
-    sample = own if rows <= SAMPLE else own.where(F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(part)) < part * SAMPLE // rows)
+    sample = own if rows <= SAMPLE else own.where(sampled(rows))
     bounds = sample.select(curve_key(F.col("text"), F.col("doc_id")).cast("double").alias("key")).approxQuantile("key", [i / n for i in range(1, n)], 1 / (8 * n))
     bounds = np.unique(np.array(bounds, np.float64))
 
