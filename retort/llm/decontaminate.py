@@ -16,6 +16,9 @@ repeat are matched each; rows without doc_id or item_id are matched too; empty t
 
 from __future__ import annotations
 
+import hashlib
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,6 +30,8 @@ Q, ERROR = 12, 0.06
 #: q-grams of items that are sent to the tasks at once (24 bytes each and a 4 MB bitmap).
 BLOCK_GRAMS = 1 << 21
 _BITS = 22
+#: Pairs of a place of the text and a place of an item that are multiplied out at once; bytes of a window of a text with more of them.
+ENTRIES, WINDOW = 1 << 20, 1 << 14
 
 
 def normalise(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -97,39 +102,69 @@ def banded(item: np.ndarray, text: np.ndarray, diagonal: int, width: int, most:
     return int(cost[best]), int(len(item) + diagonal + offsets[best])
 
 
+def shared_grams(items: Items, text: np.ndarray, h: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the text whose q-gram is one of the items', and its number there."""
+    at = np.arange(base, base + len(text) - items.q + 1)
+    codes = stretch(h, at, at + items.q)
+    where = np.flatnonzero(items.seen[codes >> np.uint64(64 - _BITS)])
+    slot = np.minimum(np.searchsorted(items.codes, codes[where]), len(items.codes) - 1)
+    same = items.codes[slot] == codes[where]
+    return where[same], slot[same]
+
+
+def unique_rows(*columns: np.ndarray) -> list[np.ndarray]:
+    """The distinct rows of columns of small numbers from 0, sorted."""
+    sizes = [int(c.max()) + 1 if len(c) else 1 for c in columns]
+    if math.prod(sizes) < 1 << 62:
+        key = columns[0].astype(np.int64)
+        for c, size in zip(columns[1:], sizes[1:], strict=True):
+            key = key * size + c
+        key, out = np.unique(key), []
+        for size in sizes[:0:-1]:
+            key, last = np.divmod(key, size)
+            out.append(last)
+        return [key, *out[::-1]]
+    return list(np.unique(np.stack(columns, 1), axis=0).T)
+
+
+def full_bands(items: Items, where: np.ndarray, slot: np.ndarray):
+    """(item, band, how many of the item's q-grams the band shares) of the bands that reach the item's bound. Shared places are
+    multiplied out ENTRIES at a time; a q-gram of the item counts once in a band, however often the band holds it."""
+    times = items.count[slot]
+    ends = np.cumsum(times)
+    kept, at = [np.zeros(0, np.int64)] * 3, 0
+    while at < len(where):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + ENTRIES, "right")))
+        own = times[at:to]
+        step = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
+        entry = np.repeat(items.first[slot[at:to]], own) + step
+        item = items.item[entry]
+        diagonal = np.repeat(where[at:to], own) - items.at[entry]
+        # bands of width 4k + 2 that overlap by half hold any 2k + 1 neighbouring diagonals; band numbers are made positive
+        half = 2 * items.k[item] + 1
+        band = diagonal // half + items.size[item] // half + 2
+        new = [np.concatenate((item, item)), np.concatenate((band, band - 1)), np.concatenate((items.at[entry],) * 2)]
+        kept = unique_rows(*(np.concatenate((a, b)) for a, b in zip(kept, new, strict=True)))
+        at = to
+    item, band, _ = kept
+    if not len(item):
+        return
+    first = np.flatnonzero(np.concatenate(([True], (np.diff(item) != 0) | (np.diff(band) != 0))))
+    count = np.diff(np.concatenate((first, [len(item)])))
+    own = count >= items.bound[item[first]]
+    for k, b, c in zip(item[first][own].tolist(), band[first][own].tolist(), count[own].tolist(), strict=True):
+        yield k, b - int(items.size[k]) // (2 * int(items.k[k]) + 1) - 2, c
+
+
 def find(items: Items, text: np.ndarray, h: np.ndarray, base: int) -> dict[int, tuple[int, int]]:
     """{item: (edits, end)} for one normalised text, whose bytes start at base of the buffer that h belongs to."""
-    q, out = items.q, {}
-    n = len(text) - q + 1
-    if n > 0 and len(items.codes):
-        at = np.arange(base, base + n)
-        codes = stretch(h, at, at + q)
-        where = np.flatnonzero(items.seen[codes >> np.uint64(64 - _BITS)])
-        slot = np.minimum(np.searchsorted(items.codes, codes[where]), len(items.codes) - 1)
-        same = items.codes[slot] == codes[where]
-        where, slot = where[same], slot[same]
-        times = items.count[slot]
-        step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        entry = np.repeat(items.first[slot], times) + step
-        item, diagonal = items.item[entry], np.repeat(where, times) - items.at[entry]
-        # bands of width 4k + 2 that overlap by half hold any 2k + 1 neighbouring diagonals
-        half = 2 * items.k[item] + 1
-        band = diagonal // half
-        # a q-gram of the item counts once in a band, however often the band holds it
-        keys = np.concatenate((np.stack((item, band, items.at[entry]), 1), np.stack((item, band - 1, items.at[entry]), 1)))
-        keys = np.unique(keys, axis=0) if len(keys) else keys
-        if len(keys):
-            new = np.concatenate(([True], (np.diff(keys[:, :2], axis=0) != 0).any(1)))
-            first = np.flatnonzero(new)
-            count = np.diff(np.concatenate((first, [len(keys)])))
-            for (k, b, _), c in zip(keys[first], count, strict=True):
-                if c < items.bound[k]:
-                    continue
-                width = 2 * int(items.k[k]) + 1
-                target, most = np.frombuffer(items.bytes[k], np.uint8), int(items.k[k])
-                edits, end = banded(target, text, int(b) * width + width, width + most, most)
-                if edits <= most and edits < out.get(int(k), (most + 1, 0))[0]:
-                    out[int(k)] = (edits, end)
+    out: dict[int, tuple[int, int]] = {}
+    if len(text) >= items.q and len(items.codes):
+        where, slot = shared_grams(items, text, h, base)
+        if len(where) and int(items.count[slot].sum()) > ENTRIES and len(text) > 2 * (wide := window(items)):
+            _find_in_windows(items, text, h, base, wide, out)
+        elif len(where):
+            _find_in(items, text, where, slot, out)
     for k in items.short:
         blank = b" " + text.tobytes() + b" "
         if (found := blank.find(b" " + items.bytes[k] + b" ")) >= 0:
@@ -137,6 +172,48 @@ def find(items: Items, text: np.ndarray, h: np.ndarray, base: int) -> dict[int,
     return out
 
 
+def _find_in(items: Items, text: np.ndarray, where: np.ndarray, slot: np.ndarray, out: dict[int, tuple[int, int]]) -> None:
+    known = set()  # stretches that were aligned with an item before
+    for k, b, count in full_bands(items, where, slot):
+        most = min(int(items.k[k]), out[k][0] - 1 if k in out else int(items.k[k]))
+        # fewer edits than found so far leave more q-grams whole
+        if most < 0 or count < int(items.size[k]) - items.q + 1 - most * items.q:
+            continue
+        width = 2 * int(items.k[k]) + 1
+        first, last = b * width - most, b * width + 2 * width + most + int(items.size[k])
+        if first >= 0 and last <= len(text):
+            stretch_ = (k, most, text[first:last].tobytes())
+            if stretch_ in known:
+                continue
+            known.add(stretch_)
+        edits, end = banded(np.frombuffer(items.bytes[k], np.uint8), text, b * width + width, width + most, most)
+        if edits <= most:
+            out[k] = (edits, end)
+
+
+def window(items: Items) -> int:
+    """Bytes of a stretch of text that holds any item with its edits, and more."""
+    return max(WINDOW, 4 * int((items.size + items.k).max()))
+
+
+def _find_in_windows(items: Items, text: np.ndarray, h: np.ndarray, base: int, wide: int, out: dict[int, tuple[int, int]]) -> None:
+    """A text that shares very many q-grams with items repeats itself: it is read in windows that overlap by the longest item's length,
+    and windows with the same bytes are read once."""
+    step, known = wide - int((items.size + items.k).max()) - 1, {}
+    for at in range(0, len(text), step):
+        own = text[at : at + wide]
+        if len(own) < items.q:
+            break
+        name = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
+        if name in known:
+            continue  # the same items, with as many edits, further on
+        known[name] = found = {}
+        _find_in(items, own, *shared_grams(items, own, h, base + at), found)
+        for k, (edits, end) in found.items():
+            if k not in out or edits < out[k][0]:
+                out[k] = (edits, at + end)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, error: float = ERROR) -> DataFrame:
     """(doc_id, item_id, edits, end_byte): each item found in each document, with its fewest edits; end_byte in the normalised text."""
     spark = docs.sparkSession
