@@ -3,15 +3,16 @@
 Inverted lists are kept of the first shingles of each set: any pair that reaches the threshold t shares one of them, if a set's first
 n - ceil(t * n) + 1 shingles in one common order are looked at; frequent shingles come last in that order. Where a list is
 read, its members' sizes and parity bitmaps rule out the pairs with too many differences; this bound is exact, so what leaves
-the lists is in proportion to the links. A list of more than LIST_BLOCK members is read as pairs of blocks.
+the lists is in proportion to the links. A list of more than LIST_BLOCK members is read block by block.
 
 What is left is decided by T-occurrence search with DivideSkip: the sets that a query set meets are indexed by shingle; the query's
 inverted lists are divided into long and short ones, the short ones are merged with a heap, and sets that occur often enough there are
 looked up in the long ones by binary search; those that reach the required overlap are linked.
 
 Large groups are met in rounds, as only components are wanted: each member of a list first meets the first member before it that it may link
-with, then the last such member of another component, then all members of other components. So no link between two components is left out,
-and the work within a group stays in proportion to its size.
+with, then the last such member of another component, then all members of other components. So no link between two components is left out. In
+the first two rounds a member is compared until a partner is found, and a large list's blocks meet its first block only; in the last one
+members of a list's largest component aren't compared with each other. So comparisons and rows within a group of near copies stay in proportion to its size.
 
 Equal sets are one node throughout. Nodes are told apart by a 63-bit hash of the set with its size, shingles by 64-bit
 hashes.
@@ -40,8 +41,8 @@ FREQUENT, MOST_FREQUENT, COUNTED = 8, 1 << 20, 1 << 19
 BLOCK = 256
 #: Bits of a set's parity bitmap; and rows (16 bytes each) up to which a table of documents to read again is broadcast.
 LEAST_BITS, MOST_BITS, BROADCAST_ROWS = 512, 32768, 1 << 20
-#: Members of a list that one task reads together; and pairs whose bitmaps are compared at once.
-LIST_BLOCK, PAIR_STEP = 2048, 1 << 17
+#: Members of a list that one task reads together; and bytes of bitmaps that are compared at once.
+LIST_BLOCK, STEP_BYTES, STRAYS = 2048, 1 << 22, 1 << 24
 _FACTORS = np.random.default_rng(5).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 
 
@@ -284,9 +285,10 @@ class Bitmaps:
         return out
 
 
-def list_rows(lists: DataFrame, bits: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """(list, one, two, part, size, node, label, bits) of the lists whose members are not all in one component. Lists of several
-    blocks are dealt as pairs of blocks (one, two)."""
+def list_rows(lists: DataFrame, bits: DataFrame, labels: DataFrame | None, which: str = "all") -> DataFrame:
+    """(list, one, two, part, size, node, label, bits) of the lists whose members are not all in one component. Lists of several blocks are dealt as pairs of
+    blocks (one, two), with no more rows than are needed: where a member needs but one partner, each block meets the first one; where all are wanted, the
+    members of the list's largest component need not meet each other, and the others are dealt into blocks of their own, numbered from STRAYS."""
     own = lists
     if labels is None:
         own = own.withColumn("label", F.col("node"))
@@ -297,43 +299,86 @@ def list_rows(lists: DataFrame, bits: DataFrame, labels: DataFrame | None) -> Da
     own = own.withColumn("part", (F.col("place") / LIST_BLOCK).cast("int"))
     blocks = lists.where(F.col("place") >= LIST_BLOCK).groupBy("list").agg((F.max("place") / LIST_BLOCK).cast("int").alias("last"))
     own = own.join(blocks, "list", "left")
-    pair = F.struct(F.least("k", "part").alias("one"), F.greatest("k", "part").alias("two"))
     one = own.where("last is null").select("list", F.lit(0).alias("one"), F.lit(0).alias("two"), "part", "node", "label")
-    many = own.where("last is not null").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("last")))).withColumn("pair", pair).select("list", "pair.one", "pair.two", "part", "node", "label")
+    many = own.where("last is not null")
+    if which != "all":
+        partners = F.when(F.col("part") == 0, F.sequence(F.lit(0), F.col("last"))).otherwise(F.array("part"))
+        many = many.withColumn("two", F.explode(partners)).select("list", F.lit(0).alias("one"), "two", "part", "node", "label")
+    else:
+        tops = many.groupBy("list", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("list").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n"))
+        tops = tops.select("list", F.col("top.label").alias("top"), F.ceil((F.col("n") - F.col("top.n")) * 2 / LIST_BLOCK).cast("int").alias("strays"))
+        many = many.join(tops, "list")
+        stay = many.where("label = top").withColumn("two", F.explode(F.expr(f"sequence({STRAYS}, {STRAYS} + strays - 1)"))).select("list", F.col("part").alias("one"), "two", "part", "node", "label")
+        stray = many.where("label <> top").withColumn("part", (F.pmod(F.xxhash64("node"), F.col("strays")) + STRAYS).cast("int"))
+        # a block of strays meets the blocks of those that stay, and the blocks of strays
+        groups = F.expr(f"concat(transform(sequence(0, last), k -> struct(k as one, part as two)), transform(sequence({STRAYS}, {STRAYS} + strays - 1), k -> struct(least(k, part) as one, greatest(k, part) as two)))")
+        stray = stray.withColumn("g", F.explode(groups)).select("list", "g.one", "g.two", "part", "node", "label")
+        many = stray.unionByName(stay)
     return one.unionByName(many).join(bits, "node").select("list", "one", "two", "part", "size", "node", "label", "bits")
 
 
-def may_link(rows: DataFrame, which: str, percent: int) -> DataFrame:
-    """(query, node) of members of one list and two components that sizes and bitmaps do not rule out: of each node with members before it in the
-    order of sizes, the first or the last of these, or all."""
-    schema = pa.schema([("query", pa.int64()), ("node", pa.int64())])
+class Compared:
+    """Counts the pairs whose bitmaps were compared."""
 
-    def met(t: pa.Table):
-        list_, one, two, part, size, node, label = (t.column(i).to_numpy() for i in range(7))
-        size = size.astype(np.int64)
-        new = (list_[1:] != list_[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])
-        group = np.concatenate(([0], np.cumsum(new))) << 32
-        start = np.searchsorted(group + size, group - (-percent * size // 100))
-        count = np.arange(len(size)) - start
-        ends, bitmaps = np.cumsum(count), Bitmaps(t.column(7).combine_chunks())
+    pairs = 0
+
+
+def met(t: pa.Table, which: str, percent: int, compared: Compared):
+    """Batches of (query, node) for the rows of some lists, sorted by list and size: the pairs of two components that sizes and bitmaps do not rule
+    out, or of each row the first or last of its pairs only. Then a row is compared until one pair is found, with few rows at first."""
+    schema = pa.schema([("query", pa.int64()), ("node", pa.int64())])
+    list_, one, two, part, size, node, label = (t.column(i).to_numpy() for i in range(7))
+    size = size.astype(np.int64)
+    new = (list_[1:] != list_[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+    group = np.concatenate(([0], np.cumsum(new))) << 32
+    start = np.searchsorted(group + size, group - (-percent * size // 100))
+    bitmaps = Bitmaps(t.column(7).combine_chunks())
+
+    def fitting(rows: np.ndarray, low: np.ndarray, n: np.ndarray):
+        """The pairs of each row with n rows from low on, of other components and not ruled out; so many at once as STEP_BYTES of bitmaps allow."""
+        ends = np.cumsum(n * bitmaps.length[rows])
         at = 0
-        while at < len(size):
-            to = max(at + 1, int(np.searchsorted(ends, ends[at] - count[at] + PAIR_STEP, "right")))
-            n = count[at:to]
-            j = np.repeat(np.arange(at, to), n)
-            i = np.repeat(start[at:to] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            keep = (label[i] != label[j]) & ((one[j] == two[j]) | (part[i] != part[j]))
+        while at < len(rows):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + STEP_BYTES, "right")))
+            own = n[at:to]
+            j = np.repeat(rows[at:to], own)
+            i = np.repeat(low[at:to] - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))
+            # in a pair of blocks a block's own pairs belong to another task; where each block meets the first one, only that one's do
+            apart = (part[i] != part[j]) if which == "all" else (part[i] != one[j]) | (part[j] != one[j])
+            keep = (label[i] != label[j]) & ((one[j] == two[j]) | apart)
             i, j = i[keep], j[keep]
+            compared.pairs += len(i)
             both = size[i] + size[j]
             # an overlap of o needs 100 * o >= percent * (a + b - o); the sets then differ in a + b - 2 * o shingles
             keep = bitmaps.fewest_differences(i, j) <= both + 2 * (-percent * both // (100 + percent))
-            i, j = i[keep], j[keep]
-            if which != "all" and len(j):
-                edge = np.flatnonzero(np.concatenate(([True], j[1:] != j[:-1])) if which == "first" else np.concatenate((j[1:] != j[:-1], [True])))
-                i, j = i[edge], j[edge]
+            yield i[keep], j[keep]
+            at = to
+
+    rows = np.arange(len(size))
+    rows = rows[rows > start]
+    if which == "all":
+        for i, j in fitting(rows, start[rows], rows - start[rows]):
             if len(j):
                 yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], schema=schema)
-            at = to
+        return
+    done, width = np.zeros(len(size), np.int64), 2
+    while len(rows):
+        n = np.minimum(width, rows - start[rows] - done[rows])
+        low = start[rows] + done[rows] if which == "first" else rows - done[rows] - n
+        open_ = np.ones(len(size), bool)
+        for i, j in fitting(rows, low, n):
+            if len(j):
+                edge = np.flatnonzero(np.concatenate(([True], j[1:] != j[:-1])) if which == "first" else np.concatenate((j[1:] != j[:-1], [True])))
+                open_[j[edge]] = False
+                yield pa.RecordBatch.from_arrays([pa.array(node[i[edge]]), pa.array(node[j[edge]])], schema=schema)
+        done[rows] += n
+        rows = rows[open_[rows] & (done[rows] < rows - start[rows])]
+        width *= 2
+
+
+def may_link(rows: DataFrame, which: str, percent: int) -> DataFrame:
+    """(query, node) of members of one list and two components that sizes and bitmaps do not rule out: of each node with members before it in the
+    order of sizes, the first or the last of these, or all."""
 
     def run(batches):
         rest = None
@@ -345,10 +390,10 @@ def may_link(rows: DataFrame, which: str, percent: int) -> DataFrame:
             keys = [t.column(i).to_numpy() for i in range(3)]
             done = int(np.flatnonzero(np.logical_or.reduce([k != k[-1] for k in keys]))[-1]) + 1 if any((k != k[-1]).any() for k in keys) else 0
             if done:
-                yield from met(t.slice(0, done).combine_chunks())
+                yield from met(t.slice(0, done).combine_chunks(), which, percent, Compared())
             rest = t.slice(done).combine_chunks()
         if rest is not None and rest.num_rows:
-            yield from met(rest)
+            yield from met(rest, which, percent, Compared())
 
     n = partitions(rows.sparkSession)
     dealt = rows.repartition(n, "list", "one", "two").sortWithinPartitions("list", "one", "two", "size", "node")
@@ -461,7 +506,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     bits = stored(node_bits(node_documents(docs, doc_sets, lists.select("node"), words), words), "node-bits")
     labels = None
     for which in ("first", "last", "all"):
-        pairs = stored(may_link(list_rows(lists, bits, labels), which, percent), "pairs")
+        pairs = stored(may_link(list_rows(lists, bits, labels, which), which, percent), "pairs")
         if not pairs.limit(1).count():
             break
         nodes = pairs.select("node").unionByName(pairs.select(F.col("query").alias("node")))
