@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..fixtures import POOL, distinct_library, library, pool, table
+from ..fixtures import POOL, distinct_library, forms, library, pool, table
 from ..functions import columns
 from ..operators import cluster, descriptors, frames, graph, metrics, mmp, reactions, retrieval, similarity, similarity_index, split
 from ..sources import readers, writers
@@ -348,6 +348,15 @@ def canonical_classes(spark, sf_dir):
     return library(spark, sf_dir).select("mol_id", "pool_id").join(F.broadcast(named), "pool_id").select("mol_id", "canonical", "standard", "frame")
 
 
+def drawn_forms(spark, sf_dir):
+    """Of drawings of stereoisomers and tautomers: how many molecules have the same canonical and the same standard text, and the first of them."""
+    own = forms(spark, sf_dir).select("mol_id", "form_id", columns.canonical("smiles").alias("canonical"), columns.standardize("smiles").alias("standard"))
+    own = stored(own, "drawn-forms")
+    for c in ("canonical", "standard"):
+        own = own.join(own.groupBy(c).agg(F.min("mol_id").alias(f"{c}_first"), F.count("*").alias(f"{c}_n")), c)
+    return own.select("mol_id", "form_id", "canonical_first", "canonical_n", "standard_first", "standard_n")
+
+
 def formula_descriptors(spark, sf_dir):
     names = ["MolWt", "HeavyAtomMolWt", "HeavyAtomCount", "NumHeteroatoms", "NOCount", "NHOHCount", "RingCount", "NumFragments"]
     own = descriptors.named(library(spark, sf_dir), names, None).where(~F.isnan("MolWt"))
@@ -430,7 +439,7 @@ QUERIES = {f.__name__: f for f in (
     screen_threshold, screen_counts, screen_best, tanimoto_embeddings, tanimoto_join, ro5_filter, rule_flags, pic50, scaffold_groups, scaffold_split, kfold_sizes, kfold, scaffold_kfold, duplicate_occurrence,
     substructure_acids, substructure_inverted, butina_neighbours, butina_clusters, maxmin_pick, mmp_pairs, regression_metrics, uncertainty_stats, skill_stats, rag_relevance, rag_rewrite, rag_answer, fasta_parse,
     residue_composition, chembl_parse, parquet_roundtrip, record_layout, events_tumbling, label_rates, canonical_smiles, murcko_scaffolds, named_descriptors, admet_screen, other_fingerprints,
-    mmpa, mmpa_double, reaction_products, rgroup_table, common_substructure, sdf_roundtrip, canonical_classes, formula_descriptors, graph_descriptors, substructure_atoms, multitask_metrics, smiles_file_roundtrip,
+    mmpa, mmpa_double, reaction_products, rgroup_table, common_substructure, sdf_roundtrip, canonical_classes, drawn_forms, formula_descriptors, graph_descriptors, substructure_atoms, multitask_metrics, smiles_file_roundtrip,
     activity_records, record_lookup, shape_descriptors, fingerprint_columns, positional_rows, rag_routed,
 )}
 

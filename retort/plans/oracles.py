@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from ..fixtures import POOL, pool_sql
+from ..fixtures import FORMS, POOL, pool_sql
 from ..functions.elements import LOGP_CENTI, MASS_MILLI, MASS_MILLI_GRAPH, NUMBERS, VALENCE
 from ..operators.graph import LABELS
 from ..operators.retrieval import PROPERTIES, SYNONYMS
@@ -180,6 +180,9 @@ ORACLES = {
     "reaction_products": f"SELECT * FROM {_values((x,) for x in _ESTERS)} t(product)",
     # benzenes share the ring alone, as phenols and halides do with the others; pyridines the ring
     "common_substructure": f"SELECT * FROM {_values([('c1ccccc1', 19, 6), ('c1ccncc1', 3, 6)])} t(scaffold, n, n_atoms)",
+    "drawn_forms": f"""WITH forms(form_id, compound, substance) AS {_values((i, c.replace("'", "''"), t.replace("'", "''")) for i, (_, c, t) in enumerate(FORMS))},
+own AS (SELECT p_partkey AS mol_id, form_id, compound, substance FROM part JOIN forms ON p_partkey % {len(FORMS)} = form_id)
+SELECT mol_id, form_id::BIGINT AS form_id, min(mol_id) OVER (PARTITION BY compound) AS canonical_first, count(*) OVER (PARTITION BY compound) AS canonical_n, min(mol_id) OVER (PARTITION BY substance) AS standard_first, count(*) OVER (PARTITION BY substance) AS standard_n FROM own""",
     "sdf_roundtrip": _with(_LIBRARY) + "SELECT mol_id, 1 AS same FROM library WHERE smiles <> 'INVALID_SMILES'",
     "multitask_metrics": """WITH d AS (SELECT p_size::DOUBLE AS y0, (p_partkey % 11)::DOUBLE AS y1, (p_partkey % 50)::DOUBLE AS p0, (p_partkey % 13)::DOUBLE AS p1 FROM part WHERE p_partkey % 9 <> 0), m AS (SELECT *, avg(y0) OVER () AS m0, avg(y1) OVER () AS m1 FROM d)
 SELECT round(1 - sum((y0 - p0) ** 2 + (y1 - p1) ** 2) / sum((y0 - m0) ** 2 + (y1 - m1) ** 2), 6) AS r2, round(sum(abs(y0 - p0) + abs(y1 - p1)) / (2 * count(*)), 6) AS mae, round(sqrt(sum((y0 - p0) ** 2 + (y1 - p1) ** 2) / (2 * count(*))), 6) AS rmse, count(*) AS n FROM m""",

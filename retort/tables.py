@@ -22,6 +22,12 @@ def shared_folder(spark: SparkSession) -> str:
     return where
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least as many partitions as the session has cores, for work on rows that costs more than moving them; a table of enough splits is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet and read again: the lineage ends here, and lost executors do not matter."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
