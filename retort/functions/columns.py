@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from . import fingerprints as fp
 from . import molecule as m
+from . import conformers as geometry
 from . import properties, transforms
 from .canonical import write
 from .smarts import Target, compiled
@@ -351,6 +352,35 @@ def shape_descriptors(xyz: Column | str, masses: Column | str) -> Column:
     return _with_nan(F.pandas_udf(run, kind)(xyz, masses), names)
 
 
+_POINTS = T.ArrayType(T.ArrayType(T.DoubleType()))
+
+
+def conformers(smiles: Column | str, n_confs: int = 1, seed: int = 42, hydrogens: bool = False) -> Column:
+    """Up to n_confs conformers, each the coordinates of the heavy atoms, or of all atoms with the hydrogens last. Null for invalid text; no conformer where no draw
+    fits or the molecule has over conformers.MOST_ATOMS atoms."""
+
+    def run(smiles: pa.Array) -> pa.Array:
+        coded = smiles.dictionary_encode(null_encoding="encode")
+        texts = coded.dictionary.to_pylist()
+        there = [(k, s, mol) for k, s in enumerate(texts) if (mol := _read(s, "full")[0]) is not None]
+        found: list = [None] * len(texts)
+        for (k, _, mol), points in zip(there, geometry.embedded([(s, mol) for _, s, mol in there], n_confs, seed), strict=True):
+            found[k] = [(x if hydrogens else x[: len(mol)]).tolist() for x in points]
+        kept = pa.array(found, pa.list_(pa.list_(pa.list_(pa.float64()))))
+        return kept.take(coded.indices)
+
+    return F.arrow_udf(run, T.ArrayType(_POINTS))(smiles)
+
+
+def _weights(mol: m.Molecule) -> list[float]:
+    return [properties.WEIGHT.get(z, 0.0) for z in mol.z]
+
+
+def shape_3d(smiles: Column | str, seed: int = 42) -> Column:
+    """shape_descriptors of the heavy atoms of the first conformer; NaN where there is none."""
+    return shape_descriptors(F.get(conformers(smiles, 1, seed), F.lit(0)), _column(T.ArrayType(T.DoubleType()), _weights)(smiles))
+
+
 def register(spark) -> None:
     """SQL functions: ecfp, canonical_smiles, murcko, mol_standardize, has_substruct; and the table function mmp_fragments(smiles, cuts)."""
     for name, kind, f, args, mode, invalid in (

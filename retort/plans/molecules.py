@@ -357,6 +357,17 @@ def drawn_forms(spark, sf_dir):
     return own.select("mol_id", "form_id", "canonical_first", "canonical_n", "standard_first", "standard_n")
 
 
+def conformer_bonds(spark, sf_dir):
+    """Of one conformer of each molecule: atoms, bonds of about the length that their elements have, and pairs of atoms that come too close."""
+    own = library(spark, sf_dir).select("mol_id", columns.parse("smiles", "full").alias("p"), F.get(columns.conformers("smiles"), F.lit(0)).alias("xyz")).where("xyz is not null")
+    apart = "sqrt(aggregate(zip_with(xyz[{0}], xyz[{1}], (x, y) -> (x - y) * (x - y)), 0d, (s, d) -> s + d))"
+    bonds = f"transform(arrays_zip(p.src, p.dst, p.bond), b -> struct(b.bond as o, {apart.format('b.src', 'b.dst')} as d, p.z[b.src] as y, p.z[b.dst] as z))"
+    # single bonds of second-row atoms 1.25 to 1.65, double and aromatic 1.15 to 1.5, triple 1.1 to 1.3; with a heavier atom up to 2.2
+    fits = "if(x.y > 9 or x.z > 9, x.d between 1.3 and 2.2, case x.o when 1 then x.d between 1.25 and 1.65 when 3 then x.d between 1.1 and 1.3 else x.d between 1.15 and 1.5 end)"
+    close = f"aggregate(transform(sequence(0, size(xyz) - 1), i -> size(filter(sequence(0, size(xyz) - 1), j -> j < i and {apart.format('i', 'j')} < 1.05))), 0, (s, n) -> s + n)"
+    return own.select("mol_id", F.size("xyz").cast("long").alias("n_atoms"), F.size(F.expr(f"filter({bonds}, x -> {fits})")).cast("long").alias("n_bonds"), F.expr(close).cast("long").alias("n_close"))
+
+
 def formula_descriptors(spark, sf_dir):
     names = ["MolWt", "HeavyAtomMolWt", "HeavyAtomCount", "NumHeteroatoms", "NOCount", "NHOHCount", "RingCount", "NumFragments"]
     own = descriptors.named(library(spark, sf_dir), names, None).where(~F.isnan("MolWt"))
@@ -439,7 +450,7 @@ QUERIES = {f.__name__: f for f in (
     screen_threshold, screen_counts, screen_best, tanimoto_embeddings, tanimoto_join, ro5_filter, rule_flags, pic50, scaffold_groups, scaffold_split, kfold_sizes, kfold, scaffold_kfold, duplicate_occurrence,
     substructure_acids, substructure_inverted, butina_neighbours, butina_clusters, maxmin_pick, mmp_pairs, regression_metrics, uncertainty_stats, skill_stats, rag_relevance, rag_rewrite, rag_answer, fasta_parse,
     residue_composition, chembl_parse, parquet_roundtrip, record_layout, events_tumbling, label_rates, canonical_smiles, murcko_scaffolds, named_descriptors, admet_screen, other_fingerprints,
-    mmpa, mmpa_double, reaction_products, rgroup_table, common_substructure, sdf_roundtrip, canonical_classes, drawn_forms, formula_descriptors, graph_descriptors, substructure_atoms, multitask_metrics, smiles_file_roundtrip,
+    mmpa, mmpa_double, reaction_products, rgroup_table, common_substructure, sdf_roundtrip, canonical_classes, drawn_forms, conformer_bonds, formula_descriptors, graph_descriptors, substructure_atoms, multitask_metrics, smiles_file_roundtrip,
     activity_records, record_lookup, shape_descriptors, fingerprint_columns, positional_rows, rag_routed,
 )}
 

@@ -180,6 +180,9 @@ ORACLES = {
     "reaction_products": f"SELECT * FROM {_values((x,) for x in _ESTERS)} t(product)",
     # benzenes share the ring alone, as phenols and halides do with the others; pyridines the ring
     "common_substructure": f"SELECT * FROM {_values([('c1ccccc1', 19, 6), ('c1ccncc1', 3, 6)])} t(scaffold, n, n_atoms)",
+    # a dot's bond of the compat reading is none
+    "conformer_bonds": _with(_LIBRARY, _WALK, "n(pool_id, a, b) AS (SELECT p.pool_id, (SELECT count(*) FROM atoms x WHERE x.pool_id = p.pool_id), (SELECT count(*) FROM bonds x WHERE x.pool_id = p.pool_id) - len(regexp_extract_all(smiles, '\\.')) FROM pool p)")
+    + "SELECT mol_id, a AS n_atoms, b::BIGINT AS n_bonds, 0::BIGINT AS n_close FROM library JOIN n USING (pool_id) WHERE a > 0",
     "drawn_forms": f"""WITH forms(form_id, compound, substance) AS {_values((i, c.replace("'", "''"), t.replace("'", "''")) for i, (_, c, t) in enumerate(FORMS))},
 own AS (SELECT p_partkey AS mol_id, form_id, compound, substance FROM part JOIN forms ON p_partkey % {len(FORMS)} = form_id)
 SELECT mol_id, form_id::BIGINT AS form_id, min(mol_id) OVER (PARTITION BY compound) AS canonical_first, count(*) OVER (PARTITION BY compound) AS canonical_n, min(mol_id) OVER (PARTITION BY substance) AS standard_first, count(*) OVER (PARTITION BY substance) AS standard_n FROM own""",
