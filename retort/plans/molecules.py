@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..fixtures import POOL, distinct_library, forms, library, pool, table
 from ..functions import columns
-from ..operators import cluster, descriptors, frames, graph, metrics, mmp, reactions, retrieval, similarity, similarity_index, split
+from ..operators import cluster, descriptors, frames, graph, graphnet, metrics, mmp, reactions, retrieval, similarity, similarity_index, split
 from ..sources import readers, writers
 from ..streaming import usage
 from ..tables import shared_folder, stored
@@ -368,6 +368,15 @@ def conformer_bonds(spark, sf_dir):
     return own.select("mol_id", F.size("xyz").cast("long").alias("n_atoms"), F.size(F.expr(f"filter({bonds}, x -> {fits})")).cast("long").alias("n_bonds"), F.expr(close).cast("long").alias("n_close"))
 
 
+def graph_regression(spark, sf_dir):
+    """A small network trained on the distinct molecules' labels: predictions with their spread over dropout draws, and the atom that counts most."""
+    own = distinct_library(spark, sf_dir).select("mol_id", "smiles", (F.col("label") / 1000).alias("y"))
+    model = graphnet.PropertyModel.fit(own, ["y"], shape=graphnet.Shape(16, 2, 0.1, 1), epochs=5, lr=0.02)
+    out = own.select("mol_id", model.predict()[0].alias("prediction"), model.predict_with_uncertainty(samples=5)[0][1].alias("std"), model.attribution(steps=32).alias("a"))
+    top = F.array_position("a", F.array_max("a")) - 1
+    return out.where("a is not null").select("mol_id", F.round("prediction", 6).alias("prediction"), F.round("std", 6).alias("std"), F.size("a").cast("long").alias("n_atoms"), top.alias("top_atom"))
+
+
 def formula_descriptors(spark, sf_dir):
     names = ["MolWt", "HeavyAtomMolWt", "HeavyAtomCount", "NumHeteroatoms", "NOCount", "NHOHCount", "RingCount", "NumFragments"]
     own = descriptors.named(library(spark, sf_dir), names, None).where(~F.isnan("MolWt"))
@@ -450,7 +459,7 @@ QUERIES = {f.__name__: f for f in (
     screen_threshold, screen_counts, screen_best, tanimoto_embeddings, tanimoto_join, ro5_filter, rule_flags, pic50, scaffold_groups, scaffold_split, kfold_sizes, kfold, scaffold_kfold, duplicate_occurrence,
     substructure_acids, substructure_inverted, butina_neighbours, butina_clusters, maxmin_pick, mmp_pairs, regression_metrics, uncertainty_stats, skill_stats, rag_relevance, rag_rewrite, rag_answer, fasta_parse,
     residue_composition, chembl_parse, parquet_roundtrip, record_layout, events_tumbling, label_rates, canonical_smiles, murcko_scaffolds, named_descriptors, admet_screen, other_fingerprints,
-    mmpa, mmpa_double, reaction_products, rgroup_table, common_substructure, sdf_roundtrip, canonical_classes, drawn_forms, conformer_bonds, formula_descriptors, graph_descriptors, substructure_atoms, multitask_metrics, smiles_file_roundtrip,
+    mmpa, mmpa_double, reaction_products, rgroup_table, common_substructure, sdf_roundtrip, canonical_classes, drawn_forms, conformer_bonds, graph_regression, formula_descriptors, graph_descriptors, substructure_atoms, multitask_metrics, smiles_file_roundtrip,
     activity_records, record_lookup, shape_descriptors, fingerprint_columns, positional_rows, rag_routed,
 )}
 
