@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, lower, prefix_hashes, small_batches, stretch, table, texts
+from .common import SPACE, freed, lower, prefix_hashes, small_batches, stretch, table, texts
 
 Q, ERROR = 12, 0.06
 #: q-grams of items that are sent to the tasks at once (24 bytes each and a 4 MB bitmap).
@@ -241,7 +241,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, error: float
                             rows_.append((docs_[first + k], items.ids[item], edits, end))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows_, strict=True) if rows_ else [[]] * 4, schema, strict=True)], schema=schema)
 
-        one = own.mapInArrow(run, "doc_id long, item_id long, edits int, end_byte long")
+        one = own.mapInArrow(freed(run), "doc_id long, item_id long, edits int, end_byte long")
         out = one if out is None else out.unionByName(one)
     return out
 

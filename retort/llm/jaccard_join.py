@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, partitions, small_batches, stored, table, texts, word_hashes
+from .common import freed, mix, partitions, small_batches, stored, table, texts, word_hashes
 
 WORDS, PERCENT = 5, 80
 #: The shingles that come last in the order: those met at least FREQUENT times by the counts below, the most frequent
@@ -90,7 +90,7 @@ def document_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 n[i], node[i] = len(own), signature(own)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(node, pa.int64())], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, node long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(freed(run), "doc_id long, n_shingles long, node long")
 
 
 def frequent_shingles(docs: DataFrame, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -113,7 +113,7 @@ def frequent_shingles(docs: DataFrame, words: int = WORDS) -> tuple[np.ndarray,
         if parts:
             yield counted(parts)
 
-    counts = docs.select(F.col("text").cast("string")).mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
+    counts = docs.select(F.col("text").cast("string")).mapInArrow(freed(run), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
     counts = stored(counts, "shingle-counts")
     sizes = sorted((r["size"], r["shingles"]) for r in counts.groupBy(F.floor(F.log2("n")).alias("size")).agg(F.count(F.lit(1)).alias("shingles")).collect())
     while sizes and sum(n for _, n in sizes) > MOST_FREQUENT:
@@ -153,7 +153,7 @@ def postings(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 n = np.array([len(p) for p in parts])
                 yield pa.RecordBatch.from_arrays([_signed(np.concatenate(parts)), pa.array(np.repeat(np.array(sizes, np.int32), n)), pa.array(np.repeat(np.array(nodes, np.int64), n))], schema=schema)
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "shingle long, size int, node long")
+    return docs.select(F.col("text").cast("string")).mapInArrow(freed(run), "shingle long, size int, node long")
 
 
 def shared_lists(posted: DataFrame) -> DataFrame:
@@ -191,7 +191,7 @@ def shared_lists(posted: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array(place[first].astype(np.int32)), nodes], schema=schema)
 
     n = partitions(posted.sparkSession)
-    rows = posted.repartition(n, "shingle").sortWithinPartitions("shingle", "size", "node").mapInArrow(run, "list long, more long, start int, nodes array<long>")
+    rows = posted.repartition(n, "shingle").sortWithinPartitions("shingle", "size", "node").mapInArrow(freed(run), "list long, more long, start int, nodes array<long>")
     return rows.dropDuplicates(["list", "more", "start"]).select("list", "start", F.posexplode("nodes").alias("pos", "node")).select("list", "node", (F.col("start") + F.col("pos")).alias("place"))
 
 
@@ -397,7 +397,7 @@ def may_link(rows: DataFrame, which: str, percent: int) -> DataFrame:
 
     n = partitions(rows.sparkSession)
     dealt = rows.repartition(n, "list", "one", "two").sortWithinPartitions("list", "one", "two", "size", "node")
-    return dealt.mapInArrow(run, "query long, node long").distinct()
+    return dealt.mapInArrow(freed(run), "query long, node long").distinct()
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -435,7 +435,7 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield decided()
 
     both = queries.unionByName(members).repartition(n, "query", "block").sortWithinPartitions("query", "block", "role")
-    return both.mapInArrow(run, "query long, node long")
+    return both.mapInArrow(freed(run), "query long, node long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -466,7 +466,7 @@ def node_documents(docs: DataFrame, doc_sets: DataFrame, nodes: DataFrame, words
             found = [(int(signature(s)), i) for i, s in shingle_sets(batch.column(0), words)]
             yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.int64()), batch.column(0).take(pa.array([i for _, i in found], pa.int64()))], names=["node", "text"])
 
-    unnamed = own.where("doc_id is null").select("text").mapInArrow(run, "node long, text string")
+    unnamed = own.where("doc_id is null").select("text").mapInArrow(freed(run), "node long, text string")
     return named.unionByName(unnamed.join(one.where("one_doc is null").select("node"), "node", "left_semi").dropDuplicates(["node"]))
 
 
@@ -480,7 +480,7 @@ def node_bits(texts_: DataFrame, words: int) -> DataFrame:
             got = [(int(node[i]), len(s), parity_bits(s)) for i, s in shingle_sets(batch.column(1), words) if signature(s) == node[i]]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*got, strict=True) if got else [[]] * 3, schema, strict=True)], schema=schema)
 
-    return texts_.mapInArrow(run, "node long, size int, bits binary").dropDuplicates(["node"])
+    return texts_.mapInArrow(freed(run), "node long, size int, bits binary").dropDuplicates(["node"])
 
 
 def node_sets(texts_: DataFrame, words: int) -> DataFrame:
@@ -495,7 +495,7 @@ def node_sets(texts_: DataFrame, words: int) -> DataFrame:
             offsets = np.concatenate(([0], np.cumsum([len(s) for _, s in got]))).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], schema=schema)
 
-    return texts_.mapInArrow(run, "node long, shingles array<long>")
+    return texts_.mapInArrow(freed(run), "node long, shingles array<long>")
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, stored, table
+from .common import freed, small_batches, stored, table
 
 MIN_CHARS, MIN_DOCS = 40, 5
 #: Keys in one filter shard at most, on average; and frequent keys up to which filters or the exact table are broadcast.
@@ -123,7 +123,7 @@ def references(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
                 ids += [doc] * len(own)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ids, pa.int64())], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "key binary, doc_id long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(freed(run), "key binary, doc_id long")
 
 
 def _shard(shards: int):
@@ -232,7 +232,7 @@ def _candidates(docs: DataFrame, filters: dict[int, bytes], shards: int, min_cha
             at = np.flatnonzero(hit)
             yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in at], pa.binary()), pa.array([ids[i] for i in at], pa.int64())], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "key binary, doc_id long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(freed(run), "key binary, doc_id long")
 
 
 KEPT = T.StructType([T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept", T.StringType())])

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import STEP_BYTES, partitions, small_batches, table, texts
+from .common import STEP_BYTES, freed, partitions, small_batches, table, texts
 
 LENGTH, END_ID = 2048, 1
 DIMS, CELL_BITS, SAMPLE = 4, 8, 20_000
@@ -233,7 +233,7 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH) -> DataFram
         open_.end()
         yield taken()
 
-    return dealt.select("doc_id", "text", "part").mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    return dealt.select("doc_id", "text", "part").mapInArrow(freed(run), ", ".join(f"{c} long" for c in names))
 
 
 def op8_packing(spark, sf_dir: str) -> DataFrame:
