@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..tables import stored
-from .similarity import popcount, shared, tanimoto
 from .similarity_index import near_pairs
 
+#: Farthest molecules that picks are drawn from at once.
+POOL = 1024
+
 
 def classes(mols: DataFrame) -> DataFrame:
     """(mol_id, fp, size): of the molecules (mol_id, fp) with equal fingerprints the last one, and how many they are."""
@@ -63,31 +67,61 @@ def numbered_by(df: DataFrame, size, order: list) -> DataFrame:
     return own.join(before, "__size").withColumn("pos", F.col("__before") + F.row_number().over(w) - 1).drop("__size", "__before")
 
 
+def nearer(state: DataFrame, picks: np.ndarray) -> DataFrame:
+    """The state (mol_id, fp, d) with each distance to the nearest pick, where one of the new picks (rows of words) is nearer."""
+    sent = state.sparkSession.sparkContext.broadcast(picks)
+    kind = f"mol_id {state.schema['mol_id'].dataType.simpleString()}, fp array<bigint>, d double"
+
+    def run(batches):
+        for b in batches:
+            own = b.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(b.num_rows, -1)
+            d = b.column(2).to_numpy().copy()
+            for pick in sent.value:
+                d = np.minimum(d, _distance(own, pick))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(d)], names=["mol_id", "fp", "d"])
+
+    return state.select("mol_id", "fp", "d").mapInArrow(run, kind)
+
+
+def _distance(own: np.ndarray, pick: np.ndarray) -> np.ndarray:
+    inter, union = np.bitwise_count(own & pick).sum(1), np.bitwise_count(own | pick).sum(1)
+    return np.where((own == pick).all(1), 0.0, 1 - np.divide(inter, union, out=np.zeros(len(own)), where=union > 0))
+
+
 def diversity_pick(mols: DataFrame, n: int, seed: int = 0, nbits: int = 2048) -> DataFrame:
     """(pick, mol_id) of molecules (mol_id, fp): the first is number seed modulo count; each next one has the largest distance to
-    its nearest pick, the smallest mol_id at ties. A pick is one pass over the distinct fingerprints, of which the smallest mol_id stands
-    for all while their distance is above 0; then the smallest of the molecules that are left follow. Only picks reach the driver."""
+    its nearest pick, the smallest mol_id at ties.
+
+    A pass over the distinct fingerprints, of which the smallest mol_id stands for all while their distance is above 0, brings all distances up to date. The POOL
+    farthest go to the driver, and picks are drawn from them as long as the best one's distance, brought up to date within the pool, is above that
+    of all others: their distances can only have fallen since the pass. When no distance is above 0, the smallest of the molecules that are left follow."""
     spark = mols.sparkSession
     total = mols.count()
     n = min(n, total)
+    kind = f"pick int, mol_id {mols.schema['mol_id'].dataType.simpleString()}"
     if not n:
-        return spark.createDataFrame([], "pick int, mol_id long")
+        return spark.createDataFrame([], kind)
     from .split import numbered
 
+    words = lambda fp: np.array(fp, np.int64).view(np.uint64)
     first = numbered(mols.select("mol_id", "fp"), "mol_id").where(F.col("pos") == seed % total).select("mol_id", "fp").first()
-    state = stored(mols.groupBy("fp").agg(F.min("mol_id").alias("mol_id")).select("mol_id", "fp", popcount("fp").alias("n"), F.lit(2.0).alias("d")), "picks")
-    picks = [first["mol_id"]]
-    last = first
+    state = mols.groupBy("fp").agg(F.min("mol_id").alias("mol_id")).select("mol_id", "fp", F.lit(2.0).alias("d"))
+    picks, new = [first["mol_id"]], [words(first["fp"])]
     while len(picks) < n:
-        fp = F.array(*[F.lit(w).cast("long") for w in last["fp"]])
-        sim = tanimoto(shared(F.col("fp"), fp), F.col("n"), F.lit(sum(bin(w & (1 << 64) - 1).count("1") for w in last["fp"])))
-        state = state.withColumn("d", F.when(F.col("fp") == fp, F.lit(0.0)).otherwise(F.least("d", 1 - sim)))
-        if len(picks) % 8 == 0:
-            state = stored(state, "picks")
-        last = state.orderBy(F.desc("d"), "mol_id").select("mol_id", "fp", "d").first()
-        if not last["d"]:
-            rest = mols.where(~F.col("mol_id").isin(picks)).orderBy("mol_id").limit(n - len(picks)).select("mol_id").collect()
-            picks += [r["mol_id"] for r in rest]
+        state = stored(nearer(state, np.array(new)), "picks")
+        pool = state.orderBy(F.desc("d"), "mol_id").limit(POOL + 1).collect()
+        beyond = pool.pop()["d"] if len(pool) > POOL else -1.0
+        ids, bits, d = [r["mol_id"] for r in pool], np.array([words(r["fp"]) for r in pool]), np.array([r["d"] for r in pool])
+        new = []
+        while len(picks) < n:
+            best = min(np.flatnonzero(d == d.max()), key=ids.__getitem__)
+            if d[best] == 0 or new and d[best] <= beyond:
+                break
+            picks.append(ids[best])
+            new.append(bits[best])
+            d = np.minimum(d, _distance(bits, bits[best]))
+        if not new:  # all distances are 0
+            taken = spark.createDataFrame([(x,) for x in picks], f"mol_id {mols.schema['mol_id'].dataType.simpleString()}")
+            picks += [r["mol_id"] for r in mols.join(taken, "mol_id", "left_anti").orderBy("mol_id").limit(n - len(picks)).select("mol_id").collect()]
             break
-        picks.append(last["mol_id"])
-    return spark.createDataFrame(list(enumerate(picks)), "pick int, mol_id long")
+    return spark.createDataFrame(list(enumerate(picks)), kind)

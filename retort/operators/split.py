@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import scaffold
-from ..tables import shared_folder
+from ..tables import shared_folder, stored
 
 
 def with_scaffold(df: DataFrame, smiles: str = "smiles", generic: bool = False) -> DataFrame:
@@ -77,20 +77,17 @@ def kfold(df: DataFrame, k: int = 5, seed: int = 42, order: str = "mol_id") -> D
 
 
 def numbered(df: DataFrame, order: str) -> DataFrame:
-    """df with pos, each row's 0-based place by order: counts of ranges first, then places within each."""
+    """df with pos, each row's 0-based place by order, a column of any type that sorts: range partitions are sorted and stored, and each one's count
+    is added to the places within the next ones."""
     spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = sorted(set(df.select(F.col(order).cast("double").alias("k")).approxQuantile("k", [i / n for i in range(1, n)], 1 / (4 * n)))) if n > 1 else []
-    cut = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<double>")
-    own = df.withColumn("__range", F.size(F.filter(cut, lambda c: c < F.col(order).cast("double"))))
-    counts = {r["__range"]: r["count"] for r in own.groupBy("__range").count().collect()}  # a row for each range
+    own = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), order).sortWithinPartitions(order)
+    own = stored(own.withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}), "numbered")
     before, rows = 0, []
-    for r in sorted(counts):
-        rows.append((r, before))
-        before += counts[r]
-    starts = spark.createDataFrame(rows or [(0, 0)], "__range int, __before long")
-    w = Window.partitionBy("__range").orderBy(order)
-    return own.join(F.broadcast(starts), "__range").withColumn("pos", F.col("__before") + F.row_number().over(w) - 1).drop("__range", "__before")
+    for r in own.groupBy("__part").count().orderBy("__part").collect():  # a row for each partition
+        rows.append((r["__part"], before))
+        before += r["count"]
+    starts = spark.createDataFrame(rows or [(0, 0)], "__part int, __before long")
+    return own.join(F.broadcast(starts), "__part").withColumn("pos", F.col("__before") + F.col("__at")).drop("__part", "__at", "__before")
 
 
 def scaffold_kfold(df: DataFrame, k: int = 5, seed: int = 42, key: str = "scaffold", order: str = "mol_id") -> DataFrame:

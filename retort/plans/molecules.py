@@ -9,23 +9,15 @@ from pyspark.sql import functions as F
 
 from ..fixtures import POOL, distinct_library, forms, library, pool, table
 from ..functions import columns
-from ..operators import cluster, descriptors, frames, graph, graphnet, metrics, mmp, reactions, retrieval, similarity, similarity_index, split
+from ..operators import cluster, descriptors, frames, graph, graphnet, metrics, mmp, pooling, reactions, retrieval, similarity, similarity_index, split
 from ..sources import readers, writers
-from ..streaming import usage
+from ..streaming import totals, usage
 from ..tables import shared_folder, stored
 
 QUERY_IDS = [1, 10, 30]  # benzene, aspirin, benzoic acid
 ACID = 30
-FASTA = ">sp|P1|ONE first\nACDEF\nGHIKL\n; a comment\n>two\nmnpq\n>\nACD\n>bad\nAXB\n>three\n  WYV \n"
-CHEMBL = [
-    '{"molecule_chembl_id": "CHEMBL25", "pref_name": "ASPIRIN", "molecule_structures": {"canonical_smiles": "CC(=O)Oc1ccccc1C(=O)O"}, "molecule_properties": {"full_mwt": "180.16", "alogp": "1.31", "hba": "3", "hbd": "1", "psa": "63.60", "num_ro5_violations": "0"}}',
-    '{"molecule_chembl_id": "CHEMBL0", "pref_name": null, "molecule_structures": null, "molecule_properties": null}',
-    '{"molecule_chembl_id": "CHEMBL545", "pref_name": "ALCOHOL", "molecule_structures": {"canonical_smiles": "CCO"}, "molecule_properties": {"full_mwt": "46.07", "alogp": null}}',
-]
 # Literal scaffolds of the pool, for splits that do not depend on a scaffold definition.
 SCAFFOLDS = [f"s{(i * i + 3 * i) % 11}" for i in range(len(POOL))]
-# Cores and variables of a small series.
-SERIES = [("m1", "c1", "F"), ("m2", "c1", "Cl"), ("m3", "c1", "Br"), ("m4", "c2", "F"), ("m5", "c2", "F"), ("m6", "c2", "N"), ("m7", "c3", "O")]
 QUESTIONS = ["What is the logP of aspirin?", "molecular weight of Caffeine", "Tell me about ethanol structure and tpsa", "anything else"]
 
 
@@ -206,7 +198,8 @@ def maxmin_pick(spark, sf_dir):
 
 
 def mmp_pairs(spark, sf_dir):
-    frags = spark.createDataFrame([(*r, None) for r in SERIES], "mol string, core string, variable string, environment string")
+    """Parts as fragments: brand and size stand for the core, the type for what is exchanged."""
+    frags = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("mol"), F.concat_ws("|", "p_brand", "p_size").alias("core"), F.col("p_type").alias("variable"), F.lit(None).cast("string").alias("environment"))
     return mmp.pairs(frags).drop("environment")
 
 
@@ -229,35 +222,70 @@ def skill_stats(spark, sf_dir):
     return out.select("skill", "calls", "successes", "failures", "total_ms", "items", F.round("success_rate", 6).alias("success_rate"), F.round("avg_ms", 4).alias("avg_ms"), F.round("throughput", 6).alias("throughput"))
 
 
+def running_totals(spark, sf_dir):
+    """The table events as a stream through keyed state: totals by skill."""
+    own = totals.session(spark)
+    folder = f"{shared_folder(spark)}/running-{uuid.uuid4().hex}"
+    stream = totals.running_totals(totals.from_events(usage.event_stream(own, sf_dir, "events.parquet")), shards=2)
+    totals.drained(totals.start(stream, f"{folder}/totals", f"{folder}/checkpoint"))
+    return totals.merged(spark, f"{folder}/totals").drop("idle")
+
+
 def rag_relevance(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     q = spark.createDataFrame([(i, x) for i, x in enumerate(QUESTIONS)], "question long, query string")
     return docs.join(F.broadcast(q)).select("doc_id", "question", retrieval.relevance(F.col("query"), F.col("text")).alias("score"))
 
 
+def asked(spark, sf_dir, questions=QUESTIONS):
+    """(conv_id, turn, question, query): one of the questions for each turn of the conversations."""
+    q = spark.createDataFrame(list(enumerate(questions)), "question long, asked string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn").withColumn("question", F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(questions))))
+    return turns.join(F.broadcast(q), "question").select("conv_id", "turn", "question", F.concat("conv_id", F.lit("/"), "turn", F.lit(": "), "asked").alias("query"))  # a few questions
+
+
 def rag_rewrite(spark, sf_dir):
-    q = spark.createDataFrame([(i, x) for i, x in enumerate(QUESTIONS)], "question long, query string")
-    return q.select("question", retrieval.rewrite(F.col("query")).alias("rewritten"), F.array_join(retrieval.extracted(F.col("query")), "|").alias("extracted"))
+    q = asked(spark, sf_dir)
+    return q.select("conv_id", "turn", retrieval.rewrite(F.col("query")).alias("rewritten"), F.array_join(retrieval.extracted(F.col("query")), "|").alias("extracted"))
 
 
 def rag_answer(spark, sf_dir):
-    q = spark.createDataFrame([(x,) for x in QUESTIONS], "query string")
-    chunks = spark.createDataFrame([(QUESTIONS[0], "pubchem", "XLogP=3.5 LogP logp", 0), (QUESTIONS[0], "local", "SMILES: CCO, MW=46.07", 1), (QUESTIONS[2], "local", "no numbers", 0)], "query string, source string, content string, pos int")
-    out = retrieval.answer(q, chunks)
+    q = asked(spark, sf_dir)
+    chunks = spark.createDataFrame([(0, "pubchem", "XLogP=3.5 LogP logp", 0), (0, "local", "SMILES: CCO, MW=46.07", 1), (2, "local", "no numbers", 0)], "question long, source string, content string, pos int")
+    out = retrieval.answer(q.select("query"), q.join(F.broadcast(chunks), "question").select("query", "source", "content", "pos"))
     return out.select("query", "answer", F.array_join("sources", ",").alias("sources"), F.col("relevant").cast("int").alias("relevant"), "score", F.col("iterations").cast("int").alias("iterations"))
 
 
+def proteins(spark, sf_dir):
+    """A FASTA file of the parts: their names' letters as sequences in two lines with a comment between; every other part's without the letters that stand for no residue."""
+    name = F.upper(F.regexp_replace("p_name", "[^A-Za-z]", ""))
+    sequence = F.when(F.col("p_partkey") % 2 == 0, F.translate(name, "BJOUXZ", "ADEFGH")).otherwise(name)
+    half = (F.length("s") / 2).cast("int")
+    own = table(spark, sf_dir, "part").select("p_partkey", "p_brand", sequence.alias("s"))
+    text = F.concat(F.lit(">part|"), "p_partkey", F.lit("|"), "p_brand", F.lit("\n"), F.substr("s", F.lit(1), half), F.lit("\n; half\n"), F.lower(F.substr("s", half + 1)))
+    path = f"{shared_folder(spark)}/proteins-{uuid.uuid4().hex}"
+    own.select(text.alias("value")).write.text(path)
+    return readers.fasta(spark, path)
+
+
 def fasta_parse(spark, sf_dir):
-    return readers.fasta_string(spark, FASTA)
+    return proteins(spark, sf_dir)
 
 
 def residue_composition(spark, sf_dir):
-    own = graph.residue_graph(readers.fasta_string(spark, FASTA))
-    return own.select("name", F.explode(F.filter(F.split("sequence", ""), lambda c: c != "")).alias("residue"), F.size(F.col("edge_index")[0]).alias("e")).groupBy("name", "residue").agg(F.count(F.lit(1)).alias("n"), F.first("e").cast("long").alias("n_edges"))
+    """Of each sequence's graph: residues by kind, from the one-hot rows, and edges."""
+    own = graph.residue_graph(proteins(spark, sf_dir))
+    kinds = F.transform("x", lambda row: F.element_at(F.array(*[F.lit(r) for r in graph.RESIDUES]), F.array_position(row, F.lit(1.0).cast("float")).cast("int")))
+    return own.select("name", F.explode(kinds).alias("residue"), F.size(F.col("edge_index")[0]).alias("e")).groupBy("name", "residue").agg(F.count(F.lit(1)).alias("n"), F.first("e").cast("long").alias("n_edges"))
 
 
 def chembl_parse(spark, sf_dir):
-    return readers.chembl_records(spark.createDataFrame([(x,) for x in CHEMBL], "json string"))
+    """A record's JSON for each part, with parts of it missing."""
+    key, own = F.col("mol_id"), library(spark, sf_dir)
+    present = lambda k, c: F.when(key % k != 0, c)
+    properties = F.struct(((key % 700) + 0.25).cast("string").alias("full_mwt"), present(4, (key % 9 - 0.5).cast("string")).alias("alogp"), (key % 11).cast("string").alias("hba"), (key % 6).cast("string").alias("hbd"), (key % 130 + 0.5).cast("string").alias("psa"), (key % 3).cast("string").alias("num_ro5_violations"))
+    record = F.struct(F.concat(F.lit("CHEMBL"), key).alias("molecule_chembl_id"), present(3, F.concat(F.lit("NAME "), key)).alias("pref_name"), present(5, F.struct(F.col("smiles").alias("canonical_smiles"))).alias("molecule_structures"), present(7, properties).alias("molecule_properties"))
+    return readers.chembl_records(own.select(F.to_json(record, {"ignoreNullFields": "false"}).alias("json")))
 
 
 def parquet_roundtrip(spark, sf_dir):
@@ -271,7 +299,8 @@ def parquet_roundtrip(spark, sf_dir):
 def record_layout(spark, sf_dir):
     own = descriptors.builtin(parsed(spark, sf_dir)).withColumn("fp", columns.fingerprint("smiles"))
     out = writers.record_columns(own)
-    return out.groupBy("smiles").agg(F.count(F.lit(1)).alias("n"), F.first("n_atoms").cast("long").alias("n_atoms"), F.first("n_bonds").cast("long").alias("n_bonds"), F.first(F.length("fingerprint")).cast("long").alias("n_bytes"))
+    bits = F.aggregate(F.transform(F.split(F.translate(F.hex("fingerprint"), "0123456789ABCDEF", "0112122312232334"), "(?<=.)"), lambda d: d.try_cast("int")), F.lit(0), lambda a, d: a + F.coalesce(d, F.lit(0)))
+    return out.groupBy("smiles").agg(F.count(F.lit(1)).alias("n"), F.first("n_atoms").cast("long").alias("n_atoms"), F.first("n_bonds").cast("long").alias("n_bonds"), F.first(F.length("fingerprint")).cast("long").alias("n_bytes"), F.first(bits).cast("long").alias("n_bits"))
 
 
 def events_tumbling(spark, sf_dir):
@@ -337,7 +366,10 @@ def sdf_roundtrip(spark, sf_dir):
     text = writers.sdf_text(library(spark, sf_dir).select("smiles", "mol_id"), ["mol_id"])
     back = readers.sdf_records(text.select(F.col("value").alias("record"))).select(F.col("smiles").alias("back"), F.col("props")["mol_id"].cast("long").alias("mol_id"))
     own = library(spark, sf_dir).select("mol_id", columns.canonical("smiles").alias("canonical"))
-    return back.join(own, "mol_id").select("mol_id", (F.col("back") == F.col("canonical")).cast("int").alias("same"))
+    read = columns.parse("back", "full")
+    both = back.join(own, "mol_id").select("mol_id", (F.col("back") == F.col("canonical")).cast("int").alias("same"), read.alias("p"))
+    hydrogens = F.aggregate("p.num_hs", F.lit(0), lambda a, h: a + h)
+    return both.select("mol_id", "same", F.size("p.z").cast("long").alias("n_atoms"), F.size("p.src").cast("long").alias("n_bonds"), hydrogens.cast("long").alias("n_hydrogens"))
 
 
 def canonical_classes(spark, sf_dir):
@@ -368,6 +400,18 @@ def conformer_bonds(spark, sf_dir):
     return own.select("mol_id", F.size("xyz").cast("long").alias("n_atoms"), F.size(F.expr(f"filter({bonds}, x -> {fits})")).cast("long").alias("n_bonds"), F.expr(close).cast("long").alias("n_close"))
 
 
+# Letters that words are counted by.
+LETTERS = "etaoinshrdlu"
+
+
+def token_pooling(spark, sf_dir):
+    """Words of conversations as vectors of letter counts, pooled for each conversation; words before a full stop are masked."""
+    words = table(spark, sf_dir, "conversations").select("conv_id", F.explode(F.split(F.coalesce("text", F.lit("")), " ")).alias("w"))
+    tokens = words.select("conv_id", F.array(*[(F.length("w") - F.length(F.translate("w", c, ""))).cast("double") for c in LETTERS]).alias("vector"), (~F.col("w").endswith(".")).cast("int").alias("mask"))
+    out = pooling.masked_mean(tokens, len(LETTERS), "conv_id")
+    return out.select("conv_id", F.col("n").alias("n_tokens"), *[F.round(F.get("mean", F.lit(i)), 9).alias(f"mean_{c}") for i, c in enumerate(LETTERS)])
+
+
 def graph_regression(spark, sf_dir):
     """A small network trained on the distinct molecules' labels: predictions with their spread over dropout draws, and the atom that counts most."""
     own = distinct_library(spark, sf_dir).select("mol_id", "smiles", (F.col("label") / 1000).alias("y"))
@@ -446,7 +490,7 @@ def positional_rows(spark, sf_dir):
 
 
 def rag_routed(spark, sf_dir):
-    q = spark.createDataFrame([(x,) for x in (*QUESTIONS, "logp of unknownium")], "query string")
+    q = asked(spark, sf_dir, (*QUESTIONS, "logp of unknownium")).select("query")
     structures = spark.createDataFrame([("CC(=O)Oc1ccccc1C(=O)O", "C9H8O4", "180.16", 1.2, 63.6), ("CCO", "C2H6O", "46.07", -0.1, None)], "smiles string, formula string, mw string, xlogp double, tpsa double")
     names = spark.createDataFrame([("Unknownium", "[U]", "238.03", None)], "word string, smiles string, mw string, xlogp double")
     local = spark.createDataFrame([("CCO", "SMILES: CCO, MW=46.07, LogP=-0.00, TPSA=20.2")], "smiles string, content string")
@@ -457,9 +501,9 @@ def rag_routed(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     mol_scan, builtin_descriptors, atom_table, bond_table, atom_passes, node_features, edge_index, hetero_nodes, hetero_edges, ecfp_bits, ecfp_popcount, tanimoto_pairs, similarity_topk,
     screen_threshold, screen_counts, screen_best, tanimoto_embeddings, tanimoto_join, ro5_filter, rule_flags, pic50, scaffold_groups, scaffold_split, kfold_sizes, kfold, scaffold_kfold, duplicate_occurrence,
-    substructure_acids, substructure_inverted, butina_neighbours, butina_clusters, maxmin_pick, mmp_pairs, regression_metrics, uncertainty_stats, skill_stats, rag_relevance, rag_rewrite, rag_answer, fasta_parse,
+    substructure_acids, substructure_inverted, butina_neighbours, butina_clusters, maxmin_pick, mmp_pairs, regression_metrics, uncertainty_stats, skill_stats, running_totals, rag_relevance, rag_rewrite, rag_answer, fasta_parse,
     residue_composition, chembl_parse, parquet_roundtrip, record_layout, events_tumbling, label_rates, canonical_smiles, murcko_scaffolds, named_descriptors, admet_screen, other_fingerprints,
-    mmpa, mmpa_double, reaction_products, rgroup_table, common_substructure, sdf_roundtrip, canonical_classes, drawn_forms, conformer_bonds, graph_regression, formula_descriptors, graph_descriptors, substructure_atoms, multitask_metrics, smiles_file_roundtrip,
+    mmpa, mmpa_double, reaction_products, rgroup_table, common_substructure, sdf_roundtrip, canonical_classes, drawn_forms, conformer_bonds, graph_regression, token_pooling, formula_descriptors, graph_descriptors, substructure_atoms, multitask_metrics, smiles_file_roundtrip,
     activity_records, record_lookup, shape_descriptors, fingerprint_columns, positional_rows, rag_routed,
 )}
 

@@ -8,7 +8,7 @@ from ..fixtures import FORMS, POOL, pool_sql
 from ..functions.elements import LOGP_CENTI, MASS_MILLI, MASS_MILLI_GRAPH, NUMBERS, VALENCE
 from ..operators.graph import LABELS
 from ..operators.retrieval import PROPERTIES, SYNONYMS
-from .molecules import QUERY_IDS, QUESTIONS, SCAFFOLDS, SERIES
+from .molecules import LETTERS, QUERY_IDS, QUESTIONS, SCAFFOLDS
 
 
 def _values(rows) -> str:
@@ -113,6 +113,10 @@ _N_ASKED = " + ".join(f"{_asked('query', w)}::INTEGER" for w in PROPERTIES.value
 _N_MET = " + ".join(f"({_asked('query', w)} AND {_asked('text', w)})::INTEGER" for w in PROPERTIES.values())
 
 
+def _turns(questions) -> str:
+    return f"asked(question, asked) AS {_values(enumerate(questions))}, turns AS (SELECT conv_id, turn, question, conv_id || '/' || turn || ': ' || asked AS query FROM conversations JOIN asked ON (conv_id + turn) % {len(questions)} = question)"
+
+
 def _rewritten() -> str:
     out = "query"
     for k, v in SYNONYMS.items():
@@ -156,6 +160,9 @@ _ACIDS = {2: "1,2,3", 10: "10,11,12", 13: "1,2,0", 14: "12,13,14", 16: "1,0,2",
 # Methyl esters of the pool's acids, by hand.
 _ESTERS = ["C(C(C)N)(=O)OC", "C(C(C)c1ccc(CC(C)C)cc1)(=O)OC", "C(C)(=O)OC", "C(C)(=O)Oc1c(C(=O)OC)cccc1", "C([C@@H](C)N)(=O)OC", "C(c1c(cccc1)O)(=O)OC", "C(c1ccc(cc1)N)(=O)OC", "C(c1ccccc1)(=O)OC"]
 
+_PROTEINS = """names AS (SELECT p_partkey, p_brand, upper(regexp_replace(p_name, '[^A-Za-z]', '', 'g')) AS s FROM part),
+proteins AS (SELECT 'part|' || p_partkey || '|' || p_brand AS name, sequence FROM (SELECT *, CASE WHEN p_partkey % 2 = 0 THEN translate(s, 'BJOUXZ', 'ADEFGH') ELSE s END AS sequence FROM names) WHERE regexp_full_match(sequence, '[ACDEFGHIKLMNPQRSTVWY]+'))"""
+
 ORACLES = {
     "kfold": _with(_LIBRARY, f"shuffles(n, places) AS (VALUES {', '.join(f'({n}, {_shuffled(n)})' for n in (200, 2000))})", "dealt AS (SELECT unnest(places) AS pos, generate_subscripts(places, 1) - 1 AS i FROM shuffles WHERE n = (SELECT count(*) FROM part))", "placed AS (SELECT mol_id, row_number() OVER (ORDER BY mol_id) - 1 AS pos FROM library)")
     + "SELECT mol_id, pos, (i % 5)::INTEGER AS fold FROM placed JOIN dealt USING (pos)",
@@ -183,10 +190,13 @@ ORACLES = {
     # a dot's bond of the compat reading is none
     "conformer_bonds": _with(_LIBRARY, _WALK, "n(pool_id, a, b) AS (SELECT p.pool_id, (SELECT count(*) FROM atoms x WHERE x.pool_id = p.pool_id), (SELECT count(*) FROM bonds x WHERE x.pool_id = p.pool_id) - len(regexp_extract_all(smiles, '\\.')) FROM pool p)")
     + "SELECT mol_id, a AS n_atoms, b::BIGINT AS n_bonds, 0::BIGINT AS n_close FROM library JOIN n USING (pool_id) WHERE a > 0",
+    "token_pooling": "WITH w AS (SELECT conv_id, unnest(string_split(coalesce(text, ''), ' ')) AS w FROM conversations), k AS (SELECT conv_id, CASE WHEN w NOT LIKE '%.' THEN w END AS w FROM w) SELECT conv_id, count(w) AS n_tokens, " + ", ".join(f"round(avg(length(w) - length(replace(w, '{c}', ''))), 9) AS mean_{c}" for c in LETTERS) + " FROM k GROUP BY 1",
     "drawn_forms": f"""WITH forms(form_id, compound, substance) AS {_values((i, c.replace("'", "''"), t.replace("'", "''")) for i, (_, c, t) in enumerate(FORMS))},
 own AS (SELECT p_partkey AS mol_id, form_id, compound, substance FROM part JOIN forms ON p_partkey % {len(FORMS)} = form_id)
 SELECT mol_id, form_id::BIGINT AS form_id, min(mol_id) OVER (PARTITION BY compound) AS canonical_first, count(*) OVER (PARTITION BY compound) AS canonical_n, min(mol_id) OVER (PARTITION BY substance) AS standard_first, count(*) OVER (PARTITION BY substance) AS standard_n FROM own""",
-    "sdf_roundtrip": _with(_LIBRARY) + "SELECT mol_id, 1 AS same FROM library WHERE smiles <> 'INVALID_SMILES'",
+    "sdf_roundtrip": _with(_LIBRARY, _WALK, f"formulas(pool_id, formula, hs, rings) AS {_values((i, *x) for i, x in enumerate(_FORMULAS))}",
+        "n(pool_id, a, b) AS (SELECT p.pool_id, (SELECT count(*) FROM atoms x WHERE x.pool_id = p.pool_id), (SELECT count(*) FROM bonds x WHERE x.pool_id = p.pool_id) - len(regexp_extract_all(smiles, '\\.')) FROM pool p)")
+    + "SELECT mol_id, 1 AS same, a AS n_atoms, b::BIGINT AS n_bonds, coalesce(nullif(regexp_extract(formula, 'H([0-9]*)', 1), '')::BIGINT, 1) AS n_hydrogens FROM library JOIN n USING (pool_id) JOIN formulas USING (pool_id)",
     "multitask_metrics": """WITH d AS (SELECT p_size::DOUBLE AS y0, (p_partkey % 11)::DOUBLE AS y1, (p_partkey % 50)::DOUBLE AS p0, (p_partkey % 13)::DOUBLE AS p1 FROM part WHERE p_partkey % 9 <> 0), m AS (SELECT *, avg(y0) OVER () AS m0, avg(y1) OVER () AS m1 FROM d)
 SELECT round(1 - sum((y0 - p0) ** 2 + (y1 - p1) ** 2) / sum((y0 - m0) ** 2 + (y1 - m1) ** 2), 6) AS r2, round(sum(abs(y0 - p0) + abs(y1 - p1)) / (2 * count(*)), 6) AS mae, round(sqrt(sum((y0 - p0) ** 2 + (y1 - p1) ** 2) / (2 * count(*))), 6) AS rmse, count(*) AS n FROM m""",
     "smiles_file_roundtrip": _with(_LIBRARY) + "SELECT smiles, count(*) AS n FROM library GROUP BY 1",
@@ -200,14 +210,16 @@ SELECT k AS l_orderkey, round(sqrt(sum(m * ((x - cx) ** 2 + (y - cy) ** 2 + (z -
     "fingerprint_columns": _with(_LIBRARY, _GRAPH, _IDS) + "SELECT mol_id, " + ", ".join(f"coalesce(max((bit % 64 = {i})::INTEGER), 0)::INTEGER AS fp_{i}" for i in range(64)) + " FROM library LEFT JOIN bits USING (pool_id) GROUP BY 1",
     "positional_rows": "SELECT w.k::BIGINT AS \"at\", p_partkey AS mol_id FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS r, count(*) OVER () AS n FROM part) JOIN (VALUES (0, 0), (1, 1), (2, 0), (3, -1)) w(k, place) ON r = CASE WHEN place > 0 THEN place ELSE n + place END",
     # by hand: named molecules by structure and locally, an unknown name by name, and two questions without any source
-    "rag_routed": f"""SELECT * FROM (VALUES
-('{QUESTIONS[0]}', 'Based on 1 source(s):' || chr(10) || '  [PUBCHEM] PubChem properties for SMILES=CC(=O)Oc1ccccc1C(=O)O: Formula=C9H8O4, MW=180.16, XLogP=1.2, TPSA=63.6', 'pubchem', 1, 10.0::DOUBLE, 1, 1),
-('{QUESTIONS[1]}', 'Could not find sufficient information for: {QUESTIONS[1]}', '', 0, 0.0::DOUBLE, 5, 0),
-('{QUESTIONS[2]}', 'Based on 2 source(s):' || chr(10) || '  [LOCAL] SMILES: CCO, MW=46.07, LogP=-0.00, TPSA=20.2' || chr(10) || '  [PUBCHEM] PubChem properties for SMILES=CCO: Formula=C2H6O, MW=46.07, XLogP=-0.1, TPSA=?', 'local,pubchem', 1, 10.0::DOUBLE, 1, 2),
-('{QUESTIONS[3]}', 'Could not find sufficient information for: {QUESTIONS[3]}', '', 0, 0.0::DOUBLE, 5, 0),
-('logp of unknownium', 'Based on 1 source(s):' || chr(10) || '  [PUBCHEM_NAME] PubChem: ''unknownium'' \u2192 SMILES=[U], MW=238.03, XLogP=?', 'pubchem_name', 1, 10.0::DOUBLE, 1, 1)) t(query, answer, sources, relevant, score, iterations, n_chunks)""",
-    "rag_answer": f"""SELECT * FROM (VALUES ('{QUESTIONS[0]}', 'Based on 2 source(s):' || chr(10) || '  [PUBCHEM] XLogP=3.5 LogP logp' || chr(10) || '  [LOCAL] SMILES: CCO, MW=46.07', 'pubchem,local', 1, 10.0::DOUBLE, 1),
-('{QUESTIONS[1]}', 'No information found for: {QUESTIONS[1]}', '', 0, 0.0::DOUBLE, 5), ('{QUESTIONS[2]}', 'Based on 1 source(s):' || chr(10) || '  [LOCAL] no numbers', 'local', 0, 0.0::DOUBLE, 5), ('{QUESTIONS[3]}', 'No information found for: {QUESTIONS[3]}', '', 0, 0.0::DOUBLE, 5)) t(query, answer, sources, relevant, score, iterations)""",
+    "rag_routed": f"""WITH {_turns((*QUESTIONS, 'logp of unknownium'))}, a(question, answer, sources, relevant, score, iterations, n_chunks) AS (VALUES
+(0, 'Based on 1 source(s):' || chr(10) || '  [PUBCHEM] PubChem properties for SMILES=CC(=O)Oc1ccccc1C(=O)O: Formula=C9H8O4, MW=180.16, XLogP=1.2, TPSA=63.6', 'pubchem', 1, 10.0::DOUBLE, 1, 1),
+(1, NULL, '', 0, 0.0::DOUBLE, 5, 0),
+(2, 'Based on 2 source(s):' || chr(10) || '  [LOCAL] SMILES: CCO, MW=46.07, LogP=-0.00, TPSA=20.2' || chr(10) || '  [PUBCHEM] PubChem properties for SMILES=CCO: Formula=C2H6O, MW=46.07, XLogP=-0.1, TPSA=?', 'local,pubchem', 1, 10.0::DOUBLE, 1, 2),
+(3, NULL, '', 0, 0.0::DOUBLE, 5, 0),
+(4, 'Based on 1 source(s):' || chr(10) || '  [PUBCHEM_NAME] PubChem: ''unknownium'' \u2192 SMILES=[U], MW=238.03, XLogP=?', 'pubchem_name', 1, 10.0::DOUBLE, 1, 1))
+SELECT query, coalesce(answer, 'Could not find sufficient information for: ' || query) AS answer, sources, relevant, score, iterations, n_chunks FROM turns JOIN a USING (question)""",
+    "rag_answer": f"""WITH {_turns(QUESTIONS)}, a(question, answer, sources, relevant, score, iterations) AS (VALUES (0, 'Based on 2 source(s):' || chr(10) || '  [PUBCHEM] XLogP=3.5 LogP logp' || chr(10) || '  [LOCAL] SMILES: CCO, MW=46.07', 'pubchem,local', 1, 10.0::DOUBLE, 1),
+(1, NULL, '', 0, 0.0::DOUBLE, 5), (2, 'Based on 1 source(s):' || chr(10) || '  [LOCAL] no numbers', 'local', 0, 0.0::DOUBLE, 5), (3, NULL, '', 0, 0.0::DOUBLE, 5))
+SELECT query, coalesce(answer, 'No information found for: ' || query) AS answer, sources, relevant, score, iterations FROM turns JOIN a USING (question)""",
     "mol_scan": _with(_LIBRARY) + "SELECT mol_id, smiles, length(smiles) AS n_chars FROM library",
     "builtin_descriptors": _with(_LIBRARY, _GRAPH, f"mass(z, w) AS {_MASS}, inc(z, c) AS {_LOGP}", "sums AS (SELECT pool_id, sum(coalesce(w, a.z * 2000)) AS mw, sum(coalesce(c, 0)) AS lp, count(*) AS n FROM atoms a LEFT JOIN mass ON mass.z = a.z LEFT JOIN inc ON inc.z = a.z GROUP BY 1)")
     + "SELECT mol_id, coalesce(mw, 0)::DOUBLE / 1000.0::DOUBLE AS mw, coalesce(lp, 0)::DOUBLE / 100.0::DOUBLE AS logp, coalesce(n, 0)::INTEGER AS heavy_atoms FROM library LEFT JOIN sums USING (pool_id)",
@@ -257,20 +269,24 @@ SELECT k AS mol_id, (mw <= 500 AND logp <= 5 AND hbd <= 5 AND hba <= 10)::INTEGE
     "maxmin_pick": _with(_LIBRARY, _GRAPH, _IDS, _PAIRS, "valid AS (SELECT mol_id, pool_id, row_number() OVER (ORDER BY mol_id) - 1 AS pos FROM library JOIN (SELECT pool_id FROM mols) m USING (pool_id))",
         "picks AS (SELECT 0 AS pick, [mol_id] AS own, [pool_id] AS pools FROM valid WHERE pos = 42 % (SELECT count(*) FROM valid) UNION ALL SELECT pick + 1, list_append(own, n.mol_id), list_append(pools, n.pool_id) FROM picks, LATERAL (SELECT v.mol_id, v.pool_id FROM valid v JOIN sims s ON s.pool_id = v.pool_id AND list_contains(pools, s.query_id) WHERE NOT list_contains(own, v.mol_id) GROUP BY v.mol_id, v.pool_id ORDER BY min(1 - s.sim) DESC, v.mol_id LIMIT 1) n WHERE pick < 5)")
     + "SELECT pick::BIGINT AS pick, own[len(own)]::BIGINT AS mol_id FROM picks",
-    "mmp_pairs": f"WITH f(mol, core, variable) AS {_values(SERIES)} SELECT a.mol AS mol_a, b.mol AS mol_b, a.variable AS smiles_a, b.variable AS smiles_b, a.core, a.variable || '>>' || b.variable AS transform FROM f a JOIN f b ON a.core = b.core WHERE a.mol < b.mol AND a.variable <> b.variable",
+    "mmp_pairs": "WITH f AS (SELECT p_partkey::VARCHAR AS mol, p_brand || '|' || p_size AS core, p_type AS variable FROM part) SELECT a.mol AS mol_a, b.mol AS mol_b, a.variable AS smiles_a, b.variable AS smiles_b, a.core, a.variable || '>>' || b.variable AS transform FROM f a JOIN f b ON a.core = b.core WHERE a.mol < b.mol AND a.variable <> b.variable",
     "regression_metrics": """WITH d AS (SELECT p_brand AS brand, p_size::DOUBLE AS y, (p_partkey % 50)::DOUBLE AS p FROM part WHERE p_partkey % 7 <> 0), m AS (SELECT *, avg(y) OVER (PARTITION BY brand) AS mean FROM d)
 SELECT brand, CASE WHEN sum((y - mean) ** 2) > 0 THEN round(1 - sum((y - p) ** 2) / sum((y - mean) ** 2), 6) ELSE 'nan'::DOUBLE END AS r2, round(avg(abs(y - p)), 6) AS mae, round(sqrt(avg((y - p) ** 2)), 6) AS rmse, count(*) AS n FROM m GROUP BY 1""",
     "uncertainty_stats": "SELECT l_partkey AS mol_id, round(avg(l_quantity), 6) AS mean, round(stddev_pop(l_quantity), 6) AS std FROM lineitem GROUP BY 1",
     "skill_stats": """WITH e AS (SELECT event_type AS skill, event_type <> 'error' AS ok, round(value * 1000)::BIGINT AS ms, coalesce(try_cast(json_extract_string(props, '$.k') AS INTEGER), 1) AS items FROM events)
 SELECT skill, count(*) AS calls, count(*) FILTER (WHERE ok) AS successes, count(*) FILTER (WHERE NOT ok) AS failures, sum(ms)::BIGINT AS total_ms, sum(items)::BIGINT AS items, round(count(*) FILTER (WHERE ok)::DOUBLE / count(*), 6) AS success_rate,
   round(sum(ms)::DOUBLE / count(*), 4) AS avg_ms, CASE WHEN sum(ms) > 0 THEN round(sum(items)::DOUBLE / (sum(ms)::DOUBLE / 1000.0::DOUBLE), 6) ELSE 0 END AS throughput FROM e GROUP BY 1""",
+    "running_totals": "SELECT event_type AS skill, count(*) AS calls, count(*) FILTER (WHERE event_type <> 'error') AS successes, sum(round(value * 1000)::BIGINT)::BIGINT AS total_us, sum(coalesce(try_cast(json_extract_string(props, '$.k') AS BIGINT), 1))::BIGINT AS items FROM events GROUP BY 1",
     "rag_relevance": f"WITH {_QUESTIONS}, d AS (SELECT doc_id, question, {_N_ASKED} AS asked, {_N_MET} AS met, text FROM documents, questions) SELECT doc_id, question::BIGINT AS question, CASE WHEN text IS NULL THEN 0.0::DOUBLE ELSE least(10.0::DOUBLE, CASE WHEN asked = 0 THEN 1.0::DOUBLE ELSE met::DOUBLE / asked::DOUBLE END * 8 + CASE WHEN regexp_matches(text, '[0-9]') THEN 2.0::DOUBLE ELSE 0.0::DOUBLE END) END AS score FROM d",
-    "rag_rewrite": f"WITH {_QUESTIONS} SELECT question::BIGINT AS question, {_rewritten()} AS rewritten, array_to_string(list_filter([{', '.join(f'''CASE WHEN contains(lower(query), '{k}') THEN '{v}' END''' for k, v in SYNONYMS.items())}], lambda x: x IS NOT NULL), '|') AS extracted FROM questions",
-    "fasta_parse": "SELECT * FROM (VALUES ('sp|P1|ONE first', 'ACDEFGHIKL'), ('two', 'MNPQ'), ('three', 'WYV')) t(name, sequence)",
-    "residue_composition": "WITH s(name, sequence) AS (VALUES ('sp|P1|ONE first', 'ACDEFGHIKL'), ('two', 'MNPQ'), ('three', 'WYV')) SELECT name, residue, count(*) AS n, any_value(2 * (length(sequence) - 1))::BIGINT AS n_edges FROM (SELECT name, sequence, unnest(string_split(sequence, '')) AS residue FROM s) GROUP BY 1, 2",
-    "chembl_parse": "SELECT * FROM (VALUES ('CHEMBL25', 'CC(=O)Oc1ccccc1C(=O)O', 'ASPIRIN', 180.16::DOUBLE, 1.31::DOUBLE, 3, 1, 63.60::DOUBLE, 0), ('CHEMBL0', '', '', 0::DOUBLE, 0::DOUBLE, 0, 0, 0::DOUBLE, 0), ('CHEMBL545', 'CCO', 'ALCOHOL', 46.07::DOUBLE, 0::DOUBLE, 0, 0, 0::DOUBLE, 0)) t(chembl_id, smiles, name, mw, logp, hba, hbd, tpsa, ro5_violations)",
+    "rag_rewrite": f"WITH {_turns(QUESTIONS)} SELECT conv_id, turn, {_rewritten()} AS rewritten, array_to_string(list_filter([{', '.join(f'''CASE WHEN contains(lower(query), '{k}') THEN '{v}' END''' for k, v in SYNONYMS.items())}], lambda x: x IS NOT NULL), '|') AS extracted FROM turns",
+    "fasta_parse": f"WITH {_PROTEINS} SELECT name, sequence FROM proteins",
+    "residue_composition": f"WITH {_PROTEINS} SELECT name, residue, count(*) AS n, any_value(2 * (length(sequence) - 1))::BIGINT AS n_edges FROM (SELECT name, sequence, unnest(string_split(sequence, '')) AS residue FROM proteins) GROUP BY 1, 2",
+    "chembl_parse": _with(_LIBRARY)
+    + """SELECT 'CHEMBL' || mol_id AS chembl_id, CASE WHEN mol_id % 5 <> 0 THEN smiles ELSE '' END AS smiles, CASE WHEN mol_id % 3 <> 0 THEN 'NAME ' || mol_id ELSE '' END AS name, CASE WHEN p THEN mol_id % 700 + 0.25::DOUBLE ELSE 0 END AS mw,
+CASE WHEN p AND mol_id % 4 <> 0 THEN mol_id % 9 - 0.5::DOUBLE ELSE 0 END AS logp, CASE WHEN p THEN (mol_id % 11)::INTEGER ELSE 0 END AS hba, CASE WHEN p THEN (mol_id % 6)::INTEGER ELSE 0 END AS hbd, CASE WHEN p THEN mol_id % 130 + 0.5::DOUBLE ELSE 0 END AS tpsa, CASE WHEN p THEN (mol_id % 3)::INTEGER ELSE 0 END AS ro5_violations
+FROM (SELECT *, mol_id % 7 <> 0 AS p FROM library)""",
     "parquet_roundtrip": _with(_LIBRARY, _GRAPH, _IDS) + "SELECT mol_id, any_value(smiles) AS smiles, any_value(label) AS label, 1 AS same, count(bit) AS n_bits, 2048::BIGINT AS fp_nbits FROM library LEFT JOIN bits USING (pool_id) GROUP BY 1",
-    "record_layout": _with(_LIBRARY, _GRAPH) + "SELECT smiles, count(*) AS n, coalesce(any_value(len(al)), 0)::BIGINT AS n_atoms, coalesce(any_value(len(bl)), 0)::BIGINT AS n_bonds, 256::BIGINT AS n_bytes FROM library LEFT JOIN mols USING (pool_id) GROUP BY 1",
+    "record_layout": _with(_LIBRARY, _GRAPH, _IDS) + "SELECT smiles, count(*) AS n, coalesce(any_value(len(al)), 0)::BIGINT AS n_atoms, coalesce(any_value(len(bl)), 0)::BIGINT AS n_bonds, 256::BIGINT AS n_bytes, coalesce(any_value(n_bits), 0)::BIGINT AS n_bits FROM library LEFT JOIN mols USING (pool_id) LEFT JOIN (SELECT pool_id, count(*) AS n_bits FROM bits GROUP BY 1) b USING (pool_id) GROUP BY 1",
     "events_tumbling": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS window_start, event_type AS skill, count(*) AS calls, count(*) FILTER (WHERE event_type <> 'error') AS successes, sum(coalesce(try_cast(json_extract_string(props, '$.k') AS INTEGER), 1))::BIGINT AS items FROM events GROUP BY 1, 2",
     "label_rates": "SELECT quality, count(*) AS n, count(*) FILTER (WHERE toxic = 1) AS positives FROM labels GROUP BY 1",
 }

@@ -4,10 +4,20 @@ import pytest
 from pyspark.sql import functions as F
 
 from retort.functions import columns
-from retort.operators import descriptors, frames, mmp, reactions
+from retort.operators import descriptors, frames, mmp, reactions, split
 from retort.sources import readers
 
 
+@pytest.mark.parametrize("kind,ids", [("string", [f"CHEMBL{i}" for i in range(40)]), ("long", [(1 << 60) + i for i in range(40)]), ("string", ["a"] * 5 + [None, "b"]), ("date", [None])])
+def test_places_by_any_column(spark, kind, ids):
+    df = spark.createDataFrame([(x, i) for i, x in enumerate(ids)], f"id string, n long").select(F.col("id").cast(kind).alias("id"), "n").repartition(3) if kind != "long" else spark.createDataFrame([(x, i) for i, x in enumerate(ids)], "id long, n long").repartition(3)
+    got = split.numbered(df, "id").collect()
+    assert sorted(r["pos"] for r in got) == list(range(len(ids)))
+    assert [r["id"] for r in sorted(got, key=lambda r: r["pos"])] == sorted((r["id"] for r in got), key=lambda x: (x is not None, x))
+    if len(ids) == 40:
+        assert sorted(r["fold"] for r in split.kfold(df, 5, order="id").collect()) == sorted(i % 5 for i in range(40))
+
+
 def test_places(spark):
     df = readers.from_list(spark, ["C", "CC", "CCC"], [1.0, 2.0, 3.0])
     assert [frames.take(df, i).first()["smiles"] for i in (0, 2, -1, -3)] == ["C", "CCC", "CCC", "C"]

@@ -19,7 +19,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
-    for t in "part documents embeddings events lineitem labels".split():
+    for t in "part documents embeddings events lineitem labels conversations".split():
         c.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     return c
 

@@ -66,3 +66,36 @@ def test_small_and_large_sides_agree(spark, sides, monkeypatch):
     plain = sorted(map(tuple, cluster.neighbours(library, 0.4, NBITS).collect()))
     monkeypatch.setattr(similarity_index, "FEW_PAIRS", 0)
     assert sorted(map(tuple, cluster.neighbours(library, 0.4, NBITS).collect())) == plain and plain
+
+
+def plain_picks(fps, n, seed):
+    """One after the other, each the farthest from its nearest pick."""
+    ids = sorted(fps)
+    bits = {i: {64 * k + b for k, w in enumerate(fps[i]) for b in range(64) if w >> b & 1} for i in ids}
+    gap = lambda a, b: 0.0 if bits[a] == bits[b] else 1 - (len(bits[a] & bits[b]) / len(bits[a] | bits[b]) if bits[a] | bits[b] else 0.0)
+    picks = [ids[seed % len(ids)]]
+    d = {i: gap(i, picks[0]) for i in ids}
+    while len(picks) < min(n, len(ids)):
+        best = min((i for i in ids if i not in picks), key=lambda i: (-d[i], i))
+        picks.append(best)
+        d = {i: min(d[i], gap(i, best)) for i in ids}
+    return picks
+
+
+@pytest.mark.parametrize("pool,most", [(1024, 4), (40, 20)])
+def test_picks_are_drawn_several_at_a_pass(spark, monkeypatch, pool, most):
+    monkeypatch.setattr(cluster, "POOL", pool)
+    passes, nearer = [], cluster.nearer
+    monkeypatch.setattr(cluster, "nearer", lambda *a: passes.append(1) or nearer(*a))
+    fps = dict(enumerate(fingerprints(300, 8)))
+    fps |= {1000: fps[0], 1001: [0] * (NBITS // 64)}
+    df = spark.createDataFrame(list(fps.items()), "mol_id long, fp array<bigint>")
+    got = [r["mol_id"] for r in cluster.diversity_pick(df, 80, 7, NBITS).orderBy("pick").collect()]
+    assert got == plain_picks(fps, 80, 7) and len(passes) <= most
+
+
+def test_picks_beyond_the_distinct_fingerprints(spark):
+    fps = {f"m{i:02}": f for i, f in enumerate([*fingerprints(4, 3), *fingerprints(4, 3)])}
+    df = spark.createDataFrame(list(fps.items()), "mol_id string, fp array<bigint>")
+    for n in (3, 6, 8, 20):
+        assert [r["mol_id"] for r in cluster.diversity_pick(df, n, 1, NBITS).orderBy("pick").collect()] == plain_picks(fps, n, 1)
