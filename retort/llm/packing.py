@@ -113,33 +113,53 @@ class WordTokenizer:
     ASCII capitals are folded first, as the file does, but where a text may hold a special token."""
 
     _TAIL = re.compile(rb"(?<=[a-zA-Z])[.,;:!?|#$%&*()]+\Z")
+    _MARKS = frozenset(b".,;:!?|#$%&*()")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        # words of lately, and those of the time before, which come back when they are met; half of KEPT_WORDS each
+        self.tokenizer, self.known, self.old = Tokenizer.from_file(path), {}, {}
 
     def encode(self, texts_: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit numbers."""
         parts = [(t if b"<|" in t else t.lower()).split() for t in texts_]
         wanted = set().union(*parts)
         new = wanted - self.known.keys()
-        if len(self.known) + len(new) > KEPT_WORDS:
-            self.known, new = {}, wanted
-        if new:
+        if len(self.known) + len(new) > KEPT_WORDS // 2:
+            self.old, self.known, new = self.known, {}, wanted
+        self._remember(new)
+        if new := new - self.known.keys():
             self._learn(new)
-        known = self.known
-        return [b"".join([known[w] for w in p]) for p in parts]
+        known = self.known.__getitem__
+        return [b"".join(map(known, p)) for p in parts]
+
+    def _ids(self, words_: list[bytes]) -> list[bytes]:
+        """The ids of each word. Words go through the file as one text, whose tokens' places say where words end; words that may hold a special token go alone."""
+        plain = [w.decode("utf-8", "replace") for w in words_]
+        if not any("<|" in w for w in plain):
+            e = self.tokenizer.encode(" ".join(plain), add_special_tokens=False)
+            ids, starts = np.array(e.ids, "<u4"), np.cumsum([0] + [len(w) + 1 for w in plain])
+            of = np.searchsorted(starts, np.array([o[0] for o in e.offsets], np.int64), "right") - 1
+            if not (np.diff(of) < 0).any():
+                ends = (4 * np.searchsorted(of, np.arange(len(plain) + 1))).tolist()
+                raw = ids.tobytes()
+                return [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)]
+
+    def _remember(self, words) -> None:
+        for w in words & self.old.keys():
+            self.known[w] = self.old[w]
 
     def _learn(self, new: set[bytes]) -> None:
-        cut = {w: (w[: m.start()], m[0]) for w in new if (m := self._TAIL.search(w))}
+        cut = {w: (w[: m.start()], m[0]) for w in new if w[-1] in self._MARKS and (m := self._TAIL.search(w))}
+        self._remember({x for pair in cut.values() for x in pair})
         own = {w for w in new if w not in cut} | {x for pair in cut.values() for x in pair if x not in self.known}
-        own = sorted(own)
+        own = list(own)
         for at in range(0, len(own), LEARNT_WORDS):
             part = own[at : at + LEARNT_WORDS]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
+            self.known.update(zip(part, self._ids(part), strict=True))
         for w, (a, b) in cut.items():
             self.known[w] = self.known[a] + self.known[b]
 
