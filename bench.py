@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 
 HEADLINE = (
     "ecfp_popcount", "tanimoto_pairs", "similarity_topk", "screen_best", "builtin_descriptors", "node_features", "named_descriptors", "admet_screen", "murcko_scaffolds", "scaffold_split",
-    "canonical_smiles", "substructure_acids", "mmpa", "skill_stats", "tanimoto_embeddings",
+    "canonical_smiles", "substructure_acids", "mmpa", "skill_stats", "tanimoto_embeddings", "tanimoto_join", "drawn_forms", "conformer_bonds",
     "distinct_ecfp", "distinct_topk", "distinct_canonical", "distinct_descriptors", "distinct_scaffolds",
 )
 
