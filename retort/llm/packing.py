@@ -16,24 +16,29 @@ empty table gives an empty result; other columns, whatever their names, are not
 from __future__ import annotations
 
 import os
-import re
 import zlib
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import STEP_BYTES, freed, partitions, small_batches, table, texts
+from .common import SPACE, STEP_BYTES, freed, lower, partitions, pieces, prefix_hashes, small_batches, stretch, table, texts, words
 
 LENGTH, END_ID = 2048, 1
 DIMS, CELL_BITS, SAMPLE = 4, 8, 20_000
-#: Words whose ids a Python worker keeps (about 200 bytes each); then it starts anew. And words that are encoded at once (about 1 KB each meanwhile).
-KEPT_WORDS, LEARNT_WORDS = 300_000, 2048
+#: Parts of words whose ids a Python worker keeps (about 50 bytes each), and how many are encoded at once (about 1 KB each meanwhile).
+KEPT_WORDS, LEARNT_WORDS = 600_000, 2048
+#: Bytes of text whose distinct words are encoded together.
+ENCODED_BYTES = 1 << 20
 _HASHED = 256
 _PROJECTION = np.random.default_rng(11).standard_normal((_HASHED, DIMS)).astype(np.float32)
+_MARK, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
+_MARK[list(b".,;:!?|#$%&*()")] = True
+_LETTER[65:91] = _LETTER[97:123] = True
 
 
 def trigram_histograms(column: pa.Array, cells: int = _HASHED) -> np.ndarray:
@@ -105,38 +110,121 @@ def curve_key(text, doc_id):
     return F.shiftleft(curve_place(text), 30).bitwiseOR(F.pmod(F.xxhash64(doc_id.cast("long")), F.lit(1 << 30)))
 
 
+def word_parts(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The parts of all rows' words and each row's first part: words end at ASCII white space, the punctuation that ends a word after an ASCII letter is a part
+    of its own. A-Z are lower-cased but in rows that hold `<|`."""
+    starts, ends, rows = words(data, offsets)
+    folded = lower(data)
+    for k in np.unique(np.searchsorted(offsets, np.flatnonzero((data[:-1] == 60) & (data[1:] == 124)), "right") - 1):
+        folded[offsets[k] : offsets[k + 1]] = data[offsets[k] : offsets[k + 1]]
+    bounds = np.concatenate([[0], np.cumsum(ends - starts)])
+    at = np.flatnonzero(_MARK[data[ends - 1]])
+    other = np.concatenate([[-1], np.flatnonzero(~_MARK[data])])  # a word's punctuation begins behind its last other byte
+    last = other[np.searchsorted(other, ends[at]) - 1]
+    cut = (last >= starts[at]) & _LETTER[data[last]]
+    at, last = at[cut], last[cut]
+    bounds = np.insert(bounds, at + 1, bounds[at] + last + 1 - starts[at])
+    parts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(folded[~SPACE[data]])])
+    return parts, rows + np.searchsorted(at, rows)
+
+
 class WordTokenizer:
     """Token ids of whole texts through the tokenizer file, each distinct word encoded once while it is kept.
 
     Texts are cut at ASCII white space, which no token of this file crosses, and before the punctuation that ends a
     word after an ASCII letter, where the file's own splitting cuts as well; a text's ids are its parts' ids in turn.
-    ASCII capitals are folded first, as the file does, but where a text may hold a special token."""
-
-    _TAIL = re.compile(rb"(?<=[a-zA-Z])[.,;:!?|#$%&*()]+\Z")
-    _MARKS = frozenset(b".,;:!?|#$%&*()")
+    ASCII capitals are folded first, as the file does, but where a text may hold a special token. Arrow numbers the
+    distinct parts of a step and puts their ids in the texts' order; Python sees new parts only."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        # words of lately, and those of the time before, which come back when they are met; half of KEPT_WORDS each
-        self.tokenizer, self.known, self.old = Tokenizer.from_file(path), {}, {}
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary, suffix = self.tokenizer.get_vocab(), self.tokenizer.model.end_of_word_suffix
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # the tokens that end a piece of the file's splitting
+        self.last[[i for w, i in vocabulary.items() if suffix and w.endswith(suffix)]] = True
+        # the parts that are kept, their ids, and whether they were met since others were last forgotten; their hashes in order, and whose they are
+        self.known, self.known_ids, self.met = pa.array([], pa.large_binary()), pa.array([], pa.large_binary()), np.zeros(0, bool)
+        self.hashes, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
     def encode(self, texts_: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit numbers."""
-        parts = [(t if b"<|" in t else t.lower()).split() for t in texts_]
-        wanted = set().union(*parts)
-        new = wanted - self.known.keys()
-        if len(self.known) + len(new) > KEPT_WORDS // 2:
-            self.old, self.known, new = self.known, {}, wanted
-        self._remember(new)
-        if new := new - self.known.keys():
-            self._learn(new)
-        known = self.known.__getitem__
-        return [b"".join(map(known, p)) for p in parts]
-
-    def _ids(self, words_: list[bytes]) -> list[bytes]:
-        """The ids of each word. Words go through the file as one text, whose tokens' places say where words end; words that may hold a special token go alone."""
+        return self.ids(np.frombuffer(b"".join(texts_), np.uint8), np.cumsum([0] + [len(t) for t in texts_]))
+
+    def ids(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """As encode, of the rows of a buffer. A row longer than a step is read piece by piece."""
+        if len(offsets) == 2 and len(data) > ENCODED_BYTES:
+            return [b"".join(self._ids(x, np.array([0, len(x)]))[0] for x in pieces(data, ENCODED_BYTES))]
+        return self._ids(data, offsets)
+
+    def _ids(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        parts, rows = word_parts(data, offsets)
+        if not len(parts):
+            return [b""] * (len(offsets) - 1)
+        numbered = parts.dictionary_encode()
+        of = self._places(numbered.dictionary)
+        ids = self.known_ids.take(pa.array(of[numbered.indices.to_numpy()]))
+        ends = (np.frombuffer(ids.buffers()[1], np.int64)[rows]).tolist()
+        raw = ids.buffers()[2].to_pybytes()
+        return [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+    def _places(self, distinct: pa.Array) -> np.ndarray:
+        """Where the parts stand among those that are kept; new ones are learnt. Beyond KEPT_WORDS, those not met lately are forgotten. Hashes find parts, bytes decide."""
+        bounds = np.frombuffer(distinct.buffers()[1], np.int64)[: len(distinct) + 1]
+        hashes = stretch(prefix_hashes(np.frombuffer(distinct.buffers()[2], np.uint8)[: bounds[-1]]), bounds[:-1], bounds[1:])
+        of = np.full(len(distinct), -1)
+        if len(self.known):
+            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            hit = np.flatnonzero(self.hashes[at] == hashes)
+            at = self.place[at[hit]]
+            same = pc.equal(distinct.take(pa.array(hit)), self.known.take(pa.array(at))).to_numpy(zero_copy_only=False)
+            of[hit[same]] = at[same]
+        new, old = np.flatnonzero(of < 0), of[of >= 0]
+        self.met[old] = True
+        if len(self.known) + len(new) > KEPT_WORDS:
+            if np.count_nonzero(self.met) > KEPT_WORDS // 2:
+                self.met[:] = False
+                self.met[old] = True
+            stay, own = np.flatnonzero(self.met), self.met[self.place]
+            of[of >= 0] = np.searchsorted(stay, old)
+            self.hashes, self.place = self.hashes[own], np.searchsorted(stay, self.place[own])
+            self.known, self.known_ids, self.met = self.known.take(pa.array(stay)), self.known_ids.take(pa.array(stay)), np.zeros(len(stay), bool)
+        if len(new):
+            of[new] = np.arange(len(self.known), len(self.known) + len(new))
+            words_ = distinct.take(pa.array(new))
+            self.known, self.known_ids = pa.concat_arrays([self.known, words_]), pa.concat_arrays([self.known_ids, self._learn(words_.to_pylist())])
+            self.met = np.concatenate([self.met, np.ones(len(new), bool)])
+            new = new[np.argsort(hashes[new])]
+            at = np.searchsorted(self.hashes, hashes[new])
+            self.hashes, self.place = np.insert(self.hashes, at, hashes[new]), np.insert(self.place, at, of[new])
+        return of
+
+    def _learn(self, words_: list[bytes]) -> pa.Array:
+        """The ids of each of these parts."""
+        out: list[bytes] = [b""] * len(words_)
+        letters = [w.decode("utf-8", "replace").isalpha() for w in words_]
+        for kind, how in ((True, self._of_letters), (False, self._of_any)):
+            own = [k for k, x in enumerate(letters) if x == kind]
+            for at in range(0, len(own), LEARNT_WORDS):
+                part = own[at : at + LEARNT_WORDS]
+                for k, ids in zip(part, how([words_[k] for k in part]), strict=True):
+                    out[k] = ids
+        return pa.array(out, pa.large_binary())
+
+    def _of_letters(self, words_: list[bytes]) -> list[bytes]:
+        """Words of letters go through the file as one text, without places: the file takes each for one piece, whose last token is one of those that end a
+        piece. Where it cuts further, there are more of these than words."""
+        e = self.tokenizer.encode_batch_fast([b" ".join(words_).decode()], add_special_tokens=False)[0]
+        ids = np.array(e.ids, "<u4")
+        ends = 4 * (np.flatnonzero(self.last[ids]) + 1)
+        if len(ends) != len(words_):
+            return self._of_any(words_)
+        raw, ends = ids.tobytes(), [0, *ends.tolist()]
+        return [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+    def _of_any(self, words_: list[bytes]) -> list[bytes]:
+        """Words go through the file as one text, whose tokens' places say where words end; words that may hold a special token go alone."""
         plain = [w.decode("utf-8", "replace") for w in words_]
         if not any("<|" in w for w in plain):
             e = self.tokenizer.encode(" ".join(plain), add_special_tokens=False)
@@ -148,21 +236,6 @@ class WordTokenizer:
                 return [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)]
 
-    def _remember(self, words) -> None:
-        for w in words & self.old.keys():
-            self.known[w] = self.old[w]
-
-    def _learn(self, new: set[bytes]) -> None:
-        cut = {w: (w[: m.start()], m[0]) for w in new if w[-1] in self._MARKS and (m := self._TAIL.search(w))}
-        self._remember({x for pair in cut.values() for x in pair})
-        own = {w for w in new if w not in cut} | {x for pair in cut.values() for x in pair if x not in self.known}
-        own = list(own)
-        for at in range(0, len(own), LEARNT_WORDS):
-            part = own[at : at + LEARNT_WORDS]
-            self.known.update(zip(part, self._ids(part), strict=True))
-        for w, (a, b) in cut.items():
-            self.known[w] = self.known[a] + self.known[b]
-
 
 _tokenizers: dict[str, WordTokenizer] = {}  # a Python worker keeps its tokenizer from task to task
 
@@ -239,10 +312,8 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH) -> DataFram
 
         for batch in batches:
             ids, parts = batch.column(0).to_pylist(), batch.column(2).to_numpy()
-            for first, data, offsets in texts(batch.column(1)):
-                raw = data.tobytes()
-                encoded = t.encode([raw[a:b] for a, b in zip(offsets, offsets[1:], strict=False)])
-                for k, e in enumerate(encoded):
+            for first, data, offsets in texts(batch.column(1), ENCODED_BYTES):
+                for k, e in enumerate(t.ids(data, offsets)):
                     if parts[first + k] != part:
                         if part is not None:
                             open_.end()

@@ -5,6 +5,7 @@ import time
 import tracemalloc
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -131,3 +132,49 @@ def test_pairs_of_a_list_against_plain_comparison(which):
         want = {(i, j) for j, own in want.items() for i in (own if which == "all" else own[:1] if which == "first" else own[-1:])}
         got = {(i, j) for b in jaccard_join.met(table(sets, labels), which, 80, jaccard_join.Compared()) for i, j in zip(*(c.to_pylist() for c in b.columns), strict=True)}
         assert got == want
+
+
+class _Counting:
+    """A tokenizer that counts the words that go through it."""
+
+    def __init__(self, own):
+        self.own, self.words = own, 0
+
+    def encode(self, text, **more):
+        self.words += len(text.split())
+        return self.own.encode(text, **more)
+
+    def encode_batch_fast(self, texts_, **more):
+        self.words += sum(len(t.split()) for t in texts_)
+        return self.own.encode_batch_fast(texts_, **more)
+
+
+def test_word_tokenizer_learns_words_once():
+    rng = np.random.default_rng(5)
+    syllables = np.array(["an", "de", "the", "ing", "é", "tion", "sch", "ou", "ra", "mi"])
+    words = sorted({"".join(w) for w in syllables[rng.integers(0, 10, (220_000, 7))]})
+    texts_ = [" ".join(words[at : at + 500]).encode() for at in range(0, len(words), 500)]
+    w = packing.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    w.tokenizer = counted = _Counting(w.tokenizer)
+    first = [x for at in range(0, len(texts_), 50) for x in w.encode(texts_[at : at + 50])]
+    again = [x for at in range(0, len(texts_), 50) for x in w.encode(texts_[at : at + 50])]
+    assert first == again and len(words) > 200_000
+    assert counted.words <= len(words)
+    assert all(np.frombuffer(first[k], "<u4").tolist() == counted.own.encode(texts_[k].decode(), add_special_tokens=False).ids for k in range(0, len(texts_), 40))
+
+
+@pytest.mark.parametrize("kept, step, collide", [(600_000, 1 << 20, False), (20, 64, False), (600_000, 1 << 20, True)])
+def test_word_tokenizer_at_its_bounds(monkeypatch, kept, step, collide):
+    monkeypatch.setattr(packing, "KEPT_WORDS", kept, raising=False)
+    monkeypatch.setattr(packing, "ENCODED_BYTES", step, raising=False)
+    if collide:
+        monkeypatch.setattr(packing, "stretch", lambda h, a, b: np.zeros(len(a), np.uint64), raising=False)
+    w = packing.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    rng = np.random.default_rng(7)
+    bits = ["a", "B", "é", "É", ".", ",", "!", " ", "\n", "<|", "<|endoftext|>", "'s", "12", "日本", "Σς", "İ", "-", "\t", "x", " ab", " cd. "]
+    texts_ = ["!!! abc", "abc", "?", "", "abc <|endoftext|> ABC.", "...", *("".join(rng.choice(bits, rng.integers(0, 60))) for _ in range(300))]
+    for at in range(0, len(texts_), 3):
+        for t, got in zip(texts_[at : at + 3], w.encode([t.encode() for t in texts_[at : at + 3]]), strict=True):
+            assert np.frombuffer(got, "<u4").tolist() == w.tokenizer.encode(t, add_special_tokens=False).ids, t
+    long = " ".join(texts_)
+    assert np.frombuffer(w.encode([long.encode()])[0], "<u4").tolist() == w.tokenizer.encode(long, add_special_tokens=False).ids
