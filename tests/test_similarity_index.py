@@ -99,3 +99,36 @@ def test_picks_beyond_the_distinct_fingerprints(spark):
     df = spark.createDataFrame(list(fps.items()), "mol_id string, fp array<bigint>")
     for n in (3, 6, 8, 20):
         assert [r["mol_id"] for r in cluster.diversity_pick(df, n, 1, NBITS).orderBy("pick").collect()] == plain_picks(fps, n, 1)
+
+
+def test_keys_are_not_broadcast(spark, sides):
+    """A few small rows have many keys with their bits, which would all go through the driver."""
+    queries, library = (df.select(F.col(c).alias("id"), "fp").where("fp is not null") for df, c in zip(sides, ("query_id", "mol_id"), strict=True))
+    plan = spark.sparkContext.broadcast(similarity_index.Plan(similarity_index.bit_counts(library, NBITS), NBITS, 0.6, 2))
+    found = similarity_index.met(queries.limit(3), library, plan)
+    found.count()
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("few,frequent", [(5, 64), (5, 0), (400, 64), (400, 8)])
+def test_pairs_at_a_threshold_equal_plain_sets(spark, monkeypatch, few, frequent):
+    """Few queries and many, bits bounded first or all counted, more bits than a byte counts."""
+    monkeypatch.setattr(similarity, "FREQUENT", frequent)
+    own = [*fingerprints(200, 5), *fingerprints(60, 6, (250, 330), families=9), [0] * (NBITS // 64)]
+    bits = [{64 * k + b for k, w in enumerate(f) for b in range(64) if w >> b & 1} for f in own]
+    picked = list(range(0, len(own), max(1, len(own) // few)))
+    want = sorted((i, j, len(bits[i] & bits[j]), len(bits[i] | bits[j])) for i in picked for j in range(len(own)) if bits[i] | bits[j] and len(bits[i] & bits[j]) / len(bits[i] | bits[j]) >= 0.5)
+    df = spark.createDataFrame(list(enumerate(own)), "mol_id long, fp array<bigint>").coalesce(1)
+    q = df.where(F.col("mol_id").isin(picked)).select(F.col("mol_id").alias("query_id"), "fp")
+    assert max(map(len, bits)) > 255 and sorted(tuple(r)[:4] for r in similarity.pairs(q, df, NBITS, 0.5).collect()) == want and len(want) > len(picked)
+
+
+def test_the_index_pays_for_unlike_fingerprints_only(spark):
+    """A large library of fingerprints without anything in common; fingerprints that all share most of their bits."""
+    rng = np.random.default_rng(2)
+    rows = [np.packbits(np.isin(np.arange(NBITS), rng.choice(NBITS, 30, replace=False)), bitorder="little").view(np.int64).tolist() for _ in range(1000)]
+    sparse, other = (spark.createDataFrame(list(enumerate(x)), "query_id long, fp array<bigint>").cache() for x in (rows[:500], rows[500:]))
+    base = fingerprints(1, 9, (100, 101))[0]
+    alike = spark.createDataFrame([(i, [a ^ (1 << (i * 7 + k) % 60) for k, a in enumerate(base)]) for i in range(500)], "query_id long, fp array<bigint>").cache()
+    n = 1 << 20
+    assert similarity_index.pays(sparse, other, n, n, NBITS, 0.9) and not similarity_index.pays(alike, alike, n, n, NBITS, 0.6)
