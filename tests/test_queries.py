@@ -188,3 +188,20 @@ def test_endpoint_model(spark, tmp_path):
     model.save(str(tmp_path / "m"))
     flags = {r["smiles"]: r["positive"] for r in EndpointModel.load(str(tmp_path / "m"), nbits=256).predict_with_threshold(df).collect()}
     assert flags["CCO"] is True and flags["BAD"] is None
+
+
+def test_bytes_of_bits(spark):
+    """Against bytes made one by one: nulls, no words, widths that differ, the sign bit, tails of less than a word."""
+    rows = [[1, -1, 1 << 62], [-(1 << 63)], [], None, [0, 5]]
+    plain = [None if r is None else bytes(w >> b & 1 for w in r for b in range(64)) for r in rows]
+    df = spark.createDataFrame(list(enumerate(rows)), "i int, fp array<bigint>").coalesce(1)
+    there = writers.dataset_columns(df).orderBy("i").select("fingerprints", readers.bytes_to_words("fingerprints").alias("back")).collect()
+    assert [None if r["fingerprints"] is None else bytes(r["fingerprints"]) for r in there] == plain and [r["back"] for r in there] == rows
+    odd = [plain[0] + b"\1" * 63, b"\1\2\x11" + b"\0" * 61, b"\1" * 3, b"", None, plain[1] + b"\1"]
+    got = spark.createDataFrame([(i, None if b is None else bytearray(b)) for i, b in enumerate(odd)], "i int, b binary").coalesce(1).orderBy("i").select(readers.bytes_to_words("b")).collect()
+    assert [r[0] for r in got] == [rows[0], [5], [], [], None, rows[1]]
+
+
+def test_roundtrip_rows_are_not_broadcast(spark):
+    own = QUERIES["parquet_roundtrip"](spark, SF)
+    assert own.count() == 200 and "SortMergeJoin" in own._jdf.queryExecution().sparkPlan().toString()
