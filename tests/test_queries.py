@@ -205,3 +205,16 @@ def test_bytes_of_bits(spark):
 def test_roundtrip_rows_are_not_broadcast(spark):
     own = QUERIES["parquet_roundtrip"](spark, SF)
     assert own.count() == 200 and "SortMergeJoin" in own._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_pairs_of_large_cores_equal_plain_ones(spark, monkeypatch):
+    """Blocks of a core, a molecule with two variables, and as many tasks as the pairs ask for, not the few rows."""
+    monkeypatch.setattr(mmp, "CORE_BLOCK", 7)
+    monkeypatch.setattr(mmp, "TASK_PAIRS", 100)
+    rows = [(f"m{i % 90}", "a" if i % 3 else "b", f"v{i % 4}", f"e{i % 90}") for i in range(100)]
+    first = {c: min(r for r in rows if r[1] == c)[3] for c in "ab"}
+    want = sorted((p[0], q[0], p[2], q[2], p[1], f"{p[2]}>>{q[2]}", first[p[1]]) for p in rows for q in rows if p[1] == q[1] and p[0] < q[0] and p[2] != q[2])
+    got = mmp.pairs(spark.createDataFrame(rows, "mol string, core string, variable string, environment string").coalesce(1))
+    assert sorted(map(tuple, got.collect())) == want and len(want) > 1000
+    met = sum(sum(r[1] == c for r in rows) ** 2 for c in "ab") // 2
+    assert got.rdd.getNumPartitions() == met // 100
