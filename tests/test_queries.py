@@ -1,6 +1,7 @@
 """Every query against its SQL, and operators' own cases."""
 
 import math
+import random
 
 import duckdb
 import pytest
@@ -218,3 +219,14 @@ def test_pairs_of_large_cores_equal_plain_ones(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == want and len(want) > 1000
     met = sum(sum(r[1] == c for r in rows) ** 2 for c in "ab") // 2
     assert got.rdd.getNumPartitions() == met // 100
+
+
+def test_kfold_equals_pythons_shuffle(spark, monkeypatch):
+    """At a size for which the SQL has no shuffle, dealt at once and in pieces."""
+    n = 20_000
+    places = list(range(n))
+    random.Random(42).shuffle(places)
+    want = sorted((p, p, i % 5) for i, p in enumerate(places))
+    for piece in (1_000_000, 7_000):
+        monkeypatch.setattr(split, "PIECE", piece)
+        assert sorted(map(tuple, QUERIES["kfold"](spark, "/root/testdata/sf0.1").collect())) == want
